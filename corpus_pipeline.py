@@ -1,0 +1,10 @@
+"""The corpus pipeline: each stage reads what the one before it wrote."""
+
+from __future__ import annotations
+
+STAGES: list = []
+ORACLE_SQL = None
+
+
+def run(spark, sf_dir):
+    raise NotImplementedError
