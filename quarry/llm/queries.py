@@ -8,11 +8,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, gif, packing, pieces, simhash
+from quarry.llm import chat, edits, gif, packing, pieces, quality, simhash, topk, toxicity
 from quarry.llm.common import fold, table
 
 PIECE_MODEL = "piece_bpe_32k.model"
 WORD_MODEL = "word_bpe_49k.json"
+BYTE_RANKS = "byte_bpe_50k.tiktoken"
+
+
+def op2_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
+    return scored.select(F.col("id").alias("doc_id"), (fold("id") == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op3_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tagged = toxicity.tag_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    return tagged.select(F.col("id").alias("doc_id"), (fold("id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
 
 
 def op4_gif_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +49,23 @@ def op5_offset_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
+def op7_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits per document, at places its id and length decide: a replacement, an insertion, a deletion."""
+    docs = table(spark, sf_dir, "documents")
+    length = F.coalesce(F.length("text"), F.lit(0))
+    place = lambda k: F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit(k)), length + 1)
+    change = lambda at, gone, new: F.struct(at.cast("long").alias("at"), F.lit(gone).cast("long").alias("deleted"), F.lit(new).alias("inserted"))
+    docs = docs.withColumn("edits", F.array(change(place(1), 7, " revised, once"), change(place(2), 0, "   \nA new line 42"), change(place(3), 40, "")))
+    ranks = public_tokenizers.path(BYTE_RANKS)
+    done = edits.apply_edits(edits.build_trees(docs, ranks, carry=("edits",)), ranks)
+    return done.select(F.col("id").alias("doc_id"), F.col("n_before").alias("tokens_before"), F.col("n_tokens").alias("tokens_after"), "n_edits", "reencoded_chars", F.sha2(F.col("text").cast("binary"), 256).alias("edited_sha256"))
+
+
 def op8_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
@@ -60,4 +90,4 @@ def op10_differencing_packer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_gif_frames, op5_offset_pieces, op8_reply_trees, op9_simhash_trie, op10_differencing_packer)}
+    return {f.__name__: f for f in (op2_pu_quality, op3_toxic_spans, op4_gif_frames, op5_offset_pieces, op6_impact_topk, op7_edit_counts, op8_reply_trees, op9_simhash_trie, op10_differencing_packer)}
