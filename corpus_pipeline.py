@@ -2,9 +2,58 @@
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quarry.llm import packing, quality, simhash, toxicity
+from quarry.llm.common import materialize, table
+
+QUALITY_FLOOR = 0.3
+TOXIC_FROM = 0.5
+#: Near copies: five-word shingles and a similarity of 0.8 or more.  Fingerprints of 256 bits differ in about
+#: 39 bits at 0.8 and in about 49 at 0.7; eight bands of 32 bits find such pairs within three bits of a band.
+NEAR = {"shingle": 5, "lanes": 4, "bands": 8, "bits": 32, "budget": 3, "max_bits": 44}
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score_quality(docs, model, carry=tuple(docs.columns))
+    return scored.where(F.col("score") >= QUALITY_FLOOR).select(*docs.columns)
+
+
+def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without toxic spans."""
+    field = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    tagged = toxicity.tag_toxicity(docs, field, carry=tuple(docs.columns))
+    return tagged.where(F.col("score") < TOXIC_FROM).select(*docs.columns)
+
+
+def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group of near copies; one row of each id.
+
+    Rows without an id can't be told from each other and stay.
+    """
+    first = simhash.near_duplicates(docs, **NEAR).where("doc_id = component_id").select("doc_id")
+    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    kept = docs.join(first, "doc_id", "left_semi").withColumn("__row", one).where("__row = 1")
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the kept documents in windows of 2048 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality", keep_good), ("toxicity", keep_civil), ("near duplicates", keep_distinct), ("packing", pack)]
+
+#: The classifiers, the trie join and the packer aren't SQL; tests hold run() against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
