@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, edits, gif, packing, pieces, quality, simhash, topk, toxicity
+from quarry.llm import chat, edits, gif, katz, packing, pieces, quality, simhash, topk, toxicity
 from quarry.llm.common import fold, table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -16,6 +16,11 @@ WORD_MODEL = "word_bpe_49k.json"
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
 
 
+def op1_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = katz.score_texts(table(spark, sf_dir, "documents"), fold("doc_id") != 1)
+    return scored.select(F.col("id").alias("doc_id"), (fold("id") == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
@@ -90,4 +95,4 @@ def op10_differencing_packer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pu_quality, op3_toxic_spans, op4_gif_frames, op5_offset_pieces, op6_impact_topk, op7_edit_counts, op8_reply_trees, op9_simhash_trie, op10_differencing_packer)}
+    return {f.__name__: f for f in (op1_katz_scores, op2_pu_quality, op3_toxic_spans, op4_gif_frames, op5_offset_pieces, op6_impact_topk, op7_edit_counts, op8_reply_trees, op9_simhash_trie, op10_differencing_packer)}
