@@ -15,10 +15,34 @@ CACHE_CHUNKS = 400_000
 
 
 class ChunkCache(dict):
-    """chunk -> value, emptied when it is full."""
+    """chunk -> value.  When it is full, what it holds becomes the older half, and what is used again comes back."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.older: dict = {}
+
+    def __missing__(self, key):
+        value = self[key] = self.older[key]
+        return value
+
+    def holds(self, key) -> bool:
+        return key in self or key in self.older
+
+    def gather(self, keys: list, learn) -> bytes:
+        """Values of the keys, joined; learn(missing keys) puts what isn't known yet."""
+        try:
+            return b"".join([self[k] for k in keys])
+        except KeyError:
+            distinct = set(keys)
+            held = {k for k in distinct if self.holds(k)}
+            for k in held:
+                self[k]  # to the newer half, so that making room keeps it
+            learn(list(distinct - held))
+            return b"".join([self[k] for k in keys])
 
     def room(self, more: int) -> None:
         if len(self) + more > CACHE_CHUNKS:
+            self.older = dict(self)
             self.clear()
 
 
@@ -39,37 +63,29 @@ class WordPieces:
         self.parts: ChunkCache = ChunkCache()
 
     def _learn(self, chunks: list[bytes]) -> None:
-        self.cache.room(len(chunks))
         split = {}
         for chunk in chunks:
             s = chunk.decode("utf-8", "replace")
             m = _PLAIN.fullmatch(s)
             split[chunk] = (m[1].lower(), m[2]) if m else (s,)
-        new = list({p for parts in split.values() for p in parts if p and p not in self.parts})
-        self.parts.room(len(new))
-        new = list({p for parts in split.values() for p in parts if p and p not in self.parts})
+        known = {p: self.parts[p] if self.parts.holds(p) else None for own in split.values() for p in own if p}
+        new = [p for p, ids in known.items() if ids is None]
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             for p, e in zip(part, self.library.encode_batch(part, add_special_tokens=False), strict=True):
-                self.parts[p] = np.array(e.ids, "<u4").tobytes()
-        for chunk, parts in split.items():
-            self.cache[chunk] = b"".join(self.parts[p] for p in parts if p)
+                known[p] = np.array(e.ids, "<u4").tobytes()
+        self.parts.room(len(new))
+        self.parts.update((p, known[p]) for p in new)
+        self.cache.room(len(split))
+        self.cache.update((chunk, b"".join([known[p] for p in own if p])) for chunk, own in split.items())
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         cut = [t.split() for t in texts]
-        out = []
-        for words in cut:
-            try:
-                out.append(b"".join([self.cache[w] for w in words]))
-            except KeyError:
-                known = self.cache
-                missing = list({w for w in words if w not in known})
-                self._learn(missing)
-                if len(known) < len(set(words)):  # the cache was emptied while it learnt
-                    self._learn(list({w for w in words if w not in known}))
-                out.append(b"".join([known[w] for w in words]))
-        return out
+        missing = list({w for words in cut for w in words if not self.cache.holds(w)})
+        if missing:
+            self._learn(missing)
+        return [self.cache.gather(words, self._learn) for words in cut]
 
 
 _LOADED: dict[tuple, object] = {}

@@ -43,11 +43,12 @@ class Counter:
         self.cache: ChunkCache = ChunkCache()
 
     def count(self, token: str) -> int:
-        n = self.cache.get(token)
-        if n is None:
+        try:
+            return self.cache[token]
+        except KeyError:
             self.cache.room(1)
             n = self.cache[token] = len(self.library.encode_ordinary(token))
-        return n
+            return n
 
 
 class TokenTree:

@@ -151,14 +151,7 @@ class OffsetEncoder:
             return none, none, none
         if not self.cut_at_spaces or MARK in text:
             return self._encode_whole(text)
-        chunks, known = self._chunks(text), self.cache
-        try:
-            joined = b"".join([known[c] for c in chunks])
-        except KeyError:
-            self._learn(list({c for c in chunks if c not in known}))
-            if any(c not in known for c in set(chunks)):  # the cache was emptied while it learnt
-                self._learn(list({c for c in chunks if c not in known}))
-            joined = b"".join([known[c] for c in chunks])
+        joined = self.cache.gather(self._chunks(text), self._learn)
         ids = np.frombuffer(joined, np.int32)
         if (ids == self.unknown).any():
             return self._encode_whole(text)
