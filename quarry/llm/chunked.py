@@ -49,6 +49,7 @@ class ChunkCache(dict):
 # Letters whose normal form is themselves and whose lower case is one letter, then ASCII signs that
 # neither start a contraction nor a special token.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%$&#*|()\-]*)")
+_WORD = re.compile(r"[a-zà-öø-ÿ]+")
 
 
 class WordPieces:
@@ -70,8 +71,16 @@ class WordPieces:
             split[chunk] = (m[1].lower(), m[2]) if m else (s,)
         known = {p: self.parts[p] if self.parts.holds(p) else None for own in split.values() for p in own if p}
         new = [p for p, ids in known.items() if ids is None]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
+        words = [p for p in new if _WORD.fullmatch(p)]
+        for at in range(0, len(words), 512):  # words of letters alone: many in one text, each a pre-token
+            part = words[at : at + 512]
+            e = self.library.encode(" ".join(part), add_special_tokens=False)
+            ids, own = np.array(e.ids, "<u4"), np.array(e.word_ids, np.int64)
+            for p, got in zip(part, np.split(ids, np.searchsorted(own, np.arange(1, len(part)))), strict=True):
+                known[p] = got.tobytes()
+        others = [p for p in new if known[p] is None]
+        for at in range(0, len(others), 4096):
+            part = others[at : at + 4096]
             for p, e in zip(part, self.library.encode_batch(part, add_special_tokens=False), strict=True):
                 known[p] = np.array(e.ids, "<u4").tobytes()
         self.parts.room(len(new))

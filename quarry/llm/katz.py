@@ -414,7 +414,9 @@ def score(model: DataFrame, known: Constants) -> DataFrame:
             rows.append((chunk, "sums", total.tobytes()))
         return _table(rows, ["chunk", "kind", "blob"], [pa.int64(), pa.string(), pa.binary()])
 
-    sums = model.where("kind in ('bigrams', 'sums')").groupBy("bucket").applyInArrow(parts, "chunk long, kind string, blob binary")
+    # Of the bigram rows only the weights are needed; their counts stay where they are.
+    needed = model.where("kind in ('bigrams', 'sums')").withColumn("blob", F.when(F.col("kind") == "sums", F.col("blob"))).select("kind", "bucket", "chunk", "n_rows", "blob", "weights")
+    sums = needed.groupBy("bucket").applyInArrow(parts, "chunk long, kind string, blob binary")
     texts = model.where("kind = 'documents'").select("chunk", "kind", "blob")
     width = np.log10(known.tokens + 0.5 * (known.types + 1))
 
