@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import math
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -171,3 +174,63 @@ def route_turn(text: Column) -> Column:
 def outcome_importance(outcome: Column, error: Column) -> Column:
     """Importance of an episode; an error makes it a failure."""
     return F.when(F.coalesce(error, F.lit(False)) | (outcome == "failure"), 0.7).when(outcome == "success", 0.6).otherwise(0.5)
+
+
+def _sanitized(value, most: int):
+    """Redacted and bounded copy of a JSON value."""
+    if isinstance(value, str):
+        return _redacted_text(value)[:most]
+    if isinstance(value, float) and not math.isfinite(value):
+        return str(value)
+    if isinstance(value, dict):
+        kept = list(value.items())[:50]
+        return {k[:100]: "[REDACTED]" if re.search(SENSITIVE_LABEL, k[:100]) else _sanitized(v, most) for k, v in kept}
+    if isinstance(value, list):
+        return [_sanitized(v, most) for v in value[:50]]
+    return value
+
+
+def _redacted_text(text: str) -> str:
+    for pattern, by in ((PEM_BLOCK, "[REDACTED PRIVATE KEY]"), (BEARER, "Bearer [REDACTED]"), (PREFIXED_KEY, "[REDACTED]"), (ASSIGNED, r"\1\2[REDACTED]")):
+        text = re.sub(pattern, by, text)
+    return text
+
+
+def sanitize_json(text: Column, most: int = 500) -> Column:
+    """JSON of any depth with secrets redacted, strings cut, and 50 members a level; null if it is no JSON."""
+
+    def clean(t: str | None) -> str | None:
+        try:
+            return json.dumps(_sanitized(json.loads(t), most), ensure_ascii=False)
+        except (TypeError, ValueError):
+            return None
+
+    return F.udf(clean, "string", useArrow=True)(text)
+
+
+EXTRACTION = (
+    "struct<entities:array<struct<name:string,type:string,description:string>>,"
+    "relationships:array<struct<source:string,target:string,description:string,strength:string>>>"
+)
+
+
+def parse_entities(text: Column) -> Column:
+    """Entities of a model's extraction: blank names left out, names and types in upper case, UNKNOWN by default."""
+    rows = F.coalesce(F.from_json(extract_json_object(text), EXTRACTION)["entities"], F.array().cast("array<struct<name:string,type:string,description:string>>"))
+    made = F.transform(rows, lambda e: F.struct(normalize_name(F.coalesce(e["name"], F.lit(""))).alias("name"), F.coalesce(F.nullif(F.upper(F.trim(e["type"])), F.lit("")), F.lit("UNKNOWN")).alias("entity_type"), F.coalesce(e["description"], F.lit("")).alias("description")))
+    return F.filter(made, lambda e: e["name"] != "")
+
+
+def parse_relationships(text: Column) -> Column:
+    """Relations of a model's extraction: both ends named, strength between 1 and 10 and 5 where it isn't a number."""
+    rows = F.coalesce(F.from_json(extract_json_object(text), EXTRACTION)["relationships"], F.array().cast("array<struct<source:string,target:string,description:string,strength:string>>"))
+    strength = lambda s: F.least(F.lit(10.0), F.greatest(F.lit(1.0), F.coalesce(s.try_cast("double"), F.lit(5.0))))
+    made = F.transform(rows, lambda r: F.struct(normalize_name(F.coalesce(r["source"], F.lit(""))).alias("source"), normalize_name(F.coalesce(r["target"], F.lit(""))).alias("target"), F.coalesce(r["description"], F.lit("")).alias("description"), strength(r["strength"]).alias("strength")))
+    return F.filter(made, lambda r: (r["source"] != "") & (r["target"] != ""))
+
+
+def build_prompt(question: Column, examples: Sequence[str] = (), trigger: str | None = None) -> Column:
+    """Few-shot: examples, a blank line apart, then the question; zero-shot: the question and what triggers reasoning."""
+    if trigger is not None:
+        return F.concat(question, F.lit("\n" + trigger))
+    return F.concat(F.lit("".join(e + "\n\n" for e in examples)), question)

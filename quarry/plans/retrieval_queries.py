@@ -390,3 +390,15 @@ def local_context(spark, sf_dir):
     communities = labels.select("name", "label", F.concat(F.lit("Community "), F.col("label").cast("string")).alias("title"), F.lit("suppliers and parts").alias("summary"))
     seeds = table(spark, sf_dir, "supplier").where("s_nationkey = 3").select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("S "), F.col("s_suppkey").cast("string")).alias("name"))
     return graph.local_context(seeds, entities, merged, communities, 1500)
+
+
+@query()
+def retrieve(spark, sf_dir):
+    """Hybrid retrieval of three hits for each benchmark text, reranked by their lexical scores."""
+    from quarry.plans.retrieve import retrieve as plan
+
+    e = table(spark, sf_dir, "embeddings")
+    docs = table(spark, sf_dir, "documents")
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text").join(e.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
+    scores = retrieval.bm25_search(docs, queries, 27).select("query_id", "doc_id", F.col("score").alias("relevance"))
+    return plan(docs, e.select(F.col("vec_id").alias("doc_id"), "embedding"), queries, 3, scores)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,13 +51,11 @@ def table_to_markdown(rows: DataFrame, by: str, order: str, columns: list[str])
 
 
 def sniff_separator(head: str) -> str:
-    """The separator that splits the first lines alike; the comma if none does."""
-    lines = [x for x in head.splitlines() if x.strip()][:10]
-    for sep in (",", ";", "\t", "|"):
-        counts = {x.count(sep) for x in lines}
-        if len(counts) == 1 and counts != {0}:
-            return sep
-    return ","
+    """The separator outside quotes that the first line holds most often; the comma if it holds none."""
+    bare = re.sub(r'"(?:[^"]|"")*"', "", head).lstrip("\n\r")
+    first = bare.splitlines()[0] if bare.strip() else ""
+    best = max((",", ";", "\t", "|"), key=first.count)
+    return best if best in first else ","
 
 
 def read_csv_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -63,7 +64,7 @@ def read_csv_documents(spark: SparkSession, path: str) -> DataFrame:
     if first is None or not (first.h or "").strip("﻿ \n\r\t"):
         return spark.createDataFrame([], "filepath string, markdown string")
     sep = sniff_separator(first.h.lstrip("﻿"))
-    width = max(x.count(sep) + 1 for x in first.h.splitlines())
+    width = max(x.count(sep) + 1 for x in re.sub(r'"(?:[^"]|"")*"', "", first.h).splitlines())
     names = [f"c{i}" for i in range(width)]
     raw = spark.read.csv(path, sep=sep, multiLine=True, schema=", ".join(f"{n} string" for n in names), quote='"', escape='"')
     raw = raw.withColumn("c0", F.regexp_replace("c0", "^﻿", "")).withColumn("filepath", F.input_file_name()).withColumn("seq", F.monotonically_increasing_id())
@@ -75,11 +76,18 @@ def read_csv_documents(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("filepath", F.array_join(F.concat(F.slice(lines, 1, 1), F.array(F.lit(rule)), F.slice(lines, 2, 2**30)), "\n").alias("markdown"))
 
 
+def _indented(text: str) -> str | None:
+    try:
+        return json.dumps(json.loads(text), indent=2, ensure_ascii=False)
+    except ValueError:
+        return None
+
+
 def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Each file one document, its JSON on indented lines; invalid files have a null content and `valid` false."""
+    """Each file one document, its JSON indented by two; invalid files have a null content and `valid` false."""
     raw = spark.read.text(path, wholetext=True).withColumn("filepath", F.input_file_name())
-    parsed = F.call_function("try_parse_json", F.col("value"))
-    return raw.select("filepath", parsed.isNotNull().alias("valid"), F.to_json(parsed, {"pretty": "true"}).alias("content"))
+    content = F.udf(_indented, "string", useArrow=True)("value")
+    return raw.select("filepath", content.alias("content")).withColumn("valid", F.col("content").isNotNull())
 
 
 def append_event_log(events: DataFrame, path: str) -> None:
