@@ -9,7 +9,7 @@ up to five (one above), and r = 0.5 a reserve so that no history leaves nothing
 
 Text travels in packed rows, so that Spark shuffles a few large rows instead of one per token:
 
-    texts, by chunk        compressed; chunks are dealt by content and hold about 24 MB of text
+    texts, by chunk        compressed; chunks are dealt by content and hold about 16 MB of text
     word counts, by word   a chunk's distinct words and counts -> totals, and each chunk's totals back to it
     bigrams, by history    a chunk's distinct bigrams with word totals and the documents that hold them
     model, by history      bigram counts, figures for a(h), and for each document the sums that don't need
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import fold, materialize, text_bytes
 
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 16 << 20
 TOP = 5
 RESERVE = 0.5
 END = np.uint64(xxhash.xxh64_intdigest(b"\nend", 7))
@@ -82,7 +82,7 @@ def _range_of(h: np.ndarray, parts: int) -> np.ndarray:
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word, 42)
         return h
@@ -346,7 +346,7 @@ def fit(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text")
     size = docs.agg(F.sum(F.octet_length(text_col)).alias("b"), F.count("*").alias("n")).first()
     total = (size.b or 0) + size.n
     chunks = max(1, -(-total // CHUNK_BYTES))
-    parts = max(1, min(-(-total // (CHUNK_BYTES // 2)), 1 << 20))
+    parts = max(1, min(-(-total // CHUNK_BYTES), 1 << 20))
     texts = _text_rows(docs, id_col, text_col, chunks, F.coalesce(learn, F.lit(False)))
     counts = texts.groupBy("chunk").applyInArrow(_word_counts(parts), "bucket long, chunk long, blob binary")
     totals = counts.groupBy("bucket").applyInArrow(_word_totals, "chunk long, bucket long, totals binary")
