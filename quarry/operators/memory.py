@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import SENSITIVE_LABEL, estimate_tokens_mixed, estimate_tokens_quarter, is_sensitive, memory_signal, outcome_importance, redact_secrets
+from quarry.functions.text import estimate_tokens_mixed, estimate_tokens_quarter, is_sensitive, memory_signal, outcome_importance, redact_secrets
 from quarry.functions.vectors import cosine
 
 KEY_PATTERN = r"^[a-z][a-z0-9_.-]*$"
@@ -37,16 +37,13 @@ def token_budget_turns(turns: DataFrame, budget: int = 1200) -> DataFrame:
 def window_membership(turns: DataFrame, budget: int = 1200) -> DataFrame:
     """After each turn: how many turns are live, the oldest of them, and their cost.
 
-    Turn i is live at t if the running cost at t less that before i is within the budget, so the live ones are a
-    run whose start is found by range join on the running cost within a conversation, as a window over cost.
+    Turn i is live at t if the running cost at t less that before i is within the budget.  Running costs rise, so
+    the oldest live turn is the next start on the cost axis from (total at t - budget) on: one window finds it.
     """
     order = Window.partitionBy("conv_id").orderBy("turn")
     run = turns.withColumn("cost", turn_cost()).withColumn("total", F.sum("cost").over(order))
-    live = Window.partitionBy("conv_id").orderBy("before").rangeBetween(0, Window.unboundedFollowing)
-    # Starts: turns whose running cost before them is at least total - budget; the window is in running-cost order.
     points = run.select("conv_id", "turn", (F.col("total") - F.col("cost")).alias("at"), F.lit(1).alias("kind"), "total").unionByName(run.select("conv_id", "turn", (F.col("total") - budget).alias("at"), F.lit(0).alias("kind"), "total"))
     ahead = Window.partitionBy("conv_id").orderBy("at", "kind").rowsBetween(0, Window.unboundedFollowing)
-    del live
     found = points.withColumn("oldest", F.first(F.when(F.col("kind") == 1, F.struct("turn", "at")), ignorenulls=True).over(ahead)).where("kind = 0")
     found = found.select("conv_id", "turn", "total", "oldest")
     used = F.when(F.col("oldest.turn") <= F.col("turn"), F.col("total") - F.col("oldest.at")).otherwise(0)
@@ -88,9 +85,8 @@ def forgetting_score(now: Column, retention_days: float, fallback: str = "update
 
 def retain_top(rows: DataFrame, cap: int, key: str, time: str = "updated_at", partition: str | None = None) -> DataFrame:
     """Keep the `cap` rows of lowest score, newest and then greatest key first on ties."""
-    ranked = rows.orderBy("score", F.desc(time), F.desc(key)).limit(cap) if partition is None else None
-    if ranked is not None:
-        return ranked
+    if partition is None:
+        return rows.orderBy("score", F.desc(time), F.desc(key)).limit(cap)
     order = Window.partitionBy(partition).orderBy("score", F.desc(time), F.desc(key))
     return rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= cap).drop("r")
 
@@ -267,9 +263,6 @@ def format_context(hits: DataFrame) -> DataFrame:
     return rows.select("query_id", F.array_join(F.transform("parts", lambda x: x["p"]), "\n\n---\n\n").alias("context"))
 
 
-SENSITIVE = SENSITIVE_LABEL
-
-
 def summary_buffer(turns: DataFrame, summarise, budget: int = 1200, cap: int = 400) -> DataFrame:
     """turns(conv_id, turn, user, assistant) -> conv_id, turn, summary, evicted: after each turn the running summary.
 
