@@ -53,23 +53,32 @@ class SpanField:
 
     def __init__(self, slots: np.ndarray, transition: np.ndarray, start: np.ndarray):
         self.slots, self.transition, self.start = slots, transition, start
-        self.known: dict[str, tuple[float, float, float]] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget the words met so far; number 0 stands for sentence ends."""
+        self.number: dict[str, int] = dict.fromkeys(_STOPS, 0)
+        self.rows: list[tuple[float, float, float]] = [(0.0, 0.0, 0.0)]
+
+    def numbers(self, words: list[str]) -> list[int]:
+        known = self.number
+        try:
+            return [known[w] for w in words]
+        except KeyError:
+            for w in {w for w in words if w not in known}:
+                known[w] = len(self.rows)
+                self.rows.append(self.parts(w.lower()))
+            return [known[w] for w in words]
 
     def parts(self, word: str) -> tuple[float, float, float]:
         """Log-odds that a word adds to itself, to the word after it and to the word before it."""
-        got = self.known.get(word)
-        if got is None:
-            if len(self.known) > 300_000:
-                self.known.clear()
-            s = self.slots
-            got = (float(s[word_slots(word)].sum()), float(s[_slot("before", word)]), float(s[_slot("after", word)]))
-            self.known[word] = got
-        return got
-
-    def marginals(self, odds: list[np.ndarray]) -> list[np.ndarray]:
-        """Marginal of label 1 for each word of each chain, chains of like length together."""
-        out: list[np.ndarray] = [np.empty(0)] * len(odds)
-        lengths = np.array([len(o) for o in odds])
+        s = self.slots
+        return float(s[word_slots(word)].sum()), float(s[_slot("before", word)]), float(s[_slot("after", word)])
+
+    def marginals(self, odds: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Marginal of label 1 at each place of the chains that lie one after another, chains of like length together."""
+        out = np.zeros(len(odds))
+        begin = np.cumsum(lengths) - lengths
         order = np.argsort(lengths, kind="stable")
         order = order[lengths[order] > 0]
         at = 0
@@ -78,17 +87,34 @@ class SpanField:
             upto = at + int(np.searchsorted(lengths[order[at:]], longest, "right"))
             upto = min(upto, at + max(1, (1 << 20) // longest))
             group = order[at:upto]
-            width = int(lengths[group].max())
-            grid = np.zeros((len(group), width))
-            for row, i in enumerate(group.tolist()):
-                grid[row, : lengths[i]] = odds[i]
-            probability = forward_backward(grid, lengths[group], self.transition, self.start)[0]
-            for row, i in enumerate(group.tolist()):
-                out[i] = probability[row, : lengths[i]]
+            own = lengths[group]
+            row = np.repeat(np.arange(len(group)), own)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(own) - own, own)
+            where = np.repeat(begin[group], own) + place
+            grid = np.zeros((int(own.max()), len(group)))
+            grid[place, row] = odds[where]
+            out[where] = chain_marginals(grid, own, self.transition, self.start)[place, row]
             at = upto
         return out
 
 
+def chain_marginals(odds: np.ndarray, lengths: np.ndarray, transition: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Marginals of label 1 (places x chains) from log-odds, by the ratio of the two labels' messages."""
+    width = len(odds)
+    weight = np.exp(np.clip(odds, -40, 40))
+    t = np.exp(transition)
+    forward, backward = np.empty_like(weight), np.ones_like(weight)
+    forward[0] = np.exp(start[1] - start[0]) * weight[0]
+    for k in range(1, width):
+        g = forward[k - 1]
+        forward[k] = weight[k] * (t[0, 1] + t[1, 1] * g) / (t[0, 0] + t[1, 0] * g)
+    for k in range(width - 2, -1, -1):
+        b = weight[k + 1] * backward[k + 1]
+        backward[k] = np.where(lengths > k + 1, (t[1, 0] + t[1, 1] * b) / (t[0, 0] + t[0, 1] * b), 1.0)
+    ratio = forward * backward
+    return ratio / (1 + ratio)
+
+
 def forward_backward(odds: np.ndarray, lengths: np.ndarray, transition: np.ndarray, start: np.ndarray):
     """Marginals of label 1 (chains x places), expected transitions (2 x 2), first labels, and log Z of chains.
 
@@ -246,29 +272,31 @@ def tag_toxicity(docs: DataFrame, field: SpanField | None, id_col: str = "doc_id
     span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        odds, where, owner = [], [], []
-        for k, text in enumerate(batch.column(1).to_pylist() if field else []):
-            chain: list[str] = []
-            places: list[tuple[int, int]] = []
-            for m in _WORD.finditer(text.decode("utf-8", "replace")):
-                if m[0] in _STOPS:
-                    _close(field, chain, places, odds, where, owner, k)
-                    chain, places = [], []
-                else:
-                    chain.append(m[0].lower())
-                    places.append(m.span())
-            _close(field, chain, places, odds, where, owner, k)
-        score, spans = np.zeros(batch.num_rows), [[] for _ in range(batch.num_rows)]
-        for p, places, k in zip(field.marginals(odds) if field else [], where, owner, strict=True):
-            score[k] = max(score[k], float(p.max()))
-            before = -1
-            for i in np.flatnonzero(p >= 0.5).tolist():
-                begin, end = places[i]
-                if before == i:
-                    spans[k][-1] = {"begin": spans[k][-1]["begin"], "end": end, "marginal": max(spans[k][-1]["marginal"], float(p[i]))}
-                else:
-                    spans[k].append({"begin": begin, "end": end, "marginal": float(p[i])})
-                before = i + 1
+        n = batch.num_rows
+        score, spans = np.zeros(n), [[] for _ in range(n)]
+        if field and n:
+            if len(field.rows) > 300_000:
+                field.clear()
+            texts = [t.decode("utf-8", "replace") for t in batch.column(1).to_pylist()]
+            words = [field.numbers(_WORD.findall(t)) for t in texts]
+            sizes = np.array([len(w) + 1 for w in words])  # one more: the text's end
+            number = np.fromiter((x for w in words for x in (*w, 0)), np.int64, int(sizes.sum()))
+            parts = np.array(field.rows)
+            inside = number > 0
+            odds = parts[number, 0]
+            linked = inside[1:] & inside[:-1]
+            odds[1:] += np.where(linked, parts[number[:-1], 1], 0)
+            odds[:-1] += np.where(linked, parts[number[1:], 2], 0)
+            chain = np.cumsum(~inside)
+            lengths = np.bincount(chain[inside], minlength=int(chain[-1]) + 1)
+            p = np.zeros(len(number))
+            p[inside] = field.marginals(odds[inside], lengths)
+            ends = np.cumsum(sizes)
+            score = np.maximum.reduceat(p, ends - sizes)
+            hits = p >= 0.5
+            for k in np.flatnonzero(np.logical_or.reduceat(hits, ends - sizes)).tolist():
+                own = slice(int(ends[k] - sizes[k]), int(ends[k]) - 1)
+                spans[k] = _spans(texts[k], hits[own], p[own])
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(spans, span), *batch.columns[2:]], ["id", "score", "spans", *carry])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("__text"), *carry)
@@ -276,14 +304,15 @@ def tag_toxicity(docs: DataFrame, field: SpanField | None, id_col: str = "doc_id
     return map_rows(rows, run, "id long, score double, spans array<struct<begin:bigint,end:bigint,marginal:double>>" + kinds, rows=256)
 
 
-def _close(field, chain, places, odds, where, owner, k) -> None:
-    """Keep a sentence: what each word's own and its neighbours' features say."""
-    if not chain:
-        return
-    parts = np.array([field.parts(w) for w in chain])
-    o = parts[:, 0].copy()
-    o[1:] += parts[:-1, 1]
-    o[:-1] += parts[1:, 2]
-    odds.append(o)
-    where.append(places)
-    owner.append(k)
+def _spans(text: str, hits: np.ndarray, p: np.ndarray) -> list[dict]:
+    """Runs of words that are hits, with their places in the text."""
+    out: list[dict] = []
+    before = -1
+    for i, m in enumerate(_WORD.finditer(text)):
+        if hits[i]:
+            if before == i - 1 and before >= 0:
+                out[-1] |= {"end": m.end(), "marginal": max(out[-1]["marginal"], float(p[i]))}
+            else:
+                out.append({"begin": m.start(), "end": m.end(), "marginal": float(p[i])})
+            before = i
+    return out
