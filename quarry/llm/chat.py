@@ -57,7 +57,7 @@ def leaf_paths(messages: DataFrame) -> DataFrame:
     paths = leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up"))
     for s in reversed(range(len(jumps))):
         hop = paths.join(jumps[s], ["tree", "node"]).select("tree", "leaf", F.col("far").alias("node"), (F.col("up") + 2**s).alias("up"))
-        paths = paths.unionByName(hop)
+        paths = materialize(paths.unionByName(hop), "hops")  # else the plan doubles with each hop
     return paths
 
 
@@ -66,7 +66,7 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
 
     A path's score is the sum of its messages' scores (null counts as 0); ties go to the smaller leaf.
     """
-    paths = materialize(leaf_paths(messages), "paths")
+    paths = leaf_paths(messages)
     scores = messages.select("tree", "node", F.coalesce("score", F.lit(0.0)).alias("s")).dropDuplicates(["tree", "node"])
     total = paths.join(scores, ["tree", "node"]).groupBy("tree", "leaf").agg(F.sum("s").alias("score"), F.max("up").alias("length"))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf"))
