@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import fold, materialize, text_bytes
 
 CHUNK_BYTES = 16 << 20
+BUCKET_BYTES = 24 << 20
 TOP = 5
 RESERVE = 0.5
 END = np.uint64(xxhash.xxh64_intdigest(b"\nend", 7))
@@ -40,10 +41,10 @@ LOW = np.uint64((1 << 48) - 1)
 MODEL = "kind string, bucket long, chunk long, n_rows long, figures array<long>, blob binary, weights binary"
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
+def _pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays as one compressed string."""
     head = np.array([len(arrays)] + [x for a in arrays for x in (ord(a.dtype.char), a.nbytes)], np.int64)
-    return zstandard.compress(head.tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), 1)
+    return zstandard.compress(head.tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), level)
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
@@ -126,7 +127,7 @@ def _text_rows(docs: DataFrame, id_col: str, text_col: str, chunks: int, learn)
             for c in np.unique(chunk).tolist():
                 own = np.flatnonzero(chunk == c)
                 lengths = np.array([len(texts[i]) for i in own.tolist()], np.uint32)
-                out.append((c, _pack(ids[own], given[own], train[own].astype(np.uint8), lengths, np.frombuffer(b"".join(texts[i] for i in own.tolist()), np.uint8))))
+                out.append((c, _pack(ids[own], given[own], train[own].astype(np.uint8), lengths, np.frombuffer(b"".join(texts[i] for i in own.tolist()), np.uint8), level=9)))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], ["chunk", "blob"])
 
     return rows.select("id", "text", "train", "chunk").mapInArrow(run, "chunk long, blob binary")
@@ -178,35 +179,41 @@ def _bigram_rows(parts: int, hot_from: float):
         words, place = np.unique(tokens, return_inverse=True)
         count = np.concatenate([_unpack(b)[0] for b in totals]).astype(np.int64)
         del tokens
-        doc = np.repeat(np.arange(len(lengths)), lengths)
+        doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         c = count[place]
         known = np.bincount(doc, c > 0, minlength=len(lengths)).astype(np.int64)
         logs = np.bincount(doc, np.log10(c + 0.5), minlength=len(lengths))
+        del c
         rows = [(chunk % parts, chunk, "documents", _pack(ids, given.view(np.uint8), train.view(np.uint8), lengths, known, logs))]
         n = len(words)
-        history = np.empty(len(place), np.int64)
-        history[1:] = place[:-1]
-        history[np.cumsum(lengths) - lengths] = n  # the beginning, after all words
-        pair, occurs, times = np.unique(history * (n + 1) + place, return_inverse=True, return_counts=True)
-        order = np.argsort(occurs, kind="stable")
-        docs_of = doc[order]
-        del occurs, order, history, place, doc, c
-        h, w = np.divmod(pair, n + 1)
+        pair = np.empty(len(place), np.int64)
+        pair[1:] = place[:-1]
+        pair[np.cumsum(lengths) - lengths] = n  # the beginning, after all words
+        pair *= n + 1
+        pair += place
+        del place
+        order = np.argsort(pair, kind="stable")
+        pair, docs_of = pair[order], doc[order]
+        del order, doc
+        first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        times = np.diff(np.append(first, len(pair)))
+        h, w = np.divmod(pair[first], n + 1)
+        del pair
         hashes = np.append(words, BEGIN)
         counts = np.append(count, 0)
         hot = (counts[h] >= hot_from) | (h == n)
         bucket = np.where(hot, _range_of(hashes[w], parts), _range_of(hashes[h], parts))
-        end = np.cumsum(times)
         for b in range(parts):
             own = np.flatnonzero(bucket == b)
             if not len(own):
                 continue
             hs, h_at = np.unique(h[own], return_index=True)
             ws, w_place = np.unique(w[own], return_inverse=True)
-            occ = np.concatenate([np.empty(0, np.int64), *(docs_of[end[i] - times[i] : end[i]] for i in own.tolist())]) if len(own) < 64 else docs_of[np.repeat(end[own] - np.cumsum(times[own]), times[own]) + np.arange(int(times[own].sum()))]
+            n_own = times[own]
+            occ = docs_of[np.repeat(first[own] - np.cumsum(n_own) + n_own, n_own) + np.arange(int(n_own.sum()))]
             blob = _pack(
                 _six(hashes[hs]), _small(counts[hs]), _small(np.diff(np.append(h_at, len(own)))), (hot[own][h_at]).view(np.uint8), _six(hashes[ws]), _small(counts[ws]),
-                _small(w_place), _small(times[own]), _small(occ), train.view(np.uint8),
+                _small(w_place), _small(n_own), _small(occ), train.view(np.uint8),
             )
             rows.append((b, chunk, "bigrams", blob))
         return _table(rows, names, kinds)
@@ -346,7 +353,7 @@ def fit(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text")
     size = docs.agg(F.sum(F.octet_length(text_col)).alias("b"), F.count("*").alias("n")).first()
     total = (size.b or 0) + size.n
     chunks = max(1, -(-total // CHUNK_BYTES))
-    parts = max(1, min(-(-total // CHUNK_BYTES), 1 << 20))
+    parts = max(1, min(-(-total // BUCKET_BYTES), 1 << 20))
     texts = _text_rows(docs, id_col, text_col, chunks, F.coalesce(learn, F.lit(False)))
     counts = texts.groupBy("chunk").applyInArrow(_word_counts(parts), "bucket long, chunk long, blob binary")
     totals = counts.groupBy("bucket").applyInArrow(_word_totals, "chunk long, bucket long, totals binary")
