@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -49,6 +50,7 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sche
     """Apply fn to slices of at most `rows` rows, inside the tasks that hold them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.collect()  # functions of earlier tasks hold what they closed over in reference cycles
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 yield fn(batch.slice(at, rows))

@@ -11,6 +11,7 @@ document's score is its highest one, and runs of words at or above one half are
 
 from __future__ import annotations
 
+import gc
 import re
 
 import numpy as np
@@ -27,7 +28,7 @@ CANDIDATES = 2_000
 LEAST_SHARE = 0.01
 WEAKEST = 0.25
 FOLDS = 5
-SLOTS = 1 << 18
+SLOTS = 1 << 17
 REACH = 6
 WINDOWS = 12_000
 
@@ -98,6 +99,16 @@ class SpanField:
         return out
 
 
+#: The field of this worker process, with the words it has met: one, whichever task comes.
+_HELD: list = []
+
+
+def _worker_field(name: int, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> SpanField:
+    if not _HELD or _HELD[0] != name:
+        _HELD[:] = [name, SpanField(*model)]
+    return _HELD[1]
+
+
 def chain_marginals(odds: np.ndarray, lengths: np.ndarray, transition: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Marginals of label 1 (places x chains) from log-odds, by the ratio of the two labels' messages."""
     width = len(odds)
@@ -269,14 +280,18 @@ def tag_toxicity(docs: DataFrame, field: SpanField | None, id_col: str = "doc_id
 
     Texts without words, null ones included, and all texts without a model score 0.  Null ids are kept.
     """
+    model = (field.slots.astype(np.float32), field.transition, field.start) if field else None
+    name = xxhash.xxh64_intdigest(b"".join(x.tobytes() for x in model)) if model else 0
     span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = batch.num_rows
         score, spans = np.zeros(n), [[] for _ in range(n)]
-        if field and n:
-            if len(field.rows) > 300_000:
+        if model and n:
+            field = _worker_field(name, model)
+            if len(field.rows) > 200_000:
                 field.clear()
+                gc.collect()
             texts = [t.decode("utf-8", "replace") for t in batch.column(1).to_pylist()]
             words = [field.numbers(_WORD.findall(t)) for t in texts]
             sizes = np.array([len(w) + 1 for w in words])  # one more: the text's end
