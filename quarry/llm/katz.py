@@ -22,6 +22,8 @@ added up afterwards.  There are at most as many such histories as buckets.
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import fold, materialize, text_bytes
 
 CHUNK_BYTES = 16 << 20
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 20 << 20
 TOP = 5
 RESERVE = 0.5
 END = np.uint64(xxhash.xxh64_intdigest(b"\nend", 7))
@@ -59,6 +61,12 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def _release() -> None:
+    """Give back what earlier groups of this worker held, before the next one is unpacked."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def _six(x: np.ndarray) -> np.ndarray:
     """The low six bytes of each hash."""
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).ravel()
@@ -139,6 +147,7 @@ def _table(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
 
 def _word_counts(parts: int):
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        _release()
         _, _, train, tokens, lengths = _read_chunk(t)
         words, place = np.unique(tokens, return_inverse=True)
         counts = np.bincount(place[np.repeat(train, lengths)], minlength=len(words))
@@ -175,7 +184,9 @@ def _bigram_rows(parts: int, hot_from: float):
         chunk = key[0].as_py() if key[0].is_valid else right.column("chunk")[0].as_py()
         if not left.num_rows:
             return _table([(b, chunk, "words", blob) for b, blob in zip(right.column("bucket").to_pylist(), totals, strict=True)], names, kinds)
+        _release()
         ids, given, train, tokens, lengths = _read_chunk(left)
+        del left
         words, place = np.unique(tokens, return_inverse=True)
         count = np.concatenate([_unpack(b)[0] for b in totals]).astype(np.int64)
         del tokens
@@ -228,6 +239,7 @@ def _model_rows(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
     """
     names = ["kind", "bucket", "chunk", "n_rows", "figures", "blob", "weights"]
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+    _release()
     bucket, rows, chunks, blobs = key[0].as_py(), [], [], []
     for kind, chunk, blob in zip(t.column("kind").to_pylist(), t.column("chunk").to_pylist(), t.column("blob").to_pylist(), strict=True):
         if kind == "words":
@@ -252,28 +264,32 @@ def _merge(bucket: int, chunks: list[int], blobs: list[bytes]) -> list[tuple]:
     h_all, w_all, meta = [], [], []
     for i in order:
         a = _unpack(blobs[i])
-        h_all.append((_from_six(a[0]), a[1], a[3]))
-        w_all.append((_from_six(a[4]), a[5]))
-        meta.append((chunks[i], a[2], a[6], a[7], a[8], a[9]))
+        h_all.append((_from_six(a[0]), a[1].astype(np.int64), a[3].copy()))
+        w_all.append((_from_six(a[4]), a[5].astype(np.int64)))
+        meta.append((chunks[i], *(x.copy() for x in (a[2], a[6], a[7], a[8], a[9]))))
+        blobs[i] = None
+        del a
     hs, h_first, h_place = np.unique(np.concatenate([x[0] for x in h_all]), return_index=True, return_inverse=True)
     ws, w_first, w_place = np.unique(np.concatenate([x[0] for x in w_all]), return_index=True, return_inverse=True)
-    c_h = np.concatenate([x[1].astype(np.int64) for x in h_all])[h_first]
+    c_h = np.concatenate([x[1] for x in h_all])[h_first]
     hot = np.concatenate([x[2] for x in h_all])[h_first]
-    c_w = np.concatenate([x[1].astype(np.int64) for x in w_all])[w_first]
-    keys, times, occs, trains = [], [], [], []
-    at_h = at_w = 0
+    c_w = np.concatenate([x[1] for x in w_all])[w_first]
+    keys = np.empty(sum(len(m[2]) for m in meta), np.int64)
+    seen = np.empty(len(keys), np.int32)  # how often training texts of the chunk have the bigram
+    at = at_h = at_w = 0
     for (own_h, _, _), (own_w, _), (_, per, w, n, occ, train) in zip(h_all, w_all, meta, strict=True):
-        h = np.repeat(h_place[at_h : at_h + len(own_h)], per)
-        keys.append(h * len(ws) + w_place[at_w : at_w + len(own_w)][w])
-        times.append(n.astype(np.int64))
-        occs.append(occ)
-        trains.append(train.astype(bool)[occ])
-        at_h, at_w = at_h + len(own_h), at_w + len(own_w)
-    # Training counts of a chunk's bigrams, then of all.
-    seen = [np.bincount(np.repeat(np.arange(len(n)), n), x, minlength=len(n)).astype(np.int64) for n, x in zip(times, trains, strict=True)]
-    pair, place = np.unique(np.concatenate(keys), return_inverse=True)
-    count = np.bincount(place, np.concatenate(seen), minlength=len(pair)).astype(np.int64)
+        own = slice(at, at + len(w))
+        keys[own] = np.repeat(h_place[at_h : at_h + len(own_h)], per) * len(ws) + w_place[at_w : at_w + len(own_w)][w]
+        seen[own] = np.bincount(np.repeat(np.arange(len(n)), n), train.astype(bool)[occ], minlength=len(n))
+        at, at_h, at_w = at + len(w), at_h + len(own_h), at_w + len(own_w)
+    del h_all, w_all, h_place, w_place
+    pair, place = np.unique(keys, return_inverse=True)
+    del keys
+    place = place.astype(np.int32)
+    count = np.bincount(place, seen, minlength=len(pair)).astype(np.int64)
+    del seen
     h, w = np.divmod(pair, len(ws))
+    del pair
     # Figures of each history: types of each low count, tokens above, and the same of the words that follow.
     low = (count > 0) & (count <= TOP)
     stats = np.zeros((len(hs), 2 * TOP + 2), np.int64)
@@ -286,7 +302,7 @@ def _merge(bucket: int, chunks: list[int], blobs: list[bytes]) -> list[tuple]:
     begin = hs == (BEGIN & LOW)
     rows = [("bigrams", bucket, -1, int((count > 0).sum()), _figures(count[count > 0]), _pack(_six(hs), _small(c_h), hot, _six(ws), _small(h[count > 0]), _small(w[count > 0]), _small(count[count > 0])), _pack(_six(hs), c_h, hot, stats.ravel(), begin.view(np.uint8)))]
     at = 0
-    for (chunk, _, _, n, occ, train), _k in zip(meta, keys, strict=True):
+    for chunk, _, _, n, occ, train in meta:
         own = place[at : at + len(n)]
         at += len(n)
         which = np.repeat(own, n)
