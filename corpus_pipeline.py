@@ -11,9 +11,9 @@ from quarry.llm.common import materialize, table
 
 QUALITY_FLOOR = 0.3
 TOXIC_FROM = 0.5
-#: Near copies: five-word shingles and a similarity of 0.8 or more.  Fingerprints of 256 bits differ in about
-#: 39 bits at 0.8 and in about 49 at 0.7; eight bands of 32 bits find such pairs within three bits of a band.
-NEAR = {"shingle": 5, "lanes": 4, "bands": 8, "bits": 32, "budget": 3, "max_bits": 44}
+#: Near copies: a Jaccard similarity of five-word shingles of 0.8 or more.  Fingerprints of 256 bits differ in about
+#: 39 bits at 0.8; candidates are within four bits of one of eight bands of 32 bits and within 60 of all.
+NEAR = {"shingle": 5, "least": 0.8, "lanes": 4, "bands": 8, "bits": 32, "budget": 4, "max_bits": 60}
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Rows without an id can't be told from each other and stay.
     """
-    first = simhash.near_duplicates(docs, **NEAR).where("doc_id = component_id").select("doc_id")
+    first = simhash.near_copies(docs, **NEAR).where("doc_id = component_id").select("doc_id")
     one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
     kept = docs.join(first, "doc_id", "left_semi").withColumn("__row", one).where("__row = 1")
     return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -10,6 +10,8 @@ within the budget agree on at least one block, so for each block the trie is roo
 bits on top and no error allowed in them.  That makes every value of the block a subtree of its own,
 which is what Spark deals out.  A subtree above `node_limit` values is expanded further before the shuffle: its
 next bits name the child, and a value is sent to each pair of children still within the budget.
+
+`near_copies` uses the join for candidates only and decides by the exact Jaccard similarity of the shingle sets.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ SEED = 42
 BLOCK = 1 << 14
 NODE_LIMIT = 4096
 BUCKET_ROWS = 250_000
+MINS = 8
 
 
 def _shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -57,7 +60,10 @@ def _mix(h: np.ndarray, lane: int) -> np.ndarray:
 
 def fingerprint(text: bytes, shingle: int = 3, lanes: int = 1) -> bytes:
     """8 * lanes bytes, most significant first; all zero for a text without words."""
-    h = _shingle_hashes(text, shingle)
+    return _majority(_shingle_hashes(text, shingle), lanes)
+
+
+def _majority(h: np.ndarray, lanes: int) -> bytes:
     ones = np.zeros((lanes, 64), np.int64)
     for at in range(0, len(h), BLOCK):
         part = h[at : at + BLOCK]
@@ -127,22 +133,25 @@ def _settle(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def trie_links(keys: np.ndarray, task: np.ndarray, side: np.ndarray, words: np.ndarray, bits: int, budget: int, max_bits: int, leaf: int = 64) -> np.ndarray:
+def trie_links(keys: np.ndarray, task: np.ndarray, side: np.ndarray, words: np.ndarray, bits: int, budget: int, max_bits: int, leaf: int = 64, label: np.ndarray | None = None, found: list | None = None) -> np.ndarray:
     """Traverse the node pairs of some tasks; returns the component label (a row number) of each row.
 
+    With `label` and `found`, labels are given and stay, and every pair within the limits whose labels
+    differ goes to `found`.
+
     Rows come sorted by task, side and key.  A task of one side joins that subtree with itself, a task of
     sides 1 and 2 joins two subtrees.  Node pairs whose members all share a component already are dropped,
     as they can add no link that changes a component; so dense groups don't cost the square of their size.
     """
     n = len(keys)
-    label = np.arange(n)
+    label = np.arange(n) if label is None else label
     if not n:
         return label
     starts = np.flatnonzero(np.concatenate([[True], (task[1:] != task[:-1]) | (side[1:] != side[:-1])]))
     ends = np.append(starts[1:], n)
     own = side[starts] == 0
     paired = np.flatnonzero(~own[:-1] & (side[starts[:-1]] == 1) & (side[starts[1:]] == 2) & (task[starts[:-1]] == task[starts[1:]])) if len(starts) > 1 else np.empty(0, np.int64)
-    for lo, hi in zip(starts[own].tolist(), ends[own].tolist(), strict=True):  # a few pivots join most of a dense subtree
+    for lo, hi in zip(starts[own].tolist(), ends[own].tolist(), strict=True) if found is None else ():  # a few pivots join most of a dense subtree
         left = np.arange(lo, hi)
         for _ in range(8):
             if len(left) <= leaf:
@@ -162,7 +171,7 @@ def trie_links(keys: np.ndarray, task: np.ndarray, side: np.ndarray, words: np.n
         keep = ~((run_end[a] >= b) & (run_end[c] >= d) & (label[a] == label[c]))
         a, b, c, d, err = a[keep], b[keep], c[keep], d[keep], err[keep]
         small = ((b - a) * (d - c) <= leaf) | (depth == bits)
-        label = _leaves(label, a[small], b[small], c[small], d[small], keys, words, budget, max_bits)
+        label = _leaves(label, a[small], b[small], c[small], d[small], keys, words, budget, max_bits, found=found)
         a, b, c, d, err = a[~small], b[~small], c[~small], d[~small], err[~small]
         if not len(a):
             break
@@ -179,7 +188,7 @@ def trie_links(keys: np.ndarray, task: np.ndarray, side: np.ndarray, words: np.n
     return label
 
 
-def _leaves(label, a, b, c, d, keys, words, budget, max_bits, chunk: int = 1 << 18):
+def _leaves(label, a, b, c, d, keys, words, budget, max_bits, chunk: int = 1 << 18, found: list | None = None):
     """Compare the members of small node pairs one by one, a bounded number at a time."""
     size = (b - a) * (d - c)
     upto = np.cumsum(size)
@@ -193,7 +202,10 @@ def _leaves(label, a, b, c, d, keys, words, budget, max_bits, chunk: int = 1 <<
         ok = np.bitwise_count(keys[i] ^ keys[j]) <= budget
         i, j = i[ok], j[ok]
         ok = _apart(words, i, j) <= max_bits
-        label = _settle(label, i[ok], j[ok])
+        if found is not None:
+            found.append((i[ok], j[ok]))
+        else:
+            label = _settle(label, i[ok], j[ok])
     return label
 
 
@@ -232,9 +244,12 @@ def _expand(hot: DataFrame, budget: int, step: int = 8) -> DataFrame:
     )
 
 
-def trie_self_join(distinct: DataFrame, bands: int = 1, bits: int = 64, budget: int = 2, max_bits: int = 2, node_limit: int = NODE_LIMIT) -> DataFrame:
+def trie_self_join(distinct: DataFrame, bands: int = 1, bits: int = 64, budget: int = 2, max_bits: int = 2, node_limit: int = NODE_LIMIT, labelled: bool = False) -> DataFrame:
     """Links among distinct fingerprints: (node long, fp binary) -> (u, v), enough of them to connect
-    every two nodes that are connected by links.  Rows with equal nodes or fingerprints must not occur."""
+    every two nodes that are connected by links.  Rows with equal nodes or fingerprints must not occur.
+
+    labelled: the last 8 bytes of fp are a label, and all links between nodes of different labels come, maybe repeatedly.
+    """
     spark = distinct.sparkSession
     rows = _subtrees(distinct, bands, bits, budget)
     done = None
@@ -260,6 +275,13 @@ def trie_self_join(distinct: DataFrame, bands: int = 1, bits: int = 64, budget:
         order = np.lexsort((key, side, task))
         words = _words(t.column("fp").to_pylist())[order]
         node = node[order]
+        if labelled:
+            found: list = []
+            label = np.unique(words[:, -1], return_inverse=True)[1]
+            trie_links(key[order], task[order], side[order], words[:, :-1], bits, budget, max_bits, label=label, found=found)
+            for i, j in found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["u", "v"])
+            return
         label = trie_links(key[order], task[order], side[order], words, bits, budget, max_bits)
         other = label != np.arange(len(label))
         yield pa.RecordBatch.from_arrays([pa.array(node[other]), pa.array(node[label[other]])], ["u", "v"])
@@ -284,3 +306,76 @@ def near_duplicates(
     named = linked.join(least, "root").select("fp", "component")
     named = nodes.join(named, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
     return fps.join(named, "fp").select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, lanes: int) -> DataFrame:
+    """(id, text, node, fp, mins): a hash of the text's set of shingles, that set's fingerprint and its least hashes in MINS orders."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        nodes, fps, mins = [], [], []
+        for text in batch.column(1).to_pylist():
+            h = np.unique(_shingle_hashes(text, shingle))
+            nodes.append(xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63))
+            fps.append(_majority(h, lanes))
+            mins.append([int(_mix(h, lanes + k).min().view(np.int64)) for k in range(MINS)] if len(h) else [])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64()), pa.array(fps, pa.binary()), pa.array(mins, pa.list_(pa.int64()))], ["id", "text", "node", "fp", "mins"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"))
+    return map_rows(rows, run, "id long, text binary, node long, fp binary, mins array<long>")
+
+
+def _star_pairs(nodes: DataFrame) -> DataFrame:
+    """(u, v): nodes that share a least hash, each with the first of them only."""
+    rows = nodes.select("node", F.posexplode("mins").alias("k", "least"))
+    first = rows.groupBy("k", "least").agg(F.min("node").alias("u"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return rows.join(first, ["k", "least"]).where("u <> node").select("u", F.col("node").alias("v")).distinct()
+
+
+def similar(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The pairs (u, v) whose shingle sets have a Jaccard similarity of at least `least`.
+
+    rows: (row, text); nodes: (node, row), the row that has the node's text.  Only texts of the pairs' nodes are hashed.
+    """
+
+    def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.unique(_shingle_hashes(t, shingle)).tobytes() for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "hashes"])
+
+    def decide(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            a, b = len(x) // 8, len(y) // 8
+            if min(a, b) < least * max(a, b) - 1e-9:
+                keep.append(False)
+                continue
+            both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+            keep.append(both >= least * (a + b - both) - 1e-9)
+        return batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    needed = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct().join(nodes.select("node", "row"), "node")
+    sets = materialize(map_rows(rows.select("row", "text").join(needed, "row").select("node", "text"), hashed, "node long, hashes binary"), "sets")
+    wide = pairs.join(sets.toDF("u", "x"), "u").join(sets.toDF("v", "y"), "v").select("u", "v", "x", "y")
+    return map_rows(wide, decide, "u long, v long")
+
+
+def near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, lanes: int = 4, bands: int = 8, bits: int = 32, budget: int = 4, max_bits: int = 60, node_limit: int = NODE_LIMIT
+) -> DataFrame:
+    """One row (doc_id, component_id) per input row; links are pairs whose shingle sets have a Jaccard similarity of at least `least`.
+
+    The trie join gives candidates, `similar` decides.  Before it, nodes that share a least hash are checked against the
+    first of them, so groups of copies are linked already and the join need not give all their pairs: it leaves out
+    pairs that checked links connect, and no others.  Rows without ids and texts without words are as in near_duplicates.
+    """
+    rows = materialize(sketches(docs, id_col, text_col, shingle, lanes).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    found = rows.groupBy("node").agg(F.min("id").alias("first"), F.min("row").alias("row"))
+    nodes = materialize(rows.select("row", "fp", "mins").join(found, "row"), "nodes")
+    close = materialize(similar(materialize(_star_pairs(nodes), "stars"), rows, nodes, shingle, least), "close")
+    label = F.coalesce("root", "node")
+    marked = nodes.join(components(close), "node", "left").select("node", F.concat("fp", F.unhex(F.lpad(F.hex(label), 16, "0"))).alias("fp"))
+    pairs = materialize(trie_self_join(materialize(marked, "marked"), bands, bits, budget, max_bits, node_limit, labelled=True).distinct(), "pairs")
+    root = components(close.unionByName(similar(pairs, rows, nodes, shingle, least)))
+    linked = materialize(nodes.select("node", "first").join(root, "node"), "linked")
+    named = linked.join(linked.groupBy("root").agg(F.min("first").alias("component")), "root").select("node", "component")
+    named = nodes.select("node", "first").join(named, "node", "left").select("node", F.coalesce("component", "first").alias("component_id"))
+    return rows.select("id", "node").join(named, "node").select(F.col("id").alias("doc_id"), "component_id")
