@@ -5,10 +5,11 @@ Byte-level BPE never merges across pre-tokens, so a text's token count is the su
 tokens).  An edit finds its place by descending the sums, re-splits the pre-tokens that it touches with their
 boundary context, and adds the difference to the sums on the way up.
 
-Boundary context.  Where a pre-token starts at a place, what follows it decides the split, nothing before.  So
-the re-split starts at the pre-token that holds the character before the edit, or before the white space
-that runs up to it (its split depends on what comes after), and ends as soon as a new boundary falls on an
-old one behind the edit.
+Boundary context.  Where a pre-token starts at a place, what follows it decides the split, nothing before.  But a
+pre-token can depend on what comes after it: white space on the next character, and an apostrophe on the next two
+letters, as it may begin a contraction ('re, 've, 'll).  So the re-split starts at the pre-token that holds the
+character before the edit, one further back if that one ends in an apostrophe, then before the white space that runs
+up to it, and ends as soon as a new boundary falls on an old one behind the edit.
 """
 
 from __future__ import annotations
@@ -140,9 +141,9 @@ class TokenTree:
             self._replace(0, 0, 0, len(self.leaves[0]), self.counter.split.findall(inserted))
             return
         leaf, i, start = self._find(max(at - 1, 0))
-        while (back := self._before(leaf, i)) and self.leaves[back[0]][back[1]].isspace():
+        while (back := self._before(leaf, i)) and ((text := self.leaves[back[0]][back[1]]).isspace() or text[-1] == "'"):
             leaf, i = back
-            start -= len(self.leaves[leaf][i])
+            start -= len(text)
         # Old pre-tokens behind the edit, as many as it takes.
         old, ends, where = [], [], []  # text, end in the old text, place after it
         k, j, end = leaf, i, start

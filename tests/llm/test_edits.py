@@ -32,6 +32,30 @@ def test_counts_follow_edits(leaf, text, changes):
         edits.LEAF = kept
 
 
+@pytest.mark.parametrize("text, at, deleted, inserted", [("they'r", 6, 0, "e"), ("we'v", 4, 0, "e"), ("x'l", 3, 0, "l"), ("they'r!e", 6, 1, ""), ("a 'v", 4, 0, "e"), ("a' 'l", 5, 0, "l")])
+def test_contractions(text, at, deleted, inserted):
+    tree = edits.TokenTree.of(text, COUNTER)
+    tree.edit(at, deleted, inserted)
+    text = text[:at] + inserted + text[at + deleted :]
+    assert [t for part in tree.leaves for t in part] == COUNTER.split.findall(text)
+    assert tree.n_tokens == len(COUNTER.library.encode_ordinary(text))
+
+
+LETTERS = st.text(alphabet=st.sampled_from("revlRE'' \n!1"), max_size=40)
+
+
+@settings(max_examples=800, deadline=None)
+@given(text=LETTERS, changes=st.lists(st.tuples(st.integers(0, 45), st.integers(0, 3), LETTERS.map(lambda t: t[:3])), max_size=8))
+def test_contractions_follow_edits(text, changes):
+    tree = edits.TokenTree.of(text, COUNTER)
+    for at, deleted, inserted in changes:
+        at = min(at, len(text))
+        text = text[:at] + inserted + text[at + deleted :]
+        tree.edit(at, deleted, inserted)
+        assert [t for part in tree.leaves for t in part] == COUNTER.split.findall(text)
+        assert tree.n_tokens == len(COUNTER.library.encode_ordinary(text))
+
+
 def test_little_is_encoded_anew():
     rnd = random.Random(1)
     text = " ".join("word%d" % rnd.randrange(999) for _ in range(20000))
