@@ -7,27 +7,24 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import packing, quality, simhash, toxicity
-from quarry.llm.common import materialize, table
+from quarry.llm.common import materialize, row_struct, table
 
 QUALITY_FLOOR = 0.3
 TOXIC_FROM = 0.5
-#: Near copies: a Jaccard similarity of five-word shingles of 0.8 or more.  Fingerprints of 256 bits differ in about
-#: 39 bits at 0.8; candidates are within four bits of one of eight bands of 32 bits and within 60 of all.
-NEAR = {"shingle": 5, "least": 0.8, "lanes": 4, "bands": 8, "bits": 32, "budget": 4, "max_bits": 60}
+#: Near copies: a Jaccard similarity of five-word shingles of 0.8 or more.
+NEAR = {"shingle": 5, "least": 0.8}
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score_quality(docs, model, carry=tuple(docs.columns))
-    return scored.where(F.col("score") >= QUALITY_FLOOR).select(*docs.columns)
+    return quality.score_quality(docs, model, carry=True).where(F.col("score") >= QUALITY_FLOOR).select("row.*")
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without toxic spans."""
     field = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    tagged = toxicity.tag_toxicity(docs, field, carry=tuple(docs.columns))
-    return tagged.where(F.col("score") < TOXIC_FROM).select(*docs.columns)
+    return toxicity.tag_toxicity(docs, field, carry=True).where(F.col("score") < TOXIC_FROM).select("row.*")
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +33,10 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Rows without an id can't be told from each other and stay.
     """
     first = simhash.near_copies(docs, **NEAR).where("doc_id = component_id").select("doc_id")
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    kept = docs.join(first, "doc_id", "left_semi").withColumn("__row", one).where("__row = 1")
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), row_struct(docs))
+    one = F.row_number().over(Window.partitionBy("doc_id").orderBy("text_hash"))
+    kept = rows.join(first, "doc_id", "left_semi").withColumn("place", one).where("place = 1")
+    return kept.select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

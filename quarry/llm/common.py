@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,15 +21,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share.
 
-    A folder of our own is set only where the session names none (tests, one machine).
+    A folder of our own is set only where the session names none and runs on one machine; elsewhere that is an error.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def row_struct(df: DataFrame) -> Column:
+    """A whole row as one struct column `row`, so that no column of the caller's can clash with ours."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("row")
+
+
+def with_row(schema: str, rows: DataFrame) -> StructType:
+    """The schema of some results, and of the struct `row` if rows have it."""
+    found = StructType.fromDDL(schema)
+    return found.add("row", rows.schema["row"].dataType) if "row" in rows.columns else found
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write once, read back: cuts lineage, and outlives any executor."""
     path = scratch(df.sparkSession, name)
@@ -46,7 +60,7 @@ def fold(id_column: str, modulus: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
-def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 512) -> DataFrame:
+def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, rows: int = 512) -> DataFrame:
     """Apply fn to slices of at most `rows` rows, inside the tasks that hold them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fold, map_rows, text_bytes
+from quarry.llm.common import fold, map_rows, row_struct, text_bytes, with_row
 
 #: At most about so many rows of each kind are learnt from; which ones is decided by a hash of the id.
 SAMPLE_POSITIVE = 15_000
@@ -123,12 +123,16 @@ def _sampled(ids: DataFrame, most: int) -> DataFrame:
 
 
 def _features_of(docs: DataFrame, ids: DataFrame) -> np.ndarray:
-    """Features of the sampled ids' texts; ids is bounded by the sample's size, so it may be broadcast."""
+    """Features of the sampled ids' texts; ids is bounded by the sample's size, so it may be broadcast.
+
+    An id counts once, with the least of its texts by hash: repeated ids don't add rows to what the driver gets.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([features(t).tobytes() for t in batch.column(0).to_pylist()], pa.binary())], ["x"])
 
-    rows = map_rows(docs.join(F.broadcast(ids), "id", "left_semi").select("text"), run, "x binary").toArrow()
+    own = docs.join(F.broadcast(ids), "id", "left_semi").groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    rows = map_rows(own.select("t.text"), run, "x binary").toArrow()
     return np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(rows.num_rows, WIDTH).astype(np.float64)
 
 
@@ -144,14 +148,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return PUModel(x, u) if len(x) and len(u) else None
 
 
-def score_quality(docs: DataFrame, model: PUModel | None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id, score) and the columns named in `carry`: how likely each whole text is good; one half for all without a model.  Null texts count as empty."""
+def score_quality(docs: DataFrame, model: PUModel | None, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """(id, score), with `carry` also the whole input row as a struct `row`: how likely each whole text is good.
+
+    One half for all without a model.  Null texts count as empty; other columns, whatever their names, lie inside `row`.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(1).to_pylist()
         score = model.score(np.array([features(t) for t in texts], np.float64)) if model and texts else np.full(len(texts), 0.5)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), *batch.columns[2:]], ["id", "score", *carry])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), *batch.columns[2:]], ["id", "score", "row"][: 1 + batch.num_columns])
 
-    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("__text"), *carry)
-    return map_rows(rows, run, "id long, score double" + kinds)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"), *([row_struct(docs)] if carry else []))
+    return map_rows(rows, run, with_row("id long, score double", rows))

@@ -9,15 +9,13 @@ drops a pair as soon as the error budget is spent.  A band is cut into budget +
 within the budget agree on at least one block, so for each block the trie is rooted with that block's
 bits on top and no error allowed in them.  That makes every value of the block a subtree of its own,
 which is what Spark deals out.  A subtree above `node_limit` values is expanded further before the shuffle: its
-next bits name the child, and a value is sent to each pair of children still within the budget.
+next bits name the child, and a value is sent to each pair of children still within the budget that has two sides.
 
 `near_copies` uses the join for candidates only and decides by the exact Jaccard similarity of the shingle sets.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,6 +30,9 @@ BLOCK = 1 << 14
 NODE_LIMIT = 4096
 BUCKET_ROWS = 250_000
 MINS = 8
+NEAR_LIMIT = 200_000
+#: Nodes, two longs each, that `similar` may broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def _shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -89,28 +90,12 @@ def _words(fps: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(fps), ">u8").astype(np.uint64).reshape(len(fps), -1)
 
 
-def _band_value(words: np.ndarray, band: int, bits: int) -> np.ndarray:
-    """The band's bits, at the top of 64."""
-    per = 64 // bits
-    lane, within = divmod(band, per)
-    x = words[:, lane] << np.uint64(within * bits)
-    return x & np.uint64(((1 << bits) - 1) << (64 - bits))
-
-
 def _blocks(bits: int, budget: int) -> list[tuple[int, int]]:
     """Start and width of budget + 1 blocks that cover the band."""
     cuts = [round(i * bits / (budget + 1)) for i in range(budget + 2)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _rotate(x: np.ndarray, start: int, bits: int) -> np.ndarray:
-    """The band turned so that the bit at `start` comes first."""
-    if not start:
-        return x
-    low = np.uint64(((1 << bits) - 1) << (64 - bits))
-    return ((x << np.uint64(start)) | (x >> np.uint64(bits - start))) & low
-
-
 def _apart(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64)
 
@@ -209,84 +194,147 @@ def _leaves(label, a, b, c, d, keys, words, budget, max_bits, chunk: int = 1 <<
     return label
 
 
-def _subtrees(distinct: DataFrame, bands: int, bits: int, budget: int) -> DataFrame:
-    """(node, fp) -> one row per band and block: the task (subtree) and the band turned to have that block on top."""
-    plan = [(band, block, start, width) for band in range(bands) for block, (start, width) in enumerate(_blocks(bits, budget))]
+def _plan(bands: int, bits: int, budget: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """(bits of the root, bits of the key, depth where the root ends in the key) of each block of each band."""
+    out = []
+    for band in range(bands):
+        for start, width in _blocks(bits, budget):
+            key = band * bits + (np.arange(bits) + start) % bits
+            out.append((key[:width], key, width))
+    return out
+
+
+def _tables(root: int, tables: int, width: int, seed: int = SEED) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """`tables` draws of `root` bits that must agree and of 64 further bits that are compared."""
+    rng = np.random.default_rng(seed)
+    draws = [rng.permutation(width) for _ in range(tables)]
+    return [(d[:root], d[root : root + 64], 0) for d in draws]
+
+
+def _subtrees(distinct: DataFrame, plan: list, whole: bool, labelled: bool) -> DataFrame:
+    """(node, fp) -> one row per subtree: the task that the root's bits name, the key to descend by, its depth there.
+
+    whole: take the whole fingerprint along, for a limit on all its bits.
+    """
+
+    def top64(grid: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        packed = np.packbits(grid[:, columns], axis=1)
+        wide = np.zeros((len(grid), 8), np.uint8)
+        wide[:, : packed.shape[1]] = packed
+        return wide.view(">u8").ravel().astype(np.uint64)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, words = batch.num_rows, _words(batch.column(1).to_pylist())
-        keys = [_rotate(_band_value(words, band, bits), start, bits) for band, _, start, _ in plan]
-        where = [np.full(n, band * 100 + block, np.int32) for band, block, _, _ in plan]
-        root = [k >> np.uint64(64 - width) for k, (_, _, _, width) in zip(keys, plan, strict=True)]
+        n, fps = batch.num_rows, batch.column(1).to_pylist()
+        grid = np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(n, -1), axis=1)
+        task = [_mix(top64(grid, root), 1 + k).view(np.int64) for k, (root, _, _) in enumerate(plan)]
+        keys = [top64(grid, key).view(np.int64) for _, key, _ in plan]
+        depth = np.repeat(np.array([d for _, _, d in plan], np.int32), n)
         take = pa.array(np.tile(np.arange(n), len(plan)))
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(where)), pa.array(np.concatenate(root).view(np.int64))],
-            ["node", "fp", "key", "place", "root"],
-        )
+        fp = batch.column(1).take(take) if whole else pa.nulls(n * len(plan), pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), fp, pa.array(np.concatenate(keys)), pa.array(np.concatenate(task)), pa.array(depth)], ["node", "label", "fp", "key", "task", "depth"])
 
-    rows = map_rows(distinct.select("node", "fp"), run, "node long, fp binary, key long, place int, root long", rows=4096)
-    return rows.select("node", "fp", "key", F.xxhash64("place", "root").alias("task"), F.lit(0).alias("side"), F.lit(0).alias("err"), F.lit(0).alias("depth"))
+    label = F.col("label") if labelled else F.lit(0).cast("long").alias("label")
+    rows = map_rows(distinct.select("node", "fp", label), run, "node long, label long, fp binary, key long, task long, depth int", rows=2048)
+    return rows.select("*", F.lit(0).alias("side"), F.lit(0).alias("err"))
 
 
-def _expand(hot: DataFrame, budget: int, step: int = 8) -> DataFrame:
-    """Replace a node pair by the pairs of its children that are still within the budget."""
-    masks = [sum(1 << i for i in pick) for r in range(budget + 1) for pick in combinations(range(step), r)]
-    child = F.call_function("shiftrightunsigned", F.col("key"), F.lit(64 - step) - F.col("depth")).bitwiseAND(F.lit(2**step - 1))
-    wide = hot.withColumn("own", child).withColumn("mask", F.explode(F.filter(F.lit(masks), lambda m: F.bit_count(m) <= F.lit(budget) - F.col("err"))))
+def _expand(hot: DataFrame, budget: int, limit: int, bits: int) -> DataFrame:
+    """Replace node pairs by the pairs of their descendants that are still within the budget and have both sides.
+
+    One descends by as many bits as it takes for children of half the limit (hot has `n`, a task's rows), so a
+    value goes to about as many pairs as its task was too large, and pairs that lack a partner aren't kept.
+    """
+    step = F.least(F.lit(8), F.lit(bits) - F.col("depth"), F.ceil(F.log2(F.col("n") / limit)).cast("int") + 1)
+    child = F.call_function("shiftrightunsigned", F.col("key"), F.lit(64) - F.col("step") - F.col("depth")).bitwiseAND(F.call_function("shiftleft", F.lit(1), F.col("step")) - 1)
+    wide = hot.withColumn("step", step.cast("int")).withColumn("own", child)
+    masks = F.sequence(F.lit(0).cast("long"), (F.call_function("shiftleft", F.lit(1), F.col("step")) - 1).cast("long"))
+    wide = wide.withColumn("mask", F.explode(F.filter(masks, lambda m: F.bit_count(m) <= F.lit(budget) - F.col("err"))))
     other = F.col("own").bitwiseXOR(F.col("mask"))
     side = F.when(F.col("side") > 0, F.col("side")).when(F.col("mask") == 0, F.lit(0)).when(F.col("own") < other, F.lit(1)).otherwise(F.lit(2))
     wide = wide.withColumn("other", other).withColumn("side2", side)
     left = F.when(F.col("side2") == 2, F.col("other")).otherwise(F.col("own"))
     right = F.when(F.col("side2") == 2, F.col("own")).otherwise(F.col("other"))
-    return wide.select(
-        "node", "fp", "key", F.xxhash64("task", left, right).alias("task"), F.col("side2").alias("side"),
-        (F.col("err") + F.bit_count("mask")).cast("int").alias("err"), (F.col("depth") + step).alias("depth"),
+    wide = wide.select(
+        "node", "label", "fp", "key", F.xxhash64("task", left, right).alias("task"), (F.col("depth") + F.col("step")).cast("int").alias("depth"),
+        F.col("side2").alias("side"), (F.col("err") + F.bit_count("mask")).cast("int").alias("err"),
     )
+    both = wide.groupBy("task").agg(F.min("side").alias("low"), F.max("side").alias("high"), F.count("*").alias("n"))
+    both = both.where("(low = 0 and n > 1) or (low = 1 and high = 2)").select("task")
+    return wide.join(both, "task", "left_semi")
 
 
-def trie_self_join(distinct: DataFrame, bands: int = 1, bits: int = 64, budget: int = 2, max_bits: int = 2, node_limit: int = NODE_LIMIT, labelled: bool = False) -> DataFrame:
+def _deal_out(hot: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Subtrees that one label dominates: (its rows dealt to salted tasks, the rows of all others in each of those).
+
+    Rows of one label need no comparison with each other, so this loses none and copies only the others.
+    hot: rows with `n`, their task's rows.  The second result are the hot rows of all other tasks.
+    """
+    share = hot.where("side = 0").groupBy("task", "label").agg(F.count("*").alias("m"), F.first("n").alias("all"))
+    most = share.where("2 * m > all").select("task", F.col("label").alias("main"), F.ceil(F.col("m") / limit).cast("long").alias("salts"))
+    most = materialize(most, "dominated")
+    rows = hot.join(most, "task")
+    salt = F.when(F.col("label") == F.col("main"), F.array(F.pmod(F.xxhash64("node"), F.col("salts")))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))
+    rows = rows.withColumn("salt", F.explode(salt)).withColumn("task", F.xxhash64("task", "salt"))
+    return rows.drop("main", "salts", "salt", "n"), hot.join(most, "task", "left_anti")
+
+
+def trie_self_join(
+    distinct: DataFrame, bands: int = 1, bits: int = 64, budget: int = 2, max_bits: int = 2, node_limit: int = NODE_LIMIT, labelled: bool = False, tables: list | None = None
+) -> DataFrame:
     """Links among distinct fingerprints: (node long, fp binary) -> (u, v), enough of them to connect
     every two nodes that are connected by links.  Rows with equal nodes or fingerprints must not occur.
 
-    labelled: the last 8 bytes of fp are a label, and all links between nodes of different labels come, maybe repeatedly.
+    labelled: a column label, long, names groups, and all links between nodes of different labels come, maybe repeatedly.
+    tables: roots and keys in place of the bands' blocks (see _tables); links are then pairs within the budget in a key.
     """
     spark = distinct.sparkSession
-    rows = _subtrees(distinct, bands, bits, budget)
+    plan = tables or _plan(bands, bits, budget)
+    whole = not tables and (bands > 1 or bits < 64 or max_bits != budget)
+    rows = _subtrees(distinct, plan, whole, labelled)
+    total = distinct.count()
+    # Which tasks are too large is a matter of balance alone: large limits are measured on one value in `every`.
+    every = max(1, node_limit // NODE_LIMIT)
+    counted = _subtrees(distinct.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0), plan, whole, labelled)
     done = None
-    for _ in range(0, bits, 8):
-        hot = rows.groupBy("task").count().where(F.col("count") > node_limit).select("task")
+    for _ in range(bits if total > node_limit else 0):
+        hot = counted.groupBy("task").agg((F.count("*") * every).alias("n"), F.max("depth").alias("d")).where((F.col("n") > node_limit) & (F.col("d") < bits)).select("task", "n")
         hot = materialize(hot, "hot")
         if hot.isEmpty():
             break
         cool = rows.join(hot, "task", "left_anti")
+        rows = rows.join(hot, "task")
+        if labelled:
+            dealt, rows = _deal_out(rows, node_limit)
+            cool = cool.unionByName(dealt)
         done = cool if done is None else done.unionByName(cool)
-        rows = materialize(_expand(rows.join(hot, "task", "left_semi"), budget), "expanded")
+        rows = materialize(_expand(rows, budget, node_limit, bits), "expanded")
+        counted = rows.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0)
     rows = rows if done is None else done.unionByName(rows)
-    count = distinct.count() * bands * (budget + 1)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // BUCKET_ROWS))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * len(plan) // BUCKET_ROWS))
 
     def run(batches):
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         t = pa.Table.from_batches(got)
-        node, key, task, side = (t.column(x).to_numpy() for x in ("node", "key", "task", "side"))
+        node, key, task, side, label = (t.column(x).to_numpy() for x in ("node", "key", "task", "side", "label"))
         key = key.view(np.uint64)
         order = np.lexsort((key, side, task))
-        words = _words(t.column("fp").to_pylist())[order]
+        words = _words(t.column("fp").to_pylist())[order] if whole else key[order][:, None]
+        most = max_bits if whole else budget
         node = node[order]
         if labelled:
             found: list = []
-            label = np.unique(words[:, -1], return_inverse=True)[1]
-            trie_links(key[order], task[order], side[order], words[:, :-1], bits, budget, max_bits, label=label, found=found)
+            trie_links(key[order], task[order], side[order], words, bits, budget, most, label=np.unique(label[order], return_inverse=True)[1], found=found)
             for i, j in found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["u", "v"])
+                pairs = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
             return
-        label = trie_links(key[order], task[order], side[order], words, bits, budget, max_bits)
+        label = trie_links(key[order], task[order], side[order], words, bits, budget, most)
         other = label != np.arange(len(label))
         yield pa.RecordBatch.from_arrays([pa.array(node[other]), pa.array(node[label[other]])], ["u", "v"])
 
-    return rows.select("node", "fp", "key", "task", "side").repartition(parts, "task").mapInArrow(run, "u long, v long").where("u <> v")
+    return rows.select("node", "label", "fp", "key", "task", "side").repartition(parts, "task").mapInArrow(run, "u long, v long").where("u <> v")
 
 
 def near_duplicates(
@@ -353,17 +401,21 @@ def similar(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int, l
         return batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     needed = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct().join(nodes.select("node", "row"), "node")
-    sets = materialize(map_rows(rows.select("row", "text").join(needed, "row").select("node", "text"), hashed, "node long, hashes binary"), "sets")
+    needed = materialize(needed, "needed")
+    # Few enough to broadcast, the texts stay where they are; else both sides are shuffled.
+    few = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
+    sets = materialize(map_rows(rows.select("row", "text").join(few, "row").select("node", "text"), hashed, "node long, hashes binary"), "sets")
     wide = pairs.join(sets.toDF("u", "x"), "u").join(sets.toDF("v", "y"), "v").select("u", "v", "x", "y")
     return map_rows(wide, decide, "u long, v long")
 
 
-def near_copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, lanes: int = 4, bands: int = 8, bits: int = 32, budget: int = 4, max_bits: int = 60, node_limit: int = NODE_LIMIT
-) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, lanes: int = 4, budget: int = 20, node_limit: int = NEAR_LIMIT, recall: float = 0.99) -> DataFrame:
     """One row (doc_id, component_id) per input row; links are pairs whose shingle sets have a Jaccard similarity of at least `least`.
 
-    The trie join gives candidates, `similar` decides.  Before it, nodes that share a least hash are checked against the
+    The trie join gives candidates, `similar` decides.  Its roots are `root` bits of the fingerprint drawn at random,
+    sixteen and one more for each doubling above 2**24 texts, so that subtrees stay at some hundred values; there are as many roots as
+    it takes for a pair of just that similarity to share one with probability `recall`.  Under a root,
+    64 further bits may differ in `budget` places.  Before it, nodes that share a least hash are checked against the
     first of them, so groups of copies are linked already and the join need not give all their pairs: it leaves out
     pairs that checked links connect, and no others.  Rows without ids and texts without words are as in near_duplicates.
     """
@@ -371,11 +423,21 @@ def near_copies(
     found = rows.groupBy("node").agg(F.min("id").alias("first"), F.min("row").alias("row"))
     nodes = materialize(rows.select("row", "fp", "mins").join(found, "row"), "nodes")
     close = materialize(similar(materialize(_star_pairs(nodes), "stars"), rows, nodes, shingle, least), "close")
-    label = F.coalesce("root", "node")
-    marked = nodes.join(components(close), "node", "left").select("node", F.concat("fp", F.unhex(F.lpad(F.hex(label), 16, "0"))).alias("fp"))
-    pairs = materialize(trie_self_join(materialize(marked, "marked"), bands, bits, budget, max_bits, node_limit, labelled=True).distinct(), "pairs")
+    marked = nodes.join(components(close), "node", "left").select("node", "fp", F.coalesce("root", "node").alias("label"))
+    root = 16 + max(0, int(np.ceil(np.log2(max(1, nodes.count())))) - 24)
+    tables = _tables(root, tables_for(root, least, recall), 64 * lanes)
+    pairs = materialize(trie_self_join(materialize(marked, "marked"), budget=budget, node_limit=node_limit, labelled=True, tables=tables).distinct(), "pairs")
     root = components(close.unionByName(similar(pairs, rows, nodes, shingle, least)))
     linked = materialize(nodes.select("node", "first").join(root, "node"), "linked")
     named = linked.join(linked.groupBy("root").agg(F.min("first").alias("component")), "root").select("node", "component")
     named = nodes.select("node", "first").join(named, "node", "left").select("node", F.coalesce("component", "first").alias("component_id"))
     return rows.select("id", "node").join(named, "node").select(F.col("id").alias("doc_id"), "component_id")
+
+
+def tables_for(root: int, least: float, recall: float) -> int:
+    """How many draws of `root` bits let a pair of similarity `least` agree in one of them with probability `recall`.
+
+    A bit of two sets' fingerprints differs with the angle between the sets as vectors, arccos(2 J / (1 + J)) / pi.
+    """
+    agree = (1 - np.arccos(2 * least / (1 + least)) / np.pi) ** root
+    return max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - agree)))) if agree < 1 else 1

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fold, map_rows, materialize, text_bytes
+from quarry.llm.common import fold, map_rows, materialize, row_struct, text_bytes, with_row
 
 #: About so many labelled documents of each class are learnt from; which ones is decided by a hash of the id.
 SAMPLE = 4_000
@@ -285,8 +285,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     return fit_field([r.words for r in chosen], [r.labels for r in chosen])
 
 
-def tag_toxicity(docs: DataFrame, field: SpanField | None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id, score, spans) and the columns named in `carry`: spans are begin, end (in characters) and marginal of toxic runs, in order.
+def tag_toxicity(docs: DataFrame, field: SpanField | None, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """(id, score, spans), with `carry` also the whole input row as a struct `row`: spans are begin, end (in characters) and marginal of toxic runs, in order.
 
     Texts without words, null ones included, and all texts without a model score 0.  Null ids are kept.
     """
@@ -322,11 +322,10 @@ def tag_toxicity(docs: DataFrame, field: SpanField | None, id_col: str = "doc_id
             for k in np.flatnonzero(np.logical_or.reduceat(hits, ends - sizes)).tolist():
                 own = slice(int(ends[k] - sizes[k]), int(ends[k]) - 1)
                 spans[k] = _spans(texts[k], hits[own], p[own])
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(spans, span), *batch.columns[2:]], ["id", "score", "spans", *carry])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(spans, span), *batch.columns[2:]], ["id", "score", "spans", "row"][: 1 + batch.num_columns])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("__text"), *carry)
-    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return map_rows(rows, run, "id long, score double, spans array<struct<begin:bigint,end:bigint,marginal:double>>" + kinds, rows=256)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"), *([row_struct(docs)] if carry else []))
+    return map_rows(rows, run, with_row("id long, score double, spans array<struct<begin:bigint,end:bigint,marginal:double>>", rows), rows=256)
 
 
 def _spans(text: str, hits: np.ndarray, p: np.ndarray) -> list[dict]:

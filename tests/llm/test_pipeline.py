@@ -61,3 +61,28 @@ def test_stages_take_effect(spark, tmp_path):
 def test_rows_without_ids_stay(spark):
     docs = spark.createDataFrame([(None, "a b c d e f", "en"), (None, "a b c d e f", "en"), (1, "g h i j k l", None), (1, "g h i j k l", None)], "doc_id long, text string, lang string")
     assert sorted(map(str, [r.doc_id for r in corpus_pipeline.keep_distinct(spark, docs, "").collect()])) == ["1", "None", "None"]
+
+
+def test_clashing_columns_pass_through(spark, tmp_path):
+    """Extra columns with the names that stages use inside, and one with a dot, come through unchanged."""
+    texts = ["stone lake river cloud number %d morning walk" % i for i in range(40)] + [None, "", "stone lake river cloud number 1 morning walk"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    extra = ["id", "score", "spans", "row", "node", "fp", "component_id", "__text", "__row", "place", "text_hash", "a.b"]
+    for k, name in enumerate(extra):
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.col("doc_id").cast("string")) if k % 2 else F.col("doc_id") * k)
+    labels = spark.createDataFrame([(i, 1, int(i % 9 == 0)) for i in range(30)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    before = {r.doc_id: r for r in docs.collect()}
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert rows and all(r == before[r.doc_id] for r in rows)
+    assert corpus_pipeline.pack(spark, kept, str(tmp_path)).count() >= len(rows)
+
+
+def test_no_documents(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

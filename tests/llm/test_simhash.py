@@ -85,3 +85,51 @@ def test_bands(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(df).count() == 0
+
+
+def test_expansion_is_bounded(spark, monkeypatch):
+    """A crowded trie is expanded by as many rows as its node pairs with two sides need, whatever the limit."""
+    rnd = random.Random(9)
+    top = rnd.getrandbits(22) << 42
+    fps = sorted({top | rnd.getrandbits(42) for _ in range(3000)})  # one block agrees in all
+    df = spark.createDataFrame([(i, bytearray(f.to_bytes(8, "big"))) for i, f in enumerate(fps)], "node long, fp binary")
+    written = []
+    real = simhash.materialize
+
+    def counted(frame, name):
+        out = real(frame, name)
+        if name == "expanded":
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    roots = []
+    for limit in (3000, 1000, 300, 100):
+        written.clear()
+        roots.append(sorted(map(tuple, simhash.components(simhash.trie_self_join(df, node_limit=limit)).collect())))
+        steps = 3 + int(np.ceil(np.log2(3000 / limit)))  # bits down to pairs of nodes within the limit
+        assert max(written, default=0) <= 3000 * (1 + steps + steps * (steps - 1) // 2)
+    assert all(r == roots[0] for r in roots)
+
+
+def test_dominated_subtrees(spark):
+    """Labelled links with salted tasks are those without: all pairs of different labels, none lost."""
+    rnd = random.Random(10)
+    base = rnd.getrandbits(128)
+    fps = sorted({base ^ sum({1 << rnd.randrange(128) for _ in range(rnd.randint(0, 9))}) for _ in range(400)})
+    df = spark.createDataFrame([(i, bytearray(f.to_bytes(16, "big")), 1 if i % 10 else i) for i, f in enumerate(fps)], "node long, fp binary, label long")
+    tables = simhash._tables(8, 6, 128)
+    found = [{(r.u, r.v) for r in simhash.trie_self_join(df, budget=12, node_limit=limit, labelled=True, tables=tables).collect()} for limit in (50, 399)]
+    assert found[0] == found[1] and len(found[0]) > 500
+
+
+def test_tables_reach_the_stated_recall():
+    rng = np.random.default_rng(2)
+    assert simhash.tables_for(16, 0.8, 0.95) < simhash.tables_for(20, 0.8, 0.95) < 4 * simhash.tables_for(16, 0.8, 0.95)
+    hits, n = 0, 200
+    tables = simhash._tables(16, simhash.tables_for(16, 0.8, 0.99), 256)
+    for _ in range(n):  # sets of 300 and 300 shingles, 8 of 9 in each shared: Jaccard similarity 0.8
+        both, a, b = (rng.integers(0, 2**64, size, np.uint64) for size in (320, 40, 40))
+        bits = [np.unpackbits(np.frombuffer(simhash._majority(np.concatenate([both, x]), 4), np.uint8)) for x in (a, b)]
+        hits += any((bits[0][root] == bits[1][root]).all() and (bits[0][key] != bits[1][key]).sum() <= 20 for root, key, _ in tables)
+    assert hits / n >= 0.96
