@@ -32,11 +32,22 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def escape_role(role: Column) -> Column:
+    """As escape, and line breaks as `\\` and n, so that a role stays on its line."""
+    return F.replace(escape(role), F.lit("\n"), F.lit("\\n"))
+
+
+def unescape_role(role: Column) -> Column:
+    """Between doubled `\\`, a `\\` and n is a line break: no control string has an n in second place."""
+    parts = F.split(role, r"\\\\")
+    return F.array_join(F.transform(parts, lambda p: unescape(F.replace(p, F.lit("\\n"), F.lit("\n")))), "\\")
+
+
 def leaf_paths(messages: DataFrame) -> DataFrame:
     """(tree, node, parent, ...) -> (tree, leaf, node, up): every message on the path of every leaf.
 
     up is the distance from the leaf.  A parent that is null, missing from its tree or the message itself
-    makes a root; repeated (tree, node) rows count once.  Messages on a cycle lead to no leaf and are left out.
+    makes a root; repeated (tree, node) rows count once.  Messages on a cycle, and below one, have no root; they are left out.
     """
     nodes = messages.select("tree", "node", "parent").dropDuplicates(["tree", "node"])
     known = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"))
@@ -47,13 +58,16 @@ def leaf_paths(messages: DataFrame) -> DataFrame:
     # jumps[s]: the ancestor 2**s levels up, where there is one.
     jumps = [nodes.where("up1 is not null").select("tree", "node", F.col("up1").alias("far"))]
     total = nodes.count()
-    while 2 ** len(jumps) < 2 * total:
+    while 2 ** len(jumps) < 2 * total:  # a jump as long as all messages goes round a cycle
         last = jumps[-1]
         ahead = last.select("tree", F.col("node").alias("far"), F.col("far").alias("farther"))
         longer = materialize(last.join(ahead, ["tree", "far"]).select("tree", "node", F.col("farther").alias("far")), "jumps")
         if longer.isEmpty():
             break
         jumps.append(longer)
+    else:
+        rootless = jumps[-1].select("tree", "node")
+        leaves = leaves.join(rootless.toDF("tree", "leaf"), ["tree", "leaf"], "left_anti")
     paths = leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up"))
     for s in reversed(range(len(jumps))):
         hop = paths.join(jumps[s], ["tree", "node"]).select("tree", "leaf", F.col("far").alias("node"), (F.col("up") + 2**s).alias("up"))
@@ -78,9 +92,7 @@ def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
     """(tree, node, parent, role, text, score) -> one chat per chosen path: (tree, branch, leaf, score, chat, loss_spans).
 
     loss_spans: begin and end in characters of `chat` of each assistant text, escapes included.  Null roles
-    and texts count as empty; line breaks in roles become spaces.  Of rows repeated in
-    (tree, node) one counts,
-    the least by role and text.  A null tree is a tree of its own; rows with a null node are left out.
+    and texts count as empty.  Of rows repeated in (tree, node) one counts, the least by role and text.  A null tree is a tree of its own; rows with a null node are left out.
     """
     # As a struct, a null tree is a key like any other in the joins below.
     clean = messages.where("node is not null").withColumn("tree", F.struct("tree")).groupBy("tree", "node").agg(
@@ -88,7 +100,7 @@ def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
     )
     clean = materialize(clean.select("tree", "node", "parent", "m.role", "m.text", "score"), "messages")
     best = best_paths(clean, branches).join(clean.select("tree", "node", "role", "text"), ["tree", "node"])
-    head = F.concat(F.lit(START), escape(F.translate("role", "\n", " ")), F.lit("\n"))
+    head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
     shown = best.withColumn("head", head).withColumn("body", escape(F.col("text")))
     turns = shown.groupBy("tree", "branch", "leaf", "score").agg(
         F.array_sort(F.collect_list(F.struct("depth", "head", "body", (F.col("role") == "assistant").alias("loss")))).alias("turns")
@@ -111,12 +123,13 @@ def read_chat(chat: Column) -> Column:
     parts = F.filter(F.split(chat, "<\\|im_start\\|>"), lambda p: p != "")
     head = F.transform(parts, lambda p: F.struct(F.substring_index(p, "\n", 1).alias("role"), p.alias("all")))
     whole = lambda p: F.substr(p["all"], F.length(p["role"]) + F.lit(2), F.length(p["all"]) - F.length(p["role"]) - F.lit(1 + len(END)))
-    return F.transform(head, lambda p: F.struct(unescape(p["role"]).alias("role"), unescape(whole(p)).alias("text")))
+    return F.transform(head, lambda p: F.struct(unescape_role(p["role"]).alias("role"), unescape(whole(p)).alias("text")))
 
 
 def linear_tree(rows: DataFrame, tree_col: str, order_col: str, role_col: str, text_col: str) -> DataFrame:
     """A table of turns as reply trees: each turn answers the one before it.  Rows of equal turn follow each
-    other by role and text; null ids make one conversation, null turns come first."""
+    other by role and text; null ids make one conversation, null turns come first.  A conversation is one row of the
+    result, so it must fit a task; its turns are numbered there."""
     order = Window.partitionBy("tree").orderBy("turn", "role", "text")
     turns = rows.select(F.col(tree_col).cast("long").alias("tree"), F.col(order_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     turns = turns.withColumn("node", F.row_number().over(order).cast("long"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.chunked import ChunkCache, loaded
-from quarry.llm.common import map_rows
+from quarry.llm.common import map_rows, row_struct, with_row
 
 LEAF = 64
 AHEAD = 8
@@ -188,10 +188,10 @@ class TokenTree:
         return lengths.tobytes(), np.array([c for leaf in self.counts for c in leaf], "<u4").tobytes()
 
 
-def build_trees(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id, text, lengths, counts): characters and tokens of each pre-token, little-endian unsigned 32-bit.
+def build_trees(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """(id, text, lengths, counts), with `carry` also the input row without its text as a struct `row`: characters and tokens of each pre-token, little-endian unsigned 32-bit.
 
-    A null text counts as empty; null ids and repeated rows are kept; only columns named in `carry` go along.
+    A null text counts as empty; null ids and repeated rows are kept.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -201,13 +201,13 @@ def build_trees(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: s
             tokens = counter.split.findall(text)
             packed.append((np.fromiter(map(len, tokens), "<u4", len(tokens)).tobytes(), np.fromiter(map(counter.count, tokens), "<u4", len(tokens)).tobytes()))
         lengths, counts = zip(*packed, strict=True) if packed else ((), ())
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lengths, pa.binary()), pa.array(counts, pa.binary()), *batch.columns[2:]], ["id", "text", "lengths", "counts", *carry])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lengths, pa.binary()), pa.array(counts, pa.binary()), *batch.columns[2:]], ["id", "text", "lengths", "counts", "row"][: 2 + batch.num_columns])
 
-    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return map_rows(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carry), run, TREES + kinds, rows=128)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([row_struct(docs.drop(text_col))] if carry else []))
+    return map_rows(rows, run, with_row(TREES, rows), rows=128)
 
 
-def apply_edits(trees: DataFrame, ranks: str, edits_col: str = "edits") -> DataFrame:
+def apply_edits(trees: DataFrame, ranks: str, edits_col: str = "row.edits") -> DataFrame:
     """Apply each row's edits, array<struct<at: long, deleted: long, inserted: string>>, in order.
 
     Returns the edited text and tree, the counts before and after, and how many characters were encoded anew.

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import map_rows, text_bytes
+from quarry.llm.common import map_rows, row_struct, text_bytes, with_row
 
 WIDTH = 192
 ROWS = 64
@@ -34,11 +34,22 @@ def _widths(count: int, start: int) -> np.ndarray:
     return np.clip(np.ceil(np.log2(entries + 1)).astype(np.int64), start + 1, 12)
 
 
-_WIDTHS = {s: _widths(8192, s) for s in range(2, 9)}
-_REACH = {s: np.concatenate([[0], np.cumsum(w)]).astype(np.int32) for s, w in _WIDTHS.items()}
+#: Codes after a clear code until the table is full, and then some; all further ones have twelve bits.
+_GROWING = 8192
+_WIDTHS = {s: _widths(_GROWING, s) for s in range(2, 9)}
+_REACH = {s: np.concatenate([[0], np.cumsum(w)]).astype(np.int64) for s, w in _WIDTHS.items()}
 _MASKS = {s: ((1 << w) - 1).astype(np.int32) for s, w in _WIDTHS.items()}
 
 
+def _layout(start: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where codes begin after a clear code, and their masks, for as many codes as `bits` can hold."""
+    reach, masks = _REACH[start], _MASKS[start]
+    more = (bits - int(reach[-1])) // 12 + 1
+    if more <= 0:
+        return reach, masks
+    return np.concatenate([reach, reach[-1] + 12 * np.arange(1, more + 1)]), np.concatenate([masks, np.full(more, 4095, np.int32)])
+
+
 def lzw_encode(data: bytes, start: int = 8) -> bytes:
     """Code stream of some samples; the table is cleared when it is full."""
     clear = 1 << start
@@ -80,7 +91,7 @@ def _expand(codes: np.ndarray, clear: int) -> np.ndarray:
     place = np.arange(n, dtype=np.int32)
     refers = codes >= clear
     parent = np.where(refers, codes - clear - 2, place)
-    if (parent[refers] >= place[refers]).any():
+    if (parent[refers] >= place[refers]).any():  # entries end with code 4095; what stands for them stays put
         raise ValueError("a code before its table entry")
     length, up = refers.astype(np.int32), parent
     while (step := length[up]).any():
@@ -103,9 +114,9 @@ def lzw_decode(stream: bytes, start: int, most: int) -> bytes:
     clear, stop = 1 << start, (1 << start) + 1
     data = np.frombuffer(stream + bytes(3), np.uint8)
     total = 8 * len(stream)
-    reach, masks = _REACH[start], _MASKS[start]
     out, at, written = [], 0, 0
     while at < total and written < most:
+        reach, masks = _layout(start, total - at)
         n = int(np.searchsorted(reach, total - at, "right")) - 1
         if n <= 0:
             break
@@ -228,11 +239,11 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return map_rows(docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text")), run, "id long, n_bytes long, media binary", rows=128)
 
 
-def read_frames(media: DataFrame, id_col: str = "id", media_col: str = "media", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id, media, payload, canvas_sha256, frames, error): the samples of all frames in order, the digest of the last
+def read_frames(media: DataFrame, id_col: str = "id", media_col: str = "media", carry: bool = False) -> DataFrame:
+    """(id, media, payload, canvas_sha256, frames, error), with `carry` also the input row as a struct `row`: the samples of all frames in order, the digest of the last
     canvas, and each frame's place, timing and colour histogram of the drawn canvas area.
 
-    Columns named in `carry` go along; others are not read.  What is no GIF, or a broken one, gives null results and the reason in `error`; null media likewise.
+    What is no GIF, or a broken one, gives null results and the reason in `error`; null media likewise.
     """
 
     def one(data: bytes | None):
@@ -254,10 +265,9 @@ def read_frames(media: DataFrame, id_col: str = "id", media_col: str = "media",
         payload, canvas, frames, error = zip(*got, strict=True) if got else ((), (), (), ())
         kind = pa.list_(pa.struct([(k, pa.int32()) for k in ("left", "top", "width", "height", "delay_cs", "disposal", "transparent")] + [("histogram", pa.list_(pa.int64()))]))
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), *batch.columns[2:], pa.array(payload, pa.binary()), pa.array(canvas, pa.string()), pa.array(frames, kind), pa.array(error, pa.string())],
-            ["id", "media", *carry, "payload", "canvas_sha256", "frames", "error"],
+            [batch.column(0), batch.column(1), pa.array(payload, pa.binary()), pa.array(canvas, pa.string()), pa.array(frames, kind), pa.array(error, pa.string()), *batch.columns[2:]],
+            ["id", "media", "payload", "canvas_sha256", "frames", "error", "row"][: 4 + batch.num_columns],
         )
 
-    kinds = "".join(f"`{c}` {media.schema[c].dataType.simpleString()}, " for c in carry)
-    rows = media.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).alias("media"), *carry)
-    return map_rows(rows, run, DECODED.replace("payload", kinds + "payload", 1), rows=128)
+    rows = media.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).alias("media"), *([row_struct(media.drop(media_col))] if carry else []))
+    return map_rows(rows, run, with_row(DECODED, rows), rows=128)

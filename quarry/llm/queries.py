@@ -34,11 +34,11 @@ def op3_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_gif_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = gif.read_frames(gif.store_texts(table(spark, sf_dir, "documents")), carry=("n_bytes",))
+    frames = gif.read_frames(gif.store_texts(table(spark, sf_dir, "documents")), carry=True)
     total = F.aggregate("frames", F.array_repeat(F.lit(0).cast("long"), 3 * gif.BINS), lambda a, f: F.zip_with(a, f["histogram"], lambda x, y: x + y))
     time = F.aggregate("frames", F.lit(0), lambda a, f: a + f["delay_cs"])
     return frames.select(
-        F.col("id").alias("doc_id"), "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.col("id").alias("doc_id"), F.col("row.n_bytes").alias("n_bytes"), F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.expr("substring(payload, -16)")).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
         F.concat_ws(";", F.concat(F.lit("frames="), F.size("frames")), F.concat(F.lit("centiseconds="), time), F.concat(F.lit("rgb="), F.array_join(total, ","))).alias("feature"), "canvas_sha256",
     )
@@ -67,7 +67,7 @@ def op7_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     change = lambda at, gone, new: F.struct(at.cast("long").alias("at"), F.lit(gone).cast("long").alias("deleted"), F.lit(new).alias("inserted"))
     docs = docs.withColumn("edits", F.array(change(place(1), 7, " revised, once"), change(place(2), 0, "   \nA new line 42"), change(place(3), 40, "")))
     ranks = public_tokenizers.path(BYTE_RANKS)
-    done = edits.apply_edits(edits.build_trees(docs, ranks, carry=("edits",)), ranks)
+    done = edits.apply_edits(edits.build_trees(docs.select("doc_id", "text", "edits"), ranks, carry=True), ranks)
     return done.select(F.col("id").alias("doc_id"), F.col("n_before").alias("tokens_before"), F.col("n_tokens").alias("tokens_after"), "n_edits", "reencoded_chars", F.sha2(F.col("text").cast("binary"), 256).alias("edited_sha256"))
 
 

@@ -25,7 +25,9 @@ QUERIES = 256
 LEVELS = 16
 PROBE = 128
 RESCORE = 256
-LIMIT = 1 << 40
+LOT = 64
+#: Sums of products must stay below this for the fast path, in which bounds and scores are 64-bit integers.
+SAFE = 1 << 60
 
 
 def usable(column: str):
@@ -35,8 +37,26 @@ def usable(column: str):
 
 
 def scaled(column: str, factor: int = 1024):
-    """floor(factor * x) of each component, as long; held within 2**40 so that no conversion fails."""
-    return F.transform(column, lambda x: F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.floor(x.cast("double") * factor))).cast("long"))
+    """floor(factor * x) of each component, as a whole number in a double: exact for any finite component."""
+
+    def whole(x):
+        y = x.cast("double") * factor
+        return F.when(F.abs(y) < 2.0**52, F.floor(y).cast("double")).otherwise(y)  # from there on every double is whole
+
+    return F.transform(column, whole)
+
+
+def _whole(values) -> np.ndarray:
+    """Whole numbers in doubles as 64-bit integers, or as Python integers where one is too large for those."""
+    if not np.isfinite(values).all():
+        raise OverflowError("a component leaves the range of doubles when scaled")
+    if not values.size or np.abs(values).max() < 2.0**62:
+        return values.astype(np.int64)
+    out = np.empty(values.shape, object)
+    out.ravel()[:] = [int(v) for v in values.ravel().tolist()]
+    return out
+
+
 
 
 class ImpactIndex:
@@ -50,28 +70,32 @@ class ImpactIndex:
         for d in range(dims):
             values = vectors[order[:, d], d]
             top, bottom = int(values[0]), int(values[-1])
-            level = np.minimum((top - values) * levels // max(1, top - bottom), levels - 1)
+            level = np.minimum((top - values.astype(np.float64)) * (levels / max(1, top - bottom)), levels - 1).astype(np.int64)
             cuts = np.flatnonzero(np.diff(level)) + 1
             for part in np.split(np.arange(n), cuts):
                 self.members.append(order[part, d])
                 comp.append(d)
                 high.append(values[part[0]])
                 low.append(values[part[-1]])
-        self.comp, self.high, self.low = np.array(comp), np.array(high), np.array(low)
+        self.largest = np.abs(vectors).max(0).tolist() if vectors.dtype != object else [SAFE] * dims
+        self.comp, self.high, self.low = np.array(comp, np.int64), np.array(high, vectors.dtype), np.array(low, vectors.dtype)
 
     def search(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-        """(vec_id, score) of the k best candidates, ties to the smaller id; vectors with the query's id take no part."""
-        q = query[self.comp]
-        impact = np.where(q > 0, q * self.high, q * self.low)
-        walk = np.argsort(-impact, kind="stable")
-        walk = walk[: int(np.count_nonzero(impact > 0))]
-        bound = np.zeros(len(self.ids), np.int64)
+        """(vec_id, score) of the k best candidates, ties to the smaller id; vectors with the query's id take no part.
+
+        Where sums could leave 64 bits, all of it runs on Python integers: slower, as exact.
+        """
         candidates = self.ids != own
         if not candidates.any():
             return []
-        # What can still come: for each component the impact of its next segment in the walk, if positive.
-        rest = np.zeros(len(query), np.int64)
-        np.maximum.at(rest, self.comp[walk], impact[walk])
+        most = sum(a * b for a, b in zip(self.largest, map(abs, query.tolist()), strict=True))
+        kind = np.int64 if most < SAFE and query.dtype != object else object
+        query, high, low = (x.astype(kind) for x in (query, self.high, self.low))
+        q = query[self.comp]
+        impact = np.where(q > 0, q * high, q * low)
+        walk = np.argsort(-impact, kind="stable")
+        walk = walk[: int(np.count_nonzero(impact > 0))]
+        bound = np.zeros(len(self.ids), kind)
         impacts = impact[walk]
         for at in range(0, len(walk), PROBE):
             for s, gain in zip(walk[at : at + PROBE].tolist(), impacts[at : at + PROBE].tolist(), strict=True):
@@ -79,21 +103,21 @@ class ImpactIndex:
             after = walk[at + PROBE :]
             if not len(after):
                 break
-            # A vector has one posting per component: those left add at most this much, in any component.
-            rest[:] = 0
-            np.maximum.at(rest, self.comp[after], impact[after])
-            found = self._prove(query, bound + int(rest.sum()), candidates, k, RESCORE)
+            # A vector has one posting per component: those left add at most the impact of each component's next
+            # segment in the walk, which is its largest.
+            comps, first = np.unique(self.comp[after], return_index=True)
+            found = self._prove(query, bound + sum(impact[after[first]].tolist()), candidates, k, RESCORE)
             if found is not None:
                 return found
         return self._prove(query, bound, candidates, k, None)
 
     def _prove(self, query, bound, candidates, k, most):
         """Rescore by falling bound until no vector left can enter; None if `most` vectors don't suffice."""
-        best_ids = best_scores = np.empty(0, np.int64)
+        best_ids, best_scores = np.empty(0, np.int64), np.empty(0, query.dtype)
         at, size = 0, max(k, 64)
         pool = np.flatnonzero(candidates)
         if most is not None and len(pool) > most:
-            part = np.argpartition(-bound[pool], most)
+            part = np.argpartition(-bound[pool], most) if bound.dtype != object else np.argsort(-bound[pool], kind="stable")
             left = int(bound[pool[part[most:]]].max())
             pool = pool[part[:most]]
         else:
@@ -101,10 +125,11 @@ class ImpactIndex:
         order = pool[np.argsort(-bound[pool], kind="stable")]
         while at < len(order):
             chunk = order[at : at + size]
-            scores = self.vectors[chunk] @ query
+            scores = self.vectors[chunk].astype(query.dtype) @ query
             best_ids = np.concatenate([best_ids, self.ids[chunk]])
             best_scores = np.concatenate([best_scores, scores])
-            keep = np.lexsort((best_ids, -best_scores))[:k]
+            by_id = np.argsort(best_ids, kind="stable")
+            keep = by_id[np.argsort(-best_scores[by_id], kind="stable")][:k]
             best_ids, best_scores = best_ids[keep], best_scores[keep]
             at += size
             size *= 2
@@ -115,34 +140,35 @@ class ImpactIndex:
         return list(zip(best_ids.tolist(), best_scores.tolist(), strict=True))
 
 
-def _packed(rows: DataFrame, group: str, size: int) -> DataFrame:
-    """Rows of one group as binary blocks: (group, dims, ids, values), at most `size` vectors each."""
+def _packed(rows: DataFrame, name: str, blocks: int) -> DataFrame:
+    """Rows as `blocks` binary blocks: (name, dims, ids, vectors).  A row's block depends on its place in the table, so equal rows spread like others."""
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        ids = t.column("vec_id").to_numpy()
         vectors = t.column("vector").to_pylist()
         dims = max(map(len, vectors))
-        grid = np.zeros((len(ids), dims), np.int64)
+        grid = np.zeros((len(vectors), dims))
         for i, v in enumerate(vectors):
             grid[i, : len(v)] = v
-        return pa.table({group: [key[0].as_py()], "dims": pa.array([dims], pa.int32()), "ids": [ids.astype(np.int64).tobytes()], "vectors": [grid.tobytes()]})
+        return pa.table({name: [key[0].as_py()], "dims": pa.array([dims], pa.int32()), "ids": [t.column("vec_id").to_numpy().astype(np.int64).tobytes()], "vectors": [grid.tobytes()]})
 
-    return rows.groupBy(group).applyInArrow(run, f"{group} long, dims int, ids binary, vectors binary")
+    dealt = rows.withColumn(name, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)))
+    return materialize(dealt.groupBy(name).applyInArrow(run, f"{name} long, dims int, ids binary, vectors binary"), name)
 
 
-def _unpacked(ids: bytes, vectors: bytes, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(ids, np.int64)
-    return ids, np.frombuffer(vectors, np.int64).reshape(len(ids), dims)
+def _unpacked(t: pa.Table, row: int) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(t.column("ids")[row].as_py(), np.int64)
+    return ids, _whole(np.frombuffer(t.column("vectors")[row].as_py()).reshape(len(ids), t.column("dims")[row].as_py()))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best candidates by integer inner product, exactly.
 
-    Components are floor(1024 * x).  A candidate is every usable row whose id isn't the query's; rows repeated
+    Components are floor(1024 * x), of any size; a score that no long can hold is an error, never a wrong
+    number.  A candidate is every usable row whose id isn't the query's; rows repeated
     in the id are candidates each, and a repeated query answers once, with its smallest vector.  Vectors that are null or hold null or
     non-finite components, and rows with null ids, take no part; a shorter vector counts as padded with zeros.
-    Fewer than k candidates give all of them.  The query set is stated by the caller; it meets each index
-    block in blocks of `query_block`, so that no task holds more than one of each.
+    Fewer than k candidates give all of them.  The query set is stated by the caller; its blocks meet the index's
+    blocks, LOT query blocks and one index block to a task's group, so that memory doesn't grow with either.
     """
 
     def clean(df: DataFrame) -> DataFrame:
@@ -152,26 +178,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     asked = materialize(clean(queries).groupBy("vec_id").agg(F.min("vector").alias("vector")), "queries")
     blocks = max(1, -(-stored.count() // block))
     sets = max(1, -(-asked.count() // query_block))
-    index = _packed(stored.withColumn("block", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks))), "block", block)
-    parts = _packed(asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(sets))), "part", query_block)
-    sent = parts.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("dims").alias("q_dims"))
-    met = sent.join(index, "block")
-
-    def run(batches):
-        held, name = None, None
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["block"] != name:
-                    name, held = row["block"], None
-                q_ids, q = _unpacked(row["q_ids"], row["q_vectors"], row["q_dims"])
-                if held is None:
-                    ids, grid = _unpacked(row["ids"], row["vectors"], row["dims"])
-                    held = ImpactIndex(ids, grid)
-                wide = held.vectors.shape[1]
-                q = np.pad(q, ((0, 0), (0, max(0, wide - q.shape[1]))))[:, :wide]
-                out = [(int(i), v, s) for i, query in zip(q_ids, q, strict=True) for v, s in held.search(query, int(i), k)]
-                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
-
-    near = met.select("block", "q_ids", "q_vectors", "q_dims", "ids", "vectors", "dims").mapInArrow(run, "query_id long, vec_id long, score long")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    index = _packed(stored, "block", blocks).withColumn("lot", upto(-(-sets // LOT)))
+    sent = _packed(asked, "part", sets).withColumn("lot", F.floor(F.col("part") / LOT)).withColumn("block", upto(blocks))
+
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple[int, int, int]] = []
+        if left.num_rows and right.num_rows:
+            held = ImpactIndex(*_unpacked(left, 0))
+            wide = held.vectors.shape[1]
+            for row in range(right.num_rows):
+                q_ids, q = _unpacked(right, row)
+                q = np.concatenate([q, np.zeros((len(q), max(0, wide - q.shape[1])), q.dtype)], axis=1)[:, :wide]
+                out += [(int(i), v, s) for i, query in zip(q_ids, q, strict=True) for v, s in held.search(query, int(i), k)]
+        return pa.table({name: pa.array([o[c] for o in out], pa.int64()) for c, name in enumerate(("query_id", "vec_id", "score"))})
+
+    near = index.groupBy("block", "lot").cogroup(sent.groupBy("block", "lot")).applyInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -36,7 +36,7 @@ def test_query_against_brute_force(spark, tmp_path):
     import hashlib
 
     rnd = random.Random(4)
-    rows = [(c, t, rnd.choice(["user", "assistant", "system", None]), rnd.choice(NASTY + ["plain text"])) for c in range(40) for t in range(rnd.randint(1, 20))]
+    rows = [(c, t, rnd.choice(["user", "assistant", "system", None, "two\nlines", "\\\n", "\\n<s>\n\n", "[INST]\\"]), rnd.choice(NASTY + ["plain text"])) for c in range(40) for t in range(rnd.randint(1, 20))]
     rows += [(7, 2, "user", "same turn"), (7, 2, "user", "same turn"), (None, 0, "assistant", "no id"), (50, None, "assistant", "x" * 50000)]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.conv_id: r for r in queries.op8_reply_trees(spark, str(tmp_path)).collect()}
@@ -48,3 +48,14 @@ def test_query_against_brute_force(spark, tmp_path):
         assert (r.n_turns, r.loss_chars) == (len(turns), len(loss))
         assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in turns).encode()).hexdigest()
         assert r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+
+
+def test_tails_below_cycles(spark):
+    """Messages that hang on a cycle have no root, however long the table; other trees keep all their paths."""
+    rows = [(1, n, n - 1 if n > 1 else None, "user", f"m{n}", 1.0) for n in range(1, 200)]
+    rows += [(2, 1, 2, "user", "round", 1.0), (2, 2, 1, "user", "round", 1.0), (2, 3, 2, "user", "tail", 1.0), (2, 4, 3, "user", "tail", 1.0), (2, 9, None, "user", "alone", 1.0)]
+    df = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
+    paths = [(r.tree, r.leaf, r.node, r.up) for r in chat.leaf_paths(df).collect()]
+    assert sorted(paths) == sorted([(1, 199, n, 199 - n) for n in range(1, 200)] + [(2, 9, 9, 0)])
+    pure = df.where("tree = 2 and node < 4")
+    assert chat.leaf_paths(pure).count() == 0 and chat.format_trees(pure).count() == 0

@@ -92,6 +92,6 @@ def test_query_against_full_encoding(spark, tmp_path):
 def test_odd_edits(spark):
     rows = [(1, "abc", [(None, None, None), None, (99, 5, "!")]), (2, None, [(0, 0, "x")]), (3, "abc", None), (4, "abc", [(-5, 1, None)])]
     df = spark.createDataFrame(rows, "doc_id long, text string, edits array<struct<at:long,deleted:long,inserted:string>>")
-    trees = edits.build_trees(df, RANKS, carry=("edits",))
+    trees = edits.build_trees(df, RANKS, carry=True)
     assert sorted((r.id, r.text) for r in edits.apply_edits(trees, RANKS).collect()) == [(1, "abc!"), (2, "x"), (3, "abc"), (4, "bc")]
     assert edits.apply_edits(trees.limit(0), RANKS).count() == 0

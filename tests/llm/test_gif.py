@@ -100,3 +100,52 @@ def test_broken_media(spark):
     assert got[1].error and got[2].error and got[5].error and bytes(got[4].payload) == b"z" * 192
     assert got[4].frames[0].delay_cs == gif.DELAY and sum(got[4].frames[0].histogram) == 3 * 192
     assert gif.read_frames(df.limit(0)).count() == 0
+
+
+def deferred(data, start=8):
+    """A code stream whose table fills up once and is never cleared again, as encoders may write it."""
+    clear = 1 << start
+    table = {bytes([i]): i for i in range(clear)}
+    value, bits, width, free, held = clear, start + 1, start + 1, clear + 2, b""
+    for c in data:
+        if held + bytes([c]) in table:
+            held += bytes([c])
+            continue
+        value |= table[held] << bits
+        bits += width
+        if free < 4096:
+            table[held + bytes([c])] = free
+            free += 1
+            width = max(width, min(12, (free - 1).bit_length()))
+        held = bytes([c])
+    value |= table[held] << bits if held else 0
+    bits += width if held else 0
+    value |= (clear + 1) << bits
+    return value.to_bytes((bits + width + 7) // 8, "little")
+
+
+def test_deferred_clear():
+    rnd = random.Random(6)
+    for n in (500, 20_000, 60_000):
+        data = bytes(rnd.choice(b"abcdefgh ") for _ in range(n))
+        stream = deferred(data)
+        assert slow_lzw(stream, 8) == data == gif.lzw_decode(stream, 8, n)
+
+
+def test_stored_media_by_an_independent_reader():
+    """Whole files of our writer, parsed here block by block, with the textbook decoder."""
+    payload = b" ".join(b"word%d" % (i * i % 997) for i in range(6000))
+    payload += b" " * (-len(payload) % 192)
+    data, at, out = gif.write_gif(payload), 13 + 768, b""
+    while data[at] != 0x3B:
+        if data[at] == 0x21:
+            at += 8
+            continue
+        at += 11
+        stream = b""
+        while data[at]:
+            stream += data[at + 1 : at + 1 + data[at]]
+            at += data[at] + 1
+        at += 1
+        out += slow_lzw(stream, 8)
+    assert out == payload

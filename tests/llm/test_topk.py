@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import topk
@@ -43,3 +44,24 @@ def test_stops_on_proof_only():
         scores[q] = -(2**60)
         want = np.lexsort((np.arange(3000), -scores))[:10]
         assert index.search(grid[q], q, 10) == [(int(i), int(scores[i])) for i in want]
+
+
+def test_large_components(spark):
+    """Components far beyond 2**40 keep their order and exact scores; a score beyond 64 bits is an error."""
+    rows = [(0, [1.5e9, 5.0]), (100, [3e9, 1.0]), (101, [2e9, 0.0]), (102, [4e9, 0.0]), (103, [2.0, 3e5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, df.where("vec_id = 103")).collect()
+    assert sorted(map(tuple, got)) == brute(rows, lambda i: i == 103, 10)
+    ids = np.arange(4)
+    grid = topk._whole(np.array([[3e9 * 1024, 1024.0], [2e9 * 1024, 0], [4e9 * 1024, 0], [1.5e9 * 1024, 5 * 1024]]))
+    want = sorted(((-sum(int(a) * int(b) for a, b in zip(grid[0].tolist(), v)), i) for i, v in enumerate(grid.tolist()) if i))
+    assert topk.ImpactIndex(ids, grid).search(grid[0], 0, 10) == [(i, -s) for s, i in want]
+    with pytest.raises(Exception, match="Overflow|too big|too large"):
+        topk.top_k(df, df.where("vec_id = 0")).collect()
+
+
+def test_equal_rows_spread(spark):
+    df = spark.createDataFrame([(5, [1.0, 2.0])] * 500 + [(0, [1.0, 1.0])], "vec_id long, embedding array<double>").repartition(3)
+    got = [tuple(r) for r in topk.top_k(df, df.where("vec_id = 0"), block=50).collect()]
+    assert sorted(got) == [(0, r, 5, 3 * 1024 * 1024) for r in range(1, 11)]
+    assert topk._packed(df.select("vec_id", F.col("embedding").alias("vector")), "block", 10).agg(F.max(F.length("ids"))).first()[0] < 8 * 90
