@@ -157,7 +157,7 @@ def score_quality(docs: DataFrame, model: PUModel | None, id_col: str = "doc_id"
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(1).to_pylist()
         score = model.score(np.array([features(t) for t in texts], np.float64)) if model and texts else np.full(len(texts), 0.5)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), *batch.columns[2:]], ["id", "score", "row"][: 1 + batch.num_columns])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), *batch.columns[2:]], ["id", "score", "row"][: batch.num_columns])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"), *([row_struct(docs)] if carry else []))
     return map_rows(rows, run, with_row("id long, score double", rows))

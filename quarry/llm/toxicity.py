@@ -1,9 +1,10 @@
 """Toxic spans by a linear-chain conditional random field over words.
 
-Labels say only which documents are toxic, so words are labelled first: a lexicon of words, word beginnings
-and word ends is grown from labelled documents, each time by the entry that explains most toxic documents not yet
-explained and hardly occurs in clean ones, until none explains enough.  Words with an entry are the positive tokens
-of toxic documents; all tokens of clean documents are negative.  The field is fitted to windows around such tokens and of clean text.
+Labels say only which documents are toxic, not which words.  So the field's tags are latent and a document's label
+constrains them: in a clean document no word is toxic, in a toxic one at least one is.  With Z a chain's partition
+function and all scores of the clean tag fixed at zero, a document is clean with probability 1 / product of Z over its
+chains; the likelihood of the labels has the gradient of forward-backward marginals, scaled by a factor per document.
+Words, their beginnings and ends are features, so word families are learnt as well as single words.
 
 A text's chains are its sentences, all of them.  Forward and backward passes give each word's marginal; a
 document's score is its highest one, and runs of words at or above one half are the offending spans.
@@ -22,15 +23,14 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import fold, map_rows, materialize, row_struct, text_bytes, with_row
 
-#: About so many labelled documents of each class are learnt from; which ones is decided by a hash of the id.
-SAMPLE = 4_000
-CANDIDATES = 3_000
-LEAST_SHARE = 0.01
-WEAKEST = 0.25
+#: At most so many labelled texts of each class are learnt from, chosen by hashes of id and text, and only texts of at most
+#: TRAINING_CHARS characters: longer ones say too little about which of their words counts.  All texts are scored whole.
+SAMPLE_TOXIC = 2_500
+SAMPLE_CLEAN = 5_000
+TRAINING_CHARS = 20_000
+STEPS = 110
 FOLDS = 5
 SLOTS = 1 << 17
-REACH = 6
-WINDOWS = 12_000
 
 _WORD = re.compile(r"[^\W_]+|[.!?\n]")
 _STOPS = ".!?\n"
@@ -45,27 +45,23 @@ def _slot(kind: str, value: str) -> int:
 
 
 def word_slots(word: str) -> list[int]:
-    """What a word tells about itself: its identity, its ends and its shape (the word comes in lower case)."""
-    ends = [_slot("head", word[:3]), _slot("tail", word[-3:]), _slot("head4", word[:4]), _slot("tail4", word[-4:]), _slot("head6", word[:6])]
-    return [_slot("word", word), *ends, _slot("size", str(min(len(word), 12)))]
-
-
-def entries_of(word: str) -> list[str]:
-    """What the lexicon can hold of a word: the word, beginnings of four to seven letters and the last four."""
-    return [word, *(f"{word[:n]}-" for n in range(4, min(8, len(word)))), *([f"-{word[-4:]}"] if len(word) > 4 else [])]
+    """What a word tells about itself: its identity, its beginnings and ends and its size (it comes in lower case)."""
+    heads = [_slot("head", word[:n]) for n in range(3, 8) if n <= len(word)]
+    tails = [_slot("tail", word[-n:]) for n in range(3, 6) if n <= len(word)]
+    return [_slot("word", word), *heads, *tails, _slot("size", str(min(len(word), 12)))]
 
 
 class SpanField:
-    """Weights of the two labels' log-odds: per feature slot, for neighbours, and the transitions."""
+    """Weights of the toxic tag's log-odds: per feature slot and for any word, and the transitions' log potentials."""
 
-    def __init__(self, slots: np.ndarray, transition: np.ndarray, start: np.ndarray):
-        self.slots, self.transition, self.start = slots, transition, start
+    def __init__(self, slots: np.ndarray, transition: np.ndarray, start: np.ndarray, bias: float = 0.0):
+        self.slots, self.transition, self.start, self.bias = slots, transition, start, bias
         self.clear()
 
     def clear(self) -> None:
         """Forget the words met so far; number 0 stands for sentence ends."""
         self.number: dict[str, int] = dict.fromkeys(_STOPS, 0)
-        self.rows: list[tuple[float, float, float]] = [(0.0, 0.0, 0.0)]
+        self.odds: list[float] = [0.0]
 
     def numbers(self, words: list[str]) -> list[int]:
         known = self.number
@@ -73,216 +69,161 @@ class SpanField:
             return [known[w] for w in words]
         except KeyError:
             for w in {w for w in words if w not in known}:
-                known[w] = len(self.rows)
-                self.rows.append(self.parts(w.lower()))
+                known[w] = len(self.odds)
+                self.odds.append(self.bias + float(self.slots[word_slots(w.lower())].sum()))
             return [known[w] for w in words]
 
-    def parts(self, word: str) -> tuple[float, float, float]:
-        """Log-odds that a word adds to itself, to the word after it and to the word before it."""
-        s = self.slots
-        return float(s[word_slots(word)].sum()), float(s[_slot("before", word)]), float(s[_slot("after", word)])
-
     def marginals(self, odds: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Marginal of label 1 at each place of the chains that lie one after another, chains of like length together."""
+        """Marginal of the toxic tag at each place of the chains that lie one after another."""
         out = np.zeros(len(odds))
-        begin = np.cumsum(lengths) - lengths
-        order = np.argsort(lengths, kind="stable")
-        order = order[lengths[order] > 0]
-        at = 0
-        while at < len(order):
-            longest = max(8, 2 * int(lengths[order[at]]))
-            upto = at + int(np.searchsorted(lengths[order[at:]], longest, "right"))
-            upto = min(upto, at + max(1, (1 << 20) // longest))
-            group = order[at:upto]
-            own = lengths[group]
-            row = np.repeat(np.arange(len(group)), own)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(own) - own, own)
-            where = np.repeat(begin[group], own) + place
-            grid = np.zeros((int(own.max()), len(group)))
+        for _, place, row, own, where in chain_groups(lengths):
+            grid = np.zeros((int(own.max()), len(own)))
             grid[place, row] = odds[where]
-            out[where] = chain_marginals(grid, own, self.transition, self.start)[place, row]
-            at = upto
+            out[where] = chain_pass(grid, own, self.transition, self.start)[0][place, row]
         return out
 
 
+def chain_groups(lengths: np.ndarray):
+    """Chains of like length together: yields (chains, place, row, lengths, where each word lies) of each group."""
+    begin = np.cumsum(lengths) - lengths
+    order = np.argsort(lengths, kind="stable")
+    order = order[lengths[order] > 0]
+    at = 0
+    while at < len(order):
+        longest = max(8, 2 * int(lengths[order[at]]))
+        upto = at + int(np.searchsorted(lengths[order[at:]], longest, "right"))
+        upto = min(upto, at + max(1, (1 << 20) // longest))
+        group = order[at:upto]
+        own = lengths[group]
+        row = np.repeat(np.arange(len(group)), own)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(own) - own, own)
+        yield group, place, row, own, np.repeat(begin[group], own) + place
+        at = upto
+
+
 #: The field of this worker process, with the words it has met: one, whichever task comes.
 _HELD: list = []
 
 
-def _worker_field(name: int, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> SpanField:
+def _worker_field(name: int, model: tuple) -> SpanField:
     if not _HELD or _HELD[0] != name:
         _HELD[:] = [name, SpanField(*model)]
     return _HELD[1]
 
 
-def chain_marginals(odds: np.ndarray, lengths: np.ndarray, transition: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Marginals of label 1 (places x chains) from log-odds, by the ratio of the two labels' messages."""
-    width = len(odds)
+def chain_pass(odds: np.ndarray, lengths: np.ndarray, transition: np.ndarray, start: np.ndarray, counts: bool = False):
+    """Forward and backward pass over chains (places x chains) by the ratio of the two tags' messages.
+
+    odds: log-odds of tag 1 at each place.  Returns the marginals of tag 1 and, with `counts`, log Z of each chain and
+    its expected transitions by (from, to), 4 x chains.
+    """
+    width, n = odds.shape
     weight = np.exp(np.clip(odds, -40, 40))
     t = np.exp(transition)
     forward, backward = np.empty_like(weight), np.ones_like(weight)
     forward[0] = np.exp(start[1] - start[0]) * weight[0]
+    log_z = np.full(n, float(start[0]))
     for k in range(1, width):
         g = forward[k - 1]
-        forward[k] = weight[k] * (t[0, 1] + t[1, 1] * g) / (t[0, 0] + t[1, 0] * g)
+        rest = t[0, 0] + t[1, 0] * g
+        forward[k] = weight[k] * (t[0, 1] + t[1, 1] * g) / rest
+        if counts:
+            log_z += np.where(lengths > k, np.log(rest), 0)
     for k in range(width - 2, -1, -1):
         b = weight[k + 1] * backward[k + 1]
         backward[k] = np.where(lengths > k + 1, (t[1, 0] + t[1, 1] * b) / (t[0, 0] + t[0, 1] * b), 1.0)
     ratio = forward * backward
-    return ratio / (1 + ratio)
+    marginal = ratio / (1 + ratio)
+    if not counts:
+        return marginal, None, None
+    log_z += np.log1p(forward[lengths - 1, np.arange(n)])
+    pairs = np.zeros((4, n))
+    for k in range(1, width):
+        g, b = forward[k - 1], weight[k] * backward[k]
+        joint = np.stack([np.full(n, t[0, 0]), t[0, 1] * b, t[1, 0] * g, t[1, 1] * g * b])
+        pairs += np.where(lengths > k, joint / joint.sum(0), 0)
+    return marginal, log_z, pairs
 
 
-def forward_backward(odds: np.ndarray, lengths: np.ndarray, transition: np.ndarray, start: np.ndarray):
-    """Marginals of label 1 (chains x places), expected transitions (2 x 2), first labels, and log Z of chains.
+def fit_field(texts: list[str], labels: list[int], steps: int = STEPS, rate: float = 0.2, l2: float = 1e-5) -> SpanField:
+    """Maximum likelihood of the documents' labels with Adam; both classes weigh the same.
 
-    odds: log-odds of label 1 at each place; label 0 scores zero.  transition, start: log potentials.
+    Free are the slots' weights, the bias, the transitions but from clean to clean, and the start.
     """
-    n, width = odds.shape
-    inside = np.arange(width) < lengths[:, None]
-    forward, backward = np.zeros((width, n, 2)), np.zeros((width, n, 2))
-    emit = np.stack([np.zeros_like(odds), odds], axis=2)
-    forward[0] = start + emit[:, 0]
-    for t in range(1, width):
-        step = forward[t - 1][:, :, None] + transition
-        forward[t] = np.where(inside[:, t, None], np.logaddexp(step[:, 0], step[:, 1]) + emit[:, t], forward[t - 1])
-    log_z = np.logaddexp(forward[-1][:, 0], forward[-1][:, 1])
-    for t in range(width - 2, -1, -1):
-        step = transition + (emit[:, t + 1] + backward[t + 1])[:, None, :]
-        backward[t] = np.where(inside[:, t + 1, None], np.logaddexp(step[:, :, 0], step[:, :, 1]), 0)
-    marginal = np.exp(np.minimum(forward + backward - log_z[:, None], 0))
-    pairs = np.zeros((2, 2))
-    for t in range(1, width):
-        joint = forward[t - 1][:, :, None] + transition + (emit[:, t] + backward[t])[:, None, :] - log_z[:, None, None]
-        pairs += np.exp(np.minimum(joint[inside[:, t]], 0)).sum(0)
-    return marginal[:, :, 1].T * inside, pairs, marginal[0].sum(0), log_z
-
-
-def fit_field(chains: list[list[str]], labels: list[list[int]], steps: int = 120, rate: float = 0.3, l2: float = 1e-4) -> SpanField:
-    """Maximum likelihood with Adam; chains of words and their 0/1 labels."""
-    width = max(map(len, chains))
-    n = len(chains)
-    lengths = np.array([len(c) for c in chains])
-    y = np.zeros((n, width), np.int64)
-    rows, places, slots = [], [], []
-    for i, (chain, own) in enumerate(zip(chains, labels, strict=True)):
-        y[i, : len(own)] = own
-        for t, word in enumerate(chain):
-            active = word_slots(word)
-            if t:
-                active.append(_slot("before", chain[t - 1]))
-            if t + 1 < len(chain):
-                active.append(_slot("after", chain[t + 1]))
-            rows += [i] * len(active)
-            places += [t] * len(active)
-            slots += active
-    flat, slots = np.array(rows) * width + np.array(places), np.array(slots)
-    inside = np.arange(width) < lengths[:, None]
-    seen_pairs = np.zeros((2, 2))
-    both = inside[:, 1:] & inside[:, :-1]
-    np.add.at(seen_pairs, (y[:, :-1][both], y[:, 1:][both]), 1)
-    seen_first = np.bincount(y[:, 0], minlength=2)
-    seen_slots = np.bincount(slots, y.ravel()[flat], minlength=SLOTS)
-    w = np.zeros(SLOTS + 6)
+    types: dict[str, int] = {}
+    words, lengths, doc_of = [], [], []
+    for d, text in enumerate(texts):
+        size = 0
+        for w in [*_WORD.findall(text), "."]:
+            if w in _STOPS:
+                if size:
+                    lengths.append(size)
+                    doc_of.append(d)
+                size = 0
+            else:
+                words.append(types.setdefault(w.lower(), len(types)))
+                size += 1
+    words, lengths, doc_of = np.array(words, np.int32), np.array(lengths, np.int64), np.array(doc_of, np.int64)
+    slots = [word_slots(w) for w in types]
+    of_type, slots = np.repeat(np.arange(len(types), dtype=np.int32), list(map(len, slots))), np.array([x for own in slots for x in own], np.int32)
+    toxic = np.array(labels) == 1
+    share = np.where(toxic, 0.5 / max(1, toxic.sum()), 0.5 / max(1, (~toxic).sum()))
+    groups = list(chain_groups(lengths))
+    w = np.zeros(SLOTS + 5)  # then the bias, transitions (0, 1), (1, 0), (1, 1), start
+    w[SLOTS] = -5.0
     m, v = np.zeros_like(w), np.zeros_like(w)
+
+    def parts(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([[0.0, w[SLOTS + 1]], [w[SLOTS + 2], w[SLOTS + 3]]]), np.array([0.0, w[SLOTS + 4]])
+
     for k in range(1, steps + 1):
-        odds = np.bincount(flat, w[slots], minlength=n * width).reshape(n, width)
-        p, pairs, first, _ = forward_backward(odds, lengths, w[SLOTS : SLOTS + 4].reshape(2, 2), w[SLOTS + 4 :])
-        expected = np.bincount(slots, p.ravel()[flat], minlength=SLOTS)
-        g = np.concatenate([expected - seen_slots, (pairs - seen_pairs).ravel(), first - seen_first]) / n + l2 * w
+        odds = (np.bincount(of_type, w[slots], minlength=len(types)) + w[SLOTS])[words]
+        transition, start = parts(w)
+        log_z = np.zeros(len(lengths))
+        marginal, edges, first = np.zeros(len(words)), np.zeros((4, len(lengths))), np.zeros(len(lengths))
+        for chains, place, row, own, where in groups:
+            grid = np.zeros((int(own.max()), len(own)))
+            grid[place, row] = odds[where]
+            p, z, pairs = chain_pass(grid, own, transition, start, counts=True)
+            marginal[where], log_z[chains], edges[:, chains], first[chains] = p[place, row], z, pairs, p[0]
+        clean = np.exp(-np.bincount(doc_of, log_z, minlength=len(texts)))  # no word is toxic
+        # Expected features: those of a toxic document given that some word is, less those without that condition.
+        factor = np.where(toxic, -clean / np.maximum(1 - clean, 1e-12), 1.0) * share
+        by_chain = factor[doc_of]
+        by_type = np.bincount(words, marginal * np.repeat(by_chain, lengths), minlength=len(types))
+        g = np.concatenate([np.bincount(slots, by_type[of_type], minlength=SLOTS) + l2 * w[:SLOTS], [by_type.sum()], edges[1:] @ by_chain, [first @ by_chain]])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w -= rate / np.sqrt(k) * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
-    return SpanField(w[:SLOTS], w[SLOTS : SLOTS + 4].reshape(2, 2), w[SLOTS + 4 :])
-
-
-def grow_lexicon(toxic: list[set], clean: list[set], least: float = LEAST_SHARE, weakest: float = WEAKEST) -> list:
-    """Words that mark toxic documents: at most a twentieth as frequent in clean ones, and either needed to
-    explain a toxic document or as widely spread; all must be spread over at least `weakest` of the share of
-    toxic documents that the first word has, as words of a few near copies are not."""
-
-    def shares(docs: list[set]) -> dict:
-        found: dict = {}
-        for doc in docs:
-            for word in doc:
-                found[word] = found.get(word, 0) + 1 / len(docs)
-        return found
-
-    spread, elsewhere = shares(toxic), shares(clean)
-    allowed = {word for word, share in spread.items() if elsewhere.get(word, 0) <= share / 20}
-    open_docs, lexicon = list(toxic), []
-    floor = max(2 / max(1, len(toxic)), least)
-    while open_docs:
-        gain: dict = {}
-        for doc in open_docs:
-            for word in doc & allowed:
-                gain[word] = gain.get(word, 0) + 1
-        # Among words that explain as much, the one spread over more toxic documents.
-        best = max((w for w in gain if spread[w] >= floor), key=lambda w: (gain[w], spread[w], str(w)), default=None)
-        if best is None or gain[best] < max(2, least * len(toxic)):
-            break
-        if not lexicon:
-            floor = max(floor, weakest * spread[best])
-        lexicon.append(best)
-        open_docs = [doc for doc in open_docs if best not in doc]
-    return lexicon + sorted(word for word in allowed if lexicon and spread[word] >= floor and word not in lexicon)
+        w -= rate / np.sqrt(1 + k / 20) * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
+    return SpanField(w[:SLOTS], *parts(w), float(w[SLOTS]))
 
 
 def _sample(docs: DataFrame, told: DataFrame, value: int, most: int) -> DataFrame:
-    """Texts of about `most` labelled rows; equal texts once, so that copies don't pass for evidence."""
+    """At most `most` texts of labelled rows; equal texts once, so that copies don't pass for evidence."""
     ids = told.where(F.col("label") == value).select("id")
     n = ids.count()
-    if n > most:
-        ids = ids.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * (most / n)))
-    return docs.join(F.broadcast(ids), "id", "left_semi").select("text").distinct().withColumn("label", F.lit(value))
+    if n > 2 * most:
+        ids = ids.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * (2 * most / n)))
+    own = docs.join(F.broadcast(ids), "id", "left_semi").where(F.octet_length("text") <= TRAINING_CHARS).select("text").distinct()
+    return own.orderBy(F.xxhash64("text")).limit(most).withColumn("label", F.lit(value))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> SpanField | None:
-    """Learn from labelled rows outside fold 0; None without toxic rows or without a lexicon.
+def fit_toxicity(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN
+) -> SpanField | None:
+    """Learn from labelled rows outside fold 0; None without texts of both labels.
 
-    Null ids and labels are no labels; an id labelled both ways counts as neither.
+    Null ids and labels are no labels; an id labelled both ways counts as neither.  The driver gets at most `toxic` + `clean`
+    texts of TRAINING_CHARS bytes at most, whatever the input's size.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"))
     told = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("l"))
     told = told.where(fold("id", FOLDS) != 0).groupBy("id").agg(F.min("l").alias("label"), F.max("l").alias("most")).where("label = most").select("id", "label")
-    texts = materialize(_sample(rows, told, 1, sample).unionByName(_sample(rows, told, 0, sample)), "labelled")
-    size = {r.label: r["count"] for r in texts.groupBy("label").count().collect()}
-    if not size.get(1):
-        return None
-
-    def entries(text: bytes) -> set[str]:
-        return {e for w in set(words_of(text.decode("utf-8", "replace"))) for e in entries_of(w)}
-
-    def distinct_words(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [(w, int(x)) for t, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for w in entries(t)]
-        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int32())], ["word", "label"])
-
-    spread = map_rows(texts.select("text", "label"), distinct_words, "word string, label int").groupBy("word").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
-    n1, n0 = size[1], size.get(0, 0)
-    spread = spread.where((F.col("toxic") >= max(2, LEAST_SHARE * n1)) & (F.col("clean") * n1 * 20 <= F.col("toxic") * max(1, n0)))
-    candidates = {r.word for r in spread.orderBy(F.desc("toxic"), "word").limit(CANDIDATES).collect()}
-
-    def incidence(batch: pa.RecordBatch) -> pa.RecordBatch:
-        kept = [sorted(candidates & entries(t)) for t in batch.column(0).to_pylist()]
-        return pa.RecordBatch.from_arrays([pa.array(kept, pa.list_(pa.string())), batch.column(1)], ["words", "label"])
-
-    held = map_rows(texts.select("text", "label"), incidence, "words array<string>, label int").collect()
-    lexicon = set(grow_lexicon([set(r.words) for r in held if r.label == 1], [set(r.words) for r in held if r.label == 0]))
-    if not lexicon:
+    told = materialize(told, "told")
+    got = _sample(rows, told, 1, toxic).unionByName(_sample(rows, told, 0, clean)).toArrow()
+    texts, marks = [t.decode("utf-8", "replace") for t in got.column("text").to_pylist()], got.column("label").to_pylist()
+    if not any(words_of(t) for t, x in zip(texts, marks, strict=True) if x) or 0 not in marks:
         return None
-
-    def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for t, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = words_of(t.decode("utf-8", "replace"))
-            marked = [int(bool(x) and not lexicon.isdisjoint(entries_of(w))) for w in words]
-            hits = [i for i, m in enumerate(marked) if m]
-            pick = hits[:4] if x else [xxhash.xxh64_intdigest(t, k) % max(1, len(words)) for k in range(3)]
-            for i in pick if words else []:
-                near = slice(max(0, i - REACH), i + REACH + 1)
-                out.append((words[near], marked[near]))
-        return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.list_(pa.string())), pa.array([o[1] for o in out], pa.list_(pa.int32()))], ["words", "labels"])
-
-    chosen = map_rows(texts.select("text", "label"), windows, "words array<string>, labels array<int>").orderBy(F.xxhash64("words")).limit(WINDOWS).collect()
-    return fit_field([r.words for r in chosen], [r.labels for r in chosen])
+    return fit_field(texts, marks)
 
 
 def tag_toxicity(docs: DataFrame, field: SpanField | None, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
@@ -290,8 +231,8 @@ def tag_toxicity(docs: DataFrame, field: SpanField | None, id_col: str = "doc_id
 
     Texts without words, null ones included, and all texts without a model score 0.  Null ids are kept.
     """
-    model = (field.slots.astype(np.float32), field.transition, field.start) if field else None
-    name = xxhash.xxh64_intdigest(b"".join(x.tobytes() for x in model)) if model else 0
+    model = (field.slots.astype(np.float32), field.transition, field.start, field.bias) if field else None
+    name = xxhash.xxh64_intdigest(b"".join(np.asarray(x).tobytes() for x in model)) if model else 0
     span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -299,19 +240,15 @@ def tag_toxicity(docs: DataFrame, field: SpanField | None, id_col: str = "doc_id
         score, spans = np.zeros(n), [[] for _ in range(n)]
         if model and n:
             field = _worker_field(name, model)
-            if len(field.rows) > 200_000:
+            if len(field.odds) > 200_000:
                 field.clear()
                 gc.collect()
             texts = [t.decode("utf-8", "replace") for t in batch.column(1).to_pylist()]
             words = [field.numbers(_WORD.findall(t)) for t in texts]
             sizes = np.array([len(w) + 1 for w in words])  # one more: the text's end
             number = np.fromiter((x for w in words for x in (*w, 0)), np.int64, int(sizes.sum()))
-            parts = np.array(field.rows)
             inside = number > 0
-            odds = parts[number, 0]
-            linked = inside[1:] & inside[:-1]
-            odds[1:] += np.where(linked, parts[number[:-1], 1], 0)
-            odds[:-1] += np.where(linked, parts[number[1:], 2], 0)
+            odds = np.array(field.odds)[number]
             chain = np.cumsum(~inside)
             lengths = np.bincount(chain[inside], minlength=int(chain[-1]) + 1)
             p = np.zeros(len(number))

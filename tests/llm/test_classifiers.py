@@ -1,4 +1,5 @@
 import itertools
+import os
 import random
 
 import numpy as np
@@ -24,24 +25,23 @@ def test_features_of_odd_texts():
 
 def test_forward_backward_against_enumeration():
     rng = np.random.default_rng(4)
-    odds, lengths = rng.normal(size=(6, 5)), np.array([5, 4, 3, 2, 1, 5])
+    odds, lengths = rng.normal(size=(5, 6)), np.array([5, 4, 3, 2, 1, 5])
     transition, start = rng.normal(size=(2, 2)), rng.normal(size=2)
-    marginal, pairs, first, log_z = toxicity.forward_backward(odds, lengths, transition, start)
-    want_pairs, want_first = np.zeros((2, 2)), np.zeros(2)
+    marginal, log_z, pairs = toxicity.chain_pass(odds, lengths, transition, start, counts=True)
     for i, n in enumerate(lengths):
         weight = {}
         for y in itertools.product((0, 1), repeat=n):
-            s = start[y[0]] + sum(odds[i, t] for t in range(n) if y[t]) + sum(transition[a, b] for a, b in zip(y, y[1:]))
+            s = start[y[0]] + sum(odds[t, i] for t in range(n) if y[t]) + sum(transition[a, b] for a, b in zip(y, y[1:]))
             weight[y] = np.exp(s)
         z = sum(weight.values())
         assert np.isclose(np.log(z), log_z[i])
         for t in range(n):
-            assert np.isclose(marginal[i, t], sum(w for y, w in weight.items() if y[t]) / z)
+            assert np.isclose(marginal[t, i], sum(w for y, w in weight.items() if y[t]) / z)
+        want = np.zeros((2, 2))
         for y, w in weight.items():
-            want_first[y[0]] += w / z
             for a, b in zip(y, y[1:]):
-                want_pairs[a, b] += w / z
-    assert np.allclose(pairs, want_pairs) and np.allclose(first, want_first)
+                want[a, b] += w / z
+        assert np.allclose(pairs[:, i], want.ravel())
 
 
 def test_marginals_of_mixed_lengths():
@@ -51,7 +51,7 @@ def test_marginals_of_mixed_lengths():
     got = np.split(field.marginals(np.concatenate(odds), np.array(list(map(len, odds)))), np.cumsum(list(map(len, odds)))[:-1])
     for o, p in zip(odds, got):
         if len(o):
-            assert np.allclose(p, toxicity.forward_backward(o[None], np.array([len(o)]), field.transition, field.start)[0][0])
+            assert np.allclose(p, toxicity.chain_pass(o[:, None], np.array([len(o)]), field.transition, field.start)[0][:, 0])
 
 
 def _corpus(path, spark):
@@ -95,3 +95,19 @@ def test_without_labels(spark, tmp_path):
     assert {r.score for r in quality.score_quality(docs, quality.fit_quality(docs, labels)).collect()} == {0.5}
     assert {r.score for r in toxicity.tag_toxicity(docs, toxicity.fit_toxicity(docs, labels)).collect()} == {0.0}
     assert quality.score_quality(docs.limit(0), None).count() == 0
+
+
+def _held_out(spark, folder, query, column, least):
+    """Recall and share of false alarms on held-out labelled rows of a supplied table."""
+    rows = query(spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id")
+    got = rows.groupBy(column).agg(F.avg("predicted").alias("share"), F.count("*").alias("n")).collect()
+    return {r[column]: r.share for r in got if r.n >= least}
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1/documents.parquet"), reason="the supplied tables aren't here")
+def test_recall_on_supplied_tables(spark):
+    folder = "/root/testdata/sf0.1"
+    toxic = _held_out(spark, folder, queries.op3_toxic_spans, "toxic", 50)
+    assert toxic[1] >= 0.85 and toxic[0] <= 0.01
+    good = _held_out(spark, folder, queries.op2_pu_quality, "quality", 50)
+    assert good[1] >= 0.95 and good[0] <= 0.1
