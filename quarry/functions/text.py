@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import re
+from collections import deque
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,12 +70,13 @@ def estimate_tokens_quarter(text: Column) -> Column:
     return F.floor(F.length(text) / 4)
 
 
+#: What is replaced by what, in this order; an assignment keeps its label and separator.
+REDACTIONS = [(PEM_BLOCK, "[REDACTED PRIVATE KEY]"), (BEARER, "Bearer [REDACTED]"), (PREFIXED_KEY, "[REDACTED]"), (ASSIGNED, "$1$2[REDACTED]")]
+
+
 def redact_secrets(text: Column) -> Column:
     """Key blocks, bearer tokens, prefixed keys, then assigned values, whose label and separator stay."""
-    out = F.regexp_replace(text, PEM_BLOCK, "[REDACTED PRIVATE KEY]")
-    out = F.regexp_replace(out, BEARER, "Bearer [REDACTED]")
-    out = F.regexp_replace(out, PREFIXED_KEY, "[REDACTED]")
-    return F.regexp_replace(out, ASSIGNED, "$1$2[REDACTED]")
+    return reduce(lambda out, rule: F.regexp_replace(out, *rule), REDACTIONS, text)
 
 
 def is_sensitive(text: Column) -> Column:
@@ -176,34 +180,48 @@ def outcome_importance(outcome: Column, error: Column) -> Column:
     return F.when(F.coalesce(error, F.lit(False)) | (outcome == "failure"), 0.7).when(outcome == "success", 0.6).otherwise(0.5)
 
 
-def _sanitized(value, most: int):
-    """Redacted and bounded copy of a JSON value."""
-    if isinstance(value, str):
-        return _redacted_text(value)[:most]
-    if isinstance(value, float) and not math.isfinite(value):
-        return str(value)
-    if isinstance(value, dict):
-        kept = list(value.items())[:50]
-        return {k[:100]: "[REDACTED]" if re.search(SENSITIVE_LABEL, k[:100]) else _sanitized(v, most) for k, v in kept}
-    if isinstance(value, list):
-        return [_sanitized(v, most) for v in value[:50]]
-    return value
+def _number(literal: str) -> float | str:
+    """A JSON number, or its name where it isn't finite."""
+    value = float(literal)
+    return value if math.isfinite(value) else str(value)
 
 
-def _redacted_text(text: str) -> str:
-    for pattern, by in ((PEM_BLOCK, "[REDACTED PRIVATE KEY]"), (BEARER, "Bearer [REDACTED]"), (PREFIXED_KEY, "[REDACTED]"), (ASSIGNED, r"\1\2[REDACTED]")):
-        text = re.sub(pattern, by, text)
-    return text
+def sanitize_json(text: Column, most: int = 500, members: int = 50, key_chars: int = 100) -> Column:
+    """JSON of any depth with secrets redacted, strings cut, and 50 members a level; null if it is no JSON."""
+    rules = [(re.compile(pattern), by.replace("$", "\\")) for pattern, by in REDACTIONS]
+    secret = re.compile(SENSITIVE_LABEL)
 
+    def string(value: str) -> str:
+        return reduce(lambda out, rule: rule[0].sub(rule[1], out), rules, value)[:most]
 
-def sanitize_json(text: Column, most: int = 500) -> Column:
-    """JSON of any depth with secrets redacted, strings cut, and 50 members a level; null if it is no JSON."""
+    def members_of(box):
+        """Key and value of what stays of an object or array."""
+        if isinstance(box, list):
+            return enumerate(itertools.islice(box, members))
+        return ((key[:key_chars], value) for key, value in itertools.islice(box.items(), members))
 
     def clean(t: str | None) -> str | None:
         try:
-            return json.dumps(_sanitized(json.loads(t), most), ensure_ascii=False)
+            whole = [json.loads(t, parse_float=_number, parse_constant=_number)]
         except (TypeError, ValueError):
             return None
+        # Boxes still to be filled from their originals, outermost first; filling one finds those inside it.
+        result: list = []
+        work = deque([(whole, result)])
+        while work:
+            source, target = work.popleft()
+            for key, value in members_of(source):
+                if isinstance(key, str) and secret.search(key):
+                    value = "[REDACTED]"
+                elif isinstance(value, str):
+                    value = string(value)
+                elif isinstance(value, (dict, list)):
+                    work.append((value, value := type(value)()))
+                if isinstance(target, list):
+                    target.append(value)
+                else:
+                    target[key] = value
+        return json.dumps(result[0], ensure_ascii=False)
 
     return F.udf(clean, "string", useArrow=True)(text)
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEPARATORS = ["\n\n", "\n", "。", ". ", " ", ""]
-_STOPS = re.compile(r"(?<=[。！？\n.!?])")
+_STOPS = re.compile(r"[。！？\n.!?]")
 
 
 def fixed_chunks(text: Column, size: int = 500, overlap: int = 50) -> Column:
@@ -20,60 +23,67 @@ def fixed_chunks(text: Column, size: int = 500, overlap: int = 50) -> Column:
     return F.filter(F.transform(starts, lambda i: trim(F.substr(text, i + 1, F.lit(size)))), lambda c: c != "")
 
 
+Span = tuple[int, int]
+
+
+def _packed(units: list[Span], size: int, overlap: int) -> Iterator[Span]:
+    """Spans of as many neighbouring units as `size` holds; the next span begins at the first unit from which no more
+    than `overlap` characters remain.  All lengths are distances in the text, so what lies between units counts."""
+    starts = [a for a, _ in units]
+    first = 0
+    for i, (_, end) in enumerate(units):
+        if i > first and end - starts[first] > size:
+            last = units[i - 1][1]
+            yield starts[first], last
+            first = bisect.bisect_left(starts, last - overlap, first, i)
+    if units:
+        yield starts[first], units[-1][1]
+
+
+def _runs(units: Iterable[Span], size: int) -> Iterator[tuple[bool, list[Span]]]:
+    """Units in runs: those that fit a chunk, and those longer than one."""
+    for long, run in itertools.groupby(units, key=lambda u: u[1] - u[0] > size):
+        yield long, list(run)
+
+
 def sentence_pieces(text: str | None, size: int, overlap: int) -> list[str]:
     """Whole sentences up to `size`; an overlong one is cut hard; trailing sentences up to `overlap` open the next chunk."""
+    text = text or ""
+    ends = sorted({m.end() for m in _STOPS.finditer(text)} | {len(text)} - {0})
     out: list[str] = []
-    held: list[str] = []
-    for sentence in filter(None, _STOPS.split(text or "")):
-        if len(sentence) > size:
-            if held:
-                out.append("".join(held).strip())
-                held = []
-            cuts = (sentence[i : i + size].strip() for i in range(0, len(sentence), size - overlap))
-            out += [c for c in cuts if c]
-            continue
-        if sum(map(len, held)) + len(sentence) > size:
-            out.append("".join(held).strip())
-            kept = 0
-            while kept < len(held) and sum(len(s) for s in held[len(held) - kept - 1 :]) <= overlap:
-                kept += 1
-            held = held[len(held) - kept :]
-        held.append(sentence)
-    return out + (["".join(held).strip()] if held else [])
+    for long, run in _runs(zip([0, *ends], ends, strict=False), size):
+        if long:
+            cuts = (text[i : min(i + size, b)].strip() for a, b in run for i in range(a, b, size - overlap))
+            out += filter(None, cuts)
+        else:
+            out += (text[a:b].strip() for a, b in _packed(run, size, overlap))
+    return out
+
+
+def _between(text: str, separator: str, begin: int, end: int) -> list[Span]:
+    """What stands between the separators of a part of the text; its characters for the empty separator."""
+    if not separator:
+        return [(i, i + 1) for i in range(begin, end)]
+    at = [m.span() for m in re.compile(re.escape(separator)).finditer(text, begin, end)]
+    return list(zip([begin, *(b for _, b in at)], [*(a for a, _ in at), end], strict=True))
 
 
 def recursive_pieces(text: str | None, size: int, overlap: int, separators: list[str]) -> list[str]:
     """Split at the coarsest separator, join up to `size`, and split what is still too long at the next one."""
-    separator, finer = separators[0], separators[1:]
-    gap = len(separator)
+    text = text or ""
     out: list[str] = []
-    held: list[str] = []
-    span = lambda parts: sum(map(len, parts)) + gap * max(0, len(parts) - 1)
-
-    def close() -> None:
-        if chunk := separator.join(held).strip():
-            out.append(chunk)
-
-    for part in (text or "").split(separator) if separator else list(text or ""):
-        if len(part) > size and finer:
-            if held:
-                close()
-                held = []
-            out += recursive_pieces(part, size, overlap, finer)
+    parts = [(0, len(text), 0)]  # a stack: the part of the text that comes first lies on top
+    while parts:
+        begin, end, level = parts.pop()
+        if level < 0:  # a finished chunk
+            out.append(text[begin:end].strip())
             continue
-        if held and span(held) + gap + len(part) > size:
-            close()
-            kept, used = [], 0
-            for old in reversed(held):
-                if used + len(old) > overlap:
-                    break
-                kept.append(old)
-                used += len(old) + gap
-            held = kept[::-1]
-        held.append(part)
-    if held:
-        close()
-    return out
+        finer = level + 1 < len(separators)
+        found: list[tuple[int, int, int]] = []
+        for long, run in _runs(_between(text, separators[level], begin, end), size if finer else len(text)):
+            found += [(*u, level + 1) for u in run] if long else [(*u, -1) for u in _packed(run, size, overlap)]
+        parts += reversed(found)
+    return [c for c in out if c]
 
 
 def chunk_documents(docs: DataFrame, strategy: str = "fixed", size: int = 500, overlap: int = 50, text_col: str = "text", separators: list[str] | None = None) -> DataFrame:

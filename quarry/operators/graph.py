@@ -49,13 +49,27 @@ def repair_endpoints(relations: DataFrame, entities: DataFrame) -> DataFrame:
     ends = relations.select(F.col("source").alias("end")).union(relations.select(F.col("target"))).distinct()
     exact = ends.join(entities.select(F.col("name").alias("end")), "end", "left_semi").select("end", F.col("end").alias("name"))
     lost = ends.join(exact, "end", "left_anti")
-    near = lost.join(entities, F.col("name").contains(F.col("end")) | F.col("end").contains(F.col("name"))).groupBy("end").agg(F.min_by("name", "seq").alias("name"))
+    # Of two names the shorter one's first characters stand somewhere in the longer one: that is the key they meet on.
+    inside = _keyed(lost, "end").join(_runs(entities, "name"), "key").where(F.col("name").contains(F.col("end")))
+    around = _keyed(entities, "name").join(_runs(lost, "end"), "key").where(F.col("end").contains(F.col("name")))
+    near = inside.select("end", "name", "seq").unionByName(around.select("end", "name", "seq")).groupBy("end").agg(F.min_by("name", "seq").alias("name"))
     names = exact.unionByName(near)
     for end in ("source", "target"):
         relations = relations.join(names.select(F.col("end").alias(end), F.col("name").alias(f"{end}_name")), end)
     return relations.drop("source", "target").withColumnsRenamed({"source_name": "source", "target_name": "target"})
 
 
+def _keyed(rows: DataFrame, column: str, n: int = 4) -> DataFrame:
+    """Adds `key`: the first `n` characters, all of a shorter text."""
+    return rows.withColumn("key", F.substring(column, 1, n))
+
+
+def _runs(rows: DataFrame, column: str, n: int = 4) -> DataFrame:
+    """Adds `key`: every run of `n` characters once, and all shorter ones, for names that are as short as that."""
+    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(column) - size + 1, F.lit(1))), lambda i: F.substring(F.col(column), i, F.lit(size))) for size in range(1, n + 1)]  # noqa: B023
+    return rows.withColumn("key", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *runs))))
+
+
 def graph_stats(entities: DataFrame, relations: DataFrame) -> DataFrame:
     """One row: nodes, edges, mean degree over nodes that have edges, greatest degree."""
     degree = relations.select(F.explode(F.array("source", "target")).alias("name")).groupBy("name").agg(F.count("*").alias("d"))
@@ -134,14 +148,16 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     return per.agg(F.sum(F.coalesce("w", F.lit(0.0)) / F.col("m") - resolution * (F.col("d") / (2 * F.col("m"))) ** 2).alias("modularity"))
 
 
-def _local_moving(edges: DataFrame, resolution: float, rounds: int) -> DataFrame:
+def _local_moving(edges: DataFrame, resolution: float, least: float) -> DataFrame:
     """node -> label.  In each round half of the nodes, by a hash that changes, may move to the neighbouring
-    label of greatest modularity gain; ties go to the smaller label."""
+    label of greatest modularity gain; ties go to the smaller label.  Ends when no node wants to move, or when four
+    rounds together gain less than `least` modularity; the best labels seen are returned."""
     both = written(edges.select("a", "b", "weight").union(edges.select("b", "a", "weight")), "links")
-    degree = written(both.groupBy(F.col("a").alias("node")).agg(F.sum(F.when(F.col("a") != F.col("b"), F.col("weight")).otherwise(F.col("weight"))).alias("d")), "degree")
+    degree = written(both.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("d")), "degree")
     m2 = degree.agg(F.sum("d")).first()[0]
-    labels = degree.select("node", F.col("node").alias("label"))
-    for r in range(rounds):
+    best_labels = labels = degree.select("node", F.col("node").alias("label"))
+    best_value, history, r = float("-inf"), [], 0
+    while True:
         sizes = labels.join(degree, "node").groupBy("label").agg(F.sum("d").alias("size"))
         links = both.where("a <> b").join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node"), "label").agg(F.sum("weight").alias("w"))
         stay = labels.join(links, ["node", "label"], "left").select("node", "label", F.coalesce("w", F.lit(0.0)).alias("w"))
@@ -150,25 +166,32 @@ def _local_moving(edges: DataFrame, resolution: float, rounds: int) -> DataFrame
         best = options.groupBy("node").agg(F.max_by("label", F.struct(F.round(gain, 9).alias("g"), (F.col("label") == F.col("own")).alias("same"), (-F.col("label")).alias("small"))).alias("best"), F.first("own").alias("own"))
         moves = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
         step = written(best.select("node", "own", F.when(moves, F.col("best")).otherwise(F.col("own")).alias("label"), (F.col("best") != F.col("own")).alias("wants")), "moved")
-        labels = step.select("node", "label")
-        if not step.where("wants").limit(1).count():
-            break
-    return labels
-
-
-def detect_communities(edges: DataFrame, resolution: float = 1.0, levels: int = 3, rounds: int = 8) -> DataFrame:
-    """edges(a, b, weight; long nodes) -> node, label by local moving and contraction of communities, level by level."""
-    labels, work = None, edges
-    for _ in range(levels):
-        step = _local_moving(work, resolution, rounds)
-        labels = step if labels is None else written(labels.join(step.select(F.col("node").alias("label"), F.col("label").alias("up")), "label").select("node", F.col("up").alias("label")), "labels")
+        labels, r = step.select("node", "label"), r + 1
+        value = modularity(edges, labels, resolution).first()[0] or 0.0
+        history.append(value)
+        if value > best_value:
+            best_value, best_labels = value, labels
+        if not step.where("wants").limit(1).count() or (len(history) > 4 and best_value - max(history[:-4]) < least):
+            return best_labels
+
+
+def detect_communities(edges: DataFrame, resolution: float = 1.0, least: float = 1e-4) -> DataFrame:
+    """edges(a, b, weight; long nodes) -> node, label by local moving and contraction of communities, level by level,
+    until a level leaves all communities as they are or gains less than `least` modularity."""
+    labels, work, value = None, edges, float("-inf")
+    while True:
+        step = _local_moving(work, resolution, least)
+        new = step if labels is None else written(labels.join(step.select(F.col("node").alias("label"), F.col("label").alias("up")), "label").select("node", F.col("up").alias("label")), "labels")
+        now = modularity(edges, new, resolution).first()[0] or 0.0
+        if labels is not None and now <= value:
+            return labels
+        labels, gained, value = new, now - value, now
         la, lb = step.select(F.col("node").alias("a"), F.col("label").alias("la")), step.select(F.col("node").alias("b"), F.col("label").alias("lb"))
         joined = work.join(la, "a").join(lb, "b").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"), "weight")
         smaller = written(joined.groupBy("a", "b").agg(F.sum("weight").alias("weight")), "contracted")
-        if smaller.count() == work.count():
-            break
+        if gained < least or smaller.count() == work.count():
+            return labels
         work = smaller
-    return labels
 
 
 def assemble_communities(labels: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:

@@ -110,9 +110,15 @@ def upgrade_memory(rows: DataFrame, version: int) -> DataFrame:
 
 
 def recall(state: DataFrame, queries: DataFrame, k: int = 3, min_similarity: float = 0.35, time: str = "updated_at", digits: int = 9) -> DataFrame:
-    """state(key, embedding, time), queries(query_id, embedding): the k most similar entries at or above the threshold."""
-    asked = queries.select("query_id", F.col("embedding").alias("q"))
-    hit = state.join(asked, F.size("embedding") == F.size("q")).withColumn("similarity", F.round(cosine(F.col("embedding"), F.col("q")), digits)).where(F.col("similarity") >= min_similarity)
+    """state(key, embedding, time), queries(query_id, embedding): the k most similar entries at or above the threshold.
+
+    Only vectors of equal length meet.  The stated query set goes to every salt, each entry to one, so that
+    entries of one length, which may be all, spread over the tasks.
+    """
+    salts = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = queries.select("query_id", F.col("embedding").alias("q"), F.size("embedding").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    salted = state.withColumn("n", F.size("embedding")).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int"))
+    hit = salted.join(asked, ["n", "salt"]).withColumn("similarity", F.round(cosine(F.col("embedding"), F.col("q")), digits)).where(F.col("similarity") >= min_similarity)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.desc(time), F.desc("key"))
     return hit.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "key", "similarity", "rank")
 

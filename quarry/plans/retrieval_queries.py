@@ -99,20 +99,22 @@ def rerank(spark, sf_dir):
 
 
 @query(f"""
-WITH {_BM25}, sub AS (SELECT item_id * 10 + i AS query_id, string_split(text, '. ')[i + 1] AS text FROM benchmark, unnest(range(0, 3)) AS r(i) WHERE string_split(text, '. ')[i + 1] IS NOT NULL),
+WITH {_BM25}, sub AS (SELECT item_id * 1000 + i AS query_id, string_split(text, '. ')[i + 1] AS text FROM benchmark, unnest(range(0, len(string_split(text, '. ')))) AS r(i)),
 {_BM25_HITS.format(tokens=TOKENS.format('text'), source='sub', k=3).replace("bm AS (SELECT *", "z AS (SELECT * FROM s UNION ALL SELECT query_id, doc_id, 0 FROM (SELECT DISTINCT query_id FROM sub) u CROSS JOIN documents d WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.query_id = u.query_id AND s.doc_id = d.doc_id)), bm AS (SELECT *").replace("FROM s QUALIFY", "FROM z QUALIFY")},
-{_RRF.format(lists="SELECT query_id // 10 AS query_id, query_id % 10 AS list_id, rank, doc_id FROM bm", k=3)}
+{_RRF.format(lists="SELECT query_id // 1000 AS query_id, query_id % 1000 AS list_id, rank, doc_id FROM bm", k=3)}
 SELECT query_id, doc_id, score, rank FROM fused""")
 def multi_query_search(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(F.slice(F.split("text", r"\. "), 1, 3)).alias("sub_id", "text"))
-    return retrieval.multi_query_search(table(spark, sf_dir, "documents"), b, 3, 3).drop("ranks")
+    """Every sentence of a benchmark text is a query of its own."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(F.split("text", r"\. ")).alias("sub_id", "text"))
+    most = b.agg(F.max("sub_id")).first()[0]
+    return retrieval.multi_query_search(table(spark, sf_dir, "documents"), b, (most or 0) + 1, 3).drop("ranks")
 
 
 _CHOSEN = "CASE query_id % 4 WHEN 0 THEN [] WHEN 1 THEN ['nowhere'] WHEN 2 THEN ['kb1', 'kb2', 'nowhere'] ELSE ['kb0'] END"
 
 
 @query(f"""
-WITH {_DENSE.format(k=30)}, st AS (SELECT 'kb' || i AS store FROM range(0, 3) AS r(i)),
+WITH {_DENSE.format(k=3).replace("PARTITION BY query_id", "PARTITION BY query_id, doc_id % 3")}, st AS (SELECT 'kb' || i AS store FROM range(0, 3) AS r(i)),
 sel AS (SELECT query_id, {_CHOSEN} AS chosen FROM (SELECT DISTINCT query_id // 50 AS query_id FROM dense)),
 known AS (SELECT query_id, store FROM (SELECT DISTINCT query_id, unnest(chosen) AS store FROM sel) WHERE store IN (SELECT store FROM st)),
 res AS (SELECT * FROM known UNION ALL SELECT query_id, store FROM sel CROSS JOIN st WHERE len(chosen) > 0 AND query_id NOT IN (SELECT query_id FROM known)),
@@ -120,7 +122,9 @@ h AS (SELECT query_id // 50 AS query_id, 'kb' || (doc_id % 3) AS store, doc_id,
 b AS (SELECT h.*, row_number() OVER (PARTITION BY query_id, store ORDER BY score DESC, doc_id) AS r FROM h JOIN res USING (query_id, store) QUALIFY r <= 3)
 SELECT query_id, store AS knowledge_base, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, store, doc_id) AS rank FROM b QUALIFY rank <= 3""")
 def multi_store_search(spark, sf_dir):
-    hits = _dense(spark, sf_dir, 30).select((F.col("query_id") / 50).cast("long").alias("query_id"), F.concat(F.lit("kb"), (F.col("doc_id") % 3).cast("string")).alias("store"), "doc_id", "score")
+    vectors, asked = _vectors(spark, sf_dir)
+    best = [retrieval.dense_search(vectors.where(F.col("doc_id") % 3 == i), asked, 3, digits=6) for i in range(3)]  # of each store, over all its rows
+    hits = best[0].unionByName(best[1]).unionByName(best[2]).select((F.col("query_id") / 50).cast("long").alias("query_id"), F.concat(F.lit("kb"), (F.col("doc_id") % 3).cast("string")).alias("store"), "doc_id", "score")
     chosen = F.when(F.col("query_id") % 4 == 0, F.array().cast("array<string>")).when(F.col("query_id") % 4 == 1, F.array(F.lit("nowhere"))).when(F.col("query_id") % 4 == 2, F.array(F.lit("kb1"), F.lit("kb2"), F.lit("nowhere"))).otherwise(F.array(F.lit("kb0")))
     selection = hits.select("query_id").distinct().withColumn("chosen", chosen)
     stores = spark.range(3).select(F.concat(F.lit("kb"), F.col("id").cast("string")).alias("store"))
@@ -285,13 +289,13 @@ def graph_stats(spark, sf_dir):
 
 @query(f"""
 WITH {_REL_SQL}, links AS (SELECT source AS a, target AS b FROM rels UNION SELECT target, source FROM rels),
-seeds AS (SELECT 'S ' || s_suppkey AS seed FROM supplier WHERE s_nationkey = 3),
+seeds AS (SELECT 'P ' || p_partkey AS seed FROM part WHERE p_partkey % 50 = 0),
 h1 AS (SELECT DISTINCT seed, b AS name FROM seeds JOIN links ON a = seed),
 h2 AS (SELECT DISTINCT h1.seed, b AS name FROM h1 JOIN links ON a = h1.name WHERE b <> h1.seed AND NOT EXISTS (SELECT 1 FROM h1 x WHERE x.seed = h1.seed AND x.name = b))
 SELECT seed, name, 1 AS hop FROM h1 UNION ALL SELECT seed, name, 2 FROM h2""")
 def neighbors(spark, sf_dir):
     relations = graph.merge_relationships(_rows(spark, sf_dir)[1])
-    seeds = table(spark, sf_dir, "supplier").where("s_nationkey = 3").select(F.concat(F.lit("S "), F.col("s_suppkey").cast("string")).alias("name"))
+    seeds = table(spark, sf_dir, "part").where("p_partkey % 50 = 0").select(F.concat(F.lit("P "), F.col("p_partkey").cast("string")).alias("name"))
     return graph.neighbors(relations, seeds, 2)[0]
 
 
@@ -320,12 +324,12 @@ def link_query_entities(spark, sf_dir):
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT 'C' || o_custkey AS a, 'P' || (o_orderkey % 5000 + 20000) AS b FROM orders WHERE o_orderpriority LIKE '1%'),
+WITH RECURSIVE e AS (SELECT DISTINCT 'C' || o_custkey AS a, 'P' || o_orderkey AS b FROM orders),
 both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(node, root) AS (SELECT a, a FROM both_ways UNION SELECT r.node, b.b FROM r JOIN both_ways b ON b.a = r.root WHERE b.b < r.node OR true)
 SELECT node, min(root) AS component FROM r GROUP BY node""")
 def connected_components(spark, sf_dir):
-    e = table(spark, sf_dir, "orders").where("o_orderpriority like '1%'").select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("a"), F.concat(F.lit("P"), (F.col("o_orderkey") % 5000 + 20000).cast("string")).alias("b")).distinct()
+    e = table(spark, sf_dir, "orders").select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("a"), F.concat(F.lit("P"), F.col("o_orderkey").cast("string")).alias("b")).distinct()
     nodes = e.select(F.col("a").alias("node")).union(e.select("b")).distinct()
     return graph.connected_components(e, nodes)
 
@@ -355,7 +359,7 @@ def modularity(spark, sf_dir):
 @query()
 def detect_communities(spark, sf_dir):
     edges = graph.written(_weighted(spark, sf_dir), "edges")
-    labels = graph.detect_communities(edges, levels=2, rounds=4)
+    labels = graph.detect_communities(edges)
     return labels.join(F.broadcast(graph.modularity(edges, labels).withColumn("modularity", F.round("modularity", 6))))
 
 
@@ -388,17 +392,23 @@ def local_context(spark, sf_dir):
     entities, merged = graph.build_graph(rows, relations)
     labels = entities.select("name", F.expr("ascii(right(name, 1)) - 48").alias("label"))
     communities = labels.select("name", "label", F.concat(F.lit("Community "), F.col("label").cast("string")).alias("title"), F.lit("suppliers and parts").alias("summary"))
-    seeds = table(spark, sf_dir, "supplier").where("s_nationkey = 3").select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("S "), F.col("s_suppkey").cast("string")).alias("name"))
+    seeds = table(spark, sf_dir, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("P "), F.col("p_partkey").cast("string")).alias("name"))
     return graph.local_context(seeds, entities, merged, communities, 1500)
 
 
-@query()
+@query(f"""
+WITH {_BM25}, {_BM25_HITS.format(tokens=TOKENS.format('text'), source='(SELECT item_id AS query_id, text FROM benchmark JOIN embeddings ON vec_id = item_id)', k=27)},
+ds AS (SELECT q.item_id AS query_id, d.vec_id AS doc_id, round(list_cosine_similarity(CAST(d.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) AS score FROM benchmark q JOIN embeddings e ON e.vec_id = q.item_id CROSS JOIN embeddings d),
+de AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ds QUALIFY rank <= 27),
+{_RRF.format(lists="SELECT query_id, 0 AS list_id, rank, doc_id FROM de UNION ALL SELECT query_id, 1, rank, doc_id FROM bm", k=9)},
+rel AS (SELECT f.query_id, f.doc_id, f.rank AS old_rank, coalesce(s.score, 0) AS score FROM fused f LEFT JOIN s ON s.query_id = f.query_id AND s.doc_id = f.doc_id)
+SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old_rank) AS rank, score FROM rel QUALIFY rank <= 3""")
 def retrieve(spark, sf_dir):
-    """Hybrid retrieval of three hits for each benchmark text, reranked by their lexical scores."""
+    """Hybrid retrieval of three hits for each benchmark text, reranked by their lexical scores, 0 where no token is shared."""
     from quarry.plans.retrieve import retrieve as plan
 
     e = table(spark, sf_dir, "embeddings")
     docs = table(spark, sf_dir, "documents")
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text").join(e.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
-    scores = retrieval.bm25_search(docs, queries, 27).select("query_id", "doc_id", F.col("score").alias("relevance"))
+    scores = retrieval.bm25_scores(docs, queries, digits=6).select("query_id", "doc_id", F.col("score").alias("relevance"))
     return plan(docs, e.select(F.col("vec_id").alias("doc_id"), "embedding"), queries, 3, scores)

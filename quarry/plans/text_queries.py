@@ -341,12 +341,12 @@ def split_dataset(spark, sf_dir):
 
 
 @query("""
-WITH r AS (SELECT conv_id, turn, list_transform(string_split(substring(text, 1, 40), ''), lambda c: ord(c)) AS ids FROM conversations),
+WITH r AS (SELECT conv_id, turn, list_transform(string_split(text, ''), lambda c: ord(c)) AS ids FROM conversations),
 m AS (SELECT *, max(len(ids)) OVER (PARTITION BY conv_id) AS n FROM r)
 SELECT conv_id, turn, array_to_string(list_resize(ids, n, 0), ',') AS ids FROM m""")
 def pad_batches(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    ids = F.transform(F.split(F.substring("text", 1, 40), ""), lambda x: F.expr("0") + F.call_function("ascii", x))
+    ids = F.transform(F.split("text", ""), lambda x: F.expr("0") + F.call_function("ascii", x))
     rows = c.select("conv_id", "turn", ids.alias("ids"))
     return bpe.pad_batches(rows, "conv_id").select("conv_id", "turn", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
