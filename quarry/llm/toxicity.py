@@ -25,10 +25,10 @@ from quarry.llm.common import fold, map_rows, materialize, row_struct, text_byte
 
 #: At most so many labelled texts of each class are learnt from, chosen by hashes of id and text, and only texts of at most
 #: TRAINING_CHARS characters: longer ones say too little about which of their words counts.  All texts are scored whole.
-SAMPLE_TOXIC = 2_500
-SAMPLE_CLEAN = 5_000
+SAMPLE_TOXIC = 2_000
+SAMPLE_CLEAN = 3_500
 TRAINING_CHARS = 20_000
-STEPS = 110
+STEPS = 90
 FOLDS = 5
 SLOTS = 1 << 17
 
