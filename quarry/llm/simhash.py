@@ -372,15 +372,15 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, lanes: i
     return map_rows(rows, run, "id long, text binary, node long, fp binary, mins array<long>")
 
 
-def _star_pairs(marked: DataFrame, orders: tuple[int, ...]) -> DataFrame:
-    """(u, v): nodes that share a least hash in one of the orders but not the label, each with one of them only.
+def _star_pairs(nodes: DataFrame) -> DataFrame:
+    """(u, v): nodes that share a least hash in one of the orders, each with one of them only.
 
     Which one is decided by a hash that differs from order to order, so a poor choice in one isn't repeated in the next.
     """
-    rows = marked.select("node", "label", F.posexplode("mins").alias("k", "least")).where(F.col("k").isin(*orders))
-    first = rows.groupBy("k", "least").agg(F.min(F.struct(F.xxhash64("node", "k").alias("h"), F.col("node").alias("u"), F.col("label").alias("of"))).alias("p"), F.count("*").alias("n"))
-    first = first.where("n > 1").select("k", "least", "p.u", "p.of")
-    return rows.join(first, ["k", "least"]).where("label <> of").select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
+    rows = nodes.select("node", F.posexplode("mins").alias("k", "least"))
+    first = rows.groupBy("k", "least").agg(F.min(F.struct(F.xxhash64("node", "k").alias("h"), F.col("node").alias("u"))).alias("p"), F.count("*").alias("n"))
+    first = first.where("n > 1").select("k", "least", "p.u")
+    return rows.join(first, ["k", "least"]).where("u <> node").select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
 
 
 def _within(pairs: DataFrame, nodes: DataFrame, max_bits: int) -> DataFrame:
@@ -433,26 +433,20 @@ def near_copies(
     sixteen and one more for each doubling above 2**24 texts, so that subtrees stay at some hundred values; there are as many roots as
     it takes for a pair of just that similarity to share one with probability `recall`.  Under a root,
     64 further bits may differ in `budget` places, and all bits in `max_bits`.  Before it, nodes that share a least hash are checked
-    against one of them, order by order, so groups of copies are linked already and the join need not give all their pairs: it leaves out
+    against one of them, so groups of copies are linked already and the join need not give all their pairs: it leaves out
     pairs that checked links connect, and no others.  Rows without ids and texts without words are as in near_duplicates.
     """
     rows = materialize(sketches(docs, id_col, text_col, shingle, lanes).withColumn("row", F.monotonically_increasing_id()), "sketches")
     found = rows.groupBy("node").agg(F.min("id").alias("first"), F.min("row").alias("row"))
     nodes = materialize(rows.select("row", "fp", "mins").join(found, "row"), "nodes")
-    marked, close = nodes.withColumn("label", F.col("node")), None
-    for orders in ((0, 1), (2, 3, 4), (5, 6, 7)):
-        stars = materialize(_star_pairs(marked, orders), "stars")
-        if stars.isEmpty():
-            continue
-        links = materialize(similar(stars, rows, nodes, shingle, least), "close")
-        close = links if close is None else close.unionByName(links)
-        marked = materialize(nodes.join(components(close), "node", "left").select("node", "fp", "mins", F.coalesce("root", "node").alias("label")), "marked")
+    close = materialize(similar(materialize(_star_pairs(nodes), "stars"), rows, nodes, shingle, least), "close")
+    marked = materialize(nodes.join(components(close), "node", "left").select("node", "fp", F.coalesce("root", "node").alias("label")), "marked")
     size = 16 + max(0, int(np.ceil(np.log2(max(1, nodes.count())))) - 24)
     tables = _tables(size, tables_for(size, least, recall), 64 * lanes)
-    pairs = materialize(trie_self_join(marked.select("node", "fp", "label"), budget=budget, node_limit=node_limit, labelled=True, tables=tables).distinct(), "pairs")
+    pairs = materialize(trie_self_join(marked, budget=budget, node_limit=node_limit, labelled=True, tables=tables).distinct(), "pairs")
     pairs = materialize(_within(pairs, nodes, max_bits), "within")
     links = similar(pairs, rows, nodes, shingle, least)
-    root = components(links if close is None else close.unionByName(links))
+    root = components(close.unionByName(links))
     linked = materialize(nodes.select("node", "first").join(root, "node"), "linked")
     named = linked.join(linked.groupBy("root").agg(F.min("first").alias("component")), "root").select("node", "component")
     named = nodes.select("node", "first").join(named, "node", "left").select("node", F.coalesce("component", "first").alias("component_id"))
