@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the supplied tables; any path that Spark itself can read."""
@@ -43,11 +45,23 @@ def with_row(schema: str, rows: DataFrame) -> StructType:
     return found.add("row", rows.schema["row"].dataType) if "row" in rows.columns else found
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write once, read back: cuts lineage, and outlives any executor."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write once, read back: cuts lineage, and outlives any executor.
+
+    by: a column of a few values to partition the table by; a task then has a file open for each, and sorts nothing.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    out = df.write.option("compression", "zstd")
+    if not by:
+        out.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(WRITERS)
+    spark.conf.set(WRITERS, "16")
+    try:
+        out.partitionBy(by).parquet(path)
+    finally:
+        spark.conf.set(WRITERS, before)
+    return spark.read.schema(df.schema).parquet(path).select(df.columns)
 
 
 def text_bytes(column: str) -> Column:

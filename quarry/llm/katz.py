@@ -14,7 +14,7 @@ Text travels in packed rows, so that Spark shuffles a few large rows instead of
     bigrams, by history    a chunk's distinct bigrams with word totals and the documents that hold them
     model, by history      bigram counts, figures for a(h), and for each document the sums that don't need
                            the discounts; written as a table partitioned by kind
-    sums, by chunk         each history bucket's part of each document's score
+    sums, by chunk         each history bucket's part of the score of each document that has words in the bucket
 
 A history that is too frequent for one bucket is split over buckets by the word that follows; its figures are
 added up afterwards.  There are at most as many such histories as buckets.
@@ -214,17 +214,16 @@ def _bigram_rows(parts: int, hot_from: float):
         counts = np.append(count, 0)
         hot = (counts[h] >= hot_from) | (h == n)
         bucket = np.where(hot, _range_of(hashes[w], parts), _range_of(hashes[h], parts))
-        for b in range(parts):
-            own = np.flatnonzero(bucket == b)
-            if not len(own):
-                continue
+        by_bucket = np.argsort(bucket, kind="stable")
+        used, at = np.unique(bucket[by_bucket], return_index=True)
+        for b, own in zip(used.tolist(), np.split(by_bucket, at[1:]), strict=True):
             hs, h_at = np.unique(h[own], return_index=True)
             ws, w_place = np.unique(w[own], return_inverse=True)
             n_own = times[own]
             occ = docs_of[np.repeat(first[own] - np.cumsum(n_own) + n_own, n_own) + np.arange(int(n_own.sum()))]
             blob = _pack(
                 _six(hashes[hs]), _small(counts[hs]), _small(np.diff(np.append(h_at, len(own)))), (hot[own][h_at]).view(np.uint8), _six(hashes[ws]), _small(counts[ws]),
-                _small(w_place), _small(n_own), _small(occ), train.view(np.uint8),
+                _small(w_place), _small(n_own), _small(2 * occ.astype(np.int64) + train[occ]),
             )
             rows.append((b, chunk, "bigrams", blob))
         return _table(rows, names, kinds)
@@ -266,7 +265,7 @@ def _merge(bucket: int, chunks: list[int], blobs: list[bytes]) -> list[tuple]:
         a = _unpack(blobs[i])
         h_all.append((_from_six(a[0]), a[1].astype(np.int64), a[3].copy()))
         w_all.append((_from_six(a[4]), a[5].astype(np.int64)))
-        meta.append((chunks[i], *(x.copy() for x in (a[2], a[6], a[7], a[8], a[9]))))
+        meta.append((chunks[i], *(x.copy() for x in (a[2], a[6], a[7], a[8]))))
         blobs[i] = None
         del a
     hs, h_first, h_place = np.unique(np.concatenate([x[0] for x in h_all]), return_index=True, return_inverse=True)
@@ -277,10 +276,10 @@ def _merge(bucket: int, chunks: list[int], blobs: list[bytes]) -> list[tuple]:
     keys = np.empty(sum(len(m[2]) for m in meta), np.int64)
     seen = np.empty(len(keys), np.int32)  # how often training texts of the chunk have the bigram
     at = at_h = at_w = 0
-    for (own_h, _, _), (own_w, _), (_, per, w, n, occ, train) in zip(h_all, w_all, meta, strict=True):
+    for (own_h, _, _), (own_w, _), (_, per, w, n, occ) in zip(h_all, w_all, meta, strict=True):
         own = slice(at, at + len(w))
         keys[own] = np.repeat(h_place[at_h : at_h + len(own_h)], per) * len(ws) + w_place[at_w : at_w + len(own_w)][w]
-        seen[own] = np.bincount(np.repeat(np.arange(len(n)), n), train.astype(bool)[occ], minlength=len(n))
+        seen[own] = np.bincount(np.repeat(np.arange(len(n)), n), occ & 1, minlength=len(n))
         at, at_h, at_w = at + len(w), at_h + len(own_h), at_w + len(own_w)
     del h_all, w_all, h_place, w_place
     pair, place = np.unique(keys, return_inverse=True)
@@ -302,11 +301,12 @@ def _merge(bucket: int, chunks: list[int], blobs: list[bytes]) -> list[tuple]:
     begin = hs == (BEGIN & LOW)
     rows = [("bigrams", bucket, -1, int((count > 0).sum()), _figures(count[count > 0]), _pack(_six(hs), _small(c_h), hot, _six(ws), _small(h[count > 0]), _small(w[count > 0]), _small(count[count > 0])), _pack(_six(hs), c_h, hot, stats.ravel(), begin.view(np.uint8)))]
     at = 0
-    for chunk, _, _, n, occ, train in meta:
+    for chunk, _, _, n, occ in meta:
+        own_docs, occ = np.unique(occ >> 1, return_inverse=True)  # only documents that have words here
         own = place[at : at + len(n)]
         at += len(n)
         which = np.repeat(own, n)
-        docs = len(train)
+        docs = len(own_docs)
         c, u, hh = count[which], c_w[w[which]], h[which]
         sums = np.bincount(occ, np.where(c > TOP, np.log10(np.maximum(c, 1)), 0) + np.where((c > 0) & (c <= TOP), np.log10(np.maximum(c, 1)), 0), minlength=docs)
         sums += np.bincount(occ, np.where((c == 0) & (u > 0), np.log10(np.maximum(u, 1)), 0), minlength=docs)
@@ -323,7 +323,7 @@ def _merge(bucket: int, chunks: list[int], blobs: list[bytes]) -> list[tuple]:
         np.add.at(later, dp[special], plain[1][special])
         back, back_n = pairs[(pairs & 1) == 0] // 2, times_of[(pairs & 1) == 0]
         back_h, back_d = np.divmod(back, docs)
-        rows.append(("sums", bucket, chunk, docs, None, _pack(sums + log_ch, _small(class_c.ravel()), _small(class_u.ravel()), _small(later), _small(np.diff(back_h, prepend=0)), _small(back_d), _small(back_n)), None))
+        rows.append(("sums", bucket, chunk, docs, None, _pack(_small(np.diff(own_docs.astype(np.int64), prepend=0)), sums + log_ch, _small(class_c.ravel()), _small(class_u.ravel()), _small(later), _small(np.diff(back_h, prepend=0)), _small(back_d), _small(back_n)), None))
     return rows
 
 
@@ -375,7 +375,7 @@ def fit(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text")
     totals = counts.groupBy("bucket").applyInArrow(_word_totals, "chunk long, bucket long, totals binary")
     hot_from = max(1000.0, total / 7 / parts)
     bigrams = texts.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(_bigram_rows(parts, hot_from), "bucket long, chunk long, kind string, blob binary")
-    return materialize(bigrams.groupBy("bucket").applyInArrow(_model_rows, MODEL), "katz")
+    return materialize(bigrams.groupBy("bucket").applyInArrow(_model_rows, MODEL), "katz", by="kind")
 
 
 def constants(model: DataFrame) -> Constants:
@@ -430,11 +430,11 @@ def score(model: DataFrame, known: Constants) -> DataFrame:
         for kind, chunk, n, blob in zip(t.column("kind").to_pylist(), t.column("chunk").to_pylist(), t.column("n_rows").to_pylist(), t.column("blob").to_pylist(), strict=True):
             if kind != "sums":
                 continue
-            sums, class_c, class_u, later, steps, back_d, back_n = _unpack(blob)
+            doc_steps, sums, class_c, class_u, later, steps, back_d, back_n = _unpack(blob)
             total = sums + class_c.reshape(n, -1) @ d2[1:] + class_u.reshape(n, -1) @ by_word - later * log_texts
             back_h = np.cumsum(steps.astype(np.int64))
             total += np.bincount(back_d.astype(np.int64), log_a[back_h] * back_n, minlength=n)
-            rows.append((chunk, "sums", total.tobytes()))
+            rows.append((chunk, "sums", _pack(doc_steps, total)))
         return _table(rows, ["chunk", "kind", "blob"], [pa.int64(), pa.string(), pa.binary()])
 
     # Of the bigram rows only the weights are needed; their counts stay where they are.
@@ -446,7 +446,10 @@ def score(model: DataFrame, known: Constants) -> DataFrame:
     def gather(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         kinds, blobs = t.column("kind").to_pylist(), t.column("blob").to_pylist()
         ids, given, train, lengths, n_known, logs = _unpack(blobs[kinds.index("documents")])
-        total = np.sum([np.frombuffer(b) for k, b in sorted(zip(kinds, blobs, strict=True)) if k == "sums"], axis=0)
+        total = np.zeros(len(ids))
+        for blob in sorted(b for k, b in zip(kinds, blobs, strict=True) if k == "sums"):
+            steps, part = _unpack(blob)
+            total[np.cumsum(steps.astype(np.int64))] += part
         return pa.table({
             "id": pa.array(ids, mask=given == 0), "learnt": pa.array(train.astype(bool)), "n_tokens": pa.array(lengths), "n_known": pa.array(n_known),
             "base_score": pa.array(logs - lengths * width), "score": pa.array(total),

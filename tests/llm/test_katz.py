@@ -64,9 +64,10 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("chunk, hot", [(24 << 20, None), (4000, None), (4000, 30.0)])
-def test_scores_against_definition(spark, tmp_path, monkeypatch, chunk, hot):
+@pytest.mark.parametrize("chunk, hot, bucket", [(24 << 20, None, 20 << 20), (4000, None, 20 << 20), (4000, 30.0, 20 << 20), (10_000, 300.0, 1500)])
+def test_scores_against_definition(spark, tmp_path, monkeypatch, chunk, hot, bucket):
     monkeypatch.setattr(katz, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(katz, "BUCKET_BYTES", bucket)
     if hot:
         real = katz._bigram_rows
         monkeypatch.setattr(katz, "_bigram_rows", lambda parts, _: real(parts, hot))
@@ -101,3 +102,15 @@ def test_no_rows_and_no_training_rows(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     got = katz.score_texts(df, F.lit(False)).first()
     assert (got.n_tokens, got.n_known, got.train_tokens) == (3, 0, 0) and got.score == 0
+
+
+def test_model_grows_with_tokens_not_with_chunks_times_buckets(spark, monkeypatch):
+    docs = spark.createDataFrame([r for r in corpus() if r[0] != 404], "doc_id long, text string")
+    n_tokens = sum(len(tokens(r.text)) for r in docs.collect())
+    monkeypatch.setattr(katz, "CHUNK_BYTES", 3000)
+    monkeypatch.setattr(katz, "BUCKET_BYTES", 200)
+    model = katz.fit(docs, F.lit(True))
+    sums = model.where("kind = 'sums'").agg(F.count("*").alias("blobs"), F.sum("n_rows").alias("docs")).first()
+    chunks, buckets = model.agg(F.count_distinct(F.when(F.col("kind") == "documents", F.col("chunk"))), F.count_distinct("bucket")).first()
+    assert sums.docs <= n_tokens and chunks > 10 and buckets > 100
+    assert {f.split("kind=")[1].split("/")[0] for f in model.inputFiles()} == {"words", "documents", "bigrams", "sums"}
