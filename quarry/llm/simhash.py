@@ -31,6 +31,8 @@ NODE_LIMIT = 4096
 BUCKET_ROWS = 250_000
 MINS = 8
 NEAR_LIMIT = 200_000
+SET_BYTES = 512 << 10
+ASKED_BYTES = 1 << 20
 #: Nodes, two longs each, that `similar` may broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -279,17 +281,18 @@ def _deal_out(hot: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
 
 
 def trie_self_join(
-    distinct: DataFrame, bands: int = 1, bits: int = 64, budget: int = 2, max_bits: int = 2, node_limit: int = NODE_LIMIT, labelled: bool = False, tables: list | None = None
+    distinct: DataFrame, bands: int = 1, bits: int = 64, budget: int = 2, max_bits: int | None = None, node_limit: int = NODE_LIMIT, labelled: bool = False, tables: list | None = None
 ) -> DataFrame:
     """Links among distinct fingerprints: (node long, fp binary) -> (u, v), enough of them to connect
     every two nodes that are connected by links.  Rows with equal nodes or fingerprints must not occur.
 
     labelled: a column label, long, names groups, and all links between nodes of different labels come, maybe repeatedly.
     tables: roots and keys in place of the bands' blocks (see _tables); links are then pairs within the budget in a key.
+    max_bits: a limit on all bits of the fingerprint; None for none but the budget.
     """
     spark = distinct.sparkSession
     plan = tables or _plan(bands, bits, budget)
-    whole = not tables and (bands > 1 or bits < 64 or max_bits != budget)
+    whole = max_bits is not None and (bool(tables) or bands > 1 or bits < 64 or max_bits != budget)
     rows = _subtrees(distinct, plan, whole, labelled)
     total = distinct.count()
     # Which tasks are too large is a matter of balance alone: large limits are measured on one value in `every`.
@@ -383,45 +386,48 @@ def _star_pairs(nodes: DataFrame) -> DataFrame:
     return rows.join(first, ["k", "least"]).where("u <> node").select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
 
 
-def _within(pairs: DataFrame, nodes: DataFrame, max_bits: int) -> DataFrame:
-    """The pairs whose whole fingerprints differ in at most `max_bits` bits."""
-
-    def near(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, y = _words(batch.column(2).to_pylist()), _words(batch.column(3).to_pylist())
-        return batch.select(["u", "v"]).filter(pa.array(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= max_bits))
-
-    fps = nodes.select("node", "fp")
-    return map_rows(pairs.join(fps.toDF("u", "x"), "u").join(fps.toDF("v", "y"), "v").select("u", "v", "x", "y"), near, "u long, v long", rows=4096)
-
-
 def similar(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The pairs (u, v) whose shingle sets have a Jaccard similarity of at least `least`.
+    """The distinct pairs (u, v) whose shingle sets have a Jaccard similarity of at least `least`.
 
     rows: (row, text); nodes: (node, row), the row that has the node's text.  Only texts of the pairs' nodes are hashed.
+    The sets of the v are dealt to buckets of about SET_BYTES; a u's set goes once to each bucket that has some of its v.
+    A bucket that many u ask is copied to tasks that take ASKED_BYTES of their sets each.
     """
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [np.unique(_shingle_hashes(t, shingle)).tobytes() for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "hashes"])
-
-    def decide(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            a, b = len(x) // 8, len(y) // 8
-            if min(a, b) < least * max(a, b) - 1e-9:
-                keep.append(False)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.binary())], ["node", "size", "hashes"])
+
+    def decide(asked: pa.Table, held: pa.Table) -> pa.Table:
+        sets = {n: np.frombuffer(y, np.uint64) for n, y in zip(held.column("v").to_pylist(), held.column("held").to_pylist(), strict=True)}
+        us, out = [], []
+        for u, vs, x in zip(asked.column("u").to_pylist(), asked.column("vs"), asked.column("hashes"), strict=True):
+            x, vs = np.frombuffer(x.as_py(), np.uint64), np.array(vs.as_py(), np.int64)
+            b = np.array([len(sets[v]) for v in vs.tolist()])
+            vs, b = (k[np.minimum(b, len(x)) >= np.maximum(1, least * np.maximum(b, len(x)) - 1e-9)] for k in (vs, b))
+            if not len(vs):
                 continue
-            both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-            keep.append(both >= least * (a + b - both) - 1e-9)
-        return batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            y = np.concatenate([sets[v] for v in vs.tolist()])
+            hits = np.append(0, np.cumsum(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y))
+            both = np.diff(hits[np.append(0, np.cumsum(b))])
+            near = vs[both >= least * (len(x) + b - both) - 1e-9]
+            us.append(np.full(len(near), u))
+            out.append(near)
+        return pa.table({"u": pa.array(np.concatenate([*us, np.empty(0, np.int64)])), "v": pa.array(np.concatenate([*out, np.empty(0, np.int64)]))})
 
     needed = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct().join(nodes.select("node", "row"), "node")
     needed = materialize(needed, "needed")
     # Few enough to broadcast, the texts stay where they are; else both sides are shuffled.
     few = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
-    sets = materialize(map_rows(rows.select("row", "text").join(few, "row").select("node", "text"), hashed, "node long, hashes binary"), "sets")
-    wide = pairs.join(sets.toDF("u", "x"), "u").join(sets.toDF("v", "y"), "v").select("u", "v", "x", "y")
-    return map_rows(wide, decide, "u long, v long")
+    sets = materialize(map_rows(rows.select("row", "text").join(few, "row").select("node", "text"), hashed, "node long, size long, hashes binary"), "sets")
+    buckets = -(-(sets.agg(F.sum("size")).first()[0] or 1) // SET_BYTES)
+    asked = materialize(pairs.groupBy("u", F.pmod(F.xxhash64("v"), F.lit(buckets)).alias("bucket")).agg(F.collect_list("v").alias("vs")), "asked")
+    loads = asked.join(sets.select(F.col("node").alias("u"), "size"), "u").groupBy("bucket").agg(F.ceil(F.sum("size") / ASKED_BYTES).cast("long").alias("salts"))
+    loads = materialize(loads.withColumn("salts", F.greatest("salts", F.lit(1).cast("long"))), "loads")
+    left = asked.join(loads, "bucket").withColumn("salt", F.pmod(F.xxhash64("u"), F.col("salts"))).join(sets.select(F.col("node").alias("u"), "hashes"), "u")
+    right = sets.withColumn("bucket", F.pmod(F.xxhash64("node"), F.lit(buckets))).join(loads, "bucket").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    left, right = left.select("bucket", "salt", "u", "vs", "hashes"), right.select("bucket", "salt", "node", "hashes").toDF("bucket", "salt", "v", "held")
+    return left.groupBy("bucket", "salt").cogroup(right.groupBy("bucket", "salt")).applyInArrow(decide, "u long, v long")
 
 
 def near_copies(
@@ -443,8 +449,7 @@ def near_copies(
     marked = materialize(nodes.join(components(close), "node", "left").select("node", "fp", F.coalesce("root", "node").alias("label")), "marked")
     size = 16 + max(0, int(np.ceil(np.log2(max(1, nodes.count())))) - 24)
     tables = _tables(size, tables_for(size, least, recall), 64 * lanes)
-    pairs = materialize(trie_self_join(marked, budget=budget, node_limit=node_limit, labelled=True, tables=tables).distinct(), "pairs")
-    pairs = materialize(_within(pairs, nodes, max_bits), "within")
+    pairs = materialize(trie_self_join(marked, budget=budget, max_bits=max_bits, node_limit=node_limit, labelled=True, tables=tables).distinct(), "pairs")
     links = similar(pairs, rows, nodes, shingle, least)
     root = components(close.unionByName(links))
     linked = materialize(nodes.select("node", "first").join(root, "node"), "linked")

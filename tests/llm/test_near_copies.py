@@ -3,6 +3,8 @@ import random
 import corpus_pipeline
 import pytest
 
+from quarry.llm import simhash
+
 
 def shingles(text):
     words = text.lower().split()
@@ -68,3 +70,20 @@ def test_groups_against_brute_force(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = {r.doc_id for r in corpus_pipeline.keep_distinct(spark, df, "").collect()}
     assert kept == {i for i in range(len(texts)) if find(i) == i}
+
+
+def test_exact_decision_in_small_buckets(spark, monkeypatch):
+    """Every u against every v, over many buckets of sets, each copied to several tasks; an empty set and a long one."""
+    monkeypatch.setattr(simhash, "SET_BYTES", 3000)
+    monkeypatch.setattr(simhash, "ASKED_BYTES", 2000)
+    rnd = random.Random(13)
+    base = ["w%d" % rnd.randrange(10_000) for _ in range(60)]
+    texts = ["", "w", "w x", "b " * 5000, " ".join("l%d" % i for i in range(4000))]
+    texts += [" ".join("x%d" % rnd.randrange(10) if rnd.random() < 0.03 else w for w in base) for _ in range(40)]
+    rows = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "row long, text binary")
+    nodes = spark.createDataFrame([(100 + i, i) for i in range(len(texts))], "node long, row long")
+    pairs = [(100 + j, 100 + i) for i in range(len(texts)) for j in range(i)]
+    got = simhash.similar(spark.createDataFrame(pairs, "u long, v long"), rows, nodes, 5, 0.8).collect()
+    want = {(u, v) for u, v in pairs if u > 100 and similarity(texts[u - 100], texts[v - 100]) >= 0.8}
+    assert len(got) == len(want) > 50 and {(r.u, r.v) for r in got} == want
+    assert simhash.similar(spark.createDataFrame([], "u long, v long"), rows, nodes, 5, 0.8).count() == 0
