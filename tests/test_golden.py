@@ -1,6 +1,7 @@
 """Small cases with results worked out by hand."""
 
 import datetime as dt
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,6 +133,32 @@ def test_bpe(spark):
     assert back[0] == "hello world hello" and back[2] == "" and merges[0] == ("d", "</w>") or merges
 
 
+def test_bpe_on_whole_texts(spark):
+    texts = ["aaaa aa a", "aaaa aa a", "b  ab aaa\tb", "", None, "ba ba", "x"]
+    docs = spark.createDataFrame([(t, 1) for t in texts], "text string, freq int")
+    for size, rounds in ((100, 11), (100, 3), (9, 50), (1000, 100)):
+        rows = [[c for w in (t or "").split() for c in [*w, "</w>"]] for t in texts]
+        known, merged = {c for r in rows for c in r} | set(bpe.SPECIALS), []
+        while len(known) < size and len(merged) <= rounds:
+            count = Counter(x + y for r in rows for x, y in zip(r, r[1:], strict=False))
+            if not count:
+                break
+            best = min(count, key=lambda p: (-count[p], p))
+            merged.append(best)
+            known.add(best)
+            for k, r in enumerate(rows):
+                i, out = 0, []
+                while i < len(r):
+                    step = 2 if "".join(r[i : i + 2]) == best and i + 1 < len(r) else 1
+                    out.append("".join(r[i : i + step]))
+                    i += step
+                rows[k] = out
+        vocab, got = bpe.bpe_train_text(docs, size, rounds, every=3)
+        assert got == merged
+        assert {r.token for r in vocab.collect()} == known
+    assert bpe.bpe_train_text(docs.where("false"), 100)[1] == []
+
+
 def test_components_and_neighbours(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "e")], "a string, b string")
     nodes = spark.createDataFrame([(x,) for x in "abcdef"], "node string")
