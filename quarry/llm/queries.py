@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, edits, gif, katz, packing, pieces, quality, simhash, topk, toxicity
+from quarry.llm import chat, edits, exact, gif, katz, packing, pieces, quality, simhash, topk, toxicity, whitening
 from quarry.llm.common import fold, table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -94,5 +94,21 @@ def op10_differencing_packer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_MODEL))
 
 
+def op11_exact_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+    return done.withColumn("deviation", F.col("deviation").cast("long"))  # one that no long can hold is an error
+
+
+def op13_patricia_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_groups(table(spark, sf_dir, "documents"), largest=True)
+
+
+SQL: dict[str, str] = {
+    "op13_patricia_owners": """
+        select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size, doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
+        from documents window same as (partition by coalesce(text, ''))""",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_katz_scores, op2_pu_quality, op3_toxic_spans, op4_gif_frames, op5_offset_pieces, op6_impact_topk, op7_edit_counts, op8_reply_trees, op9_simhash_trie, op10_differencing_packer)}
+    return {f.__name__: f for f in (op1_katz_scores, op2_pu_quality, op3_toxic_spans, op4_gif_frames, op5_offset_pieces, op6_impact_topk, op7_edit_counts, op8_reply_trees, op9_simhash_trie, op10_differencing_packer, op11_exact_whitening, op13_patricia_owners)}
