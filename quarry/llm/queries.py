@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, edits, exact, gif, katz, packing, pieces, quality, simhash, topk, toxicity, whitening
+from quarry.llm import chat, edits, exact, gif, katz, packing, phrases, pieces, quality, simhash, topk, toxicity, whitening
 from quarry.llm.common import fold, table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -99,11 +99,36 @@ def op11_exact_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.withColumn("deviation", F.col("deviation").cast("long"))  # one that no long can hold is an error
 
 
+def op12_bidirectional_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 def op13_patricia_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"), largest=True)
 
 
 SQL: dict[str, str] = {
+    "op12_bidirectional_phrases": r"""
+        with pieces as (
+            select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p from documents),
+        worded as (select lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') as w from pieces),
+        placed as (select lang, w, unnest(range(1, len(w) + 1)) as i from worded),
+        grams as (select lang, w[i : i + k - 1] as g, k from placed, (select unnest(range(1, 6)) as k) where i + k - 1 <= len(w)),
+        f as (select lang, array_to_string(g, ' ') as phrase, any_value(g) as g, any_value(k) as k, count(*) as f from grams group by 1, 2),
+        totals as (select lang, sum(f)::bigint as n from f where k = 1 group by 1),
+        candidates as (select * from f where k > 1 and f >= 100),
+        cuts as (select lang, phrase, g, k, f, unnest(range(1, k)) as cut from candidates),
+        scored as (
+            select c.lang, c.phrase, c.f as a, x.f as l, y.f as r, n, (1000::hugeint * c.f * n // (x.f::hugeint * y.f))::bigint as score,
+                row_number() over (partition by c.lang, c.phrase order by 1000::hugeint * c.f * n // (x.f::hugeint * y.f), cut) as place
+            from cuts c join f x on x.lang = c.lang and x.phrase = array_to_string(c.g[1 : cut], ' ')
+            join f y on y.lang = c.lang and y.phrase = array_to_string(c.g[cut + 1 : c.k], ' ') join totals t on t.lang = c.lang),
+        inside as (
+            select lang, array_to_string(g[i : i + size - 1], ' ') as phrase, max(f) as longer
+            from (select *, unnest(range(1, k - size + 2)) as i from (select *, unnest(range(2, k)) as size from candidates)) group by 1, 2),
+        kept as (select s.* from scored s left join inside i on i.lang = s.lang and i.phrase = s.phrase where place = 1 and (longer is null or 100 * longer < 100 * a)),
+        ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+        select lang, rank, phrase, a, l, r, n, score from ranked where rank <= 2000""",
     "op13_patricia_owners": """
         select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size, doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
         from documents window same as (partition by coalesce(text, ''))""",
@@ -111,4 +136,4 @@ SQL: dict[str, str] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_katz_scores, op2_pu_quality, op3_toxic_spans, op4_gif_frames, op5_offset_pieces, op6_impact_topk, op7_edit_counts, op8_reply_trees, op9_simhash_trie, op10_differencing_packer, op11_exact_whitening, op13_patricia_owners)}
+    return {f.__name__: f for f in (op1_katz_scores, op2_pu_quality, op3_toxic_spans, op4_gif_frames, op5_offset_pieces, op6_impact_topk, op7_edit_counts, op8_reply_trees, op9_simhash_trie, op10_differencing_packer, op11_exact_whitening, op12_bidirectional_phrases, op13_patricia_owners)}
