@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import evaluation, graph, retrieval
+from quarry.operators import evaluation, graph, ivf, retrieval
 from quarry.plans.text_queries import TOKENS, query, table
 
 # The stated query set of vector searches: every row whose id is divisible by 50, against all rows.
@@ -30,7 +30,7 @@ def dense_search(spark, sf_dir):
 
 @query()
 def ann_search(spark, sf_dir):
-    return retrieval.ann_search(*_vectors(spark, sf_dir), 10)
+    return ivf.ann_search(*_vectors(spark, sf_dir), 10)
 
 
 _BM25 = f"""

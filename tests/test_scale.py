@@ -5,10 +5,11 @@ import random
 import re
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import sanitize_json
-from quarry.operators import chunking, graph, retrieval
+from quarry.operators import chunking, graph, ivf, retrieval
 
 SF = "/root/testdata/{}/embeddings.parquet"
 
@@ -20,10 +21,45 @@ def test_recall_of_approximate_search(spark, sf):
     e = spark.read.parquet(SF.format(sf))
     docs, queries = e.select(F.col("vec_id").alias("doc_id"), "embedding"), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     exact = retrieval.dense_search(docs, queries, 10)
-    near = retrieval.ann_search(docs, queries, 10)
+    index = ivf.build_ivf(docs)
+    near = ivf.ivf_search(index, queries, 10)
     n = exact.count()
     assert near.count() == n
     assert near.join(exact, ["query_id", "doc_id"], "left_semi").count() >= 0.9 * n
+    rows, blocks = docs.count(), index.blocks.groupBy("cell").count().count()
+    assert 1 < blocks <= len(index.centroids)
+    assert ivf.ivf_scan(index, queries, 40).count() <= 0.2 * rows * queries.count()  # what is compared exactly
+
+
+def clusters(spark, rows=20_000, centres=100, dims=16, seed=3):
+    """Rows around centres; the draw is Spark's, so that no list of rows passes through the driver."""
+    centre = lambda i: F.transform(F.sequence(F.lit(1), F.lit(dims)), lambda d: F.pmod(F.xxhash64(i, d), F.lit(2001)) / 1000.0 - 1)
+    noise = F.transform(F.sequence(F.lit(1), F.lit(dims)), lambda d: F.pmod(F.xxhash64("id", d, F.lit(seed)), F.lit(2001)) / 10000.0 - 0.1)
+    rows = spark.range(rows).select(F.col("id").alias("doc_id"), F.zip_with(centre(F.col("id") % centres), noise, lambda a, b: a + b).alias("embedding"))
+    return rows
+
+
+def test_few_cells_for_clustered_vectors(spark, tmp_path):
+    """Rows with clusters: under a fifth of all pairs is scanned, a hundredth compared exactly, and nearly all neighbours are found."""
+    docs = clusters(spark)
+    queries = docs.where("doc_id % 200 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
+    ivf.save_ivf(ivf.build_ivf(docs), str(tmp_path / "index"))
+    index = ivf.load_ivf(spark, str(tmp_path / "index"))
+    near, exact = ivf.ivf_search(index, queries, 10), retrieval.dense_search(docs, queries, 10)
+    assert near.count() == 1000 and near.join(exact, ["query_id", "doc_id"], "left_semi").count() >= 900
+    met = ivf.ivf_scan(index, queries, 40)
+    scanned = met.groupBy("query_id", "cell", "block").agg(F.max("scanned").alias("n")).agg(F.sum("n")).first()[0]
+    assert met.count() == 4000 and scanned <= 0.2 * 100 * 20_000  # of two million pairs
+    plan = index.blocks.where("cell = 3")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*cell", plan)
+
+
+def test_search_of_odd_vectors(spark):
+    docs = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [1.0, 1.0]), (5, [1.0, 1.0]), (None, [0.0, 1.0])], "doc_id long, embedding array<double>")
+    queries = spark.createDataFrame([(1, [2.0, 0.0]), (2, [0.0, 0.0]), (3, None)], "query_id long, embedding array<double>")
+    got = [(r.query_id, r.doc_id, round(r.score, 6), r["rank"]) for r in ivf.ann_search(docs.where("doc_id is not null"), queries, 9).collect()]
+    assert sorted(got) == [(1, 1, 1.0, 1), (1, 5, 0.707107, 2), (1, 5, 0.707107, 3)]
+    assert ivf.ann_search(docs.limit(0), queries, 3).collect() == []
 
 
 def test_communities_beat_label_propagation(spark):
