@@ -326,13 +326,21 @@ def corpus_summary(spark, sf_dir):
 
 @query()
 def bpe_round_trip(spark, sf_dir):
-    """A vocabulary of ten merges beyond its characters from all documents, encoding them and reading them back."""
+    """A vocabulary of sixty merges beyond its characters from all documents, encoding them and reading them back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     chars = classify.char_freq(classify.word_freq(docs)).where("freq >= 2").count()
-    vocab, merges = bpe.bpe_train(docs, chars + 4 + 10)
+    vocab, merges = bpe.bpe_train(docs, chars + 4 + 60)
     coded = bpe.bpe_encode(docs, vocab, merges)
     back = bpe.bpe_decode(coded, vocab)
-    return coded.join(back, "doc_id").select("doc_id", F.size("ids").alias("n_ids"), F.length("text").alias("n_chars_back"))
+    return coded.join(back, "doc_id").select("doc_id", F.size("ids").alias("n_ids"), F.length("text").alias("n_chars_back"), F.sha2("text", 256).alias("back_sha256"))
+
+
+@query()
+def bpe_text_vocabulary(spark, sf_dir):
+    """A vocabulary whose pairs may cross word ends, from all whole conversations: ten merges."""
+    texts = table(spark, sf_dir, "conversations").select("text")
+    vocab, merged = bpe.bpe_train_text(texts, 1 << 20, 9)
+    return vocab.withColumn("merged", F.col("token").isin(merged))
 
 
 @query("SELECT doc_id, CASE WHEN CAST('0x' || substring(md5('42:' || doc_id), 1, 3) AS INTEGER) < 3686 THEN 'train' ELSE 'test' END AS part FROM documents")

@@ -1,6 +1,7 @@
 """Small cases with results worked out by hand."""
 
 import datetime as dt
+import random
 from collections import Counter
 
 import pytest
@@ -124,15 +125,41 @@ def test_layout(spark):
 
 
 def test_bpe(spark):
-    words = spark.createDataFrame([(list("hello"), 1), (list("hell"), 1), (["h", "e", "l", "i"], 1)], "tokens array<string>, freq int")
-    merged = words.select(bpe._merge(F.col("tokens"), "l", "l").alias("t")).collect()
-    assert [r.t for r in merged] == [["h", "e", "ll", "o"], ["h", "e", "ll"], ["h", "e", "l", "i"]]
+    assert bpe.merged_by_rank(list("hello"), {("l", "l"): 0}) == ["h", "e", "ll", "o"] and bpe.merged_by_rank(list("heli"), {("l", "l"): 0}) == list("heli")
     docs = spark.createDataFrame([(0, "hello world hello"), (1, "hello there world"), (2, "")], "doc_id long, text string")
     vocab, merges = bpe.bpe_train(docs, 22, 2)
     back = {r.doc_id: r.text for r in bpe.bpe_decode(bpe.bpe_encode(docs, vocab, merges), vocab).collect()}
     assert back[0] == "hello world hello" and back[2] == "" and merges[0] == ("d", "</w>") or merges
 
 
+def test_bpe_merges_in_the_order_of_one_at_a_time(spark):
+    """Rounds of several merges, with ties and self-overlapping pairs, choose what merging one pair at a time chooses."""
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("aabbcdefgh") for _ in range(rnd.randrange(1, 9))) for _ in range(250)] + ["aaaa", "aaaaa", "abababab"]
+    docs = spark.createDataFrame([(i, " ".join(rnd.choice(words) for _ in range(40))) for i in range(40)], "doc_id long, text string")
+    freq = Counter(w for r in docs.collect() for w in r.text.split())
+    rows, known, want = {w: [*w, "</w>"] for w in freq}, {c for w in freq for c in w} | {"</w>", *bpe.SPECIALS}, []
+    size = len(known) + 120
+    while len(known) < size:
+        count = Counter()
+        for w, t in rows.items():
+            for p in zip(t, t[1:], strict=False):
+                count[p] += freq[w]
+        best = min(count, key=lambda p: (-count[p], p))
+        if count[best] < 2:
+            break
+        want.append(best)
+        known.add("".join(best))
+        rows = {w: bpe.merged_by_rank(t, {best: 0}) for w, t in rows.items()}
+    rounds, plain = [], bpe.joint_merges
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(bpe, "joint_merges", lambda *a: rounds.append(1) or plain(*a))
+        vocab, got = bpe.bpe_train(docs, size, every=5, top=40)
+    assert got == want and len(rounds) < 0.8 * len(want)
+    back = bpe.bpe_decode(bpe.bpe_encode(docs, vocab, got), vocab)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, docs.collect()))
+
+
 def test_bpe_on_whole_texts(spark):
     texts = ["aaaa aa a", "aaaa aa a", "b  ab aaa\tb", "", None, "ba ba", "x"]
     docs = spark.createDataFrame([(t, 1) for t in texts], "text string, freq int")
