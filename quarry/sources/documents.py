@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EXTENSIONS = ["txt", "md", "csv", "json", "log"]
@@ -13,12 +17,25 @@ MIME = {"txt": "text/plain", "md": "text/markdown", "csv": "text/csv", "json": "
 NOTE_TYPES = ["user", "feedback", "project", "reference"]
 
 
-def read_documents(spark: SparkSession, folder: str, extensions: list[str] | None = None) -> DataFrame:
-    """Files of a folder, not of its folders: path, extension, content, size and time; blank and other files are left out."""
-    raw = spark.read.format("binaryFile").load(folder)
-    extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    rows = raw.select(F.col("path").alias("filepath"), extension.alias("extension"), F.decode("content", "UTF-8").alias("content"), F.col("length").alias("file_size"), F.col("modificationTime").alias("file_modified_at"))
-    return rows.where(F.col("extension").isin(extensions or EXTENSIONS) & F.col("content").rlike(r"\S"))
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """Files of a folder, not of its folders: filepath, text (null where its bytes aren't UTF-8), size and time; corrupt files are left out."""
+    raw = spark.read.format("binaryFile").option("ignoreCorruptFiles", "true").load(path)
+    text = F.col("content").cast("string")
+    text = F.regexp_replace(F.when(F.is_valid_utf8(text), text), "^\ufeff", "")
+    return raw.select(F.col("path").alias("filepath"), text.alias("content"), F.col("length").alias("file_size"), F.col("modificationTime").alias("file_modified_at"))
+
+
+def read_documents(spark: SparkSession, folder: str, extensions: list[str] | None = None, errors: bool = False) -> DataFrame:
+    """Files of a folder, not of its folders: path, extension, content, size and time; blank and other files are left out.
+
+    A file that isn't UTF-8 is left out, too; with `errors` it is a row without content that says so in `error`.
+    """
+    extension = F.lower(F.regexp_extract("filepath", r"\.([^./]+)$", 1))
+    rows = _files(spark, folder).withColumn("extension", extension).where(F.col("extension").isin(extensions or EXTENSIONS))
+    rows = rows.withColumn("error", F.when(F.col("content").isNull(), F.lit("not UTF-8")))
+    if errors:
+        return rows.where(F.col("error").isNotNull() | F.col("content").rlike(r"\S")).select("filepath", "extension", "content", "file_size", "file_modified_at", "error")
+    return rows.where(F.col("content").rlike(r"\S")).select("filepath", "extension", "content", "file_size", "file_modified_at")
 
 
 def with_document_metadata(docs: DataFrame, part: str | None = None) -> DataFrame:
@@ -35,7 +52,8 @@ def with_document_metadata(docs: DataFrame, part: str | None = None) -> DataFram
 
 def markdown_cell(value) -> object:
     """Trimmed, backslashes and bars escaped, line breaks as <br>, null as empty."""
-    text = F.regexp_replace(F.coalesce(F.col(value).cast("string"), F.lit("")), r"^\s+|\s+$", "")
+    value = value if isinstance(value, Column) else F.col(value)
+    text = F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), r"^\s+|\s+$", "")
     text = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
     return F.regexp_replace(text, r"\r\n|\r|\n", "<br>")
 
@@ -58,22 +76,49 @@ def sniff_separator(head: str) -> str:
     return best if best in first else ","
 
 
-def read_csv_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One CSV file as a markdown table: quoted line breaks stay, short rows are padded, an empty file has no rows."""
-    first = spark.read.text(path, wholetext=True).select(F.substring("value", 1, 4096).alias("h")).head()
-    if first is None or not (first.h or "").strip("﻿ \n\r\t"):
-        return spark.createDataFrame([], "filepath string, markdown string")
-    sep = sniff_separator(first.h.lstrip("﻿"))
-    width = max(x.count(sep) + 1 for x in re.sub(r'"(?:[^"]|"")*"', "", first.h).splitlines())
-    names = [f"c{i}" for i in range(width)]
-    raw = spark.read.csv(path, sep=sep, multiLine=True, schema=", ".join(f"{n} string" for n in names), quote='"', escape='"')
-    raw = raw.withColumn("c0", F.regexp_replace("c0", "^﻿", "")).withColumn("filepath", F.input_file_name()).withColumn("seq", F.monotonically_increasing_id())
-    cells = [markdown_cell(n) for n in names]
-    line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
-    rows = raw.where(F.concat(*cells) != "").groupBy("filepath").agg(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))).alias("l"))
-    lines = F.transform("l", lambda x: x["line"])
-    rule = "| " + " | ".join("---" for _ in names) + " |"
-    return rows.select("filepath", F.array_join(F.concat(F.slice(lines, 1, 1), F.array(F.lit(rule)), F.slice(lines, 2, 2**30)), "\n").alias("markdown"))
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(filepath, text) -> a row (filepath, seq, cells, error) for each record of a file, in its own separator."""
+    csv.field_size_limit(2**31 - 1)
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        types = (pa.string(), pa.int64(), pa.list_(pa.string()), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["filepath", "seq", "cells", "error"])
+
+    for batch in batches:
+        for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if text is None:
+                yield out([(path, -1, None, "not UTF-8")])
+                continue
+            rows: list[tuple] = []
+            try:
+                for seq, cells in enumerate(csv.reader(io.StringIO(text, newline=""), delimiter=sniff_separator(text[:4096]))):
+                    rows.append((path, seq, cells, None))
+                    if len(rows) == 4096:
+                        yield out(rows)
+                        rows = []
+            except csv.Error as wrong:
+                rows.append((path, -1, None, str(wrong)))
+            yield out(rows)
+
+
+def read_csv_documents(spark: SparkSession, path: str, errors: bool = False) -> DataFrame:
+    """One CSV file, or each of a folder, as a markdown table: (filepath, markdown).
+
+    Separator and width are those of the file: the width is its longest record's, shorter ones are padded.  Quoted line breaks stay, blank
+    records and empty files go.  A file that isn't UTF-8 or can't be parsed is left out; with `errors` it is a row without markdown that says why
+    in `error`.  A file is parsed by one task.
+    """
+    rows = _files(spark, path).select("filepath", "content").mapInArrow(_records, "filepath string, seq long, cells array<string>, error string")
+    cells = F.transform("cells", markdown_cell)
+    files = rows.withColumn("cells", cells).where(F.col("error").isNotNull() | F.exists("cells", lambda c: c != ""))
+    files = files.groupBy("filepath").agg(F.max("error").alias("error"), F.array_sort(F.collect_list(F.when(F.col("error").isNull(), F.struct("seq", "cells")))).alias("r"))
+    files = files.withColumn("width", F.array_max(F.transform("r", lambda x: F.size(x["cells"]))))
+    line = lambda c: F.concat(F.lit("| "), F.array_join(F.concat(c, F.array_repeat(F.lit(""), F.col("width") - F.size(c))), " | "), F.lit(" |"))
+    lines = F.transform("r", lambda x: line(x["cells"]))
+    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.col("width")), " | "), F.lit(" |"))
+    table = F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, 2**30)), "\n")
+    told = files.select("filepath", F.when(F.col("error").isNull(), table).alias("markdown"), "error")
+    return told if errors else told.where("error is null").drop("error")
 
 
 def _indented(text: str) -> str | None:

@@ -240,3 +240,24 @@ def test_summary_buffer(spark):
         raise RuntimeError("no model")
 
     assert {r.summary for r in memory.summary_buffer(turns, fails, budget=56).collect()} == {""}
+
+
+def test_readers_keep_cells_and_survive_bad_files(spark, tmp_path):
+    """Late wide records keep their cells, each file has its own separator, and a file that isn't UTF-8 is one error row."""
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text("h,i\n" + "x,y\n" * 1500 + "x,y,KEPT,ALSO\n", encoding="utf-8")
+    (folder / "b.csv").write_text("a;b\nx;y;z\n\n;;\n", encoding="utf-8")
+    (folder / "c.csv").write_bytes(b"a,b\n\xff\xfe,1\n")
+    (folder / "d.csv").write_text("")
+    (folder / "e.csv").write_text('\ufeff"q,""r""",s\r\n"two\r\nlines",2\r\n', encoding="utf-8")
+    got = {r.filepath[-5:]: (r.markdown, r.error) for r in sources.read_csv_documents(spark, str(folder), errors=True).collect()}
+    assert set(got) == {"a.csv", "b.csv", "c.csv", "e.csv"} and got["c.csv"] == (None, "not UTF-8")
+    lines = got["a.csv"][0].split("\n")
+    assert len(lines) == 1503 and lines[0] == "| h | i |  |  |" and lines[1] == "| --- | --- | --- | --- |" and lines[-1] == "| x | y | KEPT | ALSO |"
+    assert got["b.csv"][0] == "| a | b |  |\n| --- | --- | --- |\n| x | y | z |"
+    assert got["e.csv"][0] == '| q,"r" | s |\n| --- | --- |\n| two<br>lines | 2 |'
+    assert sources.read_csv_documents(spark, str(folder)).count() == 3
+    assert sorted(r.filepath[-5:] for r in sources.read_documents(spark, str(folder)).collect()) == ["a.csv", "b.csv", "e.csv"]
+    bad = sources.read_documents(spark, str(folder), errors=True).where("error is not null").collect()
+    assert [(r.filepath[-5:], r.content) for r in bad] == [("c.csv", None)]
