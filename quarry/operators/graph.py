@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import normalize_name
@@ -96,22 +96,47 @@ def neighbors(relations: DataFrame, seeds: DataFrame, hops: int = 1) -> tuple[Da
     return found, edges
 
 
-def link_query_entities(queries: DataFrame, entities: DataFrame) -> DataFrame:
-    """queries(query_id, text), entities(seq, name) -> query_id, name: entities whose name stands in the query.
+def contained(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """texts(tid, text), patterns(pattern) -> tid, pattern: every pattern that stands somewhere in the text, once.
 
-    Names are matched as runs of words: queries and names meet on equal runs, not each with each.
+    A pattern is looked up by its first p characters, p the largest power of two within its length; texts offer all their
+    substrings of the powers that occur, so they meet on equal strings, and the rest is compared where they meet.
     """
-    words = lambda c: F.filter(F.split(normalize_name(c), r"[^\p{L}\p{N}#_.-]+"), lambda w: w != "")
-    names = entities.select("name", words(F.col("name")).alias("w")).withColumn("n", F.size("w")).where("n > 0").withColumn("run", F.array_join("w", " "))
-    sizes = [r.n for r in names.select("n").distinct().collect()]
-    asked = queries.select("query_id", words(F.col("text")).alias("w"))
-    out = None
-    for n in sizes:
-        starts = F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1)))
-        runs = asked.select("query_id", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " "))).alias("run"))  # noqa: B023
-        hit = runs.join(names.where(F.col("n") == n).select("run", "name"), "run").select("query_id", "name")
-        out = hit if out is None else out.unionByName(hit)
-    return (out if out is not None else queries.join(entities).where("false").select("query_id", "name")).distinct()
+    keyed = patterns.where(F.length("pattern") > 0).select("pattern").distinct().withColumn("p", F.expr("shiftleft(1, cast(length(bin(length(pattern))) - 1 as int))"))
+    keyed = keyed.withColumn("key", F.substr("pattern", F.lit(1), F.col("p")))
+    powers = sorted(r.p for r in keyed.select("p").distinct().collect())  # 31 at most
+    if not powers:
+        return texts.select("tid", F.lit("").alias("pattern")).where("false")
+    none = F.array().cast("array<struct<at:int,p:int>>")
+
+    def places(p: int) -> Column:
+        return F.when(F.length("text") >= p, F.transform(F.sequence(F.lit(1), F.length("text") - p + 1), lambda i: F.struct(i.alias("at"), F.lit(p).alias("p")))).otherwise(none)
+
+    place = F.explode(F.flatten(F.array(*map(places, powers))))
+    offered = texts.select("tid", "text", place.alias("s")).select("tid", "text", "s.at", "s.p", F.substr("text", F.col("s.at"), F.col("s.p")).alias("key"))
+    met = offered.join(keyed, ["p", "key"]).where(F.substr("text", F.col("at"), F.length("pattern")) == F.col("pattern"))
+    return met.select("tid", "pattern").distinct()
+
+
+def link_query_entities(queries: DataFrame, entities: DataFrame, extracted: DataFrame | None = None) -> DataFrame:
+    """queries(query_id, text), entities(seq, name), extracted(query_id, name) -> query_id, name: the entities that a query names.
+
+    Those whose name stands in the upper-cased text, word or not, and for each name that a model extracted from the query the entity of that
+    name, else the one of smallest seq whose name holds it or stands in it.  Entity names are upper-cased with single spaces; blank ones match nothing.
+    """
+    texts = queries.select(F.col("query_id").alias("tid"), F.upper(F.coalesce("text", F.lit(""))).alias("text"))
+    names = entities.select(F.col("name").alias("pattern"))
+    linked = contained(texts, names).select(F.col("tid").alias("query_id"), F.col("pattern").alias("name"))
+    if extracted is None:
+        return linked
+    asked = extracted.select("query_id", normalize_name(F.col("name")).alias("asked")).where("asked <> ''").distinct()
+    exact = asked.join(entities.select(F.col("name").alias("asked")).distinct(), "asked")
+    rest = asked.join(exact, ["query_id", "asked"], "left_anti")
+    terms = rest.select("asked").distinct()
+    inside = contained(terms.select(F.col("asked").alias("tid"), F.col("asked").alias("text")), names).select(F.col("tid").alias("asked"), F.col("pattern").alias("name"))
+    around = contained(names.distinct().select(F.col("pattern").alias("tid"), F.col("pattern").alias("text")), terms.select(F.col("asked").alias("pattern"))).select(F.col("pattern").alias("asked"), F.col("tid").alias("name"))
+    first = inside.union(around).join(entities.groupBy("name").agg(F.min("seq").alias("seq")), "name").groupBy("asked").agg(F.min_by("name", F.struct("seq", "name")).alias("name"))
+    return linked.union(exact.select("query_id", F.col("asked").alias("name"))).union(rest.join(first, "asked").select("query_id", "name")).distinct()
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import estimate_tokens_mixed, estimate_tokens_quarter, is_sensitive, memory_signal, outcome_importance, redact_secrets
 from quarry.functions.vectors import cosine
+from quarry.plans.stages import written
 
 KEY_PATTERN = r"^[a-z][a-z0-9_.-]*$"
 
@@ -193,38 +194,52 @@ def record_episodes(runs: DataFrame) -> DataFrame:
     return runs.where(F.trim(F.coalesce("task", F.lit(""))) != "").select("id", cap("task", 2000).alias("task"), outcome.alias("outcome"), summary.alias("summary"), outcome_importance(outcome, F.col("error")).alias("importance"), "created_at", F.lit(0).alias("recall_count"), F.lit(None).cast("timestamp").alias("last_recalled_at"))
 
 
-def _batches(rows, tokens: int, mentions: int):
-    """Numbers of the extraction batch that each turn closes in; 0 while pending."""
-    out, held, cost, tools, batch = [], 0, 0, 0, 0
-    for signal, own, own_tools in rows:
-        held += 1
-        cost += own
-        tools += own_tools
-        if signal or (cost >= tokens and (tools >= mentions or not own_tools)):
-            batch += 1
-            out += [batch] * held
-            held = cost = tools = 0
-    return out + [0] * held
+def _first_at_least(rows: DataFrame, total: str, asked: Column) -> DataFrame:
+    """(conv_id, pos, at): the first place whose running total reaches what each row asks for; both are sorted together once."""
+    marks = rows.select("conv_id", F.col(total).alias("key"), F.lit(1).alias("kind"), "pos").unionAll(rows.select("conv_id", asked.alias("key"), F.lit(0).alias("kind"), "pos"))
+    ahead = Window.partitionBy("conv_id").orderBy(F.desc("key"), F.desc("kind"), F.desc("pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return marks.withColumn("at", F.min(F.when(F.col("kind") == 1, F.col("pos"))).over(ahead)).where("kind = 0").select("conv_id", "pos", "at")
+
+
+def _reached(jumps: DataFrame) -> DataFrame:
+    """jumps(conv_id, pos, to) -> (conv_id, pos): what is reached from place 1, by doubling the jumps round after round."""
+    found = written(jumps.where("pos = 1").select("conv_id", "pos"), "reached")
+    while True:
+        new = found.join(jumps, ["conv_id", "pos"]).where("to is not null").select("conv_id", F.col("to").alias("pos"))
+        more = written(found.unionAll(new).distinct(), "reached")
+        twice = jumps.select("conv_id", F.col("pos").alias("to"), F.col("to").alias("next"))
+        jumps = written(jumps.where("to is not null").join(twice, ["conv_id", "to"]).where("next is not null").select("conv_id", "pos", F.col("next").alias("to")), "jumps")
+        found = more
+        if jumps.isEmpty():
+            return found
 
 
 def extraction_batches(turns: DataFrame, tokens: int = 150, mentions: int = 3) -> DataFrame:
     """turns(conv_id, turn, user, assistant) -> conv_id, turn, batch: turns that are extracted together, 0 while pending.
 
     A batch closes on an explicit signal, or from `tokens` pending tokens on once tools were named often or not in the
-    newest turn.  The sums start anew at each batch, so this is a fold over each conversation.
+    newest turn.  The sums start anew at each batch; so for each turn the end of a batch that would start there is looked up in the
+    running sums, and the starts that follow from the first turn are found by doubling the jumps from start to start.
     """
-    import pyarrow as pa
-
     own = estimate_tokens_mixed(F.coalesce("user", F.lit(""))) + estimate_tokens_mixed(F.coalesce("assistant", F.lit("")))
-    tools = F.size(F.regexp_extract_all(F.lower(F.coalesce("assistant", F.lit(""))), F.lit("tool"), F.lit(0)))
-    rows = turns.select("conv_id", "turn", F.coalesce(memory_signal(F.col("user")), F.lit(False)).alias("signal"), own.alias("own"), tools.cast("long").alias("tools"))
-
-    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        t = t.sort_by("turn")
-        got = _batches(zip(*(t.column(c).to_pylist() for c in ("signal", "own", "tools")), strict=True), tokens, mentions)
-        return pa.table({"conv_id": t.column("conv_id"), "turn": t.column("turn"), "batch": pa.array(got, pa.int64())})
-
-    return rows.groupBy("conv_id").applyInArrow(run, "conv_id long, turn long, batch long")
+    tools = F.size(F.regexp_extract_all(F.lower(F.coalesce("assistant", F.lit(""))), F.lit("tool"), F.lit(0))).cast("long")
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    rows = turns.select("conv_id", "turn", F.coalesce(memory_signal(F.col("user")), F.lit(False)).alias("signal"), own.cast("long").alias("own"), tools.alias("tools"))
+    rows = rows.withColumns({"pos": F.row_number().over(order), "cost": F.sum("own").over(order.rowsBetween(Window.unboundedPreceding, 0)), "named": F.sum("tools").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    behind = Window.partitionBy("conv_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = written(rows.withColumns({"told": F.min(F.when(F.col("signal"), F.col("pos"))).over(behind), "calm": F.min(F.when(F.col("tools") == 0, F.col("pos"))).over(behind)}), "turns")
+    full = _first_at_least(rows, "cost", F.col("cost") - F.col("own") + tokens).withColumn("at", F.when(F.col("at").isNotNull(), F.greatest("at", "pos")))
+    often = _first_at_least(rows, "named", F.col("named") - F.col("tools") + mentions).withColumnRenamed("at", "often")
+    calm = rows.select("conv_id", F.col("pos").alias("at"), F.col("calm").alias("then"))
+    ends = rows.select("conv_id", "pos", "told").join(full, ["conv_id", "pos"]).join(often, ["conv_id", "pos"]).join(calm, ["conv_id", "at"], "left")
+    both = F.when(F.col("at").isNotNull() & F.col("often").isNotNull(), F.greatest("at", "often", "pos"))
+    ends = written(ends.select("conv_id", "pos", F.least("told", "then", both).alias("end")), "ends")
+    starts = _reached(ends.select("conv_id", "pos", (F.col("end") + 1).alias("to")))
+    opened = starts.join(ends, ["conv_id", "pos"]).where("end is not null").select("conv_id", "pos", "end")
+    marked = rows.select("conv_id", "turn", "pos").join(opened, ["conv_id", "pos"], "left")
+    number = F.count("end").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    last = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return marked.select("conv_id", "turn", F.when(F.col("pos") <= last, number).otherwise(0).cast("long").alias("batch"))
 
 
 def dedupe_surfaced(hits: DataFrame, seen: DataFrame, known: DataFrame, n: int = 5) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators import memory
+from quarry.functions import text as T
 from quarry.plans.text_queries import EST, query, table
 from quarry.sources import documents as sources
 
@@ -172,9 +173,21 @@ def apply_ops(spark, sf_dir):
     return memory.evict(memory.apply_ops(empty, ops), 3)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_TURNS},
+said AS (SELECT conv_id, turn, user || CASE WHEN turn % 14 = 0 THEN ' please remember this' ELSE '' END AS user, assistant || CASE WHEN turn % 4 = 2 THEN ' tool' ELSE '' END AS assistant FROM turns),
+costs AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, regexp_matches(user, '{T.MEMORY_SIGNAL}') AS signal, {_COST} - 8 AS own, len(regexp_extract_all(lower(assistant), 'tool')) AS tools FROM said t),
+r(conv_id, pos, cost, named, closed) AS (
+    SELECT conv_id, pos, own, tools, signal OR (own >= 300 AND (tools >= 2 OR tools = 0)) FROM costs WHERE pos = 1
+    UNION ALL
+    SELECT c.conv_id, c.pos, q.cost, q.named, c.signal OR (q.cost >= 300 AND (q.named >= 2 OR c.tools = 0)) FROM r JOIN costs c ON c.conv_id = r.conv_id AND c.pos = r.pos + 1,
+        LATERAL (SELECT CASE WHEN r.closed THEN 0 ELSE r.cost END + c.own AS cost, CASE WHEN r.closed THEN 0 ELSE r.named END + c.tools AS named) q)
+SELECT conv_id, turn, CAST(CASE WHEN sum(CAST(closed AS INT)) OVER (PARTITION BY conv_id ORDER BY pos DESC) > 0 THEN coalesce(sum(CAST(closed AS INT)) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 ELSE 0 END AS BIGINT) AS batch
+FROM r JOIN costs USING (conv_id, pos)""")
 def extraction_batches(spark, sf_dir):
-    return memory.extraction_batches(_turns(spark, sf_dir))
+    said = lambda c, text, when: F.concat(c, F.when(when, F.lit(text)).otherwise(F.lit("")))
+    turns = _turns(spark, sf_dir).withColumns({"user": said("user", " please remember this", F.col("turn") % 14 == 0), "assistant": said("assistant", " tool", F.col("turn") % 4 == 2)})
+    return memory.extraction_batches(turns, tokens=300, mentions=2)
 
 
 @query("""

@@ -316,13 +316,28 @@ def repair_endpoints(spark, sf_dir):
 
 @query("""
 SELECT DISTINCT c_custkey AS query_id, upper(n.n_name) AS name FROM customer c JOIN nation m ON c.c_nationkey = m.n_nationkey JOIN nation n
-ON contains(' ' || upper('orders from ' || m.n_name || ' and ' || m.n_name || ' to china') || ' ', ' ' || upper(n.n_name) || ' ')""")
+ON contains(upper('orders from ' || m.n_name || ' and ' || m.n_name || ' to china'), upper(n.n_name))""")
 def link_query_entities(spark, sf_dir):
     nation = table(spark, sf_dir, "nation")
     queries = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("orders from "), "n_name", F.lit(" and "), "n_name", F.lit(" to china")).alias("text"))
     return graph.link_query_entities(queries, nation.select(F.col("n_nationkey").alias("seq"), F.upper("n_name").alias("name")))
 
 
+@query("""
+WITH n AS (SELECT n_nationkey AS seq, upper(n_name) AS name FROM nation),
+asked AS (SELECT s_suppkey AS query_id, upper(CASE WHEN s_suppkey % 3 = 0 THEN n_name WHEN s_suppkey % 3 = 1 THEN substring(n_name, 2, 3) ELSE 'the ' || n_name || ' and china' END) AS asked FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+best AS (SELECT query_id, coalesce((SELECT name FROM n WHERE name = asked), (SELECT arg_min(name, seq) FROM n WHERE contains(name, asked) OR contains(asked, name))) AS name FROM asked)
+SELECT query_id, name FROM best WHERE name IS NOT NULL
+UNION SELECT s_suppkey, name FROM supplier, n WHERE contains(upper('supplies' || s_suppkey || 'chinaindia'), name)""")
+def link_extracted_entities(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    s = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    kind = F.col("s_suppkey") % 3
+    name = F.when(kind == 0, F.col("n_name")).when(kind == 1, F.substring("n_name", 2, 3)).otherwise(F.concat(F.lit("the  "), "n_name", F.lit(" and china ")))
+    queries = s.select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("supplies"), F.col("s_suppkey").cast("string"), F.lit("chinaindia")).alias("text"))
+    return graph.link_query_entities(queries, nation.select(F.col("n_nationkey").alias("seq"), F.upper("n_name").alias("name")), s.select(F.col("s_suppkey").alias("query_id"), name.alias("name")))
+
+
 @query("""
 WITH RECURSIVE e AS (SELECT DISTINCT 'C' || o_custkey AS a, 'P' || o_orderkey AS b FROM orders),
 both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),

@@ -261,3 +261,39 @@ def test_readers_keep_cells_and_survive_bad_files(spark, tmp_path):
     assert sorted(r.filepath[-5:] for r in sources.read_documents(spark, str(folder)).collect()) == ["a.csv", "b.csv", "e.csv"]
     bad = sources.read_documents(spark, str(folder), errors=True).where("error is not null").collect()
     assert [(r.filepath[-5:], r.content) for r in bad] == [("c.csv", None)]
+
+
+def test_names_are_found_inside_words_and_in_any_script(spark):
+    queries = spark.createDataFrame([(1, "请问张三的公司在哪里"), (2, "prices at Acmecorp, new  york"), (3, None), (4, "x")], "query_id long, text string")
+    entities = spark.createDataFrame([(0, "张三"), (1, "ACME"), (2, "NEW YORK"), (3, "X"), (4, ""), (5, "ACME HOLDING"), (6, "张三丰")], "seq long, name string")
+    got = sorted(map(tuple, graph.link_query_entities(queries, entities).collect()))
+    assert got == [(1, "张三"), (2, "ACME"), (4, "X")]
+    told = spark.createDataFrame([(3, " new  york "), (3, "holding"), (3, "the acme of it"), (4, "nobody"), (4, ""), (2, "三")], "query_id long, name string")
+    got = sorted(map(tuple, graph.link_query_entities(queries, entities, told).collect()))
+    assert got == sorted([(1, "张三"), (2, "ACME"), (4, "X"), (3, "NEW YORK"), (3, "ACME HOLDING"), (3, "ACME"), (2, "张三")])
+    assert graph.link_query_entities(queries, entities.where("seq = 4")).collect() == []
+
+
+def test_extraction_batches_equal_the_fold(spark):
+    """Batches looked up in running sums are those of a fold, for conversations with signals, tools and pending tails."""
+    rnd = random.Random(9)
+    rows = []
+    for conv in range(12):
+        for turn in range(rnd.choice([0, 1, 2, 40, 90])):
+            rows.append((conv, turn, rnd.choice(["a" * rnd.randrange(120), "please remember me", None, "hi"]), rnd.choice([None, "tool " * rnd.randrange(4), "b" * rnd.randrange(200)])))
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, user string, assistant string").repartition(5)
+    tokens = lambda t: -(-len(t or "") // 4)
+    for most, mentions in ((50, 3), (1, 1), (0, 0), (5000, 2)):
+        want = []
+        for conv in {r[0] for r in rows}:
+            held, cost, named, batch = [], 0, 0, 0
+            for _, turn, user, said in sorted(r for r in rows if r[0] == conv):
+                held.append(turn)
+                cost += tokens(user) + tokens(said)
+                named += (said or "").count("tool")
+                if "remember" in (user or "") or (cost >= most and (named >= mentions or not (said or "").count("tool"))):
+                    batch += 1
+                    want += [(conv, t, batch) for t in held]
+                    held, cost, named = [], 0, 0
+            want += [(conv, t, 0) for t in held]
+        assert sorted(map(tuple, memory.extraction_batches(turns, most, mentions).collect())) == sorted(want), (most, mentions)
