@@ -7,8 +7,10 @@ intervals, one in each transform; extending it by a word to the right (left) tak
 (forward) interval, and the symbols below the new one move the other interval along.
 
 Level by level: a shard extends its frequent phrases of k words, and keeps an extension whose last k words are frequent too; counts
-are summed over shards, and the frequent sums go back to the shards they came from.  A phrase that reaches the least count does
-so in all its parts, so nothing is lost.  Indexes are written once, bucketed by shard, and read from there at each level.
+are summed over LOT neighbouring shards in their task and over all lots by Spark, and a lot is told which of its phrases
+are frequent.  Intervals aren't sent: a shard walks again from its words through the frequent phrases of each level.  A phrase
+that reaches the least count does so in all its parts, so nothing is lost.  Indexes are written once by the tasks that build
+them, bucketed by lot, and each level reads them from there without a shuffle.
 """
 
 from __future__ import annotations
@@ -27,14 +29,14 @@ from pyspark.sql import Window
 
 from quarry.llm.common import materialize, scratch
 
-SHARD = 1 << 20
+SHARD, LOT = 1 << 20, 4
 LEAST, LONGEST, TOP, PERCENT = 100, 5, 2000, 100
-#: Tables of at most so many frequent phrases (three numbers each) are broadcast to the rows that ask for them; larger ones are joined by key.
+#: Tables of at most so many frequent words or languages are broadcast to the rows that ask for them; larger ones are joined by key.
 BROADCAST = 1 << 20
 #: Ends a piece; no word, as pieces are cut at it.
 END = b"."
 CUTS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\t", b"\n\n\n\n\n\n\n\n\n\n ")
-TEXTS = 256
+TEXTS, BATCH = 256, 1 << 15
 
 
 def tokens(texts: list[bytes]) -> list[bytes]:
@@ -67,24 +69,25 @@ def packed(values: np.ndarray) -> bytes:
 
 def unpacked(blob: bytes, n: int) -> np.ndarray:
     planes = np.frombuffer(pa.decompress(blob, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
 class Side:
     """One transform with its last-to-first mapping."""
 
     def __init__(self, bwt: np.ndarray):
-        self.bwt, self.order = bwt, stable_order(bwt)
-        self.first = np.empty(len(bwt), np.int64)
-        self.first[self.order] = np.arange(len(bwt))
-        self.inner = np.concatenate([[0], np.cumsum(bwt != 0)])
+        self.bwt, self.order = bwt, stable_order(bwt).astype(np.int32)
+        self.first = np.empty(len(bwt), np.int32)
+        self.first[self.order] = np.arange(len(bwt), dtype=np.int32)
+        self.inner = np.zeros(len(bwt) + 1, np.int32)
+        np.cumsum(bwt != 0, out=self.inner[1:])
 
     def extended(self, lows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
         """All extensions by one word of disjoint intervals: (parent, symbol, low, count, symbols below it in the parent)."""
-        parent = np.repeat(np.arange(len(lows)), counts)
-        rows = np.arange(len(parent)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(lows, counts)
+        parent = np.repeat(np.arange(len(lows), dtype=np.int32), counts)
+        rows = np.arange(len(parent), dtype=np.int32) + np.repeat((lows - np.cumsum(counts) + counts).astype(np.int32), counts)
         inside = self.bwt[rows] != 0
-        owner = np.full(len(self.bwt), -1, np.int64)
+        owner = np.full(len(self.bwt), -1, np.int32)
         owner[self.first[rows[inside]]] = parent[inside]
         places = np.flatnonzero(owner >= 0)
         owners, symbols = owner[places], self.bwt[self.order[places]]
@@ -124,7 +127,7 @@ class Index:
         return parent, symbol, new, back[parent] + below, counted
 
 
-SHARDS = "shard long, lang string, n long, length int, words array<string>, counts array<int>, lows array<int>, forward binary, backward binary"
+SHARDS = "lot long, shard int, lang string, n long, length int, words array<string>, counts array<int>, lows array<int>, forward binary, backward binary"
 
 
 def _indexed(depth: int, size: int):
@@ -132,16 +135,17 @@ def _indexed(depth: int, size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[dict, list[np.ndarray], list[int]]] = {}
-        base = count(TaskContext.get().partitionId() << 33)
+        base, numbers = TaskContext.get().partitionId() << 33, count()
 
         def stored(lang: str) -> pa.RecordBatch:
             words, parts, _ = held.pop(lang)
             sequence = np.concatenate(parts)
             counts = np.bincount(sequence, minlength=len(words))
-            row = [next(base), lang, int(counts[1:].sum()), len(sequence), list(words)[1:], counts[1:].astype(np.int32), (np.cumsum(counts) - counts)[1:].astype(np.int32), packed(transform(sequence, depth)), packed(transform(sequence[::-1], depth))]
-            types = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+            number = next(numbers)
+            row = [base + number // LOT, number % LOT, lang, int(counts[1:].sum()), len(sequence), list(words)[1:], counts[1:].astype(np.int32), (np.cumsum(counts) - counts)[1:].astype(np.int32), packed(transform(sequence, depth)), packed(transform(sequence[::-1], depth))]
+            types = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
             arrays = [pa.array([x], t) for x, t in zip(row, types, strict=True)]
-            arrays[4] = arrays[4].cast(pa.list_(pa.string()))
+            arrays[5] = arrays[5].cast(pa.list_(pa.string()))
             return pa.RecordBatch.from_arrays(arrays, [f.split(" ")[0] for f in SHARDS.split(", ")])
 
         for batch in batches:
@@ -166,26 +170,71 @@ def _indexed(depth: int, size: int):
     return run
 
 
-GRAMS = "shard long, low int, back int, n int, before int, after int, prefix long, suffix long"
+GRAMS = "lot long, prefix long, suffix long, n long, before long, after long"
+
+
+class Walk:
+    """The frequent phrases of a lot, level by level, and their intervals in one of its shards after another."""
+
+    def __init__(self, known: pa.Table):
+        level = known.column("level").to_numpy()
+        prefix, suffix, gram = (known.column(c).to_numpy() for c in ("prefix", "suffix", "gram"))
+        lists = known.filter(pa.array(level == 1)).column("places").combine_chunks()
+        self.words = lists.flatten().to_numpy().reshape(-1, 3)
+        self.word_grams = np.repeat(gram[level == 1], np.diff(lists.offsets.to_numpy()) // 3)
+        self.grams, self.pairs = [np.unique(gram[level == 1])], []
+        for k in range(2, int(level.max(initial=1)) + 1):
+            here = level == k
+            keys = self.keyed(k - 1, prefix[here], suffix[here])
+            by = np.argsort(keys)
+            self.pairs.append((keys[by], gram[here][by]))
+            self.grams.append(np.unique(gram[here]))
+
+    def keyed(self, k: int, prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+        """One number for two phrases of k words, by their places among the lot's."""
+        own = self.grams[k - 1]
+        return np.searchsorted(own, prefix) * len(own) + np.searchsorted(own, suffix)
+
+    def extensions(self, shard: int, index: Index) -> tuple[np.ndarray, ...]:
+        """(prefix, suffix, low, back, count) of the extensions of the longest frequent phrases."""
+        mine = self.words[:, 0] == shard
+        (_, low, counts), gram = self.words[mine].T.astype(np.int64), self.word_grams[mine]
+        back = low
+        for k in range(1, len(self.grams) + 1):
+            by = np.argsort(back)
+            low, back, counts, gram = low[by], back[by], counts[by], gram[by]
+            parent, _, new_low, new_back, counted = index.right(low, back, counts)
+            # read backwards, the new phrase begins with its last k words: their interval holds the new one
+            last = np.searchsorted(back, new_back, side="right") - 1
+            keep = (last >= 0) & (new_back < back[last] + counts[last])
+            prefix, suffix, low, back, counts = gram[parent[keep]], gram[last[keep]], new_low[keep], new_back[keep], counted[keep]
+            if k < len(self.grams):
+                keys, grams = self.pairs[k - 1]
+                wanted = self.keyed(k, prefix, suffix)
+                at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+                told = keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
+                low, back, counts, gram = low[told], back[told], counts[told], grams[at[told]]
+        return prefix, suffix, low, back, counts
 
 
 def _extended(key: tuple[pa.Scalar, ...], index: pa.Table, known: pa.Table) -> pa.Table:
-    """One shard's frequent phrases of k words (low, back, n, gram) -> its phrases of k + 1 words with two frequent parts."""
-    names = [f.split(" ")[0] for f in GRAMS.split(", ")]
-    if not index.num_rows or not known.num_rows:
-        return pa.table({n: pa.array([], pa.int64() if n in ("shard", "prefix", "suffix") else pa.int32()) for n in names})
-    n = index.column("length")[0].as_py()
-    held = Index(*[unpacked(index.column(c)[0].as_py(), n) for c in ("forward", "backward")])
-    low, back, counts, gram = (known.column(c).to_numpy().astype(np.int64) for c in ("low", "back", "n", "gram"))
-    by = np.argsort(back)
-    low, back, counts, gram = low[by], back[by], counts[by], gram[by]
-    parent, _, new_low, new_back, counted = held.right(low, back, counts)
-    # read backwards, the new phrase begins with its last k words: their interval holds the new one
-    last = np.searchsorted(back, new_back, side="right") - 1
-    keep = (last >= 0) & (new_back < back[last] + counts[last])
-    parent, last, new_low, new_back, counted = parent[keep], last[keep], new_low[keep], new_back[keep], counted[keep]
-    columns = (np.full(len(parent), key[0].as_py()), new_low, new_back, counted, held.forward.extendable(new_low, counted), held.backward.extendable(new_back, counted), gram[parent], gram[last])
-    return pa.table({name: pa.array(c, pa.int64() if name in ("shard", "prefix", "suffix") else pa.int32()) for name, c in zip(names, columns, strict=True)})
+    """One lot's frequent phrases of up to k words -> its phrases of k + 1 words with two frequent parts."""
+    pairs, sums = [np.zeros((2, 0), np.int64)], [np.zeros((3, 0), np.int32)]
+    if known.num_rows:
+        walk = Walk(known)
+        for row in range(index.num_rows):
+            both = Index(*[unpacked(index.column(c)[row].as_py(), index.column("length")[row].as_py()) for c in ("forward", "backward")])
+            prefix, suffix, low, back, counts = walk.extensions(index.column("shard")[row].as_py(), both)
+            pairs.append(np.stack([prefix, suffix]))
+            sums.append(np.stack([counts, both.forward.extendable(low, counts), both.backward.extendable(back, counts)]).astype(np.int32))
+            del both
+    pair, rows = np.concatenate(pairs, axis=1), np.concatenate(sums, axis=1)
+    order = np.lexsort(pair[::-1])
+    pair, rows = pair[:, order], rows[:, order]
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(pair) != 0).any(0)])) if len(order) else order
+    summed = [np.add.reduceat(r.astype(np.int64), new) if len(new) else r.astype(np.int64) for r in rows]
+    out = pa.table([pa.array(np.full(len(new), key[0].as_py())), pa.array(pair[0, new]), pa.array(pair[1, new]), *map(pa.array, summed)], [f.split(" ")[0] for f in GRAMS.split(", ")])
+    return pa.concat_tables([out.slice(at, BATCH) for at in range(0, max(1, len(new)), BATCH)])
 
 
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, shard: int = SHARD, broadcast: int = BROADCAST) -> tuple[DataFrame, DataFrame]:
@@ -198,40 +247,37 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
     name = f"phrases_{uuid.uuid4().hex}"
-    built = rows.mapInArrow(_indexed(longest, shard), SHARDS).repartition(buckets, "shard")
-    built.write.bucketBy(buckets, "shard").option("path", scratch(spark, "indexes")).option("compression", "zstd").saveAsTable(name)
+    rows.mapInArrow(_indexed(longest, shard), SHARDS).write.bucketBy(buckets, "lot").option("path", scratch(spark, "indexes")).option("compression", "zstd").saveAsTable(name)
     indexes = spark.table(name)
     totals = materialize(indexes.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    words = indexes.select("shard", "lang", F.explode(F.arrays_zip("words", "counts", "lows")).alias("w"))
-    words = materialize(words.select("shard", "lang", F.col("w.words").alias("word"), F.col("w.counts").alias("n"), F.col("w.lows").alias("low")), "words")
+    words = indexes.select("lot", "shard", "lang", F.explode(F.arrays_zip("words", "counts", "lows")).alias("w"))
+    words = materialize(words.select("lot", "lang", F.col("w.words").alias("word"), F.col("w.counts").alias("n"), F.array("shard", "w.lows", "w.counts").alias("places")), "words")
     level = words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    level = level.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "f", F.col("word").alias("last"), F.monotonically_increasing_id().alias("gram"))
     none = F.lit(None).cast("long")
-    known, found = None, []
-    for k in range(1, longest + 1):
-        level = materialize(level, "frequent")
-        size = level.count()
-        few = (lambda df: F.broadcast(df)) if size <= broadcast else (lambda df: df)
-        if k == 1:
-            known = words.join(few(level.select("lang", F.col("phrase").alias("word"), "gram")), ["lang", "word"]).select("shard", "low", F.col("low").alias("back"), "n", "gram")
-            found.append(level.select("lang", "phrase", "words", "f", none.alias("before"), none.alias("after")))
-        else:
-            known = grams.join(few(level.select("prefix", "suffix", "gram")), ["prefix", "suffix"]).select("shard", "low", "back", "n", "gram", "before", "after")
-            known = materialize(known, "known")
-            sides = known.groupBy("gram").agg(F.sum("before").alias("before"), F.sum("after").alias("after"))
-            found.append(level.join(sides, "gram").select("lang", "phrase", "words", "f", "before", "after"))
-        if k == longest or not size:
-            break
-        grams = indexes.select("shard", "length", "forward", "backward").groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_extended, GRAMS)
+    level = level.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "f", none.alias("before"), none.alias("after"), F.col("word").alias("last"), F.monotonically_increasing_id().alias("gram"))
+    level = materialize(level, "frequent")
+    few = F.broadcast(level) if level.count() <= broadcast else level
+    known = words.join(few.select("lang", F.col("phrase").alias("word"), "gram"), ["lang", "word"]).select("lot", F.lit(1).alias("level"), none.alias("prefix"), none.alias("suffix"), "gram", "places")
+    found = [level]
+    for k in range(2, longest + 1):
+        grams = indexes.select("lot", "shard", "length", "forward", "backward").groupBy("lot").cogroup(known.groupBy("lot")).applyInArrow(_extended, GRAMS)
+        grams = grams.withColumn("f", F.sum("n").over(Window.partitionBy("prefix", "suffix"))).where(F.col("f") >= least)  # a row a lot at most
         grams = materialize(grams, "grams")
-        sums = grams.groupBy("prefix", "suffix").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+        sums = grams.groupBy("prefix", "suffix").agg(F.max("f").alias("f"), F.sum("before").alias("before"), F.sum("after").alias("after"))
         first = level.select(F.col("gram").alias("prefix"), "lang", "phrase")
         second = level.select(F.col("gram").alias("suffix"), "last")
-        level = sums.join(first, "prefix").join(second, "suffix").select("lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), F.lit(k + 1).alias("words"), "f", "last", "prefix", "suffix", F.monotonically_increasing_id().alias("gram"))
+        level = materialize(sums.join(first, "prefix").join(second, "suffix").select("lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), F.lit(k).alias("words"), "f", "before", "after", "last", "prefix", "suffix"), "frequent")
+        gram = next(g for g in (F.xxhash64(F.lit(seed), "prefix", "suffix") for seed in count()) if level.groupBy(g.alias("g")).count().where("count > 1").isEmpty())
+        level = level.withColumn("gram", gram)
+        known = known.unionAll(grams.select("lot", F.lit(k), "prefix", "suffix", gram, F.lit(None).cast("array<int>")))
+        found.append(level)
+        if level.isEmpty():
+            break
     spark.sql(f"drop table {name}")
-    out = found[0]
+    columns = ("lang", "phrase", "words", "f", "before", "after")
+    out = found[0].select(*columns)
     for more in found[1:]:
-        out = out.unionAll(more)
+        out = out.unionAll(more.select(*columns))
     return out, totals
 
 
