@@ -36,11 +36,20 @@ def compare_configs(scores: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def aggregate_reviews(reviews: DataFrame) -> DataFrame:
-    """reviews(task_id, reviewer, approved, issues array<struct<severity,text>>): approved iff all approve and nothing is high."""
-    severity = lambda level: F.size(F.filter("issues", lambda i: F.when(i["severity"].isin("high", "medium"), i["severity"]).otherwise("low") == level))
-    per = reviews.select("task_id", "approved", *[severity(s).alias(s) for s in ("high", "medium", "low")])
-    total = per.groupBy("task_id").agg(F.bool_and("approved").alias("all"), F.count_if("approved").alias("yes"), F.count("*").alias("n"), *[F.sum(s).alias(s) for s in ("high", "medium", "low")])
-    return total.select("task_id", (F.col("all") & (F.col("high") == 0)).alias("approved"), F.concat_ws("/", F.col("yes").cast("string"), F.col("n").cast("string")).alias("ratio"), "high", "medium", "low")
+    """reviews(task_id, reviewer, approved, issues array<struct<severity,text>>[, suggestions array]): approved iff all approve and nothing is high.
+
+    Issues and suggestions of a task follow each other by reviewer; null arrays count as empty, null suggestions go.
+    """
+    if "suggestions" not in reviews.columns:
+        reviews = reviews.withColumn("suggestions", F.array().cast("array<string>"))
+    level = lambda i: F.lower(F.coalesce(i["severity"], F.lit("")))
+    severity = lambda name: F.size(F.filter("all_issues", lambda i: F.when(level(i).isin("high", "medium"), level(i)).otherwise("low") == name)).cast("long")
+    ordered = F.array_sort(F.collect_list(F.struct("reviewer", F.coalesce("issues", F.array().cast(reviews.schema["issues"].dataType)).alias("issues"), F.coalesce("suggestions", F.array().cast("array<string>")).alias("suggestions"))))
+    total = reviews.groupBy("task_id").agg(F.bool_and("approved").alias("all"), F.count_if("approved").alias("yes"), F.count("*").alias("n"), ordered.alias("o"))
+    total = total.withColumn("all_issues", F.flatten(F.transform("o", lambda x: x["issues"])))
+    suggestions = F.filter(F.flatten(F.transform("o", lambda x: x["suggestions"])), lambda x: x.isNotNull())
+    ratio = F.concat_ws("/", F.col("yes").cast("string"), F.col("n").cast("string"))
+    return total.select("task_id", (F.col("all") & (severity("high") == 0)).alias("approved"), ratio.alias("ratio"), *[severity(x).alias(x) for x in ("high", "medium", "low")], F.col("all_issues").alias("issues"), suggestions.alias("suggestions"))
 
 
 def confusion_metrics(rows: DataFrame, label: str = "label", predicted: str = "predicted") -> DataFrame:

@@ -71,10 +71,12 @@ def _runs(rows: DataFrame, column: str, n: int = 4) -> DataFrame:
 
 
 def graph_stats(entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """One row: nodes, edges, mean degree over nodes that have edges, greatest degree."""
+    """One row: nodes, edges, mean degree over nodes that have edges, greatest degree, and types(entity_type, n), the most frequent first."""
     degree = relations.select(F.explode(F.array("source", "target")).alias("name")).groupBy("name").agg(F.count("*").alias("d"))
     shape = degree.agg(F.avg("d").alias("mean_degree"), F.max("d").alias("max_degree"))
-    return entities.agg(F.count("*").alias("nodes")).join(relations.agg(F.count("*").alias("edges"))).join(shape)
+    types = entities.groupBy("entity_type").agg(F.count("*").alias("n"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "entity_type", "n"))), lambda x: F.struct(x["entity_type"].alias("entity_type"), x["n"].alias("n")))
+    return types.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("nodes"), listed.alias("types")).join(relations.agg(F.count("*").alias("edges"))).join(shape)
 
 
 def neighbors(relations: DataFrame, seeds: DataFrame, hops: int = 1) -> tuple[DataFrame, DataFrame]:

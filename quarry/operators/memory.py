@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import estimate_tokens_mixed, estimate_tokens_quarter, is_sensitive, memory_signal, outcome_importance, redact_secrets
+from quarry.functions.text import estimate_tokens_mixed, estimate_tokens_quarter, is_sensitive, memory_signal, outcome_importance, redact_secrets, sanitize_json
 from quarry.functions.vectors import cosine
 from quarry.plans.stages import written
 
@@ -167,14 +167,16 @@ def evict(state: DataFrame, cap: int = 30) -> DataFrame:
     return state.withColumn("r", F.row_number().over(order)).where(F.col("r") <= cap).drop("r")
 
 
-def apply_semantic_ops(state: DataFrame, ops: DataFrame, now: Column) -> DataFrame:
+def apply_semantic_ops(state: DataFrame, ops: DataFrame, now: Column, cap: int | None = None, retention_days: float = 30) -> DataFrame:
     """state(category, key, value, importance, created_at, updated_at, recall_count, last_recalled_at, embedding) after one batch.
 
     Facts only; deletes act before upserts; an upsert of equal value and importance changes nothing, another keeps
-    created_at and recalls; a dimension other than the state's rejects the batch.
+    created_at and recalls; a dimension other than the state's rejects the batch.  Values are trimmed.  With a `cap` what is forgotten
+    after `retention_days` goes, and of the rest the `cap` facts of lowest forgetting score stay.
     """
     keys = ["category", "key"]
     good = ops.where((F.col("category") == "fact") & ~is_sensitive(F.col("key")) & ~F.coalesce(is_sensitive(F.col("value")), F.lit(False)))
+    good = good.withColumn("value", F.regexp_replace("value", r"^\s+|\s+$", ""))
     new = good.where("action = 'upsert'").groupBy(*keys).agg(*[F.max_by(c, "seq").alias(f"new_{c}") for c in ("value", "importance", "embedding")])
     sizes = {r[0] for r in state.select(F.size("embedding")).union(new.select(F.size("new_embedding"))).distinct().limit(3).collect()}
     if len(sizes) > 1:
@@ -183,15 +185,46 @@ def apply_semantic_ops(state: DataFrame, ops: DataFrame, now: Column) -> DataFra
     both = old.join(new, keys, "full_outer")
     changed = F.col("new_value").isNotNull() & ~(F.col("value").eqNullSafe(F.col("new_value")) & F.col("importance").eqNullSafe(F.col("new_importance")))
     pick = lambda c: F.when(changed, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c)
-    return both.select(*keys, pick("value"), pick("importance"), F.coalesce("created_at", now).alias("created_at"), F.when(changed, now).otherwise(F.col("updated_at")).alias("updated_at"), F.coalesce("recall_count", F.lit(0)).alias("recall_count"), "last_recalled_at", pick("embedding"))
+    out = both.select(*keys, pick("value"), pick("importance"), F.coalesce("created_at", now).alias("created_at"), F.when(changed, now).otherwise(F.col("updated_at")).alias("updated_at"), F.coalesce("recall_count", F.lit(0)).alias("recall_count"), "last_recalled_at", pick("embedding"))
+    return out if cap is None else prune(out, now, retention_days, cap, "key").drop("score")
 
 
-def record_episodes(runs: DataFrame) -> DataFrame:
-    """runs(id, task, outcome, error, summary, created_at) -> redacted and capped episodes; blank tasks are skipped."""
-    cap = lambda c, n: F.substring(redact_secrets(F.col(c)), 1, n)
-    outcome = F.when(F.coalesce("error", F.lit(False)), "failure").otherwise(F.coalesce("outcome", F.lit("partial")))
-    summary = F.when(F.trim(F.coalesce("summary", F.lit(""))) != "", cap("summary", 800)).otherwise(F.concat(F.lit("No reflection; outcome "), outcome))
-    return runs.where(F.trim(F.coalesce("task", F.lit(""))) != "").select("id", cap("task", 2000).alias("task"), outcome.alias("outcome"), summary.alias("summary"), outcome_importance(outcome, F.col("error")).alias("importance"), "created_at", F.lit(0).alias("recall_count"), F.lit(None).cast("timestamp").alias("last_recalled_at"))
+#: What stands in for a missing reflection or a blank field.
+NO_SUMMARY, NO_STRATEGY = "无可用摘要", "无可用策略"
+FAILED = ("任务执行期间发生异常。", "执行在异常点终止，已保留脱敏轨迹供后续排查。")
+UNREFLECTED = ("任务已返回结果，但自动反思未能完成。", "保留已执行的脱敏工具轨迹，供后续人工复盘。", "反思器失败: ")
+
+
+def record_episodes(runs: DataFrame, now: Column | None = None, cap: int = 500, retention_days: float = 90) -> DataFrame:
+    """runs(id, task, outcome, error, summary, created_at[, strategy, lessons, pitfalls, steps, error_text, reflection_error]) -> redacted and capped episodes.
+
+    A run without a summary has no reflection: fixed texts and the error's text stand in for it, and its outcome is failure after an error, else
+    partial.  Lists keep five entries of 300 characters, blank ones go; steps(tool, args, result_preview) keep 100, args as cleaned JSON.
+    Blank tasks are skipped.  With `now`, forgotten episodes go and the `cap` of lowest forgetting score stay.
+    """
+    for name, kind in (("strategy", "string"), ("lessons", "array<string>"), ("pitfalls", "array<string>"), ("error_text", "string"), ("reflection_error", "string")):
+        if name not in runs.columns:
+            runs = runs.withColumn(name, F.lit(None).cast(kind))
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    cap_text = lambda c, n, blank: F.coalesce(F.nullif(F.substring(redact_secrets(text(c)), 1, n), F.lit("")), F.lit(blank))
+    failed, bare = F.coalesce("error", F.lit(False)), F.col("summary").isNull()
+    outcome = F.when(failed, "failure").otherwise(F.when(bare, "partial").otherwise(F.coalesce("outcome", F.lit("partial"))))
+    few = lambda c: F.filter(F.transform(F.slice(F.coalesce(c, F.array().cast("array<string>")), 1, 5), lambda x: F.substring(redact_secrets(x), 1, 300)), lambda x: x.rlike(r"\S"))
+    instead = F.when(failed, F.array(F.substring(redact_secrets(text("error_text")), 1, 300))).otherwise(F.array(F.concat(F.lit(UNREFLECTED[2]), F.substring(redact_secrets(text("reflection_error")), 1, 240))))
+    kept = runs.where(F.trim(text("task")) != "")
+    out = kept.select(
+        "id", F.substring(redact_secrets(F.col("task")), 1, 2000).alias("task"), outcome.alias("outcome"),
+        F.when(bare, F.when(failed, FAILED[0]).otherwise(UNREFLECTED[0])).otherwise(cap_text("summary", 800, NO_SUMMARY)).alias("summary"),
+        F.when(bare, F.when(failed, FAILED[1]).otherwise(UNREFLECTED[1])).otherwise(cap_text("strategy", 800, NO_STRATEGY)).alias("strategy"),
+        F.when(bare, F.array().cast("array<string>")).otherwise(few(F.col("lessons"))).alias("lessons"), F.when(bare, instead).otherwise(few(F.col("pitfalls"))).alias("pitfalls"),
+        outcome_importance(outcome, F.col("error")).alias("importance"), "created_at", F.lit(0).alias("recall_count"), F.lit(None).cast("timestamp").alias("last_recalled_at"),
+    )
+    if "steps" in runs.columns:
+        one = kept.select("id", F.posexplode(F.slice("steps", 1, 100)).alias("at", "s"))
+        clean = F.struct("at", F.substring("s.tool", 1, 100).alias("tool"), sanitize_json(F.col("s.args")).alias("args"), F.substring(redact_secrets(F.coalesce("s.result_preview", F.lit(""))), 1, 500).alias("result_preview"))
+        steps = one.select("id", clean.alias("s")).groupBy("id").agg(F.transform(F.array_sort(F.collect_list("s")), lambda x: x.dropFields("at")).alias("steps"))
+        out = out.join(steps, "id", "left")
+    return out if now is None else prune(out, now, retention_days, cap, "id", time="created_at").drop("score")
 
 
 def _first_at_least(rows: DataFrame, total: str, asked: Column) -> DataFrame:

@@ -77,25 +77,35 @@ _OUTCOME = "CASE WHEN turn % 3 = 0 THEN 'success' WHEN turn % 3 = 1 THEN 'failur
 
 
 @query(f"""
-WITH {_TURNS}, r AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN conv_id % 9 = 0 THEN ' ' ELSE concat(t.user, ' password: ab12') END AS task, CASE WHEN conv_id % 7 = 0 THEN 'failure' ELSE coalesce({_OUTCOME}, 'partial') END AS outcome,
-  CASE WHEN conv_id % 5 <> 0 THEN assistant END AS summary FROM turns t)
-SELECT id, substring({_redacted("task")}, 1, 2000) AS task, outcome, coalesce(substring({_redacted("summary")}, 1, 800), 'No reflection; outcome ' || outcome) AS summary,
-  CAST(CASE outcome WHEN 'failure' THEN 0.7 WHEN 'success' THEN 0.6 ELSE 0.5 END AS DOUBLE) AS importance FROM r WHERE trim(task) <> ''""")
+WITH {_TURNS}, r AS (SELECT conv_id * 1000 + turn AS id, conv_id % 7 = 0 AS error, conv_id % 5 = 0 AS bare, CASE WHEN conv_id % 9 = 0 THEN ' ' ELSE concat(t.user, ' password: ab12') END AS task, {_OUTCOME} AS said,
+  CASE WHEN turn % 8 = 2 THEN '' ELSE assistant END AS summary, CASE WHEN turn % 4 = 0 THEN concat('token: zz99 ', t.user) END AS strategy, concat('api_key = 12345 ', assistant) AS lesson, t.user AS pitfall FROM turns t),
+o AS (SELECT *, CASE WHEN error THEN 'failure' WHEN bare THEN 'partial' ELSE coalesce(said, 'partial') END AS outcome FROM r)
+SELECT id, substring({_redacted("task")}, 1, 2000) AS task, outcome,
+  CASE WHEN bare THEN CASE WHEN error THEN '{memory.FAILED[0]}' ELSE '{memory.UNREFLECTED[0]}' END ELSE coalesce(nullif(substring({_redacted("summary")}, 1, 800), ''), '{memory.NO_SUMMARY}') END AS summary,
+  CASE WHEN bare THEN CASE WHEN error THEN '{memory.FAILED[1]}' ELSE '{memory.UNREFLECTED[1]}' END ELSE coalesce(substring({_redacted("strategy")}, 1, 800), '{memory.NO_STRATEGY}') END AS strategy,
+  CASE WHEN bare THEN '' ELSE concat_ws('|', substring({_redacted("lesson")}, 1, 300), '2', '4', '5') END AS lessons,
+  CASE WHEN bare THEN CASE WHEN error THEN substring({_redacted("pitfall")}, 1, 300) ELSE concat('{memory.UNREFLECTED[2]}', substring({_redacted("pitfall")}, 1, 240)) END ELSE substring({_redacted("pitfall")}, 1, 300) END AS pitfalls,
+  CAST(CASE outcome WHEN 'failure' THEN 0.7 WHEN 'success' THEN 0.6 ELSE 0.5 END AS DOUBLE) AS importance FROM o WHERE trim(task) <> ''""")
 def record_episodes(spark, sf_dir):
     runs = memory.pair_turns(table(spark, sf_dir, "conversations")).select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.when(F.col("conv_id") % 9 == 0, " ").otherwise(F.concat("user", F.lit(" password: ab12"))).alias("task"), F.expr(_OUTCOME).alias("outcome"),
-        (F.col("conv_id") % 7 == 0).alias("error"), F.when(F.col("conv_id") % 5 != 0, F.col("assistant")).alias("summary"), F.expr(NOW).alias("created_at"),
+        (F.col("conv_id") % 7 == 0).alias("error"), F.when(F.col("conv_id") % 5 != 0, F.when(F.col("turn") % 8 == 2, "").otherwise(F.col("assistant"))).alias("summary"), F.expr(NOW).alias("created_at"),
+        F.when(F.col("turn") % 4 == 0, F.concat(F.lit("token: zz99 "), "user")).alias("strategy"), F.array(F.concat(F.lit("api_key = 12345 "), "assistant"), *[F.lit(x) for x in ("2", " ", "4", "5", "6")]).alias("lessons"),
+        F.array("user").alias("pitfalls"), F.col("user").alias("error_text"), F.col("user").alias("reflection_error"),
     )
-    return memory.record_episodes(runs).select("id", "task", "outcome", "summary", "importance")
+    done = memory.record_episodes(runs).withColumns({c: F.array_join(c, "|") for c in ("lessons", "pitfalls")})
+    return done.select("id", "task", "outcome", "summary", "strategy", "lessons", "pitfalls", "importance")
 
 
 @query("""
 WITH st AS (SELECT user_id || ':' || event_type AS key, 'v' || count(*) % 3 AS value, CAST(0.5 AS DOUBLE) AS importance, count(*) AS recall_count FROM events WHERE event_id % 2 = 0 GROUP BY user_id, event_type),
 o AS (SELECT event_id AS seq, user_id || ':' || event_type AS key, event_id % 10 = 1 AS gone, 'v' || event_id % 3 AS value, CAST(CASE WHEN event_id % 5 = 0 THEN 0.9 ELSE 0.5 END AS DOUBLE) AS importance FROM events WHERE event_id % 2 = 1 AND event_id % 11 <> 0 AND event_id % 19 <> 0),
 u AS (SELECT key, arg_max(value, seq) AS value, arg_max(importance, seq) AS importance FROM o WHERE NOT gone GROUP BY key),
-k AS (SELECT * FROM st WHERE key NOT IN (SELECT key FROM o WHERE gone))
-SELECT key, coalesce(u.value, k.value) AS value, coalesce(u.importance, k.importance) AS importance, coalesce(recall_count, 0) AS recall_count, recall_count IS NULL AS created_now,
-  u.value IS NOT NULL AND (u.value IS DISTINCT FROM k.value OR u.importance IS DISTINCT FROM k.importance) AS updated_now FROM k FULL JOIN u USING (key)""")
+k AS (SELECT * FROM st WHERE key NOT IN (SELECT key FROM o WHERE gone)),
+done AS (
+  SELECT key, coalesce(u.value, k.value) AS value, coalesce(u.importance, k.importance) AS importance, coalesce(recall_count, 0) AS recall_count, recall_count IS NULL AS created_now,
+    u.value IS NOT NULL AND (u.value IS DISTINCT FROM k.value OR u.importance IS DISTINCT FROM k.importance) AS updated_now FROM k FULL JOIN u USING (key))
+SELECT * FROM done ORDER BY CASE WHEN updated_now THEN 0 ELSE 1 / ((1 + importance) * (1 + least(recall_count, 5) / 5.0)) END, key DESC LIMIT 60""")
 def apply_semantic_ops(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("key", F.concat_ws(":", F.col("user_id").cast("string"), "event_type"))
     n, vector = F.col("event_id"), F.array(F.lit(0.6), F.lit(0.8)).alias("embedding")
@@ -108,7 +118,7 @@ def apply_semantic_ops(spark, sf_dir):
         F.when(n % 10 == 1, "delete").otherwise("upsert").alias("action"), numbered(n), F.when(n % 5 == 0, 0.9).otherwise(0.5).alias("importance"), vector,
     )
     now = F.expr(NOW)
-    return memory.apply_semantic_ops(state, ops, now).select("key", "value", "importance", "recall_count", (F.col("created_at") == now).alias("created_now"), (F.col("updated_at") == now).alias("updated_now"))
+    return memory.apply_semantic_ops(state, ops, now, cap=60, retention_days=1e6).select("key", "value", "importance", "recall_count", (F.col("created_at") == now).alias("created_now"), (F.col("updated_at") == now).alias("updated_now"))
 
 
 def _count_gone(summary: str, gone: list) -> str:

@@ -144,14 +144,20 @@ def merge_evidence(spark, sf_dir):
 
 @query("""
 WITH s AS (SELECT l_orderkey AS plan_id, l_linenumber AS step_id, l_linenumber AS position, CASE WHEN l_linenumber = 1 THEN [] ELSE [l_linenumber - 1, l_partkey % 7 + 1] END AS d FROM lineitem),
+done AS (SELECT o_orderkey AS plan_id, unnest([o_custkey % 9 + 1, o_custkey % 4 + 1]) AS step_id FROM orders WHERE o_orderkey % 3 = 0),
+again AS (SELECT plan_id, count(*) AS n FROM s JOIN (SELECT DISTINCT * FROM done) USING (plan_id, step_id) GROUP BY 1),
 w AS (SELECT plan_id, position, unnest(d) AS need FROM s),
-m AS (SELECT plan_id, string_agg(DISTINCT CAST(need AS VARCHAR), ',' ORDER BY CAST(need AS VARCHAR)) AS missing FROM w WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.plan_id = w.plan_id AND s.step_id = w.need AND s.position < w.position) GROUP BY plan_id)
-SELECT plan_id, count(*) AS n_steps, count(*) - count(DISTINCT step_id) AS duplicates, coalesce(any_value(missing), '') AS missing FROM s LEFT JOIN m USING (plan_id) GROUP BY plan_id""")
+m AS (SELECT plan_id, string_agg(DISTINCT CAST(need AS VARCHAR), ',' ORDER BY CAST(need AS VARCHAR)) AS missing FROM w WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.plan_id = w.plan_id AND s.step_id = w.need AND s.position < w.position)
+  AND NOT EXISTS (SELECT 1 FROM done WHERE done.plan_id = w.plan_id AND done.step_id = w.need) GROUP BY plan_id)
+SELECT plan_id, count(*) AS n_steps, count(*) - count(DISTINCT step_id) + coalesce(any_value(n), 0) AS duplicates, count(*) FILTER (step_id < 2) AS below, coalesce(any_value(missing), '') AS missing,
+  count(*) - count(DISTINCT step_id) + coalesce(any_value(n), 0) = 0 AND count(*) FILTER (step_id < 2) = 0 AND any_value(missing) IS NULL AS valid FROM s LEFT JOIN m USING (plan_id) LEFT JOIN again USING (plan_id) GROUP BY plan_id""")
 def validate_plan(spark, sf_dir):
     line = F.col("l_linenumber").cast("long")
     needs = F.when(line == 1, F.array().cast("array<bigint>")).otherwise(F.array(line - 1, (F.col("l_partkey") % 7 + 1).cast("long")))
     steps = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("plan_id"), line.alias("step_id"), line.alias("position"), needs.alias("depends_on"))
-    return retrieval.validate_plan(steps)
+    c = F.col("o_custkey").cast("long")
+    done = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("plan_id"), F.explode(F.array(c % 9 + 1, c % 4 + 1)).alias("step_id"))
+    return retrieval.validate_plan(steps, done, minimum=2)
 
 
 @query("""
@@ -223,12 +229,16 @@ _SEV = "CASE WHEN l_quantity > 45 THEN 'high' WHEN l_quantity > 30 THEN 'medium'
 
 @query(f"""
 SELECT l_orderkey AS task_id, bool_and(l_discount < 0.08) AND count(*) FILTER ({_SEV} = 'high') = 0 AS approved, count(*) FILTER (l_discount < 0.08) || '/' || count(*) AS ratio,
-  count(*) FILTER ({_SEV} = 'high') AS high, count(*) FILTER ({_SEV} = 'medium') AS medium, count(*) FILTER ({_SEV} = 'odd') AS low FROM lineitem GROUP BY 1""")
+  count(*) FILTER ({_SEV} = 'high') AS high, count(*) FILTER ({_SEV} = 'medium') AS medium, count(*) FILTER ({_SEV} = 'odd') AS low,
+  coalesce(string_agg({_SEV} || ' ' || l_linenumber, ',' ORDER BY l_linenumber, {_SEV}), '') AS issues, coalesce(string_agg(CASE WHEN l_tax > 0.04 THEN 'check ' || l_linenumber END, ',' ORDER BY l_linenumber), '') AS suggestions FROM lineitem GROUP BY 1""")
 def aggregate_reviews(spark, sf_dir):
-    severity = F.when(F.col("l_quantity") > 45, "high").when(F.col("l_quantity") > 30, "medium").when(F.col("l_quantity") > 15, "odd")
-    issues = F.filter(F.array(F.struct(severity.alias("severity"), F.lit("text").alias("text"))), lambda i: i["severity"].isNotNull())
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("task_id"), F.col("l_suppkey").alias("reviewer"), (F.col("l_discount") < 0.08).alias("approved"), issues.alias("issues"))
-    return evaluation.aggregate_reviews(rows)
+    severity = F.when(F.col("l_quantity") > 45, "High").when(F.col("l_quantity") > 30, "medium").when(F.col("l_quantity") > 15, "odd")
+    line = F.col("l_linenumber").cast("string")
+    issues = F.filter(F.array(F.struct(severity.alias("severity"), line.alias("text"))), lambda i: i["severity"].isNotNull())
+    suggestions = F.when(F.col("l_tax") > 0.04, F.array(F.concat(F.lit("check "), line), F.lit(None)))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").alias("reviewer"), (F.col("l_discount") < 0.08).alias("approved"), issues.alias("issues"), suggestions.alias("suggestions"))
+    told = F.array_join(F.transform("issues", lambda i: F.concat_ws(" ", F.lower(i["severity"]), i["text"])), ",")
+    return evaluation.aggregate_reviews(rows).withColumn("issues", told).withColumn("suggestions", F.array_join("suggestions", ","))
 
 
 # Graph: suppliers and parts of order lines; a line relates its supplier to its part.
@@ -281,10 +291,13 @@ def build_graph(spark, sf_dir):
 
 @query(f"""
 WITH {_ENT}, {_REL_SQL}, deg AS (SELECT name, count(*) AS d FROM (SELECT source AS name FROM rels UNION ALL SELECT target FROM rels) GROUP BY name)
-SELECT (SELECT count(*) FROM entities) AS nodes, (SELECT count(*) FROM rels) AS edges, round(avg(d), 6) AS mean_degree, max(d) AS max_degree FROM deg""")
+SELECT (SELECT count(*) FROM entities) AS nodes, (SELECT count(*) FROM rels) AS edges, round(avg(d), 6) AS mean_degree, max(d) AS max_degree,
+  (SELECT string_agg(entity_type || ' ' || c, ',' ORDER BY c DESC, entity_type) FROM (SELECT entity_type, count(*) AS c FROM entities GROUP BY 1)) AS types FROM deg""")
 def graph_stats(spark, sf_dir):
     entities, relations = _rows(spark, sf_dir)
-    return graph.graph_stats(graph.merge_entities(entities), graph.merge_relationships(relations)).withColumn("mean_degree", F.round("mean_degree", 6))
+    return graph.graph_stats(graph.merge_entities(entities), graph.merge_relationships(relations)).withColumns({
+        "mean_degree": F.round("mean_degree", 6), "types": F.array_join(F.transform("types", lambda t: F.concat_ws(" ", t["entity_type"], t["n"].cast("string"))), ","),
+    })
 
 
 @query(f"""
