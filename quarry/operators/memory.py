@@ -98,8 +98,11 @@ def prune(rows: DataFrame, now: Column, retention_days: float, cap: int, key: st
     return retain_top(scored.where("score < 1"), cap, key, time, partition)
 
 
-def upgrade_memory(rows: DataFrame, version: int) -> DataFrame:
-    """Rows of version 1 get the later fields' defaults; version 2 passes; sensitive facts go; dimensions must agree."""
+def upgrade_memory(rows: DataFrame, version: int, now: Column | None = None, cap: int = 500, retention_days: float = 30) -> DataFrame:
+    """Rows of version 1 get the later fields' defaults; version 2 passes; sensitive facts go; dimensions must agree.
+
+    With `now`, a store above its capacity keeps the `cap` rows of lowest forgetting score.
+    """
     if version not in (1, 2):
         raise ValueError(f"unknown version: {version}")
     if version == 1:
@@ -107,7 +110,8 @@ def upgrade_memory(rows: DataFrame, version: int) -> DataFrame:
     sizes = rows.agg(F.count_distinct(F.size("embedding"))).first()[0]
     if sizes > 1:
         raise ValueError("embeddings of several dimensions")
-    return rows.where(~is_sensitive(F.col("key")) & ~is_sensitive(F.col("value")))
+    kept = rows.where(~is_sensitive(F.col("key")) & ~is_sensitive(F.col("value")))
+    return kept if now is None else retain_top(kept.withColumn("score", forgetting_score(now, retention_days)), cap, "key").drop("score")
 
 
 def recall(state: DataFrame, queries: DataFrame, k: int = 3, min_similarity: float = 0.35, time: str = "updated_at", digits: int = 9) -> DataFrame:

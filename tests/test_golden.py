@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import bpe, chunking, classify, evaluation, graph, layout, memory, retrieval
+from quarry.plans import retrieve
 from quarry.sources import documents as sources
 
 
@@ -297,3 +298,32 @@ def test_extraction_batches_equal_the_fold(spark):
                     held, cost, named = [], 0, 0
             want += [(conv, t, 0) for t in held]
         assert sorted(map(tuple, memory.extraction_batches(turns, most, mentions).collect())) == sorted(want), (most, mentions)
+
+
+def test_upgraded_stores(spark):
+    rows = [("fact", f"k{i}", "v", [1.0, 0.0], f"2024-01-0{i + 1} 00:00:00") for i in range(5)] + [("fact", "password", "x", [1.0, 0.0], "2024-01-09 00:00:00")]
+    old = spark.createDataFrame(rows, "category string, key string, value string, embedding array<double>, updated_at string").withColumn("updated_at", F.col("updated_at").cast("timestamp"))
+    got = memory.upgrade_memory(old, 1, F.lit("2024-01-10").cast("timestamp"), cap=2).collect()
+    assert sorted((r.key, r.importance, r.recall_count, r.last_recalled_at) for r in got) == [("k3", 0.5, 0, None), ("k4", 0.5, 0, None)]
+    assert memory.upgrade_memory(old, 1).count() == 5
+    mixed = old.withColumn("embedding", F.when(F.col("key") == "k1", F.array(F.lit(1.0))).otherwise(F.col("embedding")))
+    for wrong, version in ((old, 3), (mixed, 1)):
+        with pytest.raises(ValueError):
+            memory.upgrade_memory(wrong, version)
+
+
+def test_embedding_loss_log_manifest_and_context(spark, tmp_path):
+    sizes = []
+    texts = spark.createDataFrame([(i, "x" * i) for i in range(7)], "doc_id long, text string").coalesce(1)
+    got = bpe.embed(texts, lambda t: sizes.append(len(t)) or [[float(len(x)), 1.0] for x in t], batch=3).collect()
+    assert sorted((r.doc_id, r.embedding) for r in got) == [(i, [float(i), 1.0]) for i in range(7)]
+    rows = spark.createDataFrame([([0.0, 0.0], 0), ([0.0, 0.0], 1), ([9.0, 0.0], 7)], "logits array<double>, label int")
+    assert abs(classify.mean_cross_entropy(rows, padding=7).first().loss - 0.6931471805599453) < 1e-12
+    for n in range(2):
+        sources.append_event_log(spark.createDataFrame([(n, "e")], "seq long, kind string"), str(tmp_path / "log"))
+    assert sorted(r.seq for r in spark.read.json(str(tmp_path / "log")).collect()) == [0, 1]
+    notes = spark.createDataFrame([("a.md", "user", "first", 1), ("b.md", None, None, 2)], "filename string, type string, description string, mtime long")
+    assert sources.note_manifest(notes).first().manifest == "- [note] b.md: \n- [user] a.md: first"
+    docs = spark.createDataFrame([(1, "s", "one"), (2, "t", "two"), (3, "u", "three")], "doc_id long, source string, text string")
+    hits = spark.createDataFrame([(9, 2, 1), (9, 1, 2), (9, 3, 3)], "query_id long, doc_id long, rank int")
+    assert retrieve.answer_context(docs, hits, 2).first().context == "[来源: t]\ntwo\n\n---\n\n[来源: s]\none"
