@@ -28,14 +28,16 @@ Span = tuple[int, int]
 
 def _packed(units: list[Span], size: int, overlap: int) -> Iterator[Span]:
     """Spans of as many neighbouring units as `size` holds; the next span begins at the first unit from which no more
-    than `overlap` characters remain.  All lengths are distances in the text, so what lies between units counts."""
+    than `overlap` characters remain.  All lengths are distances in the text, so what lies between units counts; a span that
+    keeps no unit of the one before also counts what lies between them."""
     starts = [a for a, _ in units]
-    first = 0
+    first = before = 0
     for i, (_, end) in enumerate(units):
-        if i > first and end - starts[first] > size:
+        if i > first and end - starts[first] + before > size:
             last = units[i - 1][1]
             yield starts[first], last
             first = bisect.bisect_left(starts, last - overlap, first, i)
+            before = starts[i] - last if first == i else 0
     if units:
         yield starts[first], units[-1][1]
 

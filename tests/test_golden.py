@@ -21,6 +21,9 @@ def test_chunks(spark):
     assert one(spark, chunking.fixed_chunks(F.col("c0"), 10, 3), "ABCDEFGHIJKLMNOPQRST") == ["ABCDEFGHIJ", "HIJKLMNOPQ", "OPQRST"]
     assert chunking.sentence_pieces("A one. B two. C three.", 14, 7) == ["A one. B two.", "B two. C three."]
     assert chunking.recursive_pieces("aaaa bbbb cccc", 9, 4, chunking.SEPARATORS) == ["aaaa bbbb", "bbbb cccc"]
+    assert chunking.recursive_pieces("aaaa bb cc", 5, 0, [" ", ""]) == ["aaaa", "bb", "cc"]
+    assert chunking.recursive_pieces("aaaa b c dd", 5, 0, [" ", ""]) == ["aaaa", "b c", "dd"]
+    assert chunking.recursive_pieces("aaaaaa bb cc", 5, 0, [" ", ""]) == ["aaaaa", "a", "bb cc"]
     with pytest.raises(ValueError):
         chunking.fixed_chunks(F.col("c0"), 10, 10)
 
