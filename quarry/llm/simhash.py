@@ -345,12 +345,13 @@ def near_duplicates(
 ) -> DataFrame:
     """One row (doc_id, fingerprint hex, component_id) per input row.
 
-    component_id is the smallest id reachable over links.  Null texts count as empty; texts without words
+    component_id is the smallest id reachable over links, which are of texts: rows that share an id and differ in text are
+    linked only if their fingerprints are.  Null texts count as empty; texts without words
     share the zero fingerprint and are linked like any other.  A row with a null id keeps the null, can
     carry links, and gives no component its id.  Repeated rows come back repeated, an empty table empty.
     """
     fps = materialize(fingerprints(docs, id_col, text_col, shingle, lanes), "fingerprints")
-    nodes = materialize(fps.groupBy("fp").agg(F.min("id").alias("first")).withColumn("node", F.coalesce("first", F.xxhash64("fp"))), "nodes")
+    nodes = materialize(fps.groupBy("fp").agg(F.min("id").alias("first")).withColumn("node", F.xxhash64("fp")), "nodes")
     root = components(trie_self_join(nodes, bands, bits, budget, max_bits, node_limit))
     linked = nodes.join(root, "node").select("fp", "root", "first")
     least = linked.groupBy("root").agg(F.min("first").alias("component"))

@@ -133,3 +133,16 @@ def test_tables_reach_the_stated_recall():
         bits = [np.unpackbits(np.frombuffer(simhash._majority(np.concatenate([both, x]), 4), np.uint8)) for x in (a, b)]
         hits += any((bits[0][root] == bits[1][root]).all() and (bits[0][key] != bits[1][key]).sum() <= 20 for root, key, _ in tables)
     assert hits / n >= 0.96
+
+
+def test_rows_that_share_an_id_keep_apart(spark):
+    """Links are of texts: a second text under an id brings no links to the first one's, and the other way round."""
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen fourteen"
+    rows = [(5, a), (5, b), (3, a), (9, b), (4, "words of its own here"), (4, a)]
+    got = sorted((r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    least = {}
+    for i, t in rows:
+        least[t] = min(i, least.get(t, i))
+    prints = {t: f for t in least for i, f, c in got if i == least[t] == c}
+    assert len(set(prints.values())) == 3
+    assert got == sorted((i, prints[t], least[t]) for i, t in rows)
