@@ -175,52 +175,6 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     return per.agg(F.sum(F.coalesce("w", F.lit(0.0)) / F.col("m") - resolution * (F.col("d") / (2 * F.col("m"))) ** 2).alias("modularity"))
 
 
-def _local_moving(edges: DataFrame, resolution: float, least: float) -> DataFrame:
-    """node -> label.  In each round half of the nodes, by a hash that changes, may move to the neighbouring
-    label of greatest modularity gain; ties go to the smaller label.  Ends when no node wants to move, or when four
-    rounds together gain less than `least` modularity; the best labels seen are returned."""
-    both = written(edges.select("a", "b", "weight").union(edges.select("b", "a", "weight")), "links")
-    degree = written(both.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("d")), "degree")
-    m2 = degree.agg(F.sum("d")).first()[0]
-    best_labels = labels = degree.select("node", F.col("node").alias("label"))
-    best_value, history, r = float("-inf"), [], 0
-    while True:
-        sizes = labels.join(degree, "node").groupBy("label").agg(F.sum("d").alias("size"))
-        links = both.where("a <> b").join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node"), "label").agg(F.sum("weight").alias("w"))
-        stay = labels.join(links, ["node", "label"], "left").select("node", "label", F.coalesce("w", F.lit(0.0)).alias("w"))
-        options = links.unionByName(stay).distinct().join(labels.withColumnRenamed("label", "own"), "node").join(degree, "node").join(sizes, "label")
-        gain = F.col("w") - resolution * F.col("d") * (F.col("size") - F.when(F.col("label") == F.col("own"), F.col("d")).otherwise(0.0)) / m2
-        best = options.groupBy("node").agg(F.max_by("label", F.struct(F.round(gain, 9).alias("g"), (F.col("label") == F.col("own")).alias("same"), (-F.col("label")).alias("small"))).alias("best"), F.first("own").alias("own"))
-        moves = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
-        step = written(best.select("node", "own", F.when(moves, F.col("best")).otherwise(F.col("own")).alias("label"), (F.col("best") != F.col("own")).alias("wants")), "moved")
-        labels, r = step.select("node", "label"), r + 1
-        value = modularity(edges, labels, resolution).first()[0] or 0.0
-        history.append(value)
-        if value > best_value:
-            best_value, best_labels = value, labels
-        if not step.where("wants").limit(1).count() or (len(history) > 4 and best_value - max(history[:-4]) < least):
-            return best_labels
-
-
-def detect_communities(edges: DataFrame, resolution: float = 1.0, least: float = 1e-4) -> DataFrame:
-    """edges(a, b, weight; long nodes) -> node, label by local moving and contraction of communities, level by level,
-    until a level leaves all communities as they are or gains less than `least` modularity."""
-    labels, work, value = None, edges, float("-inf")
-    while True:
-        step = _local_moving(work, resolution, least)
-        new = step if labels is None else written(labels.join(step.select(F.col("node").alias("label"), F.col("label").alias("up")), "label").select("node", F.col("up").alias("label")), "labels")
-        now = modularity(edges, new, resolution).first()[0] or 0.0
-        if labels is not None and now <= value:
-            return labels
-        labels, gained, value = new, now - value, now
-        la, lb = step.select(F.col("node").alias("a"), F.col("label").alias("la")), step.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        joined = work.join(la, "a").join(lb, "b").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"), "weight")
-        smaller = written(joined.groupBy("a", "b").agg(F.sum("weight").alias("weight")), "contracted")
-        if gained < least or smaller.count() == work.count():
-            return labels
-        work = smaller
-
-
 def assemble_communities(labels: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
     """labels(name, label), entities(name, chunk_ids), relations(source, target, description) -> one row per community."""
     own = entities.join(labels, "name")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import evaluation, graph, ivf, retrieval
+from quarry.operators import communities, evaluation, graph, ivf, retrieval
 from quarry.plans.text_queries import TOKENS, query, table
 
 # The stated query set of vector searches: every row whose id is divisible by 50, against all rows.
@@ -387,10 +387,15 @@ def modularity(spark, sf_dir):
 @query()
 def detect_communities(spark, sf_dir):
     edges = graph.written(_weighted(spark, sf_dir), "edges")
-    labels = graph.detect_communities(edges)
+    labels = graph.written(communities.detect_communities(edges), "labels")
     return labels.join(F.broadcast(graph.modularity(edges, labels).withColumn("modularity", F.round("modularity", 6))))
 
 
+@query()
+def bounded_communities(spark, sf_dir):
+    return communities.bounded_communities(graph.written(_weighted(spark, sf_dir), "edges"))
+
+
 @query(f"""
 WITH {_ENT}, {_REL_SQL}, lab AS (SELECT name, ord(right(name, 1)) - 48 AS label FROM entities),
 m AS (SELECT label, count(*) AS size, string_agg(name, ', ' ORDER BY name) AS names FROM lab GROUP BY label),

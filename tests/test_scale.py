@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import sanitize_json
-from quarry.operators import chunking, graph, ivf, retrieval
+from quarry.operators import chunking, communities, graph, ivf, retrieval
 
 SF = "/root/testdata/{}/embeddings.parquet"
 
@@ -63,7 +63,7 @@ def test_search_of_odd_vectors(spark):
 
 
 def test_communities_beat_label_propagation(spark):
-    """A planted partition: the labels found are as good as the planted ones, and better than propagated labels."""
+    """A planted partition: the labels found are connected, as good as the planted ones, and better than propagated labels."""
     rnd = random.Random(1)
     group = [i // 20 for i in range(100)]
     rows = [(i, j, 1.0) for i in range(100) for j in range(i) if rnd.random() < (0.5 if group[i] == group[j] else 0.03)]
@@ -79,11 +79,55 @@ def test_communities_beat_label_propagation(spark):
             if seen:
                 label[i] = max(sorted(set(seen)), key=seen.count)
     value = lambda labels: graph.modularity(edges, labels).first()[0]
-    found = value(graph.detect_communities(edges))
+    labels = communities.detect_communities(edges)
+    _pieces(labels, rows)
+    found = value(labels)
     frame = lambda own: spark.createDataFrame(list(enumerate(own)), "node long, label long")
     assert found >= value(frame(group)) - 0.02 and found >= value(frame(label)) - 1e-9
 
 
+def _pieces(labels, rows):
+    """The nodes of each label, after a look that they hang together by edges."""
+    own = {r.node: r.label for r in labels.collect()}
+    groups = {}
+    for node, label in own.items():
+        groups.setdefault(label, set()).add(node)
+    around = {}
+    for a, b, _ in rows:
+        around.setdefault(a, set()).add(b)
+        around.setdefault(b, set()).add(a)
+    for members in groups.values():
+        seen, todo = set(), [min(members)]
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += around.get(x, set()) & members
+        assert seen == members
+    assert set(own) == set(around) and len(own) == labels.count()
+    return groups
+
+
+def test_communities_are_connected_and_bounded(spark):
+    """A ring of cliques, a clique, a star and a chain above the size, and a pair; all nodes once, every community connected."""
+    rows = [(8 * c + i, 8 * c + j, 1.0) for c in range(6) for i in range(8) for j in range(i)]
+    rows += [(8 * c, (8 * c + 9) % 48, 0.5) for c in range(6)]
+    rows += [(100 + i, 100 + j, 2.0) for i in range(23) for j in range(i)]
+    rows += [(200, 201 + i, 1.0) for i in range(30)] + [(300 + i, 301 + i, 1.0) for i in range(40)] + [(400, 401, 1.0)]
+    edges = spark.createDataFrame(rows, "a long, b long, weight double")
+    bound = _pieces(communities.bounded_communities(edges), rows)
+    assert max(map(len, bound.values())) <= 10
+    assert [sorted(bound[8 * c]) for c in range(6)] == [list(range(8 * c, 8 * c + 8)) for c in range(6)]
+    assert bound[400] == {400, 401} and sum(100 <= min(g) < 200 for g in bound.values()) <= 6
+
+
+def test_communities_of_odd_edges(spark):
+    none = spark.createDataFrame([], "a long, b long, weight double")
+    assert communities.detect_communities(none).collect() == [] and communities.bounded_communities(none).collect() == []
+    odd = spark.createDataFrame([(1, 2, 1.0), (1, 2, 1.0), (2, 3, 0.0), (3, 4, None), (None, 5, 1.0), (6, 6, 1.0)], "a long, b long, weight double")
+    assert {(r.node, r.label) for r in communities.detect_communities(odd).collect()} == {(1, 1), (2, 1), (6, 6)}
+
+
 def test_endpoints_met_by_keys_are_all_that_contain(spark):
     rnd = random.Random(2)
     names = ["".join(rnd.choice("AB ") for _ in range(rnd.randint(1, 9))) for _ in range(60)]
