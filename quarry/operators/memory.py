@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -293,6 +295,48 @@ def memory_context(entries: DataFrame, prefix: str) -> DataFrame:
     return rows.select("conv_id", F.concat(F.lit(prefix), F.to_json(F.map_from_entries("p"))).alias("context"))
 
 
+def _lists(rows: DataFrame, field: str, fields: dict[str, Column], order: list[str]) -> DataFrame:
+    """conv_id, content: compact JSON of one list, its objects in the given order and their keys sorted; nulls stay."""
+    one = F.struct(*[fields[k].alias(k) for k in sorted(fields)])
+    got = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(*order, one.alias("_one")))).alias("l"))
+    return got.select("conv_id", F.to_json(F.struct(F.transform("l", lambda x: x["_one"]).alias(field)), {"ignoreNullFields": "false"}).alias("content"))
+
+
+def context_messages(
+    prefixes: dict[str, str], structured: DataFrame | None = None, summaries: DataFrame | None = None, turns: DataFrame | None = None, facts: DataFrame | None = None, episodes: DataFrame | None = None
+) -> DataFrame:
+    """All memories of a conversation as messages: conv_id, section, position, role, content.
+
+    Sections in order: 0 structured(conv_id, category, key, value), 1 summaries(conv_id, summary), 2 turns(conv_id, turn, user, assistant), a
+    message each, 3 facts(conv_id, rank, key, value, score, updated_at), 4 episodes(conv_id, rank, id, task, outcome, summary, strategy, lessons, pitfalls,
+    score).  All but the turns are one system message behind its prefix (`structured`, `summary`, `facts`, `episodes`); the JSON is compact
+    with sorted keys, similarities are rounded to four places.  A section without rows, and a blank summary, gives no message.
+    """
+    out = []
+    scored = F.round(F.col("score").cast("double"), 4)
+
+    def told(rows: DataFrame, section: int, prefix: str) -> None:
+        out.append(rows.select("conv_id", F.lit(section).alias("section"), F.lit(0).cast("long").alias("position"), F.lit("system").alias("role"), F.concat(F.lit(prefixes[prefix]), "content").alias("content")))
+
+    if structured is not None:
+        told(_lists(structured, "entries", {k: F.col(k) for k in ("category", "key", "value")}, ["category", "key"]), 0, "structured")
+    if summaries is not None:
+        told(summaries.where("summary <> ''").select("conv_id", F.col("summary").alias("content")), 1, "summary")
+    if turns is not None:
+        both = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(r).alias("role"), F.coalesce(r, F.lit("")).alias("content")) for i, r in enumerate(("user", "assistant"))]))
+        rows = turns.select("conv_id", "turn", both.alias("m")).select("conv_id", "turn", "m.*")
+        place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "i")).cast("long") - 1
+        out.append(rows.select("conv_id", F.lit(2).alias("section"), place.alias("position"), "role", "content"))
+    if facts is not None:
+        told(_lists(facts, "facts", {"similarity": scored} | {k: F.col(k) for k in ("key", "value", "updated_at")}, ["rank", "key"]), 3, "facts")
+    if episodes is not None:
+        names = ("id", "task", "outcome", "summary", "strategy", "lessons", "pitfalls")
+        told(_lists(episodes, "experiences", {"similarity": scored} | {k: F.col(k) for k in names}, ["rank", "id"]), 4, "episodes")
+    if not out:
+        raise ValueError("no memories given")
+    return functools.reduce(DataFrame.unionByName, out)
+
+
 def forget(state: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(what stays, what was removed) by category and key."""
     on = ["category", "key"]

@@ -206,6 +206,30 @@ def memory_context(spark, sf_dir):
     return memory.memory_context(rows, "Memory: ")
 
 
+@query("""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, lead(role) OVER w AS next_role, coalesce(lead(text) OVER w, '') AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+t AS (SELECT conv_id, turn, text, answer FROM c WHERE role = 'user' AND next_role = 'assistant'),
+m AS (SELECT conv_id, turn, 0 AS i, 'user' AS role, text FROM t UNION ALL SELECT conv_id, turn, 1, 'assistant', answer FROM t),
+r AS (SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY ALL),
+e AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)
+SELECT conv_id, 0 AS section, 0::BIGINT AS position, 'system' AS role, 'State: {"entries":[' || string_agg('{"category":"messages","key":"' || role || '","value":"' || n || '"}', ',' ORDER BY role) || ']}' AS content FROM r GROUP BY 1
+UNION ALL SELECT conv_id, 1, 0, 'system', 'Summary: ' || max(turn) || ' turns' FROM conversations GROUP BY 1
+UNION ALL SELECT conv_id, 2, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) - 1, role, text FROM m
+UNION ALL SELECT user_id, 3, 0, 'system', 'Facts: {"facts":[' || string_agg('{"key":"' || event_type || '","similarity":' || (n % 16) / 16.0::DOUBLE || ',"updated_at":"' || n % 28 || '","value":"' || n || '"}', ',' ORDER BY n DESC, event_type) || ']}' FROM e GROUP BY 1
+UNION ALL SELECT user_id, 4, 0, 'system', 'Experiences: {"experiences":[' || string_agg('{"id":"' || event_type || '","lessons":["' || n || '"],"outcome":"success","pitfalls":[],"similarity":' || (n % 16) / 16.0::DOUBLE || ',"strategy":null,"summary":"' || n || ' times","task":"' || event_type || '"}', ',' ORDER BY n DESC, event_type) || ']}' FROM e GROUP BY 1""")
+def context_messages(spark, sf_dir):
+    messages = table(spark, sf_dir, "conversations")
+    text = lambda c: F.col(c).cast("string")
+    entries = messages.groupBy("conv_id", F.col("role").alias("key")).agg(F.count("*").cast("string").alias("value")).withColumn("category", F.lit("messages"))
+    summaries = messages.groupBy("conv_id").agg(F.concat(F.max("turn").cast("string"), F.lit(" turns")).alias("summary"))
+    seen = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("conv_id"), F.col("event_type").alias("key")).agg(F.count("*").alias("n"))
+    seen = seen.withColumns({"rank": -F.col("n"), "score": (F.col("n") % 16) / 16, "value": text("n"), "updated_at": (F.col("n") % 28).cast("string")})
+    past = seen.select("conv_id", "rank", "score", F.col("key").alias("id"), F.col("key").alias("task"), F.lit("success").alias("outcome"), F.concat("value", F.lit(" times")).alias("summary"))
+    past = past.withColumns({"strategy": F.lit(None).cast("string"), "lessons": F.array((-F.col("rank")).cast("string")), "pitfalls": F.array().cast("array<string>")})
+    prefixes = {"structured": "State: ", "summary": "Summary: ", "facts": "Facts: ", "episodes": "Experiences: "}
+    return memory.context_messages(prefixes, entries, summaries, memory.pair_turns(messages), seen, past)
+
+
 @query("""
 WITH st AS (SELECT event_type AS category, user_id || '' AS key, count(*) AS n FROM events GROUP BY ALL)
 SELECT category, key, n, EXISTS (SELECT 1 FROM events e WHERE e.event_type = st.category AND e.user_id || '' = st.key AND e.value > 180) AS removed FROM st""")

@@ -330,3 +330,16 @@ def test_embedding_loss_log_manifest_and_context(spark, tmp_path):
     docs = spark.createDataFrame([(1, "s", "one"), (2, "t", "two"), (3, "u", "three")], "doc_id long, source string, text string")
     hits = spark.createDataFrame([(9, 2, 1), (9, 1, 2), (9, 3, 3)], "query_id long, doc_id long, rank int")
     assert retrieve.answer_context(docs, hits, 2).first().context == "[来源: t]\ntwo\n\n---\n\n[来源: s]\none"
+
+
+def test_memory_sections(spark):
+    frame = spark.createDataFrame
+    facts = frame([(1, 2, "b", "x", 0.123456, None), (1, 1, "c", "张", 1.0, "d")], "conv_id long, rank long, key string, value string, score double, updated_at string")
+    turns = frame([(1, 5, "hi", None), (1, 3, "first", "yes")], "conv_id long, turn long, user string, assistant string")
+    summaries = frame([(1, ""), (2, "so far"), (3, None)], "conv_id long, summary string")
+    got = memory.context_messages({"facts": "F:", "summary": "S:"}, summaries=summaries, turns=turns, facts=facts).orderBy("conv_id", "section", "position").collect()
+    assert [tuple(r) for r in got] == [
+        (1, 2, 0, "user", "first"), (1, 2, 1, "assistant", "yes"), (1, 2, 2, "user", "hi"), (1, 2, 3, "assistant", ""),
+        (1, 3, 0, "system", 'F:{"facts":[{"key":"c","similarity":1.0,"updated_at":"d","value":"张"},{"key":"b","similarity":0.1235,"updated_at":null,"value":"x"}]}'),
+        (2, 1, 0, "system", "S:so far"),
+    ]
