@@ -55,9 +55,8 @@ def tokenize_mixed(text: Column) -> Column:
 
 def preprocess_english(text: Column, stopwords: bool = True) -> Column:
     """Lower-case words of ASCII letters longer than two characters, without stop words."""
-    words = F.split(F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z\s]", " "), r"\s+", " ")), " ")
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.filter(words, lambda w: (F.length(w) > 2) & (~F.array_contains(stop, w) if stopwords else F.lit(True)))
+    words = F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z]+", " ")), " ")
+    return F.filter(words, lambda w: (F.length(w) > 2) & (~w.isin(*STOPWORDS) if stopwords else F.lit(True)))
 
 
 def estimate_tokens_mixed(text: Column) -> Column:

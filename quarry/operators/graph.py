@@ -79,22 +79,44 @@ def graph_stats(entities: DataFrame, relations: DataFrame) -> DataFrame:
     return types.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("nodes"), listed.alias("types")).join(relations.agg(F.count("*").alias("edges"))).join(shape)
 
 
+def _numbered(seeds: DataFrame) -> DataFrame:
+    """seed, block, bit: 64 seeds to a block at most; numbers are given within hash buckets, so no task sees all seeds."""
+    rows = written(seeds.select(F.col("name").alias("seed")).where("seed is not null").distinct(), "seeds")
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("seed"), F.lit(max(1, rows.count() // 48))))
+    at = F.row_number().over(Window.partitionBy("bucket").orderBy("seed")) - 1
+    return written(dealt.select("seed", F.struct("bucket", F.floor(at / 64).alias("part")).alias("block"), (at % 64).alias("bit")), "seeds")
+
+
+def _unfolded(rows: DataFrame, numbers: DataFrame) -> DataFrame:
+    """One row for each seed whose bit is set."""
+    each = F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0))
+    return rows.withColumn("bit", each).join(numbers, ["block", "bit"]).drop("block", "bit", "bits")
+
+
 def neighbors(relations: DataFrame, seeds: DataFrame, hops: int = 1) -> tuple[DataFrame, DataFrame]:
     """seeds(name) -> (neighbours(seed, name, hop), edges(seed, source, target, hop)), undirected.
 
     An edge is collected at a hop if its far end isn't visited yet, so one inside a frontier comes from either end.
+    A node has a row for each block of 64 seeds that reached it, with their bits; links carry the bits on, which are or-ed where they meet, and
+    only results are unfolded to a row for each seed.
     """
-    links = relations.select("source", "target", F.col("source").alias("near"), F.col("target").alias("far")).union(relations.select("source", "target", F.col("target"), F.col("source")))
-    frontier = seeds.select(F.col("name").alias("seed"), "name").distinct()
+    ends = relations.select("source", "target")
+    links = written(ends.withColumns({"near": F.col("source"), "far": F.col("target")}).union(ends.withColumns({"near": F.col("target"), "far": F.col("source")})), "links")
+    numbers = _numbered(seeds)
+    bit = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").cast("int"))).alias("bits")
+    frontier = numbers.groupBy(F.col("seed").alias("name"), "block").agg(bit)
     visited, found, edges = frontier, None, None
     for hop in range(1, hops + 1):
-        step = frontier.join(links, F.col("name") == F.col("near")).select("seed", "source", "target", F.col("far").alias("name"))
-        step = written(step.join(visited, ["seed", "name"], "left_anti"), "hop")
-        own = step.select("seed", "source", "target", F.lit(hop).alias("hop"))
-        frontier = step.select("seed", "name").distinct()
-        new = frontier.withColumn("hop", F.lit(hop))
+        step = frontier.withColumnRenamed("name", "near").join(links, "near").select("source", "target", F.col("far").alias("name"), "block", "bits")
+        fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long"))))
+        step = step.join(visited.withColumnRenamed("bits", "old"), ["name", "block"], "left").withColumn("bits", fresh).drop("old")
+        step = written(step.where("bits <> 0"), "hop")
+        frontier = step.groupBy("name", "block").agg(F.bit_or("bits").alias("bits"))
+        new = _unfolded(frontier, numbers).select("seed", "name", F.lit(hop).alias("hop"))
+        own = _unfolded(step.drop("name"), numbers).select("seed", "source", "target", F.lit(hop).alias("hop"))
         found, edges = (new, own) if found is None else (found.unionByName(new), edges.unionByName(own))
-        visited = visited.unionByName(frontier)
+        if hop < hops:
+            visited = written(visited.unionByName(frontier).groupBy("name", "block").agg(F.bit_or("bits").alias("bits")), "visited")
     return found, edges
 
 

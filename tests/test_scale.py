@@ -3,13 +3,14 @@
 import os
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import sanitize_json
-from quarry.operators import chunking, communities, graph, ivf, retrieval
+from quarry.operators import chunking, classify, communities, graph, ivf, retrieval
 
 SF = "/root/testdata/{}/embeddings.parquet"
 
@@ -161,3 +162,36 @@ def test_sanitized_json(spark):
     assert got[0] == '{"password": "[REDACTED]", "list": [1, 2.5, "nan", {"api_key": "[REDACTED]", "t": "[REDACTED]"}]}'
     assert got[1].count("1") == 50 and len(got[2]) == 502 and got[3] is None and got[4] is None
     assert got[5].replace(" ", "") == deep and got[6] == '"inf"' and got[7] == '{"' + "k" * 100 + '": null}'
+
+
+def test_frequent_words_are_a_superset_with_few_counters(spark):
+    """Summaries far smaller than the vocabulary lose no frequent word, ties at the edge included."""
+    rng = random.Random(5)
+    rows = [([f"w{int(rng.paretovariate(0.7)) % 3000}" for _ in range(rng.randrange(40))],) for _ in range(400)]
+    exact = Counter(w for (ws,) in rows for w in ws)
+    df = spark.createDataFrame(rows, "words array<string>").repartition(6)
+    for most, capacity in ((1, 4), (20, 16), (50, 200), (10_000, 8)):
+        got = {r.word for r in classify.frequent_words(df, most, capacity).collect()}
+        assert {w for w, _ in sorted(exact.items(), key=lambda x: (-x[1], x[0]))[:most]} <= got <= set(exact)
+    assert classify.frequent_words(df.limit(0), 5).count() == 0
+
+
+def test_neighbors_with_many_seeds(spark):
+    """More seeds than a block holds, self links and repeated links, against a search from each seed."""
+    rng = random.Random(8)
+    rels = [(f"n{rng.randrange(150)}", f"n{rng.randrange(150)}") for _ in range(220)]
+    seeds = [f"n{i}" for i in range(140)] + ["n1", "absent"]
+    links = [(s, t, s, t) for s, t in rels] + [(s, t, t, s) for s, t in rels]
+    names, edges = set(), Counter()
+    for seed in set(seeds):
+        seen, front = {seed}, {seed}
+        for hop in (1, 2, 3):
+            step = [(s, t, b) for s, t, a, b in links if a in front and b not in seen]
+            edges.update((seed, s, t, hop) for s, t, _ in step)
+            front = {b for _, _, b in step}
+            names |= {(seed, n, hop) for n in front}
+            seen |= front
+    df = spark.createDataFrame(rels, "source string, target string")
+    found, own = graph.neighbors(df, spark.createDataFrame([(s,) for s in seeds], "name string"), 3)
+    assert Counter(map(tuple, found.collect())) == Counter(names)
+    assert Counter(map(tuple, own.collect())) == edges
