@@ -365,39 +365,51 @@ def format_context(hits: DataFrame) -> DataFrame:
     return rows.select("query_id", F.array_join(F.transform("parts", lambda x: x["p"]), "\n\n---\n\n").alias("context"))
 
 
-def summary_buffer(turns: DataFrame, summarise, budget: int = 1200, cap: int = 400) -> DataFrame:
-    """turns(conv_id, turn, user, assistant) -> conv_id, turn, summary, evicted: after each turn the running summary.
+def pushed_out(held: list[tuple], budget: int) -> list[tuple]:
+    """Takes the oldest of held (cost, user, assistant) away until the rest fits the budget; (user, assistant) of what went."""
+    gone, total = [], sum(h[0] for h in held)
+    while held and total > budget:
+        cost, *turn = held.pop(0)
+        total -= cost
+        gone.append(tuple(turn))
+    return gone
 
-    Turns that an arrival pushes out of the budget go to summarise(old summary, list of (user, assistant)) at once; its
-    text is cut to the longest prefix of at most `cap` tokens.  If it fails the old summary stays and the turns go.
-    Sums depend on what was evicted before, so this is a fold over each conversation.
-    """
-    import pyarrow as pa
+
+def shortened(summarise, summary: str, gone: list[tuple], cap: int) -> str:
+    """The new summary, cut to its longest prefix of at most `cap` tokens; the old one if the summariser fails."""
 
     def tokens(text: str) -> int:
         plain = sum(ord(c) < 128 for c in text)
         return len(text) - plain + -(-plain // 4)
 
-    def cut(text: str) -> str:
+    try:
+        text = summarise(summary, gone)
         low, high = 0, len(text)
         while low < high:
             mid = (low + high + 1) // 2
             low, high = (mid, high) if tokens(text[:mid]) <= cap else (low, mid - 1)
         return text[:low]
+    except Exception:  # noqa: BLE001  the summariser is the caller's; its failures must not lose the conversation
+        return summary
+
+
+def summary_buffer(turns: DataFrame, summarise, budget: int = 1200, cap: int = 400) -> DataFrame:
+    """turns(conv_id, turn, user, assistant) -> conv_id, turn, summary, evicted: after each turn the running summary.
+
+    Turns that an arrival pushes out of the budget go to summarise(old summary, list of (user, assistant)) at once; its
+    text is cut to the longest prefix of at most `cap` tokens.  If it fails the old summary stays and the turns go.
+    Sums depend on what was evicted before, so this is a fold over each conversation.
+    """
+    import pyarrow as pa
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         t = t.sort_by("turn")
         held, summary, out = [], "", []
         for turn, user, assistant, cost in zip(*(t.column(c).to_pylist() for c in ("turn", "user", "assistant", "cost")), strict=True):
             held.append((cost, user, assistant))
-            gone = []
-            while held and sum(h[0] for h in held) > budget:
-                gone.append(held.pop(0)[1:])
+            gone = pushed_out(held, budget)
             if gone:
-                try:
-                    summary = cut(summarise(summary, gone))
-                except Exception:  # noqa: BLE001  the summariser is the caller's; its failures must not lose the conversation
-                    pass
+                summary = shortened(summarise, summary, gone, cap)
             out.append((key[0].as_py(), turn, summary, len(gone)))
         return pa.table({n: pa.array([o[k] for o in out], kind) for k, (n, kind) in enumerate((("conv_id", pa.int64()), ("turn", pa.int64()), ("summary", pa.string()), ("evicted", pa.int64())))})
 
