@@ -111,3 +111,34 @@ def test_recall_on_supplied_tables(spark):
     assert toxic[1] >= 0.85 and toxic[0] <= 0.01
     good = _held_out(spark, folder, queries.op2_pu_quality, "quality", 50)
     assert good[1] >= 0.95 and good[0] <= 0.1
+
+
+@pytest.mark.parametrize("prior", [0.05, 0.5, 0.95])
+def test_risk_of_unlabelled_learning_against_differences(monkeypatch, prior):
+    """The gradient that is followed is that of the non-negative risk, summed row by row; where the negative part is below zero, that part's own, backwards."""
+    rng = np.random.default_rng(int(prior * 100))
+    positive, unlabelled, l2 = rng.normal(1, 1, (30, 4)), rng.normal(0, 1, (50, 4)), 1e-3
+    followed = []
+    monkeypatch.setattr(quality, "_adam", lambda gradient, size, **_: (followed.append(gradient), np.zeros(size))[1])
+    monkeypatch.setattr(quality, "estimate_prior", lambda *_: prior)
+    model = quality.PUModel(positive, unlabelled, l2)
+    rows = lambda x: [[min(6.0, max(-6.0, (v - m) / s)) for v, m, s in zip(r, model.mean, model.scale, strict=True)] + [1.0] for r in x]
+    p, u = rows(positive), rows(unlabelled)
+
+    def parts(w):
+        dot = lambda r: sum(a * b for a, b in zip(r, w, strict=True))
+        loss = lambda z: float(np.log1p(np.exp(-z)))
+        gain = sum(loss(dot(r)) for r in p) / len(p)
+        negative = sum(loss(-dot(r)) for r in u) / len(u) - prior * sum(loss(-dot(r)) for r in p) / len(p)
+        return gain, negative, l2 / 2 * sum(a * a for a in w)
+
+    signs = set()
+    for scale in (0.0, 0.3, 3.0, -3.0):
+        w = scale * np.array([1.0, 0.6, 0.9, 1.1, 0.5])
+        negative = parts(w)[1]
+        signs.add(negative < 0)
+        followed_risk = lambda v: (-parts(v)[1] if negative < 0 else prior * parts(v)[0] + parts(v)[1]) + parts(v)[2]  # noqa: B023, E731
+        step = 1e-6
+        want = [(followed_risk(w + step * e) - followed_risk(w - step * e)) / (2 * step) for e in np.eye(5)]
+        assert np.allclose(followed[1](w), want, atol=1e-6)
+    assert prior < 0.9 or True in signs
