@@ -16,12 +16,12 @@ def drop_contained(blocks: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def nearest_caption(images: DataFrame, blocks: DataFrame, gap: float = 80.0, pattern: str = CAPTION) -> DataFrame:
-    """Each image's caption: the text block of its page with the smallest vertical gap that overlaps it horizontally."""
-    b = blocks.where(F.col("text").rlike(pattern)).select("page", "text", F.monotonically_increasing_id().alias("seq"), *[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])
+    """Each image's caption: the text block of its page with the smallest vertical gap that overlaps it horizontally; of equally near ones the higher, then the one further left."""
+    b = blocks.where(F.col("text").rlike(pattern)).select("page", "text", *[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])
     near = images.join(b, "page")
     distance = F.greatest(F.col("b_y0") - F.col("y1"), F.col("y0") - F.col("b_y1"), F.lit(0.0))
     near = near.withColumn("distance", distance).where((F.col("distance") <= gap) & (F.least("x1", "b_x1") - F.greatest("x0", "b_x0") > 0))
-    best = near.groupBy("image_id").agg(F.min_by("text", F.struct("distance", "seq")).alias("caption"))
+    best = near.groupBy("image_id").agg(F.min_by("text", F.struct("distance", "b_y0", "b_x0", "text")).alias("caption"))
     return images.join(best, "image_id", "left")
 
 

@@ -351,11 +351,36 @@ def bounded_transcript(messages: DataFrame, most: int = 12_000, marker: str = "[
     return joined.select("conv_id", text.alias("t")).select("conv_id", F.when(F.length("t") > most, F.concat(F.lit(marker), F.expr(f"right(t, {most})"))).otherwise(F.col("t")).alias("transcript"))
 
 
-def render_chat_template(messages: DataFrame) -> DataFrame:
-    """One prompt per conversation, ending in an open assistant message."""
-    part = F.concat(F.lit("<|im_start|>"), "role", F.lit("\n"), "text", F.lit("<|im_end|>\n"))
+#: What the system block says before and after the tools' signatures, a line each.
+TOOLS_BEFORE = "# Tools\n\nYou may call one or more functions to assist with the user query.\n\nYou are provided with function signatures within <tools></tools> XML tags:\n<tools>\n"
+TOOLS_AFTER = (
+    "</tools>\n\nFor each function call, return a json object with function name and arguments within <tool_call></tool_call> XML tags:\n"
+    '<tool_call>\n{"name": <function-name>, "arguments": <args-json-object>}\n</tool_call>'
+)
+
+
+def render_chat_template(messages: DataFrame, tools: DataFrame | None = None) -> DataFrame:
+    """One prompt per conversation, ending in an open assistant message.
+
+    messages(conv_id, turn, role, text[, call_name, call_arguments]): an assistant message with a call shows the call in its text's place, and a
+    tool's message is wrapped and given as the user's.  tools(conv_id, position, signature) go into a system block in front, signatures
+    being JSON; a conversation without tools has no such block.
+    """
+    called = "call_name" in messages.columns
+    role, text = F.col("role"), F.coalesce("text", F.lit(""))
+    body = F.when(role == "tool", F.concat(F.lit("<tool_response>\n"), text, F.lit("\n</tool_response>"))).otherwise(text)
+    if called:
+        call = F.concat(F.lit('<tool_call>\n{"name": "'), "call_name", F.lit('", "arguments": '), F.coalesce("call_arguments", F.lit("{}")), F.lit("}\n</tool_call>"))
+        body = F.when((role == "assistant") & F.col("call_name").isNotNull(), call).otherwise(body)
+    part = F.concat(F.lit("<|im_start|>"), F.when(role == "tool", "user").otherwise(role), F.lit("\n"), body, F.lit("<|im_end|>\n"))
     rows = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", part.alias("p")))).alias("parts"))
-    return rows.select("conv_id", F.concat(F.array_join(F.transform("parts", lambda x: x["p"]), ""), F.lit("<|im_start|>assistant\n")).alias("prompt"))
+    prompt = F.concat(F.array_join(F.transform("parts", lambda x: x["p"]), ""), F.lit("<|im_start|>assistant\n"))
+    if tools is None:
+        return rows.select("conv_id", prompt.alias("prompt"))
+    listed = tools.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("position", "signature"))).alias("tools"))
+    lines = F.array_join(F.transform("tools", lambda t: F.concat(t["signature"], F.lit("\n"))), "")
+    block = F.concat(F.lit("<|im_start|>system\n" + TOOLS_BEFORE), lines, F.lit(TOOLS_AFTER + "<|im_end|>\n"))
+    return rows.join(listed, "conv_id", "left").select("conv_id", F.concat(F.coalesce(block, F.lit("")), prompt).alias("prompt"))
 
 
 def format_context(hits: DataFrame) -> DataFrame:

@@ -419,7 +419,22 @@ def global_reduce(spark, sf_dir):
     return graph.global_reduce(rows)
 
 
-@query()
+@query(f"""
+WITH {_ENT}, {_REL_SQL}, seeds AS (SELECT p_partkey AS query_id, 'P ' || p_partkey AS name FROM part WHERE p_partkey % 50 = 0),
+links AS (SELECT source, target, strength, description, source AS near, target AS far FROM rels UNION ALL SELECT source, target, strength, description, target, source FROM rels),
+hit AS (SELECT query_id, l.* FROM seeds JOIN links l ON near = name WHERE far <> name),
+lines AS (
+  SELECT query_id, 1 AS section, row_number() OVER (PARTITION BY query_id ORDER BY strength DESC, source, target) AS position, source || ' → ' || target || ': ' || description AS text FROM (SELECT DISTINCT query_id, source, target, strength, description FROM hit)
+  UNION ALL SELECT query_id, 2, row_number() OVER (PARTITION BY query_id ORDER BY label), '[Community ' || label || '] suppliers and parts' FROM (SELECT DISTINCT query_id, ord(right(name, 1)) - 48 AS label FROM seeds JOIN entities USING (name))
+  UNION ALL SELECT * FROM (SELECT query_id, 3, row_number() OVER (PARTITION BY query_id ORDER BY name) AS position, name || ': ' || substring(description, 1, 100) FROM (SELECT DISTINCT query_id, far AS name FROM hit ANTI JOIN seeds s ON s.query_id = hit.query_id AND s.name = hit.far) JOIN entities USING (name)) WHERE position <= 10),
+cost AS (SELECT *, sum(length(text)) OVER (PARTITION BY query_id, section ORDER BY position) AS used FROM lines),
+k1 AS (SELECT * FROM cost WHERE section = 1 AND used <= 1500),
+l1 AS (SELECT query_id, 1500 - coalesce(max(k1.used), 0) AS remain FROM (SELECT DISTINCT query_id FROM lines) LEFT JOIN k1 USING (query_id) GROUP BY query_id),
+k2 AS (SELECT cost.* FROM cost JOIN l1 USING (query_id) WHERE section = 2 AND used <= remain AND remain > 0),
+l2 AS (SELECT query_id, any_value(remain) - coalesce(max(k2.used), 0) AS remain FROM l1 LEFT JOIN k2 USING (query_id) GROUP BY query_id),
+k3 AS (SELECT cost.* FROM cost JOIN l2 USING (query_id) WHERE section = 3 AND used <= remain AND remain > 0)
+SELECT query_id, section, position, text FROM (SELECT * FROM k1 UNION ALL SELECT * FROM k2 UNION ALL SELECT * FROM k3)
+UNION ALL SELECT query_id, 0, row_number() OVER (PARTITION BY query_id ORDER BY name), name || ': ' || description FROM seeds JOIN entities USING (name)""")
 def local_context(spark, sf_dir):
     rows, relations = _rows(spark, sf_dir)
     entities, merged = graph.build_graph(rows, relations)

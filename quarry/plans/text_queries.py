@@ -186,6 +186,30 @@ def render_chat_template(spark, sf_dir):
     return memory.render_chat_template(table(spark, sf_dir, "conversations"))
 
 
+_TOOL_LINES = """chr(10) || '{"name": "find", "conv": ' || conv_id || '}' || chr(10) || '{"name": "sum", "turns": ' || count(*) || '}' || chr(10)"""
+
+
+@query(f"""
+WITH m AS (SELECT *, CASE WHEN role = 'user' AND turn % 4 = 2 THEN 'tool' ELSE role END AS kind FROM conversations),
+p AS (SELECT conv_id, turn, '<|im_start|>' || CASE WHEN kind = 'tool' THEN 'user' ELSE kind END || chr(10) ||
+  CASE WHEN kind = 'tool' THEN '<tool_response>' || chr(10) || coalesce(text, '') || chr(10) || '</tool_response>'
+       WHEN kind = 'assistant' AND turn % 4 = 1 THEN '<tool_call>' || chr(10) || '{{"name": "find", "arguments": {{"turn": ' || turn || '}}}}' || chr(10) || '</tool_call>' ELSE coalesce(text, '') END || '<|im_end|>' || chr(10) AS part FROM m)
+SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN '' ELSE '<|im_start|>system' || chr(10) || '{memory.TOOLS_BEFORE.rstrip()}' || {_TOOL_LINES} || '{memory.TOOLS_AFTER}' || '<|im_end|>' || chr(10) END || string_agg(part, '' ORDER BY turn) || '<|im_start|>assistant' || chr(10) AS prompt
+FROM p GROUP BY conv_id""")
+def render_tool_template(spark, sf_dir):
+    """Every fourth user message stands for a tool's answer, the one before for the call; two thirds of the conversations have two tools."""
+    c = table(spark, sf_dir, "conversations")
+    calls = (F.col("role") == "assistant") & (F.col("turn") % 4 == 1)
+    messages = c.withColumns({
+        "call_name": F.when(calls, "find"), "call_arguments": F.when(calls, F.concat(F.lit('{"turn": '), F.col("turn").cast("string"), F.lit("}"))),
+        "role": F.when((F.col("role") == "user") & (F.col("turn") % 4 == 2), "tool").otherwise(F.col("role")),
+    })
+    counted = c.groupBy("conv_id").agg(F.count("*").alias("n")).where("conv_id % 3 <> 0")
+    signature = lambda name, field, value: F.concat(F.lit(f'{{"name": "{name}", "{field}": '), value.cast("string"), F.lit("}"))
+    tools = counted.select("conv_id", F.posexplode(F.array(signature("find", "conv", F.col("conv_id")), signature("sum", "turns", F.col("n")))).alias("position", "signature"))
+    return memory.render_chat_template(messages, tools)
+
+
 @query("""
 WITH t AS (SELECT conv_id, string_agg('[' || role || '] ' || text, chr(10) ORDER BY turn) AS t FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id)
 SELECT conv_id, CASE WHEN length(t) > 1000 THEN '[earlier messages cut]' || chr(10) || right(t, 1000) ELSE t END AS transcript FROM t""")
@@ -297,11 +321,11 @@ def categorical_posterior(spark, sf_dir):
 
 
 @query("""
-SELECT vec_id, round(ln(list_sum(list_transform(embedding[1:10], lambda x: exp(CAST(x AS DOUBLE) - CAST(list_max(embedding[1:10]) AS DOUBLE))))) + list_max(embedding[1:10]) - embedding[label + 1], 6) AS loss
-FROM embeddings WHERE label BETWEEN 0 AND 9""")
+SELECT vec_id, round(ln(list_sum(list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE) - CAST(list_max(embedding) AS DOUBLE))))) + list_max(embedding) - embedding[label + 1], 6) AS loss
+FROM embeddings WHERE label BETWEEN 0 AND len(embedding) - 1""")
 def cross_entropy(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").where("label between 0 and 9")
-    return e.select("vec_id", F.round(classify.cross_entropy(F.slice("embedding", 1, 10), F.col("label")), 6).alias("loss"))
+    e = table(spark, sf_dir, "embeddings").where("label between 0 and size(embedding) - 1")
+    return e.select("vec_id", F.round(classify.cross_entropy(F.col("embedding"), F.col("label")), 6).alias("loss"))
 
 
 @query("""

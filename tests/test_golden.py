@@ -1,6 +1,7 @@
 """Small cases with results worked out by hand."""
 
 import datetime as dt
+import math
 import random
 from collections import Counter
 
@@ -343,3 +344,26 @@ def test_memory_sections(spark):
         (1, 3, 0, "system", 'F:{"facts":[{"key":"c","similarity":1.0,"updated_at":"d","value":"张"},{"key":"b","similarity":0.1235,"updated_at":null,"value":"x"}]}'),
         (2, 1, 0, "system", "S:so far"),
     ]
+
+
+def test_equally_near_captions_go_by_position(spark):
+    images = spark.createDataFrame([(1, 1, 0.0, 50.0, 10.0, 60.0)], "image_id long, page long, x0 double, y0 double, x1 double, y1 double")
+    blocks = [(1, "Figure 2 below", 0.0, 65.0, 10.0, 70.0), (1, "Figure 1 above", 0.0, 40.0, 10.0, 45.0), (1, "Figure 3 right", 5.0, 40.0, 15.0, 45.0)]
+    for order in (blocks, blocks[::-1]):
+        df = spark.createDataFrame(order, "page long, text string, x0 double, y0 double, x1 double, y1 double").repartition(3)
+        assert layout.nearest_caption(images, df).first().caption == "Figure 1 above"
+
+
+def test_vectors_that_have_no_direction_score_zero(spark):
+    nan, inf = float("nan"), float("inf")
+    corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, [nan, 1.0]), (3, None), (4, [inf, 1.0]), (5, [0.0, 0.0])], "doc_id long, embedding array<double>")
+    hits = retrieval.dense_search(corpus, spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, embedding array<double>"), 5)
+    assert [(r.doc_id, r.score) for r in hits.orderBy("rank").collect()] == [(1, 1.0), (2, 0.0), (3, 0.0), (4, 0.0), (5, 0.0)]
+
+
+def test_lexical_lengths_count_repeated_and_empty_rows(spark):
+    """Documents without a token that is asked for still count in the mean length."""
+    docs = spark.createDataFrame([(1, "red red fox"), (2, ""), (3, None), (4, "a b c d e")], "doc_id long, text string")
+    got = retrieval.bm25_scores(docs, spark.createDataFrame([(1, "red")], "query_id long, text string")).first()
+    idf, mean = math.log((4 - 1 + 0.5) / 1.5 + 1), 8 / 4
+    assert got.doc_id == 1 and abs(got.score - idf * 2 * 2.5 / (2 + 1.5 * (0.25 + 0.75 * 3 / mean))) < 1e-8
