@@ -367,3 +367,34 @@ def test_lexical_lengths_count_repeated_and_empty_rows(spark):
     got = retrieval.bm25_scores(docs, spark.createDataFrame([(1, "red")], "query_id long, text string")).first()
     idf, mean = math.log((4 - 1 + 0.5) / 1.5 + 1), 8 / 4
     assert got.doc_id == 1 and abs(got.score - idf * 2 * 2.5 / (2 + 1.5 * (0.25 + 0.75 * 3 / mean))) < 1e-8
+
+
+def test_joint_joins_are_those_of_one_at_a_time():
+    """Random texts: rounds of joint joins, from short lists of candidates too, choose what joining one at a time chooses."""
+
+    def ranked(rows):
+        found = {}
+        for (left, right), n in Counter(p for r in rows for p in zip(r, r[1:], strict=False)).items():
+            entry = found.setdefault(left + right, [0, []])
+            entry[0] += n
+            entry[1].append((left, right))
+        return sorted(((j, n, pairs) for j, (n, pairs) in found.items()), key=lambda x: (-x[1], x[0]))
+
+    rng, joint = random.Random(1), 0
+    for trial in range(400):
+        letters = "abcd"[: rng.randrange(1, 5)] if trial % 2 else "abcdefghijklmnop"
+        weights = [1 / (i + 1) ** 2 for i in range(len(letters))]
+        rows = [rng.choices(letters, weights, k=rng.randrange(25)) for _ in range(rng.randrange(1, 12))]
+        top, one, many, want, got = rng.choice([3, 8, 1000]), rows, rows, [], []
+        while len(want) < 12 and ranked(one):
+            want.append(ranked(one)[0][0])
+            one = [bpe.merge_joined(r, want[-1]) for r in one]
+        while len(got) < len(want):
+            found = ranked(many)
+            now = bpe.joint_joins(found[:top], len(found) < top)
+            joint += len(now) > 1
+            got += now
+            for j in now:
+                many = [bpe.merge_joined(r, j) for r in many]
+        assert got[: len(want)] == want
+    assert joint > 10
