@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.functions.vectors import cosine, valid_vector
 from quarry.operators import bpe, chunking, classify, evaluation, memory
+from quarry.plans.stages import written
 
 REGISTRY: dict = {}
 SQL: dict[str, str] = {}
@@ -287,7 +288,7 @@ SELECT doc_id, label, ls AS log_score FROM s QUALIFY row_number() OVER (PARTITIO
 @query("WITH f AS (SELECT doc_id, w AS word, CAST(count(*) AS DOUBLE) AS weight FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM documents) WHERE w <> '' GROUP BY ALL)," + _NB)
 def multinomial_nb(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality is not null").select("doc_id", F.col("quality").alias("label"))
-    f = classify.count_vectors(docs).select("doc_id", "word", F.col("count").cast("double").alias("weight"))
+    f = written(classify.count_vectors(docs).select("doc_id", "word", F.col("count").cast("double").alias("weight")), "features")
     return classify.multinomial_nb_predict(f, docs, classify.multinomial_nb_fit(f, labels), digits=6).select("doc_id", "label", "log_score")
 
 
