@@ -12,10 +12,13 @@ which is what Spark deals out.  A subtree above `node_limit` values is expanded
 next bits name the child, and a value is sent to each pair of children still within the budget that has two sides.
 
 `near_copies` uses the join for candidates only and decides by the exact Jaccard similarity of the shingle sets.
+Texts with many candidates are a crowd: their pairs come from a prefix join on their rarest shingles instead, which loses none.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,6 +38,12 @@ SET_BYTES = 512 << 10
 ASKED_BYTES = 1 << 20
 #: Nodes, two longs each, that `similar` may broadcast.
 BROADCAST_ROWS = 1_000_000
+#: A text with so many candidates under the first PROBE roots is one of a crowd.
+PROBE, CROWD = 4, 4
+#: Counters of a sketch of shingles, and how many of them a row holds.
+COUNTERS, SLICE = 1 << 22, 1 << 16
+#: Longs of a bit map of a set of shingles.
+MAP = 16
 
 
 def _shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -213,6 +222,17 @@ def _tables(root: int, tables: int, width: int, seed: int = SEED) -> list[tuple[
     return [(d[:root], d[root : root + 64], 0) for d in draws]
 
 
+class _Partners:
+    """Takes the place of `found` in trie_links: how many pairs each row is in, not the pairs."""
+
+    def __init__(self, n: int):
+        self.count = np.zeros(n, np.int64)
+
+    def append(self, pairs: tuple[np.ndarray, np.ndarray]) -> None:
+        for rows in pairs:
+            self.count += np.bincount(rows, minlength=len(self.count))
+
+
 def _subtrees(distinct: DataFrame, plan: list, whole: bool, labelled: bool) -> DataFrame:
     """(node, fp) -> one row per subtree: the task that the root's bits name, the key to descend by, its depth there.
 
@@ -281,7 +301,7 @@ def _deal_out(hot: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
 
 
 def trie_self_join(
-    distinct: DataFrame, bands: int = 1, bits: int = 64, budget: int = 2, max_bits: int | None = None, node_limit: int = NODE_LIMIT, labelled: bool = False, tables: list | None = None
+    distinct: DataFrame, bands: int = 1, bits: int = 64, budget: int = 2, max_bits: int | None = None, node_limit: int = NODE_LIMIT, labelled: bool = False, tables: list | None = None, counted_only: bool = False
 ) -> DataFrame:
     """Links among distinct fingerprints: (node long, fp binary) -> (u, v), enough of them to connect
     every two nodes that are connected by links.  Rows with equal nodes or fingerprints must not occur.
@@ -289,6 +309,7 @@ def trie_self_join(
     labelled: a column label, long, names groups, and all links between nodes of different labels come, maybe repeatedly.
     tables: roots and keys in place of the bands' blocks (see _tables); links are then pairs within the budget in a key.
     max_bits: a limit on all bits of the fingerprint; None for none but the budget.
+    counted_only: with labels, (node, partners) in place of links: in how many pairs a subtree has a node, one row a subtree.
     """
     spark = distinct.sparkSession
     plan = tables or _plan(bands, bits, budget)
@@ -326,6 +347,12 @@ def trie_self_join(
         words = _words(t.column("fp").to_pylist())[order] if whole else key[order][:, None]
         most = max_bits if whole else budget
         node = node[order]
+        if counted_only:
+            partners = _Partners(len(node))
+            trie_links(key[order], task[order], side[order], words, bits, budget, most, label=np.unique(label[order], return_inverse=True)[1], found=partners)
+            some = partners.count > 0
+            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(partners.count[some])], ["node", "partners"])
+            return
         if labelled:
             found: list = []
             trie_links(key[order], task[order], side[order], words, bits, budget, most, label=np.unique(label[order], return_inverse=True)[1], found=found)
@@ -337,7 +364,8 @@ def trie_self_join(
         other = label != np.arange(len(label))
         yield pa.RecordBatch.from_arrays([pa.array(node[other]), pa.array(node[label[other]])], ["u", "v"])
 
-    return rows.select("node", "label", "fp", "key", "task", "side").repartition(parts, "task").mapInArrow(run, "u long, v long").where("u <> v")
+    dealt = rows.select("node", "label", "fp", "key", "task", "side").repartition(parts, "task")
+    return dealt.mapInArrow(run, "node long, partners long") if counted_only else dealt.mapInArrow(run, "u long, v long").where("u <> v")
 
 
 def near_duplicates(
@@ -431,6 +459,85 @@ def similar(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int, l
     return left.groupBy("bucket", "salt").cogroup(right.groupBy("bucket", "salt")).applyInArrow(decide, "u long, v long")
 
 
+def _sketch(df: DataFrame, shingles: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> np.ndarray:
+    """How often each remainder of COUNTERS occurs among the shingles of all rows: exact below 16, by logarithm above."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(COUNTERS, np.uint32)
+        for batch in batches:
+            for h in shingles(batch):
+                np.add.at(seen, (h % np.uint64(COUNTERS)).astype(np.int64), 1)
+        for at, part in enumerate(seen.reshape(-1, SLICE)):
+            if len(own := np.flatnonzero(part)):
+                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([own.astype(np.uint16).tobytes()]), pa.array([part[own].tobytes()])], ["at", "own", "seen"])
+
+    def summed(key: tuple[pa.Scalar, ...], parts: pa.Table) -> pa.Table:
+        total = np.zeros(SLICE, np.int64)
+        for own, seen in zip(parts.column("own").to_pylist(), parts.column("seen").to_pylist(), strict=True):
+            total[np.frombuffer(own, np.uint16)] += np.frombuffer(seen, np.uint32)
+        levels = np.where(total < 16, total, 16 * np.log2(np.maximum(total, 1)) - 48)  # rarer stays rarer
+        return pa.table({"at": pa.array([key[0].as_py()]), "seen": pa.array([np.minimum(levels, 255).astype(np.uint8).tobytes()])})
+
+    out = np.zeros(COUNTERS, np.uint8)
+    for row in df.mapInArrow(run, "at long, own binary, seen binary").groupBy("at").applyInArrow(summed, "at long, seen binary").collect():
+        out[row["at"] * SLICE : (row["at"] + 1) * SLICE] = np.frombuffer(row["seen"], np.uint8)
+    return out
+
+
+def crowd_pairs(crowd: DataFrame, rows: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Candidates (u, v) of different labels in a crowd, all pairs of similarity `least` or more among them.
+
+    crowd: (node, label, row); rows: (row, text).  Shingles are put in one order for all texts, rarest first.  Two sets as similar
+    as that share one among the first |x| - least |x| + 1 of each, as the rest is too small.  Rarity is a sketch's
+    estimate: a poor one costs candidates and loses none.  Shingles that only one prefix can have aren't shuffled.  Pairs meet
+    at their first common shingle if bit maps of both sets leave room for enough common ones: no more than the common bits and
+    the shingles that share a bit with others of their set.
+    """
+
+    def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.unique(_shingle_hashes(t, shingle)).tobytes() for t in batch.column(2).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["node", "label", "hashes"])
+
+    def whole(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for h in batch.column("hashes").to_pylist():
+            yield np.frombuffer(h, np.uint64)
+
+    texts = crowd.select("node", "label", "row").join(rows.select("row", "text"), "row").select("node", "label", "text")
+    sets = materialize(map_rows(texts, hashed, "node long, label long, hashes binary"), "crowd")
+    common = _sketch(sets, whole)
+
+    def prefixes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for h in whole(batch):
+            seen = common[(h % np.uint64(COUNTERS)).astype(np.int64)]
+            yield h[np.lexsort((h, seen))][: len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1]
+
+    shared = _sketch(sets, prefixes)
+
+    def asked(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for node, label, h, first in zip(*(batch.column(c).to_pylist() for c in ("node", "label")), whole(batch), prefixes(batch), strict=True):
+            held = np.zeros(64 * MAP, np.uint8)
+            held[(h >> np.uint64(32)) % np.uint64(64 * MAP)] = 1
+            bits, spare = np.packbits(held).view(np.int64).tolist(), len(h) - int(held.sum())
+            places = np.flatnonzero(shared[(first % np.uint64(COUNTERS)).astype(np.int64)] > 1)
+            keys = first[places].view(np.int64).tolist()
+            out += [(node, label, len(h), spare, bits, key, place, keys[:k]) for k, (key, place) in enumerate(zip(keys, places.tolist(), strict=True))]
+        columns = list(zip(*out, strict=True)) or [()] * 8
+        types = [pa.int64()] * 4 + [pa.list_(pa.int64())] + [pa.int64()] * 2 + [pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["node", "label", "size", "spare", "bits", "h", "place", "earlier"])
+
+    schema = "node long, label long, size long, spare long, bits array<long>, h long, place long, earlier array<long>"
+    found = materialize(map_rows(sets, asked, schema, rows=64), "prefixes")
+    x, y = found.alias("x"), found.alias("y")
+    small, large = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
+    enough = F.lit(least / (1 + least)) * (small + large) - 1e-6
+    rest = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))  # all they can share from their first common shingle on
+    common_bits = sum((F.bit_count(F.col("x.bits")[k].bitwiseAND(F.col("y.bits")[k])) for k in range(MAP)), F.least("x.spare", "y.spare"))
+    same = (F.col("x.h") == F.col("y.h")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
+    near = (small >= F.lit(least) * large - 1e-9) & (rest >= enough) & (common_bits >= enough)
+    return x.join(y, same & near & ~F.arrays_overlap("x.earlier", "y.earlier")).select(F.col("x.node").alias("u"), F.col("y.node").alias("v"))
+
+
 def near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, lanes: int = 4, budget: int = 20, max_bits: int = 56, node_limit: int = NEAR_LIMIT, recall: float = 0.99
 ) -> DataFrame:
@@ -441,7 +548,8 @@ def near_copies(
     it takes for a pair of just that similarity to share one with probability `recall`.  Under a root,
     64 further bits may differ in `budget` places, and all bits in `max_bits`.  Before it, nodes that share a least hash are checked
     against one of them, so groups of copies are linked already and the join need not give all their pairs: it leaves out
-    pairs that checked links connect, and no others.  Rows without ids and texts without words are as in near_duplicates.
+    pairs that checked links connect, and no others.  Texts that have many candidates under the first roots are a crowd, with the
+    texts linked to them: pairs within it come from crowd_pairs, all others from the trie.  Rows without ids and texts without words are as in near_duplicates.
     """
     rows = materialize(sketches(docs, id_col, text_col, shingle, lanes).withColumn("row", F.monotonically_increasing_id()), "sketches")
     found = rows.groupBy("node").agg(F.min("id").alias("first"), F.min("row").alias("row"))
@@ -450,7 +558,18 @@ def near_copies(
     marked = materialize(nodes.join(components(close), "node", "left").select("node", "fp", F.coalesce("root", "node").alias("label")), "marked")
     size = 16 + max(0, int(np.ceil(np.log2(max(1, nodes.count())))) - 24)
     tables = _tables(size, tables_for(size, least, recall), 64 * lanes)
-    pairs = materialize(trie_self_join(marked, budget=budget, max_bits=max_bits, node_limit=node_limit, labelled=True, tables=tables).distinct(), "pairs")
+    join = {"budget": budget, "max_bits": max_bits, "node_limit": node_limit, "labelled": True}
+    partners = trie_self_join(marked, tables=tables[:PROBE], counted_only=True, **join).groupBy("node").agg(F.sum("partners").alias("n"))
+    crowded = materialize(marked.join(partners.where(F.col("n") >= CROWD), "node", "left_semi").select(F.col("label")).distinct(), "crowded")
+    held = crowded.agg(F.min("label")).first()[0]
+    if held is None:
+        pairs = trie_self_join(marked, tables=tables, **join)
+    else:  # a crowd of whole labels counts as one label to the trie join, so its own pairs are left to the prefixes
+        crowd = materialize(marked.join(crowded, "label", "left_semi"), "crowd")
+        others = marked.join(crowded, "label", "left_anti").unionByName(crowd.withColumn("label", F.lit(held)))
+        pairs = trie_self_join(materialize(others, "marked"), tables=tables, **join)
+        pairs = pairs.unionByName(crowd_pairs(crowd.join(nodes.select("node", "row"), "node"), rows, shingle, least))
+    pairs = materialize(pairs.distinct(), "pairs")
     links = similar(pairs, rows, nodes, shingle, least)
     root = components(close.unionByName(links))
     linked = materialize(nodes.select("node", "first").join(root, "node"), "linked")
