@@ -6,14 +6,29 @@ text's ids are the ids of its chunks one after another; tests hold that against
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 
 CACHE_CHUNKS = 400_000
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """No garbage collections, each of which would walk the caches; for code that makes no cycles."""
+    collecting = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if collecting:
+            gc.enable()
+
+
 class ChunkCache(dict):
     """chunk -> value.  When it is full, what it holds becomes the older half, and what is used again comes back."""
 
@@ -63,38 +78,53 @@ class WordPieces:
         self.cache: ChunkCache = ChunkCache()
         self.parts: ChunkCache = ChunkCache()
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        split = {}
+    def _learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        plain, split = _PLAIN.fullmatch, {}
         for chunk in chunks:
             s = chunk.decode("utf-8", "replace")
-            m = _PLAIN.fullmatch(s)
-            split[chunk] = (m[1].lower(), m[2]) if m else (s,)
-        known = {p: self.parts[p] if self.parts.holds(p) else None for own in split.values() for p in own if p}
-        new = [p for p, ids in known.items() if ids is None]
-        words = [p for p in new if _WORD.fullmatch(p)]
+            m = plain(s)
+            split[chunk] = (m[1].lower(), m[2]) if m else (s, "")
+        new, older = self.parts, self.parts.older
+        known = {"": b""}
+        for p in {p for own in split.values() for p in own if p}:
+            known[p] = new[p] if p in new or p in older else None
+        missing = [p for p, ids in known.items() if ids is None]
+        words = [p for p in missing if _WORD.fullmatch(p)]
         for at in range(0, len(words), 512):  # words of letters alone: many in one text, each a pre-token
             part = words[at : at + 512]
             e = self.library.encode(" ".join(part), add_special_tokens=False)
-            ids, own = np.array(e.ids, "<u4"), np.array(e.word_ids, np.int64)
-            for p, got in zip(part, np.split(ids, np.searchsorted(own, np.arange(1, len(part)))), strict=True):
-                known[p] = got.tobytes()
-        others = [p for p in new if known[p] is None]
+            ids = np.array(e.ids, "<u4").tobytes()
+            cuts = (4 * np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part) + 1))).tolist()
+            known.update(zip(part, [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+        others = [p for p in missing if known[p] is None]
         for at in range(0, len(others), 4096):
             part = others[at : at + 4096]
             for p, e in zip(part, self.library.encode_batch(part, add_special_tokens=False), strict=True):
                 known[p] = np.array(e.ids, "<u4").tobytes()
-        self.parts.room(len(new))
-        self.parts.update((p, known[p]) for p in new)
+        self.parts.room(len(missing))
+        self.parts.update({p: known[p] for p in missing})
         self.cache.room(len(split))
-        self.cache.update((chunk, b"".join([known[p] for p in own if p])) for chunk, own in split.items())
+        learnt = {chunk: known[first] + known[second] for chunk, (first, second) in split.items()}
+        self.cache.update(learnt)
+        return learnt
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         cut = [t.split() for t in texts]
-        missing = list({w for words in cut for w in words if not self.cache.holds(w)})
+        # a small dict of these texts' chunks: the large one is asked once for each distinct chunk
+        cache, older, here, missing = self.cache, self.cache.older, {}, []
+        for chunk in set().union(*cut):
+            ids = cache.get(chunk)
+            if ids is None:
+                ids = older.get(chunk)
+                if ids is None:
+                    missing.append(chunk)
+                    continue
+                cache[chunk] = ids  # to the newer half, so that making room keeps it
+            here[chunk] = ids
         if missing:
-            self._learn(missing)
-        return [self.cache.gather(words, self._learn) for words in cut]
+            here.update(self._learn(missing))
+        return [b"".join(map(here.__getitem__, words)) for words in cut]
 
 
 _LOADED: dict[tuple, object] = {}

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.chunked import WordPieces, loaded
+from quarry.llm.chunked import WordPieces, loaded, uncollected
 from quarry.llm.common import map_rows, materialize, text_bytes
 
 CAPACITY = 2048
@@ -38,7 +38,8 @@ def difference(sizes: np.ndarray, windows: int) -> tuple[np.ndarray, int]:
     n = len(sizes)
     child = np.full((2 * n + 1, 2), -1, np.int64)
     nodes = n
-    heap = [(-s, i, np.array([s]), np.array([i])) for i, s in enumerate(sizes.tolist())]
+    items = np.arange(n)
+    heap = [(-s, i, sizes[i : i + 1], items[i : i + 1]) for i, s in enumerate(sizes.tolist())]
     heapq.heapify(heap)
     tie = n
     while len(heap) > 1:
@@ -108,7 +109,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     Every row has at least the end id, null and empty texts included.
     """
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoder = loaded(WordPieces, tokenizer)
         ids = batch.column(0).to_pylist()
         rows = []
@@ -125,6 +126,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         columns = list(zip(*rows, strict=True)) or [()] * 6
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "spread"])
 
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        with uncollected():
+            return cut(batch)
+
     return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text")), run, PIECES, rows=256)
 
 
@@ -141,7 +146,7 @@ def pack_documents(
     buckets = max(1, -(-pieces.count() // bucket_pieces))
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "spread"), F.lit(buckets)))
 
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    def dealt_out(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("spread", "ascending")])
         size = table.column("length").to_numpy()
         full = np.flatnonzero(size == capacity)
@@ -154,5 +159,9 @@ def pack_documents(
         keep = table.select(["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
         return keep.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        with uncollected():
+            return dealt_out(key, table)
+
     out = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return dealt.groupBy("bucket").applyInArrow(run, out)

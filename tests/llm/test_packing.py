@@ -31,6 +31,31 @@ def test_special_tokens_and_small_cache(monkeypatch):
             assert np.frombuffer(own.encode([t.encode()])[0], "<u4").tolist() == LIBRARY.encode(t, add_special_tokens=False).ids
 
 
+def test_cache_is_asked_once_for_a_chunk():
+    """The large cache is asked for distinct chunks of a batch, not for each word."""
+    import quarry.llm.chunked as chunked
+
+    class Counting(chunked.ChunkCache):
+        asked = 0
+
+        def get(self, key, default=None):
+            Counting.asked += 1
+            return super().get(key, default)
+
+        def holds(self, key):
+            Counting.asked += 1
+            return super().holds(key)
+
+    own = WordPieces(PATH)
+    own.cache = Counting()
+    texts = ["alpha beta, Gamma " * 300, "beta, delta " * 200, ""]
+    for _ in range(2):
+        Counting.asked = 0
+        got = own.encode([t.encode() for t in texts])
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+        assert Counting.asked <= 4
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 2048), max_size=200))
 def test_windows_hold_every_item_once(sizes):
