@@ -11,17 +11,22 @@ are summed over LOT neighbouring shards in their task and over all lots by Spark
 are frequent.  Intervals aren't sent: a shard walks again from its words through the frequent phrases of each level.  A phrase
 that reaches the least count does so in all its parts, so nothing is lost.  Indexes are written once by the tasks that build
 them, bucketed by lot, and each level reads them from there without a shuffle.
+
+Words and phrases are dealt by a hash to parts of about PART words of text.  A lot's phrases of one part are one row, sorted columns as
+compressed byte planes; a part sums the rows of all lots, numbers its frequent phrases and answers each lot with the lot's own.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,12 +36,14 @@ from quarry.llm.common import materialize, scratch
 
 SHARD, LOT = 1 << 20, 4
 LEAST, LONGEST, TOP, PERCENT = 100, 5, 2000, 100
-#: Tables of at most so many frequent words or languages are broadcast to the rows that ask for them; larger ones are joined by key.
+#: Words of text to a part, and the least number of parts.
+PART, PARTS = 1 << 20, 32
+#: A table of at most so many languages is broadcast to the rows that ask for it; a larger one is joined by key.
 BROADCAST = 1 << 20
 #: Ends a piece; no word, as pieces are cut at it.
 END = b"."
 CUTS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\t", b"\n\n\n\n\n\n\n\n\n\n ")
-TEXTS, BATCH = 256, 1 << 15
+TEXTS = 256
 
 
 def tokens(texts: list[bytes]) -> list[bytes]:
@@ -62,14 +69,34 @@ def transform(sequence: np.ndarray, depth: int) -> np.ndarray:
     return sequence[places - 1]
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Whole numbers below 2**32 as compressed byte planes."""
-    return pa.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+def squeezed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unsqueezed(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+
 
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers, none below zero, as compressed byte planes; a column has as many planes as its largest number needs."""
+    planes = [bytes([len(columns)])]
+    for values in columns:
+        wide = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)
+        width = (int(values.max(initial=0)).bit_length() + 7) // 8
+        planes += [bytes([width]), len(values).to_bytes(8, "little"), wide[:, :width].T.tobytes()]
+    return squeezed(b"".join(planes))
 
-def unpacked(blob: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(blob, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+def unpacked(blob: bytes) -> list[np.ndarray]:
+    raw, columns = unsqueezed(blob), []
+    at = 1
+    for _ in range(raw[0]):
+        width, n = raw[at], int.from_bytes(raw[at + 1 : at + 9], "little")
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(raw, np.uint8, width * n, at + 9).reshape(width, n).T
+        columns.append(wide.view("<i8").ravel())
+        at += 9 + width * n
+    return columns
 
 
 class Side:
@@ -127,7 +154,8 @@ class Index:
         return parent, symbol, new, back[parent] + below, counted
 
 
-SHARDS = "lot long, shard int, lang string, n long, length int, words array<string>, counts array<int>, lows array<int>, forward binary, backward binary"
+#: words: one a line, by symbol from 1; lows: the starts of their intervals, each as its distance from the one before.
+SHARDS = "lot long, shard int, lang string, n long, length int, words binary, lows binary, forward binary, backward binary"
 
 
 def _indexed(depth: int, size: int):
@@ -142,11 +170,9 @@ def _indexed(depth: int, size: int):
             sequence = np.concatenate(parts)
             counts = np.bincount(sequence, minlength=len(words))
             number = next(numbers)
-            row = [base + number // LOT, number % LOT, lang, int(counts[1:].sum()), len(sequence), list(words)[1:], counts[1:].astype(np.int32), (np.cumsum(counts) - counts)[1:].astype(np.int32), packed(transform(sequence, depth)), packed(transform(sequence[::-1], depth))]
-            types = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
-            arrays = [pa.array([x], t) for x, t in zip(row, types, strict=True)]
-            arrays[5] = arrays[5].cast(pa.list_(pa.string()))
-            return pa.RecordBatch.from_arrays(arrays, [f.split(" ")[0] for f in SHARDS.split(", ")])
+            row = [base + number // LOT, number % LOT, lang, int(counts[1:].sum()), len(sequence), squeezed(b"\n".join(list(words)[1:])), packed(counts[:-1]), packed(transform(sequence, depth)), packed(transform(sequence[::-1], depth))]
+            types = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], [f.split(" ")[0] for f in SHARDS.split(", ")])
 
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
@@ -170,35 +196,100 @@ def _indexed(depth: int, size: int):
     return run
 
 
-GRAMS = "lot long, prefix long, suffix long, n long, before long, after long"
+#: What a lot, or a shard of it, has of a part: words (one a line) and their counts, or phrases (prefix, suffix, n, and how often less a word stands before and after).
+GRAMS = "part int, lot long, shard int, lang string, words binary, blob binary"
+#: A part's answers to lots, and its frequent phrases (lot null).
+SUMMED = "level int, part int, lot long, shard int, blob binary, lang string, word binary, prefix long, suffix long, f long, before long, after long, gram long"
+
+
+def bound(function: Callable[..., pa.Table], tables: int, **given: int) -> Callable[..., pa.Table]:
+    """A function of a group's key and its one or two tables, its keywords given; Spark takes no partial()."""
+
+    def one(key: tuple[pa.Scalar, ...], own: pa.Table) -> pa.Table:
+        return function(key, own, **given)
+
+    def two(key: tuple[pa.Scalar, ...], own: pa.Table, other: pa.Table) -> pa.Table:
+        return function(key, own, other, **given)
+
+    return one if tables == 1 else two
+
+
+def table_of(schema: str, rows: list[tuple]) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    fields = [f.split(" ") for f in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return pa.table([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], [name for name, _ in fields])
+
+
+def words_by_part(blob: bytes, parts: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """A shard's words by symbol, from 0 here, their order by part, and the places in it where parts begin, with its end."""
+    raw = unsqueezed(blob)
+    words = raw.split(b"\n") if raw else []
+    part = np.fromiter(map(crc32, words), np.uint32, len(words)).astype(np.int64) * parts >> 32
+    return words, np.argsort(part, kind="stable"), np.searchsorted(np.sort(part), np.arange(parts + 1))
+
+
+def part_of(prefix: np.ndarray, suffix: np.ndarray, parts: int) -> np.ndarray:
+    mixed = (prefix.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + suffix.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return ((mixed >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def by_pair(prefix: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by prefix and suffix, places in it where a new pair begins)."""
+    if max(prefix.max(initial=0), suffix.max(initial=0)) < 1 << 31:
+        order = np.argsort(prefix << 32 | suffix, kind="stable")
+    else:
+        order = np.lexsort((suffix, prefix))
+    prefix, suffix = prefix[order], suffix[order]
+    return order, np.flatnonzero(np.concatenate([[True], (prefix[1:] != prefix[:-1]) | (suffix[1:] != suffix[:-1])])) if len(order) else order
+
+
+def _worded(parts: int):
+    """Rows of SHARDS -> the words of each part and their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                lot, shard, lang, length, blob, lows = (batch.column(c)[row].as_py() for c in ("lot", "shard", "lang", "length", "words", "lows"))
+                words, order, starts = words_by_part(blob, parts)
+                counts = np.diff(np.append(np.cumsum(unpacked(lows)[0]), length))
+                own = [(part, order[a:b]) for part, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)) if a < b]
+                yield from table_of(GRAMS, [(part, lot, shard, lang, squeezed(b"\n".join(map(words.__getitem__, o.tolist()))), packed(counts[o])) for part, o in own]).to_batches()
+
+    return run
 
 
 class Walk:
     """The frequent phrases of a lot, level by level, and their intervals in one of its shards after another."""
 
-    def __init__(self, known: pa.Table):
-        level = known.column("level").to_numpy()
-        prefix, suffix, gram = (known.column(c).to_numpy() for c in ("prefix", "suffix", "gram"))
-        lists = known.filter(pa.array(level == 1)).column("places").combine_chunks()
-        self.words = lists.flatten().to_numpy().reshape(-1, 3)
-        self.word_grams = np.repeat(gram[level == 1], np.diff(lists.offsets.to_numpy()) // 3)
-        self.grams, self.pairs = [np.unique(gram[level == 1])], []
-        for k in range(2, int(level.max(initial=1)) + 1):
-            here = level == k
-            keys = self.keyed(k - 1, prefix[here], suffix[here])
+    def __init__(self, known: pa.Table, parts: int):
+        self.parts, answers = parts, defaultdict(list)
+        rows = sorted(zip(*[known.column(c).to_pylist() for c in ("level", "shard", "part")], range(known.num_rows), strict=True))
+        for level, shard, _, row in rows:
+            answers[level, shard].append(unpacked(known.column("blob")[row].as_py()))
+        #: by shard, the numbers of its words in their order by part, from 1; 0: not frequent
+        self.words = {shard: np.concatenate([a[0] for a in found]) for (level, shard), found in answers.items() if level == 1}
+        own = np.unique(np.concatenate(list(self.words.values())))
+        self.grams, self.pairs = [own[own > 0] - 1], []
+        for k in range(2, max(level for level, _ in answers) + 1):
+            prefix, suffix, gram = (np.concatenate(c) for c in zip(*[(np.cumsum(p), s, np.cumsum(g)) for p, s, g in answers[k, None]])) if (k, None) in answers else np.zeros((3, 0), np.int64)
+            keys = self.keyed(k - 1, prefix, suffix)
             by = np.argsort(keys)
-            self.pairs.append((keys[by], gram[here][by]))
-            self.grams.append(np.unique(gram[here]))
+            self.pairs.append((keys[by], gram[by]))
+            self.grams.append(np.sort(gram))
 
     def keyed(self, k: int, prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
         """One number for two phrases of k words, by their places among the lot's."""
         own = self.grams[k - 1]
         return np.searchsorted(own, prefix) * len(own) + np.searchsorted(own, suffix)
 
-    def extensions(self, shard: int, index: Index) -> tuple[np.ndarray, ...]:
-        """(prefix, suffix, low, back, count) of the extensions of the longest frequent phrases."""
-        mine = self.words[:, 0] == shard
-        (_, low, counts), gram = self.words[mine].T.astype(np.int64), self.word_grams[mine]
+    def extensions(self, shard: int, words: bytes, lows: np.ndarray, index: Index) -> tuple[np.ndarray, ...]:
+        """(prefix, suffix, low, back, count) of the extensions of the longest frequent phrases; lows: of all words, and the sequence's end."""
+        order = words_by_part(words, self.parts)[1]
+        numbers = np.zeros(len(order), np.int64)
+        numbers[order] = self.words[shard] if len(order) else 0
+        mine = np.flatnonzero(numbers)
+        low, counts, gram = lows[mine], np.diff(lows)[mine], numbers[mine] - 1
         back = low
         for k in range(1, len(self.grams) + 1):
             by = np.argsort(back)
@@ -217,27 +308,79 @@ class Walk:
         return prefix, suffix, low, back, counts
 
 
-def _extended(key: tuple[pa.Scalar, ...], index: pa.Table, known: pa.Table) -> pa.Table:
-    """One lot's frequent phrases of up to k words -> its phrases of k + 1 words with two frequent parts."""
+def _extended(key: tuple[pa.Scalar, ...], index: pa.Table, known: pa.Table, *, level: int = 2, parts: int = PARTS) -> pa.Table:
+    """One lot's frequent phrases of fewer than `level` words -> its phrases of `level` words with two frequent parts."""
     pairs, sums = [np.zeros((2, 0), np.int64)], [np.zeros((3, 0), np.int32)]
-    if known.num_rows:
-        walk = Walk(known)
+    if known.num_rows and pc.max(known.column("level")).as_py() == level - 1:  # numbers are unique in one level only
+        walk = Walk(known, parts)
         for row in range(index.num_rows):
-            both = Index(*[unpacked(index.column(c)[row].as_py(), index.column("length")[row].as_py()) for c in ("forward", "backward")])
-            prefix, suffix, low, back, counts = walk.extensions(index.column("shard")[row].as_py(), both)
+            shard, length, words, lows, *sides = (index.column(c)[row].as_py() for c in ("shard", "length", "words", "lows", "forward", "backward"))
+            if shard not in walk.words:
+                continue  # it has no words
+            both = Index(*[unpacked(side)[0].astype(np.uint32) for side in sides])
+            prefix, suffix, low, back, counts = walk.extensions(shard, words, np.append(np.cumsum(unpacked(lows)[0]), length), both)
             pairs.append(np.stack([prefix, suffix]))
-            sums.append(np.stack([counts, both.forward.extendable(low, counts), both.backward.extendable(back, counts)]).astype(np.int32))
+            sums.append(np.stack([counts, counts - both.forward.extendable(low, counts), counts - both.backward.extendable(back, counts)]).astype(np.int32))
             del both
     pair, rows = np.concatenate(pairs, axis=1), np.concatenate(sums, axis=1)
-    order = np.lexsort(pair[::-1])
-    pair, rows = pair[:, order], rows[:, order]
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(pair) != 0).any(0)])) if len(order) else order
-    summed = [np.add.reduceat(r.astype(np.int64), new) if len(new) else r.astype(np.int64) for r in rows]
-    out = pa.table([pa.array(np.full(len(new), key[0].as_py())), pa.array(pair[0, new]), pa.array(pair[1, new]), *map(pa.array, summed)], [f.split(" ")[0] for f in GRAMS.split(", ")])
-    return pa.concat_tables([out.slice(at, BATCH) for at in range(0, max(1, len(new)), BATCH)])
-
-
-def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, shard: int = SHARD, broadcast: int = BROADCAST) -> tuple[DataFrame, DataFrame]:
+    order, new = by_pair(*pair)
+    rows = [np.add.reduceat(r[order].astype(np.int64), new) if len(new) else r for r in rows]
+    pair = pair[:, order[new]]
+    part = part_of(*pair, parts)
+    by = np.argsort(part, kind="stable")
+    columns, starts = [c[by] for c in (*pair, *rows)], np.searchsorted(part[by], np.arange(parts + 1))
+    own = [(at, [c[a:b] for c in columns]) for at, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)) if a < b]
+    return table_of(GRAMS, [(at, key[0].as_py(), None, None, None, packed(np.diff(c[0], prepend=0), *c[1:])) for at, c in own])
+
+
+def _summed_words(key: tuple[pa.Scalar, ...], sent: pa.Table, *, least: int, parts: int) -> pa.Table:
+    """All words of a part -> the frequent ones, numbered, and for each shard the numbers of its words, from 1, 0 for the others."""
+    part, out, numbers = key[0].as_py(), [], count(key[0].as_py(), parts)
+    by_lang = defaultdict(list)
+    for row, lang in enumerate(sent.column("lang").to_pylist()):
+        by_lang[lang].append(row)
+    for lang, rows in by_lang.items():
+        lists = [unsqueezed(sent.column("words")[row].as_py()).split(b"\n") for row in rows]
+        coded = pa.array([w for words in lists for w in words], pa.large_binary()).dictionary_encode()
+        place, counts = coded.indices.to_numpy(), np.concatenate([unpacked(sent.column("blob")[row].as_py())[0] for row in rows])
+        f = np.zeros(len(coded.dictionary), np.int64)
+        np.add.at(f, place, counts)
+        gram = np.full(len(f), -1)
+        frequent = np.flatnonzero(f >= least)
+        gram[frequent] = [next(numbers) for _ in frequent]
+        out += [(1, part, None, None, None, lang, coded.dictionary[at].as_py(), None, None, int(f[at]), None, None, int(gram[at])) for at in frequent.tolist()]
+        ends = np.cumsum([len(words) for words in lists])
+        for row, told in zip(rows, np.split(gram[place] + 1, ends[:-1]), strict=True):
+            out.append((1, part, sent.column("lot")[row].as_py(), sent.column("shard")[row].as_py(), packed(told), *[None] * 8))
+    return table_of(SUMMED, out)
+
+
+def _summed(key: tuple[pa.Scalar, ...], sent: pa.Table, *, level: int, least: int, parts: int) -> pa.Table:
+    """All phrases of a part -> the frequent ones, numbered, and for each lot its own (prefix, suffix, number)."""
+    part = key[0].as_py()
+    columns = [unpacked(blob) for blob in sent.column("blob").to_pylist()]
+    ends = np.cumsum([len(c[0]) for c in columns])
+    prefix, suffix, *rows = (np.concatenate(c) for c in zip(*[(np.cumsum(c[0]), *c[1:]) for c in columns], strict=True))
+    order, new = by_pair(prefix, suffix)
+    f, first, last = (np.add.reduceat(r[order], new) for r in rows)
+    frequent = f >= least
+    gram = np.full(len(f), -1)
+    gram[frequent] = part + parts * np.arange(frequent.sum())
+    told = np.empty(len(order), np.int64)
+    told[order] = np.repeat(gram, np.diff(np.append(new, len(order))))
+    at = order[new[frequent]]
+    n = len(at)
+    full = {"level": np.full(n, level, np.int32), "part": np.full(n, part, np.int32), "prefix": prefix[at], "suffix": suffix[at], "f": f[frequent], "before": (f - first)[frequent], "after": (f - last)[frequent], "gram": gram[frequent]}
+    found = table_of(SUMMED, [])
+    found = pa.table([pa.array(full[c.name]) if c.name in full else pa.nulls(n, c.type) for c in found.schema], found.schema)
+    answers = []
+    for lot, p, s, g in zip(sent.column("lot").to_pylist(), *[np.split(c, ends[:-1]) for c in (prefix, suffix, told)], strict=True):
+        if (own := g >= 0).any():
+            answers.append((level, part, lot, None, packed(np.diff(p[own], prepend=0), s[own], np.diff(g[own], prepend=0)), *[None] * 8))
+    return pa.concat_tables([found, table_of(SUMMED, answers)])
+
+
+def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, shard: int = SHARD, part: int = PART) -> tuple[DataFrame, DataFrame]:
     """(phrases, totals): every phrase of 1 to `longest` words that occurs `least` times in its language, and each language's words.
 
     phrases: (lang, phrase, words, f, before, after); before and after count the occurrences that a word of the same piece precedes or
@@ -250,26 +393,26 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     rows.mapInArrow(_indexed(longest, shard), SHARDS).write.bucketBy(buckets, "lot").option("path", scratch(spark, "indexes")).option("compression", "zstd").saveAsTable(name)
     indexes = spark.table(name)
     totals = materialize(indexes.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    words = indexes.select("lot", "shard", "lang", F.explode(F.arrays_zip("words", "counts", "lows")).alias("w"))
-    words = materialize(words.select("lot", "lang", F.col("w.words").alias("word"), F.col("w.counts").alias("n"), F.array("shard", "w.lows", "w.counts").alias("places")), "words")
-    level = words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    none = F.lit(None).cast("long")
-    level = level.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "f", none.alias("before"), none.alias("after"), F.col("word").alias("last"), F.monotonically_increasing_id().alias("gram"))
-    level = materialize(level, "frequent")
-    few = F.broadcast(level) if level.count() <= broadcast else level
-    known = words.join(few.select("lang", F.col("phrase").alias("word"), "gram"), ["lang", "word"]).select("lot", F.lit(1).alias("level"), none.alias("prefix"), none.alias("suffix"), "gram", "places")
-    found = [level]
-    for k in range(2, longest + 1):
-        grams = indexes.select("lot", "shard", "length", "forward", "backward").groupBy("lot").cogroup(known.groupBy("lot")).applyInArrow(_extended, GRAMS)
-        grams = grams.withColumn("f", F.sum("n").over(Window.partitionBy("prefix", "suffix"))).where(F.col("f") >= least)  # a row a lot at most
-        grams = materialize(grams, "grams")
-        sums = grams.groupBy("prefix", "suffix").agg(F.max("f").alias("f"), F.sum("before").alias("before"), F.sum("after").alias("after"))
-        first = level.select(F.col("gram").alias("prefix"), "lang", "phrase")
-        second = level.select(F.col("gram").alias("suffix"), "last")
-        level = materialize(sums.join(first, "prefix").join(second, "suffix").select("lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), F.lit(k).alias("words"), "f", "before", "after", "last", "prefix", "suffix"), "frequent")
-        gram = next(g for g in (F.xxhash64(F.lit(seed), "prefix", "suffix") for seed in count()) if level.groupBy(g.alias("g")).count().where("count > 1").isEmpty())
-        level = level.withColumn("gram", gram)
-        known = known.unionAll(grams.select("lot", F.lit(k), "prefix", "suffix", gram, F.lit(None).cast("array<int>")))
+    parts = max(PARTS, -(-(totals.agg(F.sum("n")).first()[0] or 0) // part))
+    found, known = [], None
+    for k in range(1, longest + 1):
+        if k == 1:
+            sent = indexes.select("lot", "shard", "lang", "length", "words", "lows").mapInArrow(_worded(parts), GRAMS)
+            summed = sent.groupBy("part").applyInArrow(bound(_summed_words, 1, least=least, parts=parts), SUMMED)
+        else:
+            sent = indexes.select("lot", "shard", "length", "words", "lows", "forward", "backward").groupBy("lot").cogroup(known.groupBy("lot")).applyInArrow(bound(_extended, 2, level=k, parts=parts), GRAMS)
+            summed = sent.select("part", "lot", "blob").groupBy("part").applyInArrow(bound(_summed, 1, level=k, least=least, parts=parts), SUMMED)
+        summed = materialize(summed, "summed")
+        told = summed.where("lot is not null").select("lot", "level", "shard", "part", "blob")
+        known = told if known is None else known.unionAll(told)
+        own = summed.where("lot is null")
+        if k == 1:
+            level = own.select("lang", F.col("word").cast("string").alias("phrase"), F.lit(1).alias("words"), "f", "before", "after", "gram").withColumn("last", F.col("phrase"))
+        else:
+            first = level.select(F.col("gram").alias("prefix"), "lang", "phrase")
+            second = level.select(F.col("gram").alias("suffix"), "last")
+            level = own.select("prefix", "suffix", "f", "before", "after", "gram").join(first, "prefix").join(second, "suffix")
+            level = materialize(level.select("lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), F.lit(k).alias("words"), "f", "before", "after", "last", "gram"), "frequent")
         found.append(level)
         if level.isEmpty():
             break
@@ -281,7 +424,7 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     return out, totals
 
 
-def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, top: int = TOP, percent: int = PERCENT, **build: int) -> DataFrame:
+def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, top: int = TOP, percent: int = PERCENT, broadcast: int = BROADCAST, **build: int) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score, before, after): each language's `top` phrases of 2 to `longest` words.
 
     Texts (null: empty) of a language (null: und) are lower-cased (A-Z) and cut into pieces at .,;:!? and line ends, pieces into words at
@@ -299,7 +442,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     split = split.select("*", part(F.lit(1), F.col("cut")).alias("head"), part(F.col("cut") + 1, F.col("words") - F.col("cut")).alias("tail"))
     counted = phrases.select("lang", "phrase", "f")
     split = split.join(counted.select("lang", F.col("phrase").alias("head"), F.col("f").alias("l")), ["lang", "head"])
-    split = split.join(counted.select("lang", F.col("phrase").alias("tail"), F.col("f").alias("r")), ["lang", "tail"]).join(F.broadcast(totals) if totals.count() <= BROADCAST else totals, "lang")
+    split = split.join(counted.select("lang", F.col("phrase").alias("tail"), F.col("f").alias("r")), ["lang", "tail"]).join(F.broadcast(totals) if totals.count() <= broadcast else totals, "lang")
     whole = lambda c: F.col(c).cast("decimal(38,0)")
     split = split.withColumn("over", (F.lit(1000).cast("decimal(38,0)") * whole("f")).cast("decimal(38,0)") * whole("n")).withColumn("under", whole("l") * whole("r"))
     split = split.withColumn("score", F.expr("cast(over as decimal(38,0)) div cast(under as decimal(38,0))"))

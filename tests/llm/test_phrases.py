@@ -105,3 +105,46 @@ def test_index_is_read_without_a_shuffle(spark):
     text = plan._jdf.queryExecution().executedPlan().toString()
     spark.sql("drop table phrases_plan")
     assert "Bucketed: true" in text and "Exchange" not in text[: text.index("HashAggregate")], text
+
+
+@pytest.mark.parametrize("shard, part", [(60, 3), (1, 40), (1 << 20, 1)])
+def test_many_parts(spark, shard, part):
+    rows = sample(300, 4)
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(5)
+    got = phrases.collocations(df, least=4, top=100, shard=shard, part=part)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 4, 5, 100)
+
+
+def test_what_a_lot_sends():
+    """A row a part at most, few bytes a phrase, and nothing where the lot has no phrase of the level before."""
+    import pyarrow as pa
+
+    rnd, parts = np.random.default_rng(5), 8
+    text = " ".join(f"w{int(x)}" for x in np.minimum(rnd.zipf(1.3, 60_000), 2_000))
+    batch = pa.record_batch([pa.array(["en"]), pa.array([text.encode()])], ["lang", "text"])
+    old, phrases.TaskContext.get = phrases.TaskContext.get, lambda: type("Context", (), {"partitionId": lambda self: 0})()
+    try:
+        index = pa.Table.from_batches(list(phrases._indexed(5, 1 << 20)(iter([batch]))))
+    finally:
+        phrases.TaskContext.get = old
+    sent = pa.Table.from_batches(list(phrases._worded(parts)(iter(index.to_batches()))))
+    assert sent.num_rows <= parts
+    told = pa.concat_tables([phrases._summed_words((part,), sent.filter(pa.compute.equal(sent["part"], part)), least=10, parts=parts) for part in pa.array(range(parts))])
+    known, lot = told.filter(pa.compute.is_valid(told["lot"])), (pa.scalar(0),)
+    pairs = phrases._extended(lot, index, known, level=2, parts=parts)
+    columns = [phrases.unpacked(b) for b in pairs["blob"].to_pylist()]
+    words = text.split()
+    frequent = {w for w, n in Counter(words).items() if n >= 10}
+    plain = Counter((a, b) for a, b in zip(words, words[1:]) if a in frequent and b in frequent)
+    assert pairs.num_rows <= parts and sum(len(c[0]) for c in columns) == len(plain) and sum(int(c[2].sum()) for c in columns) == sum(plain.values())
+    assert sum(map(len, pairs["blob"].to_pylist())) < 5 * len(plain)
+    assert phrases._extended(lot, index, known, level=3, parts=parts).num_rows == 0
+
+
+def test_packed_numbers():
+    for columns in ([[0, 0, 0]], [[], []], [[1, 255, 256, 70_000], [0, 1 << 33, 1 << 40, 5]]):
+        assert [c.tolist() for c in phrases.unpacked(phrases.packed(*map(lambda c: np.array(c, np.int64), columns)))] == columns
+    for high in (9, 1 << 40):
+        prefix, suffix = np.array([3, 1, high, 1, 3, high]), np.array([7, high, 2, high, 7, 2])
+        order, new = phrases.by_pair(prefix, suffix)
+        assert list(zip(prefix[order].tolist(), suffix[order].tolist())) == sorted(zip(prefix.tolist(), suffix.tolist())) and new.tolist() == [0, 2, 4]
