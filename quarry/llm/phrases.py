@@ -169,8 +169,11 @@ def _indexed(depth: int, size: int):
             words, parts, _ = held.pop(lang)
             sequence = np.concatenate(parts)
             counts = np.bincount(sequence, minlength=len(words))
-            number = next(numbers)
-            row = [base + number // LOT, number % LOT, lang, int(counts[1:].sum()), len(sequence), squeezed(b"\n".join(list(words)[1:])), packed(counts[:-1]), packed(transform(sequence, depth)), packed(transform(sequence[::-1], depth))]
+            by = np.append(0, 1 + np.argsort(-counts[1:], kind="stable"))  # the smaller numbers are, the smaller their planes
+            symbols = np.empty(len(by), np.uint32)
+            symbols[by] = np.arange(len(by))
+            sequence, counts, named, number = symbols[sequence], counts[by], list(words), next(numbers)
+            row = [base + number // LOT, number % LOT, lang, int(counts[1:].sum()), len(sequence), squeezed(b"\n".join([named[at] for at in by[1:].tolist()])), packed(counts[:-1]), packed(transform(sequence, depth)), packed(transform(sequence[::-1], depth))]
             types = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], [f.split(" ")[0] for f in SHARDS.split(", ")])
 
@@ -222,11 +225,12 @@ def table_of(schema: str, rows: list[tuple]) -> pa.Table:
 
 
 def words_by_part(blob: bytes, parts: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """A shard's words by symbol, from 0 here, their order by part, and the places in it where parts begin, with its end."""
+    """A shard's words by symbol, from 0 here, their order by hash, and the places in it where parts begin, with its end."""
     raw = unsqueezed(blob)
     words = raw.split(b"\n") if raw else []
-    part = np.fromiter(map(crc32, words), np.uint32, len(words)).astype(np.int64) * parts >> 32
-    return words, np.argsort(part, kind="stable"), np.searchsorted(np.sort(part), np.arange(parts + 1))
+    hashes = np.fromiter(map(crc32, words), np.uint32, len(words))
+    order = stable_order(hashes)
+    return words, order, np.searchsorted(hashes[order].astype(np.int64) * parts >> 32, np.arange(parts + 1))
 
 
 def part_of(prefix: np.ndarray, suffix: np.ndarray, parts: int) -> np.ndarray:
@@ -259,20 +263,32 @@ def _worded(parts: int):
     return run
 
 
+def steps(numbers: np.ndarray, parts: int) -> np.ndarray:
+    """A part's numbers as steps from one to the next, those back odd."""
+    step = np.diff(numbers // parts, prepend=0)
+    return step << 1 ^ step >> 63
+
+
 class Walk:
     """The frequent phrases of a lot, level by level, and their intervals in one of its shards after another."""
 
     def __init__(self, known: pa.Table, parts: int):
         self.parts, answers = parts, defaultdict(list)
         rows = sorted(zip(*[known.column(c).to_pylist() for c in ("level", "shard", "part")], range(known.num_rows), strict=True))
-        for level, shard, _, row in rows:
-            answers[level, shard].append(unpacked(known.column("blob")[row].as_py()))
-        #: by shard, the numbers of its words in their order by part, from 1; 0: not frequent
-        self.words = {shard: np.concatenate([a[0] for a in found]) for (level, shard), found in answers.items() if level == 1}
+        for level, shard, part, row in rows:
+            *others, steps = unpacked(known.column("blob")[row].as_py())
+            numbers = np.cumsum(steps >> 1 ^ -(steps & 1)) * parts + part
+            if level == 1:
+                answers[level, shard].append(np.zeros(len(others[0]), np.int64))
+                answers[level, shard][-1][others[0] > 0] = numbers + 1
+            else:
+                answers[level, shard].append((np.cumsum(others[0]), others[1], numbers))
+        #: by shard, the numbers of its words in their order by hash, from 1; 0: not frequent
+        self.words = {shard: np.concatenate(found) for (level, shard), found in answers.items() if level == 1}
         own = np.unique(np.concatenate(list(self.words.values())))
         self.grams, self.pairs = [own[own > 0] - 1], []
         for k in range(2, max(level for level, _ in answers) + 1):
-            prefix, suffix, gram = (np.concatenate(c) for c in zip(*[(np.cumsum(p), s, np.cumsum(g)) for p, s, g in answers[k, None]])) if (k, None) in answers else np.zeros((3, 0), np.int64)
+            prefix, suffix, gram = (np.concatenate(c) for c in zip(*answers[k, None], strict=True)) if (k, None) in answers else np.zeros((3, 0), np.int64)
             keys = self.keyed(k - 1, prefix, suffix)
             by = np.argsort(keys)
             self.pairs.append((keys[by], gram[by]))
@@ -334,7 +350,7 @@ def _extended(key: tuple[pa.Scalar, ...], index: pa.Table, known: pa.Table, *, l
 
 
 def _summed_words(key: tuple[pa.Scalar, ...], sent: pa.Table, *, least: int, parts: int) -> pa.Table:
-    """All words of a part -> the frequent ones, numbered, and for each shard the numbers of its words, from 1, 0 for the others."""
+    """All words of a part -> the frequent ones, numbered by hash, and for each shard which of its words they are, and their numbers."""
     part, out, numbers = key[0].as_py(), [], count(key[0].as_py(), parts)
     by_lang = defaultdict(list)
     for row, lang in enumerate(sent.column("lang").to_pylist()):
@@ -347,11 +363,12 @@ def _summed_words(key: tuple[pa.Scalar, ...], sent: pa.Table, *, least: int, par
         np.add.at(f, place, counts)
         gram = np.full(len(f), -1)
         frequent = np.flatnonzero(f >= least)
+        frequent = frequent[np.argsort([crc32(coded.dictionary[at].as_py()) for at in frequent.tolist()], kind="stable")]
         gram[frequent] = [next(numbers) for _ in frequent]
         out += [(1, part, None, None, None, lang, coded.dictionary[at].as_py(), None, None, int(f[at]), None, None, int(gram[at])) for at in frequent.tolist()]
         ends = np.cumsum([len(words) for words in lists])
-        for row, told in zip(rows, np.split(gram[place] + 1, ends[:-1]), strict=True):
-            out.append((1, part, sent.column("lot")[row].as_py(), sent.column("shard")[row].as_py(), packed(told), *[None] * 8))
+        for row, told in zip(rows, np.split(gram[place], ends[:-1]), strict=True):
+            out.append((1, part, sent.column("lot")[row].as_py(), sent.column("shard")[row].as_py(), packed(told >= 0, steps(told[told >= 0], parts)), *[None] * 8))
     return table_of(SUMMED, out)
 
 
@@ -376,7 +393,7 @@ def _summed(key: tuple[pa.Scalar, ...], sent: pa.Table, *, level: int, least: in
     answers = []
     for lot, p, s, g in zip(sent.column("lot").to_pylist(), *[np.split(c, ends[:-1]) for c in (prefix, suffix, told)], strict=True):
         if (own := g >= 0).any():
-            answers.append((level, part, lot, None, packed(np.diff(p[own], prepend=0), s[own], np.diff(g[own], prepend=0)), *[None] * 8))
+            answers.append((level, part, lot, None, packed(np.diff(p[own], prepend=0), s[own], steps(g[own], parts)), *[None] * 8))
     return pa.concat_tables([found, table_of(SUMMED, answers)])
 
 

@@ -134,6 +134,9 @@ def test_what_a_lot_sends():
     pairs = phrases._extended(lot, index, known, level=2, parts=parts)
     columns = [phrases.unpacked(b) for b in pairs["blob"].to_pylist()]
     words = text.split()
+    answers = [phrases.unpacked(b) for b in known["blob"].to_pylist()]
+    assert sum(int(mask.sum()) for mask, _ in answers) == sum(n >= 10 for n in Counter(words).values())
+    assert not any((steps & 1).any() for _, steps in answers)  # numbers rise in the order that the shard has its words in
     frequent = {w for w, n in Counter(words).items() if n >= 10}
     plain = Counter((a, b) for a, b in zip(words, words[1:]) if a in frequent and b in frequent)
     assert pairs.num_rows <= parts and sum(len(c[0]) for c in columns) == len(plain) and sum(int(c[2].sum()) for c in columns) == sum(plain.values())
