@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,20 +119,81 @@ def upgrade_memory(rows: DataFrame, version: int, now: Column | None = None, cap
     return kept if now is None else retain_top(kept.withColumn("score", forgetting_score(now, retention_days)), cap, "key").drop("score")
 
 
-def recall(state: DataFrame, queries: DataFrame, k: int = 3, min_similarity: float = 0.35, time: str = "updated_at", digits: int = 9) -> DataFrame:
+def recall(state: DataFrame, queries: DataFrame, k: int = 3, min_similarity: float = 0.35, time: str = "updated_at", digits: int = 9, block: int = 4096, lot: int = 256) -> DataFrame:
     """state(key, embedding, time), queries(query_id, embedding): the k most similar entries at or above the threshold.
 
-    Only vectors of equal length meet.  The stated query set goes to every salt, each entry to one, so that
-    entries of one length, which may be all, spread over the tasks.
+    Only vectors of equal length meet.  Blocks of entries meet lots of queries, one matrix product a pair, and of those only what can be
+    among a query's k best of the block goes on, to have its similarity taken exactly.  Entries are cut to blocks where they lie, so
+    no key decides where they go.  The product of two tables is Spark's, which holds a part of the queries' table at a time.
     """
-    salts = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = queries.select("query_id", F.col("embedding").alias("q"), F.size("embedding").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    salted = state.withColumn("n", F.size("embedding")).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int"))
-    hit = salted.join(asked, ["n", "salt"]).withColumn("similarity", F.round(cosine(F.col("embedding"), F.col("q")), digits)).where(F.col("similarity") >= min_similarity)
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.desc(time), F.desc("key"))
+    entries = _packed(state.select("key", F.col("embedding"), F.col(time).alias("time")), "embedding", "entries", block)
+    asked = _packed(queries.select("query_id", F.col("embedding").alias("q")), "q", "asked", lot)
+    kinds = [*state.select("key", "embedding", F.col(time).alias("time")).schema.fields, *queries.select("query_id", F.col("embedding").alias("q")).schema.fields]
+
+    def run(batches):
+        for batch in batches:
+            for mine, theirs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                left, right = (pa.ipc.open_stream(x).read_all().combine_chunks() for x in (mine, theirs))
+                left = left.take(pc.sort_indices(left, [("time", "descending"), ("key", "descending")]))
+                for i, j in _near(_units(left.column("embedding")), _units(right.column("q")), k, min_similarity, digits):
+                    yield from pa.Table.from_arrays([*left.take(i).columns, *right.take(j).columns], [f.name for f in kinds]).combine_chunks().to_batches()
+
+    near = entries.crossJoin(asked).mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds))
+    hit = near.withColumn("similarity", F.round(cosine(F.col("embedding"), F.col("q")), digits)).where(F.col("similarity") >= min_similarity)
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.desc("time"), F.desc("key"))
     return hit.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "key", "similarity", "rank")
 
 
+def _packed(rows: DataFrame, vector: str, name: str, size: int) -> DataFrame:
+    """Rows with a vector as binary blocks of at most `size` rows, cut where they lie."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                own = batch.slice(at, size)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, own.schema) as out:
+                    out.write_batch(own)
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], [name])
+
+    return written(rows.where(F.col(vector).isNotNull()).mapInArrow(run, f"{name} binary"), name)
+
+
+def _units(vectors: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By length of the vectors: their places, unit vectors, and which of them have a length that can't be divided by safely."""
+    sizes = np.asarray(pc.list_value_length(vectors))
+    out = {}
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        parts = vectors.take(pa.array(at)).combine_chunks().flatten()
+        grid = np.asarray(parts.cast(pa.float64()).fill_null(0.0)).reshape(len(at), size).copy()
+        grid[np.asarray(parts.is_null()).reshape(len(at), size).any(axis=1)] = 0  # an unknown component: no similarity to anything
+        with np.errstate(all="ignore"):
+            length = np.sqrt((grid * grid).sum(axis=1))
+            odd = ~((length > 1e-100) & (length < 1e100)) & (grid != 0).any(axis=1)
+            out[size] = at, np.divide(grid, length[:, None], out=np.zeros_like(grid), where=(~odd & (length > 0))[:, None]), odd
+    return out
+
+
+def _near(left: dict, right: dict, k: int, least: float, digits: int):
+    """(places left, places right) of pairs that can be among the k best of a place on the right: of equally similar ones the first on the left."""
+    for size, (at, units, odd) in left.items():
+        if size not in right:
+            continue
+        to, asked, strange = right[size]
+        scores = asked @ units.T
+        scores[strange] = np.inf
+        scores[:, odd] = np.inf
+        coarse = np.round(scores, digits)
+        for row in range(len(to)):
+            own = np.flatnonzero(coarse[row] >= least - 2 * 10.0**-digits)
+            plain = own[np.isfinite(coarse[row, own])]
+            best = plain[np.argsort(-coarse[row, plain], kind="stable")[:k]]
+            found = np.concatenate([best, own[np.isinf(coarse[row, own])]])
+            if len(found):
+                yield pa.array(at[found]), pa.array(np.full(len(found), to[row]))
+
+
 def record_recall(state: DataFrame, hits: DataFrame, now: Column) -> DataFrame:
     """recall_count + 1 and last_recalled_at = now, once for each row that was recalled."""
     seen = hits.select("key").distinct().withColumn("hit", F.lit(True))

@@ -10,7 +10,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import sanitize_json
-from quarry.operators import chunking, classify, communities, graph, ivf, retrieval
+from quarry.functions.vectors import cosine
+from quarry.operators import chunking, classify, communities, graph, ivf, memory, retrieval
 
 SF = "/root/testdata/{}/embeddings.parquet"
 
@@ -195,3 +196,20 @@ def test_neighbors_with_many_seeds(spark):
     found, own = graph.neighbors(df, spark.createDataFrame([(s,) for s in seeds], "name string"), 3)
     assert Counter(map(tuple, found.collect())) == Counter(names)
     assert Counter(map(tuple, own.collect())) == edges
+
+
+def test_recall_meets_blocks_and_keeps_odd_rows(spark):
+    """Against every pair: repeated keys, ties by time and key, other lengths, zero, null and endless components; pairs that can't be hits don't leave a task."""
+    rng, nan = random.Random(4), float("nan")
+    vector = lambda n=3: [float(rng.randrange(-2, 3)) for _ in range(n)]
+    rows = [(i % 50, vector(), rng.randrange(3)) for i in range(120)] + [(200, vector(2), 1), (201, None, 1), (202, [nan, 1.0, 1.0], 2), (203, [1.0, None, 0.0], 2), (None, [1.0, 1.0, 1.0], None), (204, [float("inf"), 1.0, 0.0], 1), (205, [], 1)]
+    asked = [(i, vector()) for i in range(30)] + [(30, vector(2)), (31, None), (32, [nan, 1.0, 0.0]), (3, vector()), (None, [1.0, 1.0, 1.0]), (33, [])]
+    state = spark.createDataFrame(rows, "key long, embedding array<double>, updated_at int").repartition(3)
+    queries = spark.createDataFrame(asked, "query_id long, embedding array<double>")
+    pairs = state.withColumn("n", F.size("embedding")).join(queries.select("query_id", F.col("embedding").alias("q"), F.size("embedding").alias("n")), "n")
+    pairs = pairs.withColumn("similarity", F.round(cosine(F.col("embedding"), F.col("q")), 6)).where("similarity >= 0.35")
+    want = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.desc("updated_at"), F.desc("key")))).where("rank <= 3")
+    hits = memory.recall(state, queries, digits=6, block=7, lot=5)
+    told = lambda df: Counter(repr(tuple(r)) for r in df.select("query_id", "key", "similarity", "rank").collect())
+    assert told(hits) == told(want) and hits.count() > 60
+    assert "MapInArrow" in (plan := hits._jdf.queryExecution().executedPlan().toString()) and "salt" not in plan
