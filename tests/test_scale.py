@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -213,3 +214,20 @@ def test_recall_meets_blocks_and_keeps_odd_rows(spark):
     told = lambda df: Counter(repr(tuple(r)) for r in df.select("query_id", "key", "similarity", "rank").collect())
     assert told(hits) == told(want) and hits.count() > 60
     assert "MapInArrow" in (plan := hits._jdf.queryExecution().executedPlan().toString()) and "salt" not in plan
+
+
+def test_communities_in_blocks_are_those_of_written_rounds(spark, monkeypatch):
+    """Several blocks, loops, repeated edges and weights that aren't whole, with what is known of nodes in arrays or in tables."""
+    rng = random.Random(6)
+    ids = [rng.randrange(-(2**40), 2**40) for _ in range(40)]
+    rows = [(ids[i], ids[j], rng.randrange(1, 9) / 4) for i in range(40) for j in range(i + 1) if rng.random() < (0.6 if i // 14 == j // 14 else 0.04)]
+    rows += rows[:5] + [(77, 77, 2.0)]
+    edges = spark.createDataFrame(rows, "a long, b long, weight double")
+    monkeypatch.setattr(communities, "BLOCK", 40)
+    told = lambda: [Counter(map(tuple, f(edges, **o).collect())) for f, o in ((communities.detect_communities, {}), (communities.bounded_communities, {"largest": 6}))]
+    held = told()
+    monkeypatch.setattr(communities, "MOST_NODES", 0)
+    assert held == told() and len(held[0]) == 41
+    numbers = spark.createDataFrame([(x,) for x in ids], "n long").select("n", *(F.pmod(F.xxhash64("n", F.lit(r)), F.lit(2)) == 0 for r in (0, 5, 1000))).collect()
+    for at, r in enumerate((0, 5, 1000)):
+        assert communities._even(np.array([x.n for x in numbers]), r).tolist() == [x[at + 1] for x in numbers]
