@@ -261,3 +261,50 @@ def test_lexical_scores_are_summed_where_the_tokens_are(spark):
     for q in {q for q, _ in want}:
         ranked = sorted((i for p, i in want if p == q), key=lambda i: (-round(want[q, i], 6), i is not None, i or 0))[:4]
         assert [best[q, i] for i in ranked] == [*range(1, len(ranked) + 1)]
+
+
+def test_neighbors_dealt_by_far_ends(spark, monkeypatch):
+    """Few pairs at once, several links a task, frontiers that aren't sent, null ends: the same as a search from each seed; a task gets a frontier's seeds once."""
+    rng = random.Random(11)
+    rels = [(f"s{rng.randrange(6)}", f"p{rng.randrange(40)}") for _ in range(150)] + [("s1", None), (None, "p3"), ("p3", "p3")]
+    seeds = [f"p{i}" for i in range(0, 40, 3)]
+    links = [(s, t, s, t) for s, t in rels] + [(s, t, t, s) for s, t in rels]
+    names, edges = set(), Counter()
+    for seed in seeds:
+        seen, front = {seed}, {seed}
+        for hop in (1, 2, 3):
+            step = [(s, t, b) for s, t, a, b in links if a is not None and a in front and b not in seen]
+            edges.update((seed, s, t, hop) for s, t, _ in step)
+            front = {b for _, _, b in step}
+            names |= {(seed, n, hop) for n in front}
+            seen |= front - {None}
+    df, asked = spark.createDataFrame(rels, "source string, target string"), spark.createDataFrame([(s,) for s in seeds] + [(None,)], "name string")
+    for name, value in (("PAIRS", 1 << 21), ("PAIRS", 5), ("LINKS", 10), ("MOST_SENT", 0)):
+        monkeypatch.setattr(graph, name, value)
+        found, own = graph.neighbors(df, asked, 3)
+        assert Counter(map(tuple, found.collect())) == Counter(names)
+        assert Counter(map(tuple, own.collect())) == edges
+    plan = graph.neighbors(df, asked, 2)[0]._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and not re.search(r"Exchange hashpartitioning\(name", plan)
+
+
+def test_local_context_merges_only_what_may_touch_a_seed(spark, monkeypatch):
+    """The same lines with and without the sieve, which Spark carries below the groupings; a null seed and one without entity have none of their own."""
+    rng = random.Random(12)
+    rows = [(i, f" e {rng.randrange(30)}", rng.choice("AB"), rng.choice(["x", "y", " ", "zz"]), f"c{i % 7}") for i in range(200)]
+    rels = [(i, f"e {rng.randrange(33)}", f"e {rng.randrange(33)}", "r" * rng.randrange(9), float(rng.randrange(9)), f"c{i % 7}") for i in range(200)]
+    entities = spark.createDataFrame(rows, "seq long, name string, entity_type string, description string, chunk_id string")
+    relations = spark.createDataFrame(rels, "seq long, source string, target string, description string, strength double, chunk_id string")
+    seeds = spark.createDataFrame([(1, "E 1"), (1, "E 2"), (2, "E 31"), (3, None), (4, "E 7"), (5, "E 2")], "query_id long, name string")
+
+    def told():
+        nodes, merged = graph.build_graph(entities, relations)
+        groups = nodes.select("name", F.ascii(F.right("name", F.lit(1))).alias("label"), F.lit("t").alias("title"), F.lit("s").alias("summary"))
+        return sorted(tuple(r) for r in graph.local_context(seeds, nodes, merged, groups, 200).select("query_id", "section", "position", "text").collect())
+
+    kept, merged = graph._sieve(seeds.where("name is not null").select("name")), graph.merge_relationships(relations)
+    plan = merged.where(kept("source") | kept("target"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Filter")
+    lines = told()
+    monkeypatch.setattr(graph, "MOST_SENT", 0)
+    assert lines == told() and len({x[:2] for x in lines}) >= 9 and {x[0] for x in lines} == {1, 4, 5}
