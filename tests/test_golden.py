@@ -398,3 +398,19 @@ def test_joint_joins_are_those_of_one_at_a_time():
                 many = [bpe.merge_joined(r, j) for r in many]
         assert got[: len(want)] == want
     assert joint > 10
+
+
+def test_texts_are_joined_many_at_once(spark, monkeypatch):
+    """Runs of one character, characters beyond 16 bits, a spelt-out end mark and weights, over several pieces and with texts written as tokens, against joins of one text at a time."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("aaab é𝄞\t") for _ in range(rng.randrange(40))) for _ in range(60)] + ["</w> </w>a", "aaaa", "aaaa", " ", "", None]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    rows = [[c for w in (t or "").split() for c in [*w, "</w>"]] for t in texts]
+    want = []
+    while len(want) < 14:
+        count = Counter(x + y for r in rows for x, y in zip(r, r[1:], strict=False))
+        want.append(min(count, key=lambda p: (-count[p], p)))
+        rows = [bpe.merge_joined(r, want[-1]) for r in rows]
+    for chars, every in ((1 << 20, 100), (30, 1), (30, 3)):
+        monkeypatch.setattr(bpe, "CHARS", chars)
+        assert bpe.bpe_train_text(docs, 1 << 20, 13, every=every)[1] == want
