@@ -414,3 +414,23 @@ def test_texts_are_joined_many_at_once(spark, monkeypatch):
     for chars, every in ((1 << 20, 100), (30, 1), (30, 3)):
         monkeypatch.setattr(bpe, "CHARS", chars)
         assert bpe.bpe_train_text(docs, 1 << 20, 13, every=every)[1] == want
+
+
+def test_texts_are_encoded_where_they_lie(spark):
+    """Repeated, null and blank rows, unknown characters and ids: the same as by joins, and no word of a text is shuffled."""
+    rows = [(1, "aab ab"), (2, "b  aab\tq"), (3, None), (4, " "), (5, "ab a"), (5, "aab"), (6, "ab"), (6, "ab"), (None, "a b"), (7, "</w> a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    vocab, merges = bpe.bpe_train(docs.where("doc_id < 3"), 12, 1)
+    vocab = vocab.where("token <> 'q'")
+    told = lambda df: Counter(repr(tuple(r)) for r in df.collect())
+    for ends in (False, True):
+        coded = bpe.bpe_encode(docs, vocab, merges, ends=ends)
+        odd = coded.union(spark.createDataFrame([(8, [999, 5, None]), (9, None), (5, [4])], coded.schema))
+        for drop in (False, True):
+            assert told(bpe.bpe_decode(odd, vocab, drop_specials=drop)) == told(bpe._decoded_by_joins(odd, vocab, "doc_id", drop))
+        assert told(coded) == told(bpe._encoded_by_joins(docs, vocab, merges, "doc_id", "text", ends)) and coded.count() == 8
+    single = bpe.bpe_encode(docs.where("doc_id < 5"), vocab, merges)
+    for df in (single, bpe.bpe_decode(single, vocab, one_each=True)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    twice = vocab.union(vocab.where("token = 'a'"))
+    assert told(bpe.bpe_encode(docs, twice, merges)) == told(bpe._encoded_by_joins(docs, twice, merges, "doc_id", "text", False))
